@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,9 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and a lost executor costs only its own tasks."""
-    path = f"{shared_dir(df.sparkSession)}/quillfin/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quillfin/{label}-{uuid.uuid4().hex}"
+    # Nothing reads this write's shuffles again, so Spark may drop them with it.
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
+    out = spark.read.schema(df.schema).parquet(path)
     out._quillfin_path = path
     return out
 

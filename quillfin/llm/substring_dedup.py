@@ -7,10 +7,13 @@ words. The index keeps immutable runs of (fp, n) sorted by fp. A new batch is
 aggregated, sorted and merge-joined with each run; fingerprints met before, or
 twice in the batch, are matches; runs are then compacted into one sorted run.
 
-Only windows with a matched fingerprint can repeat. They are verified by two
-independent 64-bit hashes of the whole word sequence with its length
-(128 bits), counted over all rows, and the words that a repeated window covers
-are removed. Judged on the input: every occurrence goes, in whichever batch.
+Only windows with a matched fingerprint can repeat. Neighbouring windows with
+one fingerprint form a segment. Segments of equal fingerprint and equal words
+(two 64-bit hashes) settle all their windows at once; where a segment's words
+stand alone, each of its windows is compared with those of every other kind of
+segment of the fingerprint by two independent 64-bit hashes of its 35 words.
+The words that a repeated window covers are removed. Windows are judged on the
+input: every occurrence goes, in whichever batch.
 
 Nulls and empty texts have no words. Repeated rows count as occurrences of
 their own, so their windows repeat. Rows keep doc_id as it is, null included.
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillfin.llm.shared import discard, row_key, staged
-from quillfin.llm.words import U, Words, pieces, sliding, split_words
+from quillfin.llm.words import U, Words, pieces, range_hash, sliding, split_words
 
 WIDTH = 35
 GRAM = 8
@@ -47,28 +50,51 @@ def _window_fps(w: Words, width: int, gram: int) -> tuple[np.ndarray, np.ndarray
     return h, g, fp, inside
 
 
-def _fingerprints(width: int, gram: int):
+def _spread(w: Words, g: np.ndarray, fp: np.ndarray, inside: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
+    """Segments, the runs of neighbouring windows of one row with one fingerprint: (first window, windows, occurrences of the fingerprint's gram)."""
+    n = len(fp)
+    row = w.row[:n]
+    new = np.ones(n, bool)
+    new[1:] = (fp[1:] != fp[:-1]) | (row[1:] != row[:-1])
+    new[1:] |= inside[1:] != inside[:-1]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, n))
+    use = inside[first]
+    first, size = first[use], size[use]
+    # A gram is chosen where some window that holds it has it as its least; those equal to a segment's fingerprint are its occurrences.
+    pad = np.zeros(span - 1, U)
+    most = sliding(np.concatenate([pad, np.where(inside, fp, U(0)), pad]), span, np.maximum)
+    chosen = np.flatnonzero(most[: len(g)] == g)
+    values, which = np.unique(g[chosen], return_inverse=True)
+    spot = np.sort(which.astype(np.int64) * (len(g) + 1) + chosen)
+    base = np.searchsorted(values, fp[first]).astype(np.int64) * (len(g) + 1)
+    count = np.searchsorted(spot, base + first + size + span - 1) - np.searchsorted(spot, base + first)
+    return first, size, count
+
+
+def _segments(width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             w = split_words(b.column("text"))
-            _, g, fp, inside = _window_fps(w, width, gram)
+            h, g, fp, inside = _window_fps(w, width, gram)
             if not len(fp):
                 continue
-            # A gram is chosen where some window that holds it has it as its least: each chosen gram is one occurrence.
-            span = width - gram + 1
-            pad = np.zeros(span - 1, U)
-            most = sliding(np.concatenate([pad, np.where(inside, fp, U(0)), pad]), span, np.maximum)
-            at = np.flatnonzero(most[: len(g)] == g)
-            rows = w.row[at]
+            first, size, count = _spread(w, g, fp, inside, width - gram + 1)
+            context = range_hash(h, first, first + size + width - 1, 3)
+            rows = w.row[first]
             keys = b.column("doc_key").to_numpy(zero_copy_only=False)[rows]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(g[at].view(np.int64))], ["doc_key", "fp"])
+            at = first - w.first[rows]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys), pa.array(fp[first].view(np.int64)), pa.array(context.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(np.minimum(count, 2).astype(np.int8))],
+                ["doc_key", "fp", "context", "at", "size", "n"],
+            )
 
     return run
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(doc_key, fp), a row for each chosen gram. docs: doc_key, text."""
-    return docs.select("doc_key", "text").mapInArrow(_fingerprints(width, gram), "doc_key long, fp long")
+def segments(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """The windows of docs (doc_key, text), by segments: fp, context (hash of all the segment's words), at (first window), size (windows), n (occurrences of the gram; 2: more than one)."""
+    return docs.select("doc_key", "text").mapInArrow(_segments(width, gram), "doc_key long, fp long, context long, at int, size int, n byte")
 
 
 class FingerprintIndex:
@@ -80,7 +106,7 @@ class FingerprintIndex:
 
     def add(self, fps: DataFrame) -> DataFrame:
         """Merge-join a batch's fingerprints with the runs, add them as a run, and return the matched fp."""
-        batch = fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).select("fp", F.least("n", F.lit(2)).cast("byte").alias("n"))
+        batch = fps.groupBy("fp").agg(F.sum("n").alias("n")).select("fp", F.least("n", F.lit(2)).cast("byte").alias("n"))
         new = staged(batch.sortWithinPartitions("fp"), "fp-run")
         found = new.filter("n > 1").select("fp")
         for run in self.runs:
@@ -102,50 +128,41 @@ class FingerprintIndex:
             discard(run)
 
 
-def _windows(width: int, gram: int):
+def _windows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            hits = b.column("fps")
-            if hits.null_count == len(hits):
-                continue
             w = split_words(b.column("text"))
-            h, _, fp, inside = _window_fps(w, width, gram)
-            at = np.flatnonzero(inside & _is_hit(fp, w.row[: len(fp)], hits))
-            if not len(at):
-                continue
-            h2 = w.hashes(3)
-            d1, _ = w.grams(h, width, 2)
-            d2, _ = w.grams(h2, width, 4)
+            work = b.column("work")
+            flat = work.flatten()
+            doc = np.repeat(np.arange(b.num_rows), np.diff(work.offsets.to_numpy()))
+            at, size, known = (flat.field(c).to_numpy(zero_copy_only=False) for c in range(3))
+            of = np.repeat(np.arange(len(at)), size)
+            start = (w.first[doc] + at)[of] + np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+            h, h2 = w.hashes(1), w.hashes(3)
+            d1, d2 = range_hash(h, start, start + width, 2), range_hash(h2, start, start + width, 4)
             keys = b.column("doc_key").to_numpy(zero_copy_only=False)
-            rows = w.row[at]
+            # A window of a repeated context counts twice and needs no answer; of the others, the row and place come along.
+            known = known[of].astype(bool)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(d1[at].view(np.int64)), pa.array(d2[at].view(np.int64)), pa.array(keys[rows]), pa.array((at - w.first[rows]).astype(np.int32))],
+                [pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(keys[doc[of]], mask=known), pa.array((start - w.first[doc[of]]).astype(np.int32))],
                 ["d1", "d2", "doc_key", "at"],
             )
 
     return run
 
 
-def _is_hit(fp: np.ndarray, row: np.ndarray, hits: pa.Array) -> np.ndarray:
-    """Whether each window's fingerprint is among its own row's hits."""
-    flat = hits.flatten().to_numpy(zero_copy_only=False).view(U)
-    counts = np.diff(hits.offsets.to_numpy()) if hits.null_count == 0 else np.array([0 if x is None else len(x) for x in hits.to_pylist()])
-    owner = np.repeat(np.arange(len(hits)), counts)
-    salt = lambda r: r.astype(U) * U(0x9E3779B97F4A7C15)  # noqa: E731  joins row and fingerprint in one value
-    return np.isin(fp ^ salt(row), flat ^ salt(owner))
-
-
 def _remove(width: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             n_words, n_removed, sha, kept_text = [], [], [], []
-            for text, spots in zip(b.column("text").to_pylist(), b.column("spots").to_pylist()):
+            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
                 words = (text or "").encode().split()
                 n_words.append(len(words))
-                if spots:
+                if spans:
                     change = np.zeros(len(words) + 1, np.int32)
-                    np.add.at(change, np.asarray(spots), 1)
-                    np.add.at(change, np.asarray(spots) + width, -1)
+                    at = np.array([(x["at"], x["at"] + x["size"] + width - 1) for x in spans])
+                    np.add.at(change, at[:, 0], 1)
+                    np.add.at(change, at[:, 1], -1)
                     words = [x for x, c in zip(words, np.cumsum(change)[:-1].tolist()) if c == 0]
                 n_removed.append(n_words[-1] - len(words))
                 kept = b" ".join(words)
@@ -160,15 +177,23 @@ def _remove(width: int, keep_text: bool):
 def substring_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, keep_text: bool = True) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256, kept_text (null unless keep_text). docs: doc_id long, text string."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc_key", row_key("doc_id", "text"))
-    fps = staged(fingerprints(docs, width, gram), "fp-doc")
+    found_in = staged(segments(docs, width, gram), "segments")
     index = FingerprintIndex()
     found = None
     for k in range(batches):
-        hit = index.add(fps.filter(F.pmod("doc_key", F.lit(batches)) == k))
+        hit = index.add(found_in.filter(F.pmod("doc_key", F.lit(batches)) == k).select("fp", "n"))
         found = hit if found is None else found.unionByName(hit)
-    hits = fps.join(found.distinct(), "fp", "left_semi").groupBy("doc_key").agg(F.collect_set("fp").alias("fps"))
-    windows = staged(docs.join(hits, "doc_key").select("doc_key", "text", "fps").mapInArrow(_windows(width, gram), "d1 long, d2 long, doc_key long, at int"), "windows")
-    repeated = windows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1", "d2")
-    # A doc_key that stands for several identical rows makes each of its windows repeat; their rows meet here once each.
-    spots = windows.join(repeated, ["d1", "d2"], "left_semi").groupBy("doc_key").agg(F.collect_set("at").alias("spots"))
-    return docs.join(spots, "doc_key", "left").select("doc_id", "text", "spots").mapInArrow(_remove(width, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    matched = staged(found_in.join(found.distinct(), "fp", "left_semi"), "matched")
+
+    # Segments of equal words are alike in all windows: met twice, all their windows repeat.
+    contexts = matched.groupBy("fp", "context").agg(F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.min(F.struct("doc_key", "at", "size")).alias("one"))
+    contexts = staged(contexts, "contexts")
+    whole = matched.join(contexts.filter("copies > 1").select("fp", "context"), ["fp", "context"], "left_semi").select("doc_key", "at", "size")
+    # Where a context stands alone, its windows meet those of every other context of the fingerprint, one copy of each.
+    unsure = contexts.groupBy("fp").agg(F.min("copies").alias("least"), F.count(F.lit(1)).alias("kinds"), F.max("n").alias("n")).filter("least = 1 and (kinds > 1 or n > 1)").select("fp")
+    work = contexts.join(unsure, "fp", "left_semi").select("one.doc_key", F.struct("one.at", "one.size", (F.col("copies") > 1).cast("int").alias("known")).alias("x")).groupBy("doc_key").agg(F.collect_list("x").alias("work"))
+    windows = staged(docs.join(work, "doc_key").dropDuplicates(["doc_key"]).select("doc_key", "text", "work").mapInArrow(_windows(width), "d1 long, d2 long, doc_key long, at int"), "windows")
+    repeated = windows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("doc_key").isNull()).alias("known")).filter("n > 1 or known > 0").select("d1", "d2")
+    single = windows.filter("doc_key is not null").join(repeated, ["d1", "d2"], "left_semi").select("doc_key", "at", F.lit(1).alias("size"))
+    spots = whole.unionByName(single).groupBy("doc_key").agg(F.collect_list(F.struct("at", "size")).alias("spans"))
+    return docs.join(spots, "doc_key", "left").select("doc_id", "text", "spans").mapInArrow(_remove(width, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
