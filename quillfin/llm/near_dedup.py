@@ -16,10 +16,14 @@ that agree in all registers of a band are candidates; a link is kept where the
 exact J_P, from all shingles, reaches the threshold. Within a band's bucket:
 
 1. Stars: each member is verified against the bucket's centre (one for each
-   band, so 32 different ones), which joins large groups at linear cost.
-2. The rest: each pair of a bucket whose ends are not yet in one class, met by
-   joining the members outside the bucket's largest class with all of it. Pairs
-   inside a class would add nothing to the classes; nothing else is left out.
+   band, so 32 different ones).
+2. Hubs: members of other classes are verified against the bucket's node of
+   most links. A text with many edited copies is such a hub, and joins them at
+   linear cost.
+3. The rest: each pair of a bucket whose ends are not yet in one class. Texts
+   that no text left could be linked with are put aside first by an exact bound
+   (`_linkable`), so a group of loosely alike texts costs no pairs. Pairs inside
+   a class would add nothing to the classes; nothing else is left out.
 
 Null and empty texts have no shingles: each such row is a class of its own.
 Repeated rows (same doc_id and text) share a class. Rows with null doc_id take
@@ -44,6 +48,7 @@ REGISTERS = 128
 BAND_ROWS = 4
 #: Candidates whose signatures agree in fewer registers are not verified: at J_P = 0.8 that is over six standard deviations off.
 LEAST_AGREEMENT = 0.55
+HUB_ROUNDS = 2
 
 
 def _shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -145,8 +150,13 @@ def _sets(k: int):
             rows, vals, weight, _ = _shingles(split_words(b.column("text"), lower=True), k)
             cut = np.searchsorted(rows, np.arange(b.num_rows + 1))
             yield pa.RecordBatch.from_arrays(
-                [b.column("node"), pa.array([vals[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()), pa.array([weight[i:j].astype(np.int32).tobytes() for i, j in zip(cut, cut[1:])], pa.binary())],
-                ["node", "vals", "weights"],
+                [
+                    b.column("node"),
+                    pa.array([vals[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
+                    pa.array([weight[i:j].astype(np.int32).tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
+                    pa.array([int(weight[i:j].sum()) for i, j in zip(cut, cut[1:])], pa.int64()),
+                ],
+                ["node", "vals", "weights", "total"],
             )
 
     return run
@@ -187,35 +197,48 @@ def _verified(threshold: float):
 class _Verifier:
     """Checks candidate pairs (a, b) of nodes: by signature, then exactly by all shingles."""
 
-    def __init__(self, nodes: DataFrame, docs: DataFrame, k: int, threshold: float):
-        self.nodes, self.docs, self.k, self.threshold = nodes, docs, k, threshold
+    def __init__(self, nodes: DataFrame, sets: DataFrame, threshold: float):
+        self.sketches, self.sets, self.threshold = nodes.select("node", "sketch"), sets, threshold
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
-        sketch = self.nodes.select("node", "sketch")
-        close = staged(
-            pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
-            .join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-            .select("a", "b", "x", "y")
-            .mapInArrow(_agreement, "a long, b long"),
-            "pairs",
-        )
-        wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
-        named = self.nodes.join(wanted, "node", "left_semi").select("node", "doc_key")
-        # Rows that share a doc_key are identical, so any of their texts will do.
-        texts = self.docs.join(named, "doc_key").select("node", "text").dropDuplicates(["node"])
-        sets = staged(texts.mapInArrow(_sets(self.k), "node long, vals binary, weights binary"), "sets")
-        found = staged(
-            close.join(sets.select(F.col("node").alias("a"), F.col("vals").alias("vx"), F.col("weights").alias("wx")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("vals").alias("vy"), F.col("weights").alias("wy")), "b")
-            .select("a", "b", "vx", "wx", "vy", "wy")
-            .mapInArrow(_verified(self.threshold), "a long, b long"),
-            "links",
-        )
+        ends = [(self.sketches.select(F.col("node").alias(c), F.col("sketch").alias(v))) for c, v in (("a", "x"), ("b", "y"))]
+        close = staged(pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "x", "y").mapInArrow(_agreement, "a long, b long"), "pairs")
+        sides = [self.sets.select(F.col("node").alias(c), F.col("vals").alias(f"v{v}"), F.col("weights").alias(f"w{v}")) for c, v in (("a", "x"), ("b", "y"))]
+        found = staged(close.join(sides[0], "a").join(sides[1], "b").select("a", "b", "vx", "wx", "vy", "wy").mapInArrow(_verified(self.threshold), "a long, b long"), "links")
         discard(close)
-        discard(sets)
         return found
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        node = b.column("node").to_numpy(zero_copy_only=False)
+        for i, (v, w) in enumerate(zip(b.column("vals").to_pylist(), b.column("weights").to_pylist())):
+            vals = np.frombuffer(v, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vals), node[i])), pa.array(vals), pa.array(np.frombuffer(w, np.int32))], ["node", "shingle", "weight"])
+
+
+def _linkable(sets: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Of nodes (node), those that could have a link among themselves.
+
+    J_P of two texts is at most the share of a text's weight in shingles that the
+    other has too. So where more than 1 - threshold of a text's weight lies in
+    shingles that no other of the nodes has, it has no link.
+    """
+    shingles = sets.join(nodes, "node", "left_semi").mapInArrow(_shingle_rows, "node long, shingle long, weight int")
+    owners = shingles.groupBy("shingle").agg(F.min("node").alias("node"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    private = owners.groupBy("node").agg(F.sum("weight").alias("private"))
+    total = sets.select("node", "total").join(nodes, "node", "left_semi")
+    return total.join(private, "node", "left").filter(F.coalesce("private", F.lit(0)) <= (1 - threshold + 1e-9) * F.col("total")).select("node")
+
+
+def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members (bucket, node) with the node's class so far and its number of links so far."""
+    classes = components(links)
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
+    info = classes.join(ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "node", "left")
+    return members.select("bucket", "node").join(info, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, k: int = SHINGLE_WORDS, m: int = REGISTERS, r: int = BAND_ROWS) -> DataFrame:
     """Per row of docs (doc_id long, text string): doc_id, class_id (least doc_id of the class), class_size, n_links (verified links of its text's node that were needed)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc_key", row_key("doc_id", "text"))
@@ -224,23 +247,36 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, k: int = SHI
     # Texts of equal words: one node, named by a hash of its 128-bit key; t1 and t2 are independent, so a clash of names is checked by both.
     node = F.xxhash64("t1", "t2")
     nodes = staged(full.groupBy(node.alias("node")).agg(F.min("doc_id").alias("least_id"), F.min("doc_key").alias("doc_key"), F.min("sketch").alias("sketch")), "nodes")
-    verify = _Verifier(nodes, docs.select("doc_key", "text"), k, threshold)
-
     buckets = nodes.select("node", "sketch").mapInArrow(_bands(m, r), "bucket long, node long")
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = staged(buckets.join(shared.select("bucket", "centre"), "bucket"), "buckets")
-    stars = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = verify(stars)
-
-    classes = staged(components(links), "classes")
-    placed = members.select("bucket", "node").join(classes, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    # A bucket's main class is its largest; every other member meets all members of other classes.
-    counts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("bucket", "main")
-    open_ = staged(placed.join(mixed, "bucket"), "open")
-    minor = open_.filter("root <> main").select("bucket", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    pairs = minor.join(open_.select("bucket", "node", "root"), "bucket").filter("x_root <> root")
-    rest = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    wanted = nodes.select("node", "doc_key").join(members.select("node").distinct(), "node", "left_semi")
+    # Rows that share a doc_key are identical, so any of their texts will do.
+    texts = docs.select("doc_key", "text").join(wanted, "doc_key").select("node", "text").dropDuplicates(["node"])
+    sets = staged(texts.mapInArrow(_sets(k), "node long, vals binary, weights binary, total long"), "sets")
+    verify = _Verifier(nodes, sets, threshold)
+
+    tried = members.filter("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+    links = verify(tried)
+    for _ in range(HUB_ROUNDS):
+        placed = staged(_placed(members, links), "placed")
+        hub = placed.groupBy("bucket").agg(F.max_by(F.struct("node", "root"), F.struct("degree", "node")).alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket", "hub")
+        more = placed.join(hub, "bucket").filter("root <> hub.root").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+        more = staged(more.join(tried, ["a", "b"], "left_anti"), "hubs")
+        tried = tried.unionByName(more)
+        links = links.unionByName(verify(more))
+        discard(placed)
+    placed = staged(_placed(members, links), "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
+    open_ = placed.join(mixed, "bucket", "left_semi")
+    able = staged(_linkable(sets, open_.select("node").distinct(), threshold), "able")
+    # Among those left, a bucket's main class is its largest; every other member meets all members of other classes.
+    open_ = staged(open_.select("bucket", "node", "root").join(able, "node", "left_semi"), "open")
+    counts = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("bucket", "main")
+    minor = open_.join(main, "bucket").filter("root <> main").select("bucket", F.col("node").alias("x"), F.col("root").alias("x_root"))
+    pairs = minor.join(open_, "bucket").filter("x_root <> root")
+    rest = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(verify(rest))
     classes = staged(components(links), "classes")
 
