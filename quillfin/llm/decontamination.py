@@ -112,16 +112,19 @@ class Matcher:
         return [(k, d, end) for k, (d, end) in sorted(found.items())]
 
 
-_matchers: dict[tuple, Matcher] = {}
+_matchers: list[tuple[list, float, Matcher]] = []
+
+
+def _matcher(items_, error_rate: float) -> Matcher:
+    """The worker's matcher for a broadcast block of items, kept from task to task."""
+    if not _matchers or _matchers[0][0] is not items_.value or _matchers[0][1] != error_rate:
+        _matchers[:] = [(items_.value, error_rate, Matcher(items_.value, error_rate))]
+    return _matchers[0][2]
 
 
 def _search(items_, error_rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (items_.id, error_rate)
-        if key not in _matchers:
-            _matchers.clear()
-            _matchers[key] = Matcher(items_.value, error_rate)
-        m = _matchers[key]
+        m = _matcher(items_, error_rate)
         for b in pieces(batches, "text"):
             doc, item, distance, end = [], [], [], []
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
