@@ -1,0 +1,5 @@
+"""The registered queries."""
+
+from quillfin.plans import option_queries as option_queries
+from quillfin.plans.registry import ORACLES as ORACLES
+from quillfin.plans.registry import QUERIES as QUERIES
