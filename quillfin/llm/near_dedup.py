@@ -17,13 +17,14 @@ exact J_P, from all shingles, reaches the threshold. Within a band's bucket:
 
 1. Stars: each member is verified against the bucket's centre (one for each
    band, so 32 different ones).
-2. Hubs: members of other classes are verified against the bucket's node of
-   most links. A text with many edited copies is such a hub, and joins them at
-   linear cost.
-3. The rest: each pair of a bucket whose ends are not yet in one class. Texts
-   that no text left could be linked with are put aside first by an exact bound
-   (`_linkable`), so a group of loosely alike texts costs no pairs. Pairs inside
-   a class would add nothing to the classes; nothing else is left out.
+2. Hubs: members of other classes are verified against the bucket's node with
+   the least share of shingles of its own, then that of most links. A text with
+   many edited copies is such a hub, and joins them at linear cost.
+3. The rest, of pairs whose ends are not yet in one class: those that share a
+   rare shingle, and those of a bucket that share none and that an exact bound
+   on J_P then allows (`_room`), so that a group of loosely alike texts costs
+   few pairs. Pairs inside a class would add nothing to the classes; nothing
+   else is left out.
 
 Null and empty texts have no shingles: each such row is a class of its own.
 Repeated rows (same doc_id and text) share a class. Rows with null doc_id take
@@ -46,9 +47,13 @@ from quillfin.llm.words import U, Words, mix64, pieces, range_hash, split_words
 
 REGISTERS = 128
 BAND_ROWS = 4
+#: A shingle is rare if at most so many of the texts in question have it.
+RARE = 8
+#: Registers of the second signature, of texts that are left for comparison within buckets.
+FINE_REGISTERS = 512
+BLOCK = 256
 #: Candidates whose signatures agree in fewer registers are not verified: at J_P = 0.8 that is over six standard deviations off.
 LEAST_AGREEMENT = 0.55
-HUB_ROUNDS = 2
 
 
 def _shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -155,8 +160,10 @@ def _sets(k: int):
                     pa.array([vals[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
                     pa.array([weight[i:j].astype(np.int32).tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
                     pa.array([int(weight[i:j].sum()) for i, j in zip(cut, cut[1:])], pa.int64()),
+                    pa.array(np.diff(cut)),
+                    pa.array([int(weight[i:j].max()) for i, j in zip(cut, cut[1:])], pa.int64()),
                 ],
-                ["node", "vals", "weights", "total"],
+                ["node", "vals", "weights", "total", "kinds", "most"],
             )
 
     return run
@@ -217,18 +224,81 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vals), node[i])), pa.array(vals), pa.array(np.frombuffer(w, np.int32))], ["node", "shingle", "weight"])
 
 
-def _linkable(sets: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Of nodes (node), those that could have a link among themselves.
+def _rare(sets: DataFrame, nodes: DataFrame, most: int = RARE) -> DataFrame:
+    """(node, shingle, weight) of the shingles that at most `most` of the nodes (node) have."""
+    shingles = sets.join(nodes, "node", "left_semi").mapInArrow(_shingle_rows, "node long, shingle long, weight int")
+    few = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most).select("shingle")
+    return shingles.join(few, "shingle", "left_semi")
+
+
+def _room(sets: DataFrame, nodes: DataFrame, rare: DataFrame) -> DataFrame:
+    """Of nodes (node): lone, the weight of its rare shingles by the weight of the rest; common, the number of other shingles; scale, total weight by greatest weight.
 
-    J_P of two texts is at most the share of a text's weight in shingles that the
-    other has too. So where more than 1 - threshold of a text's weight lies in
-    shingles that no other of the nodes has, it has no link.
+    With them J_P of two nodes that share no rare shingle has an upper bound. In
+    a shared shingle i, the sum over j of max(x[j]/x[i], y[j]/y[i]) is at least
+    P/x[i] + Y/y[i], with P the weight that only x has and Y the weight of y.
+    1 / (P/a + Y/b) is concave and homogeneous in (a, b), so the sum over shared
+    shingles is at most that of the sums of a and b; these are at most the weight
+    of x outside P, and y's greatest weight times the number of shingles that x
+    shares: J_P <= 1 / (lone(x) + scale(y) / common(x)).
     """
-    shingles = sets.join(nodes, "node", "left_semi").mapInArrow(_shingle_rows, "node long, shingle long, weight int")
-    owners = shingles.groupBy("shingle").agg(F.min("node").alias("node"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")).filter("n = 1")
-    private = owners.groupBy("node").agg(F.sum("weight").alias("private"))
-    total = sets.select("node", "total").join(nodes, "node", "left_semi")
-    return total.join(private, "node", "left").filter(F.coalesce("private", F.lit(0)) <= (1 - threshold + 1e-9) * F.col("total")).select("node")
+    private = rare.groupBy("node").agg(F.sum("weight").alias("p"), F.count(F.lit(1)).alias("np"))
+    p, np_ = F.coalesce("p", F.lit(0)), F.coalesce("np", F.lit(0))
+    own = sets.select("node", "total", "kinds", "most").join(nodes, "node", "left_semi").join(private, "node", "left").filter(p < F.col("total"))
+    return own.select("node", (p / (F.col("total") - p)).alias("lone"), (F.col("kinds") - np_).alias("common"), (F.col("total") / F.col("most")).alias("scale"))
+
+
+def _possible(lone: str, common: str, scale: str, threshold: float):
+    """Whether the bound of `_room` reaches the threshold."""
+    return F.col(lone) + F.col(scale) / F.col(common) <= 1 / threshold + 1e-9
+
+
+def _fine_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if not b.num_rows:
+            continue
+        vals = [np.frombuffer(v, U) for v in b.column("vals").to_pylist()]
+        weights = np.concatenate([np.frombuffer(w, np.int32) for w in b.column("weights").to_pylist()])
+        rows = np.repeat(np.arange(b.num_rows), [len(v) for v in vals])
+        sig = prob_min_hash(rows, mix64(np.concatenate(vals) + U(1)), weights, b.num_rows, FINE_REGISTERS).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([x.tobytes() for x in sig], pa.binary())], ["node", "fine"])
+
+
+def _met_in_blocks(minor: DataFrame, members: DataFrame, fine: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of a bucket's minor nodes with its members of other classes that the bound and the fine signatures allow.
+
+    Both sides are dealt into blocks of about BLOCK nodes, and each pair of blocks
+    is one group: only what passes becomes a row, and no group is larger.
+    """
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ny")).join(minor.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nx")), "bucket")
+    facts = ("node", "root", "lone", "common", "scale")
+    x = minor.select("bucket", *[F.col(f"x_{c}").alias(c) for c in facts], F.lit(0).alias("side"))
+    dealt = x.unionByName(members.select("bucket", *facts, F.lit(1).alias("side"))).join(sizes, "bucket")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    left = F.col("side") == 0
+    dealt = dealt.withColumn("bx", F.explode(F.when(left, F.array(own("nx"))).otherwise(all_of("nx")))).withColumn("by", F.explode(F.when(left, all_of("ny")).otherwise(F.array(own("ny")))))
+    rows = dealt.join(fine, "node").select("bucket", "bx", "by", "side", *facts, "fine")
+    return rows.groupBy("bucket", "bx", "by").applyInArrow(_block_pairs(threshold), "a long, b long")
+
+
+def _block_pairs(threshold: float):
+    least = threshold - 5 * np.sqrt(threshold * (1 - threshold) / FINE_REGISTERS)
+
+    def run(t: pa.Table) -> pa.Table:
+        side = t.column("side").to_numpy()
+        node, root, lone, common, scale = (t.column(c).to_numpy() for c in ("node", "root", "lone", "common", "scale"))
+        sig = np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint32).reshape(len(side), -1)
+        y = np.flatnonzero(side == 1)
+        a, b = [], []
+        for i in np.flatnonzero(side == 0):
+            j = y[(root[y] != root[i]) & (lone[i] + scale[y] / common[i] <= 1 / threshold + 1e-9) & (lone[y] + scale[i] / common[y] <= 1 / threshold + 1e-9)]
+            j = j[(sig[j] == sig[i]).mean(axis=1) >= least]
+            a.append(np.minimum(node[i], node[j]))
+            b.append(np.maximum(node[i], node[j]))
+        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+
+    return run
 
 
 def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -239,6 +309,12 @@ def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.select("bucket", "node").join(info, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Members of buckets that hold several classes."""
+    several = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
+    return placed.join(several, "bucket", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, k: int = SHINGLE_WORDS, m: int = REGISTERS, r: int = BAND_ROWS) -> DataFrame:
     """Per row of docs (doc_id long, text string): doc_id, class_id (least doc_id of the class), class_size, n_links (verified links of its text's node that were needed)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc_key", row_key("doc_id", "text"))
@@ -253,30 +329,38 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, k: int = SHI
     wanted = nodes.select("node", "doc_key").join(members.select("node").distinct(), "node", "left_semi")
     # Rows that share a doc_key are identical, so any of their texts will do.
     texts = docs.select("doc_key", "text").join(wanted, "doc_key").select("node", "text").dropDuplicates(["node"])
-    sets = staged(texts.mapInArrow(_sets(k), "node long, vals binary, weights binary, total long"), "sets")
+    sets = staged(texts.mapInArrow(_sets(k), "node long, vals binary, weights binary, total long, kinds long, most long"), "sets")
     verify = _Verifier(nodes, sets, threshold)
 
     tried = members.filter("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
     links = verify(tried)
-    for _ in range(HUB_ROUNDS):
-        placed = staged(_placed(members, links), "placed")
-        hub = placed.groupBy("bucket").agg(F.max_by(F.struct("node", "root"), F.struct("degree", "node")).alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket", "hub")
+    placed = staged(_placed(members, links), "placed")
+    nodes_open = staged(_mixed(placed).select("node").distinct(), "open-nodes")
+    rare = staged(_rare(sets, nodes_open), "rare")
+    room = staged(_room(sets, nodes_open, rare), "room")
+    for choice in (F.max_by("who", F.struct(-F.col("lone"), F.col("node"))), F.max_by("who", F.struct("degree", "node"))):
+        hub = _mixed(placed).join(room.select("node", "lone"), "node").withColumn("who", F.struct("node", "root")).groupBy("bucket").agg(choice.alias("hub"))
         more = placed.join(hub, "bucket").filter("root <> hub.root").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
         more = staged(more.join(tried, ["a", "b"], "left_anti"), "hubs")
         tried = tried.unionByName(more)
         links = links.unionByName(verify(more))
         discard(placed)
-    placed = staged(_placed(members, links), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
-    open_ = placed.join(mixed, "bucket", "left_semi")
-    able = staged(_linkable(sets, open_.select("node").distinct(), threshold), "able")
+        placed = staged(_placed(members, links), "placed")
+    open_ = _mixed(placed).select("bucket", "node", "root").join(room, "node")
+    # Put aside who could be linked with no member of the bucket, whatever its shingles.
+    least = open_.groupBy("bucket").agg(F.min("scale").alias("least"))
+    open_ = staged(open_.join(least, "bucket").filter(_possible("lone", "common", "least", threshold)).drop("least"), "open")
     # Among those left, a bucket's main class is its largest; every other member meets all members of other classes.
-    open_ = staged(open_.select("bucket", "node", "root").join(able, "node", "left_semi"), "open")
     counts = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("bucket", "main")
-    minor = open_.join(main, "bucket").filter("root <> main").select("bucket", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    pairs = minor.join(open_, "bucket").filter("x_root <> root")
-    rest = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    minor = open_.join(main, "bucket").filter("root <> main").select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("node", "root", "lone", "common", "scale")])
+    fine = staged(sets.join(open_.select("node").distinct(), "node", "left_semi").mapInArrow(_fine_sketch, "node long, fine binary"), "fine")
+    rest = _met_in_blocks(minor, open_, fine, threshold)
+    # Pairs that share a rare shingle, at most RARE nodes for each.
+    root = placed.select("node", "root").distinct()
+    holders = rare.select("shingle", "node").join(root, "node")
+    kin = holders.join(holders.select("shingle", F.col("node").alias("b"), F.col("root").alias("b_root")), "shingle").filter("node < b and root <> b_root").select(F.col("node").alias("a"), "b")
+    rest = rest.unionByName(kin).distinct().join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(verify(rest))
     classes = staged(components(links), "classes")
 
