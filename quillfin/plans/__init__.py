@@ -1,5 +1,6 @@
 """The registered queries."""
 
+from quillfin.plans import macro_queries as macro_queries
 from quillfin.plans import option_queries as option_queries
 from quillfin.plans import timeseries_queries as timeseries_queries
 from quillfin.plans.registry import ORACLES as ORACLES
