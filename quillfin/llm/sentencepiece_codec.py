@@ -8,9 +8,10 @@ piece covers becomes its UTF-8 byte pieces, at the lowest score of all less
 UNKNOWN_PENALTY a byte.
 
 White space: a space is written as U+2581, and one is put in front. No piece of
-the vocabulary holds U+2581 after another character or a line feed within it, so
-the best path of a text is that of its words and line feeds one after the other,
-and a task remembers the paths of words that it has met (at most CACHE).
+the vocabulary holds U+2581 after another character, a line feed, or a
+punctuation mark after a letter (checked when it is loaded), so the best path of
+a text is that of its words, marks and line feeds one after the other, and a task
+remembers the paths of words that it has met (at most CACHE).
 A U+2581 of the text itself goes to bytes. So decoding gives every text back.
 
 Null texts give null ids and null text; empty ones give no ids. Repeated rows
@@ -21,6 +22,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +38,7 @@ from quillfin.llm.words import pieces as cut_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE = 150_000
+CACHE = 400_000
 
 
 @dataclass(frozen=True)
@@ -63,13 +66,20 @@ class Codec:
         words = [(i, p) for i, p in enumerate(vocabulary.pieces) if isinstance(p, str)]
         if any("\n" in p or SPACE in p.lstrip(SPACE) for _, p in words):
             raise ValueError("a piece spans words or lines")
+        marks = _marks([p for _, p in words])
+        self.chunks = re.compile(f"\n|{SPACE}*[^{SPACE}\n{marks}]+|{SPACE}*[{marks}]+[^{SPACE}\n{marks}]*|{SPACE}+" if marks else f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
         self.automaton = ahocorasick.Automaton()
         for i, p in words:
             self.automaton.add_word(p, (len(p), vocabulary.scores[i], i))
         self.automaton.make_automaton()
         self.unknown = min(vocabulary.scores[i] for i, _ in words) - UNKNOWN_PENALTY
-        self.text_of = [p if isinstance(p, bytes) else (p or "").replace(SPACE, " ").encode() for p in vocabulary.pieces]
-        self.cache: dict[str, tuple[int, ...]] = {}
+        text_of = [p if isinstance(p, bytes) else (p or "").replace(SPACE, " ").encode() for p in vocabulary.pieces]
+        self.size = np.array([len(t) for t in text_of])
+        self.begin = np.cumsum(self.size) - self.size
+        self.letters = np.frombuffer(b"".join(text_of), np.uint8)
+        # Paths of words met, as bytes of int32, in two generations: the older is dropped when the younger is full.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def best_path(self, chunk: str) -> tuple[int, ...]:
         """The best segmentation of a string, by one pass of the automaton."""
@@ -101,34 +111,57 @@ class Codec:
             path.append(ids)
         return tuple(x for ids in reversed(path) for x in ids)
 
-    def encode(self, text: str) -> list[int]:
+    def _path(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = array("i", self.best_path(chunk)).tobytes()
+        if len(chunk) <= 64:
+            if len(self.young) >= CACHE // 2:
+                self.old, self.young = self.young, {}
+            self.young[chunk] = ids
+        return ids
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids (int32) of a text."""
         if not text:
-            return []
-        out: list[int] = []
-        cache = self.cache
+            return np.zeros(0, np.int32)
+        out: list[bytes] = []
         for part_no, part in enumerate(text.split(SPACE)):
             if part_no:
-                out.extend(self.byte_id[x] for x in SPACE.encode())
+                out.append(np.array([self.byte_id[x] for x in SPACE.encode()], np.int32).tobytes())
             part = part.replace(" ", SPACE)
-            for chunk in _CHUNK.findall(part if part_no else SPACE + part):
-                ids = cache.get(chunk)
+            known = self.young
+            for chunk in self.chunks.findall(part if part_no else SPACE + part):
+                ids = known.get(chunk)
                 if ids is None:
-                    ids = self.best_path(chunk)
-                    if len(chunk) <= 64:
-                        if len(cache) >= CACHE:
-                            cache.clear()
-                        cache[chunk] = ids
-                out.extend(ids)
-        return out
+                    ids = self._path(chunk)
+                    known = self.young
+                out.append(ids)
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids) -> str:
         """The text of a list of ids, without the space put in front."""
+        ids = np.asarray(ids)
         if len(ids) == 0:
             return ""
-        return b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
+        size = self.size[ids]
+        end = np.cumsum(size)
+        at = np.arange(end[-1]) + np.repeat(self.begin[ids] - (end - size), size)
+        return self.letters[at].tobytes().decode("utf-8", "replace")[1:]
+
+
+def _marks(pieces: list[str]) -> str:
+    """The characters, as a class of a regular expression, in front of which a word may be cut: ASCII punctuation and all that stands before such a mark in a piece. None if that takes in letters."""
+    marks = set(string.punctuation)
+    while True:
+        more = {a for p in pieces for a, b in zip(p, p[1:]) if b in marks and a not in marks and a != SPACE}
+        if any(c.isalnum() and c.isascii() for c in more):
+            return ""
+        if not more:
+            return re.escape("".join(sorted(marks)))
+        marks |= more
 
 
-_CHUNK = re.compile(f"\\n|{SPACE}+[^{SPACE}\\n]*|[^{SPACE}\\n]+")
 _codecs: list[tuple[Vocabulary, Codec]] = []
 
 
@@ -141,8 +174,8 @@ def _codec(vocabulary_) -> Codec:
 
 def _id_lists(lists: list) -> pa.Array:
     offsets = np.zeros(len(lists) + 1, np.int32)
-    np.cumsum([len(x or ()) for x in lists], out=offsets[1:])
-    flat = np.concatenate([np.asarray(x or (), np.int32) for x in lists]) if lists else np.zeros(0, np.int32)
+    np.cumsum([0 if x is None else len(x) for x in lists], out=offsets[1:])
+    flat = np.concatenate([x for x in lists if x is not None] or [np.zeros(0, np.int32)])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([x is None for x in lists]))
 
 
@@ -167,7 +200,7 @@ def _decode(vocabulary_, keep_text: bool):
             null = lists.is_null().to_pylist()
             text, sha = [], []
             for i in range(b.num_rows):
-                t = None if null[i] else codec.decode(flat[offsets[i] : offsets[i + 1]].tolist())
+                t = None if null[i] else codec.decode(flat[offsets[i] : offsets[i + 1]])
                 sha.append(None if t is None else hashlib.sha256(t.encode()).hexdigest())
                 text.append(t if keep_text else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, b.column("text_sha256"), pa.array(text, pa.string()), pa.array(sha, pa.string())], ["doc_id", "ids", "text_sha256", "decoded", "decoded_sha256"])
