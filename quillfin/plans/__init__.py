@@ -1,7 +1,9 @@
 """The registered queries."""
 
+from quillfin.plans import insider_queries as insider_queries
 from quillfin.plans import macro_queries as macro_queries
 from quillfin.plans import option_queries as option_queries
+from quillfin.plans import relational_queries as relational_queries
 from quillfin.plans import timeseries_queries as timeseries_queries
 from quillfin.plans.registry import ORACLES as ORACLES
 from quillfin.plans.registry import QUERIES as QUERIES
