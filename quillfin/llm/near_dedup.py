@@ -21,7 +21,8 @@ exact J_P, from all shingles, reaches the threshold. Within a band's bucket:
    the least share of shingles of its own, then that of most links. A text with
    many edited copies is such a hub, and joins them at linear cost.
 3. The rest, of pairs whose ends are not yet in one class: those that share a
-   rare shingle, and those of a bucket that share none and that an exact bound
+   rare shingle, and those of a bucket (all buckets of one main class taken
+   together) that share none and that an exact bound
    on J_P then allows (`_room`), so that a group of loosely alike texts costs
    few pairs. Pairs inside a class would add nothing to the classes; nothing
    else is left out.
@@ -265,21 +266,20 @@ def _fine_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _met_in_blocks(minor: DataFrame, members: DataFrame, fine: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of a bucket's minor nodes with its members of other classes that the bound and the fine signatures allow.
+    """Pairs (a, b) of a group's minor nodes with its members of other classes that the bound and the fine signatures allow.
 
-    Both sides are dealt into blocks of about BLOCK nodes, and each pair of blocks
-    is one group: only what passes becomes a row, and no group is larger.
+    Groups go by main. Both sides are dealt into blocks of about BLOCK nodes, and
+    each pair of blocks is one task's work: only what passes becomes a row.
     """
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ny")).join(minor.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nx")), "bucket")
-    facts = ("node", "root", "lone", "common", "scale")
-    x = minor.select("bucket", *[F.col(f"x_{c}").alias(c) for c in facts], F.lit(0).alias("side"))
-    dealt = x.unionByName(members.select("bucket", *facts, F.lit(1).alias("side"))).join(sizes, "bucket")
-    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    blocks = lambda df, c: df.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(c))
+    sizes = blocks(members, "ny").join(blocks(minor, "nx"), "main")
+    dealt = minor.withColumn("side", F.lit(0)).unionByName(members.withColumn("side", F.lit(1))).join(sizes, "main")
+    own = lambda n: F.array(F.pmod(F.xxhash64("node"), F.col(n)).cast("int"))
     all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     left = F.col("side") == 0
-    dealt = dealt.withColumn("bx", F.explode(F.when(left, F.array(own("nx"))).otherwise(all_of("nx")))).withColumn("by", F.explode(F.when(left, all_of("ny")).otherwise(F.array(own("ny")))))
-    rows = dealt.join(fine, "node").select("bucket", "bx", "by", "side", *facts, "fine")
-    return rows.groupBy("bucket", "bx", "by").applyInArrow(_block_pairs(threshold), "a long, b long")
+    dealt = dealt.withColumn("bx", F.explode(F.when(left, own("nx")).otherwise(all_of("nx")))).withColumn("by", F.explode(F.when(left, all_of("ny")).otherwise(own("ny"))))
+    rows = dealt.join(fine, "node").select("main", "bx", "by", "side", "node", "root", "lone", "common", "scale", "fine")
+    return rows.groupBy("main", "bx", "by").applyInArrow(_block_pairs(threshold), "a long, b long")
 
 
 def _block_pairs(threshold: float):
@@ -353,9 +353,11 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, k: int = SHI
     # Among those left, a bucket's main class is its largest; every other member meets all members of other classes.
     counts = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("bucket", "main")
-    minor = open_.join(main, "bucket").filter("root <> main").select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("node", "root", "lone", "common", "scale")])
+    # Buckets of one main class meet as one, so that a pair of nodes that shares several bands is looked at once.
+    facts = ("node", "root", "lone", "common", "scale")
+    members_of = open_.join(main, "bucket").select("main", *facts).distinct()
     fine = staged(sets.join(open_.select("node").distinct(), "node", "left_semi").mapInArrow(_fine_sketch, "node long, fine binary"), "fine")
-    rest = _met_in_blocks(minor, open_, fine, threshold)
+    rest = _met_in_blocks(members_of.filter("root <> main"), members_of, fine, threshold)
     # Pairs that share a rare shingle, at most RARE nodes for each.
     root = placed.select("node", "root").distinct()
     holders = rare.select("shingle", "node").join(root, "node")
