@@ -192,7 +192,7 @@ def probability_jaccard(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.nda
 
 def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "vx", 500_000):
             keep = []
             for vx, wx, vy, wy in zip(*(b.column(c).to_pylist() for c in ("vx", "wx", "vy", "wy"))):
                 s = probability_jaccard(np.frombuffer(vx, U), np.frombuffer(wx, np.int32), np.frombuffer(vy, U), np.frombuffer(wy, np.int32))
@@ -255,9 +255,7 @@ def _possible(lone: str, common: str, scale: str, threshold: float):
 
 
 def _fine_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if not b.num_rows:
-            continue
+    for b in pieces(batches, "vals", 500_000):
         vals = [np.frombuffer(v, U) for v in b.column("vals").to_pylist()]
         weights = np.concatenate([np.frombuffer(w, np.int32) for w in b.column("weights").to_pylist()])
         rows = np.repeat(np.arange(b.num_rows), [len(v) for v in vals])

@@ -40,7 +40,7 @@ def powers(lane: int, n: int, inverse: bool = False) -> np.ndarray:
         p = np.full(size, base, U)
         p[0] = 1
         have = np.multiply.accumulate(p)
-        if size <= 1 << 23:
+        if size <= 1 << 22:
             _powers[lane, inverse] = have
     return have[:n]
 
@@ -96,7 +96,7 @@ def split_words(texts: pa.Array, lower: bool = False) -> Words:
     return Words(buf, start, end, row, first)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each holds about most_bytes of text (a longer single text stays whole)."""
     for batch in batches:
         if batch.num_rows == 0:
