@@ -12,7 +12,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -32,8 +32,21 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         discard(now)
         now = after
         # At the fixed point every node has one link, to its root, and no root is linked on.
-        state = now.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("a").alias("d"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("s")).first()
-        if state == mark and state["n"] == state["d"]:
+        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("s")).first()
+        if state == mark:
             break
         mark = state
     return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes (node, root) after further links (a, b); nodes that classes lack begin as classes of their own. Only links between roots are followed."""
+    root = lambda c, r: classes.select(F.col("node").alias(c), F.col("root").alias(r))
+    j = staged(links.join(root("a", "ra"), "a", "left").join(root("b", "rb"), "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")), "cc-links")
+    edges = j.filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    if edges.isEmpty():
+        return classes
+    moved = components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    ends = j.select(F.col("a").alias("node"), F.col("ra").alias("root")).unionByName(j.select(F.col("b").alias("node"), F.col("rb").alias("root")))
+    every = classes.unionByName(ends).distinct()
+    return staged(every.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "classes")

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillfin.llm.components import components
+from quillfin.llm.components import merged
 from quillfin.llm.shared import SHINGLE_WORDS, SIMILARITY, discard, row_key, staged
 from quillfin.llm.words import U, Words, mix64, pieces, range_hash, split_words
 
@@ -299,9 +299,8 @@ def _block_pairs(threshold: float):
     return run
 
 
-def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
+def _placed(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
     """members (bucket, node) with the node's class so far and its number of links so far."""
-    classes = components(links)
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     info = classes.join(ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "node", "left")
     return members.select("bucket", "node").join(info, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
@@ -315,6 +314,7 @@ def _mixed(placed: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, k: int = SHINGLE_WORDS, m: int = REGISTERS, r: int = BAND_ROWS) -> DataFrame:
     """Per row of docs (doc_id long, text string): doc_id, class_id (least doc_id of the class), class_size, n_links (verified links of its text's node that were needed)."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc_key", row_key("doc_id", "text"))
     rows = staged(docs.mapInArrow(_signatures(k, m), "doc_id long, doc_key long, t1 long, t2 long, sketch binary"), "sketches")
     full = rows.filter("sketch is not null")
@@ -332,7 +332,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, k: int = SHI
 
     tried = members.filter("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
     links = verify(tried)
-    placed = staged(_placed(members, links), "placed")
+    classes = merged(spark.createDataFrame([], "node long, root long"), links)
+    placed = staged(_placed(members, classes, links), "placed")
     nodes_open = staged(_mixed(placed).select("node").distinct(), "open-nodes")
     rare = staged(_rare(sets, nodes_open), "rare")
     room = staged(_room(sets, nodes_open, rare), "room")
@@ -341,9 +342,10 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, k: int = SHI
         more = placed.join(hub, "bucket").filter("root <> hub.root").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
         more = staged(more.join(tried, ["a", "b"], "left_anti"), "hubs")
         tried = tried.unionByName(more)
-        links = links.unionByName(verify(more))
+        new = verify(more)
+        links, classes = links.unionByName(new), merged(classes, new)
         discard(placed)
-        placed = staged(_placed(members, links), "placed")
+        placed = staged(_placed(members, classes, links), "placed")
     open_ = _mixed(placed).select("bucket", "node", "root").join(room, "node")
     # Put aside who could be linked with no member of the bucket, whatever its shingles.
     least = open_.groupBy("bucket").agg(F.min("scale").alias("least"))
@@ -361,8 +363,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, k: int = SHI
     holders = rare.select("shingle", "node").join(root, "node")
     kin = holders.join(holders.select("shingle", F.col("node").alias("b"), F.col("root").alias("b_root")), "shingle").filter("node < b and root <> b_root").select(F.col("node").alias("a"), "b")
     rest = rest.unionByName(kin).distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(verify(rest))
-    classes = staged(components(links), "classes")
+    new = verify(rest)
+    links, classes = links.unionByName(new), merged(classes, new)
 
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
