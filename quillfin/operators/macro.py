@@ -7,7 +7,7 @@ comparison_type, granularity (nulls allowed).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillfin.adapters import exact_sum
@@ -32,6 +32,11 @@ def periods(series: DataFrame, catalog: DataFrame) -> DataFrame:
     return g.select("indicator", "granularity", "ordinal", F.when(averaged, F.col("mean")).otherwise(F.col("last")).alias("value"), (~averaged | (F.col("n") >= 3)).alias("complete"))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def macro_compare(series: DataFrame, catalog: DataFrame, specs: DataFrame) -> DataFrame:
     """spec_id, indicator, granularity, period1, period2, val1, val2, percentage_change, absolute_change, basis_points_change, unit, info, error.
 
@@ -46,20 +51,35 @@ def macro_compare(series: DataFrame, catalog: DataFrame, specs: DataFrame) -> Da
     asked1, asked2 = F.coalesce(F.trim("period1"), F.lit("")) != "", F.coalesce(F.trim("period2"), F.lit("")) != ""
     own = lambda i: F.element_at(h, i)
     latest = F.when(~own(-1)["complete"] & (F.size(h) >= 2), F.try_element_at(h, F.lit(-2))["ordinal"]).otherwise(own(-1)["ordinal"])
-    s = s.withColumn("p1", F.when(asked1, parse_period(F.col("period1"), g)).otherwise(latest))
-    s = s.withColumn("p2", F.when(asked2, parse_period(F.col("period2"), g)).otherwise(F.col("p1") - step))
-    unreadable = (asked1 & F.col("p1").isNull()) | (asked2 & F.col("p2").isNull())
-    s = s.withColumn("unreadable", unreadable).withColumn("a", F.greatest("p1", "p2")).withColumn("b", F.least("p1", "p2"))
     complete = lambda p: F.exists(h, lambda x: (x["ordinal"] == p) & x["complete"])
     done = F.filter(h, lambda x: x["complete"])
-    s = s.withColumn("ok1", complete(F.col("a"))).withColumn("last", F.array_max(F.transform(done, lambda x: x["ordinal"])))
-    s = s.withColumn("q1", F.when(F.col("ok1"), F.col("a")).otherwise(F.col("last")))
-    s = s.withColumn("b", F.when(~F.col("ok1") & ~asked2, F.col("q1") - step).otherwise(F.col("b")))
-    s = s.withColumn("ok2", complete(F.col("b")))
-    before = F.array_max(F.transform(F.filter(done, lambda x: x["ordinal"] < F.col("q1")), lambda x: x["ordinal"]))
-    s = s.withColumn("q2", F.when(F.col("ok2"), F.col("b")).when(complete(F.col("q1") - step), F.col("q1") - step).otherwise(before))
-    value = lambda p: F.filter(h, lambda x: x["ordinal"] == p)[0]["value"]
-    s = s.withColumn("v1", value(F.col("q1"))).withColumn("v2", value(F.col("q2")))
+    greatest_of = lambda xs: F.array_max(F.transform(xs, lambda x: x["ordinal"]))
+    value = lambda p: F.get(F.filter(h, lambda x: x["ordinal"] == p), F.lit(0))["value"]
+
+    # Each step's results are bound once and named in the next.
+    def asked(p1):
+        return F.struct(p1.alias("p1"), F.when(asked2, parse_period(F.col("period2"), g)).otherwise(p1 - step).alias("p2"))
+
+    def ordered(v):
+        a, b = F.greatest(v["p1"], v["p2"]), F.least(v["p1"], v["p2"])
+        return F.struct(a.alias("a"), b.alias("b"), complete(a).alias("ok1"), greatest_of(done).alias("last"), ((asked1 & v["p1"].isNull()) | (asked2 & v["p2"].isNull())).alias("unreadable"))
+
+    def first_settled(v):
+        q1 = F.when(v["ok1"], v["a"]).otherwise(v["last"])
+        return F.struct(v["unreadable"].alias("unreadable"), v["a"].alias("a"), v["ok1"].alias("ok1"), q1.alias("q1"), F.when(~v["ok1"] & ~asked2, q1 - step).otherwise(v["b"]).alias("b"))
+
+    def second_settled(v):
+        ok2, relative = complete(v["b"]), v["q1"] - step
+        before = greatest_of(F.filter(done, lambda x: x["ordinal"] < v["q1"]))
+        q2 = F.when(ok2, v["b"]).when(complete(relative), relative).otherwise(before)
+        return F.struct(*[v[c].alias(c) for c in ("unreadable", "a", "ok1", "q1", "b")], ok2.alias("ok2"), q2.alias("q2"))
+
+    def valued(v):
+        return F.struct(*[v[c].alias(c) for c in ("unreadable", "a", "ok1", "q1", "b", "ok2", "q2")], value(v["q1"]).alias("v1"), value(v["q2"]).alias("v2"))
+
+    p1 = F.when(asked1, parse_period(F.col("period1"), g)).otherwise(latest)
+    chain = _let(p1, lambda p: _let(asked(p), lambda v: _let(ordered(v), lambda w: _let(first_settled(w), lambda x: _let(second_settled(x), valued)))))
+    s = s.select("*", chain.alias("r")).select("*", "r.*")
     error = (
         F.when(F.col("frequency").isNull(), F.concat(F.lit("Unknown indicator: "), "indicator"))
         .when(h.isNull(), F.concat(F.lit("No data available for "), "indicator"))
