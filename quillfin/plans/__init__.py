@@ -2,6 +2,7 @@
 
 from quillfin.plans import insider_queries as insider_queries
 from quillfin.plans import macro_queries as macro_queries
+from quillfin.plans import more_queries as more_queries
 from quillfin.plans import option_queries as option_queries
 from quillfin.plans import relational_queries as relational_queries
 from quillfin.plans import retrieval_queries as retrieval_queries
