@@ -1,6 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and items are compared in lower case with white space collapsed. An item
+Texts and items are compared as lower-case runs of letters and digits with one
+space between. An item
 of n characters may differ by e = floor(n * error_rate) edits. Cut into e + 1
 pieces, an occurrence within e edits holds one piece unchanged, so exact piece
 hits (an Aho-Corasick automaton over all pieces) find every occurrence. Each
@@ -10,13 +11,15 @@ whether the item occurs with at most e edits.
 Items go to the tasks in blocks of at most BLOCK_CHARS characters, one pass over
 the documents for each block: the bound holds whatever the benchmark's size.
 
-Null and empty texts hold nothing; null and empty items match nothing. Repeated
+Null and empty texts hold nothing; null items and those without letters or
+digits match nothing. Repeated
 rows and repeated items give a row each. Null ids are carried. Other columns
 are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,12 +29,13 @@ from pyspark.sql import functions as F
 
 from quillfin.llm.words import pieces
 
-ERROR_RATE = 0.05
+ERROR_RATE = 0.08
 BLOCK_CHARS = 4_000_000
+_WORD = re.compile(r"[^\W_]+")
 
 
 def normalise(text: str | None) -> str:
-    return " ".join((text or "").lower().split())
+    return " ".join(_WORD.findall((text or "").lower()))
 
 
 def cut(n: int, parts: int) -> list[tuple[int, int]]:
@@ -142,7 +146,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
     """A row for each document row and item that occurs in it: doc_id, item_id, distance (edits), end (its end in the normalised text). docs: doc_id, text; benchmark: item_id, text."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("length(trim(text)) > 0")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-chars // block_chars))
     out = None
