@@ -18,8 +18,8 @@ exact J_P, from all shingles, reaches the threshold. Within a band's bucket:
 1. Stars: each member is verified against the bucket's centre (one for each
    band, so 32 different ones).
 2. Hubs: members of other classes are verified against the bucket's node with
-   the least share of shingles of its own, then that of most links. A text with
-   many edited copies is such a hub, and joins them at linear cost.
+   the least share of shingles of its own. A text with many edited copies is such
+   a hub, and joins them at linear cost.
 3. The rest, of pairs whose ends are not yet in one class: those that share a
    rare shingle, and those of a bucket (all buckets of one main class taken
    together) that share none and that an exact bound
@@ -299,11 +299,9 @@ def _block_pairs(threshold: float):
     return run
 
 
-def _placed(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    """members (bucket, node) with the node's class so far and its number of links so far."""
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-    info = classes.join(ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "node", "left")
-    return members.select("bucket", "node").join(info, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+def _placed(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """members (bucket, node) with the node's class so far."""
+    return members.select("bucket", "node").join(classes, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
@@ -333,19 +331,17 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, k: int = SHI
     tried = members.filter("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
     links = verify(tried)
     classes = merged(spark.createDataFrame([], "node long, root long"), links)
-    placed = staged(_placed(members, classes, links), "placed")
+    placed = staged(_placed(members, classes), "placed")
     nodes_open = staged(_mixed(placed).select("node").distinct(), "open-nodes")
     rare = staged(_rare(sets, nodes_open), "rare")
     room = staged(_room(sets, nodes_open, rare), "room")
-    for choice in (F.max_by("who", F.struct(-F.col("lone"), F.col("node"))), F.max_by("who", F.struct("degree", "node"))):
-        hub = _mixed(placed).join(room.select("node", "lone"), "node").withColumn("who", F.struct("node", "root")).groupBy("bucket").agg(choice.alias("hub"))
-        more = placed.join(hub, "bucket").filter("root <> hub.root").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-        more = staged(more.join(tried, ["a", "b"], "left_anti"), "hubs")
-        tried = tried.unionByName(more)
-        new = verify(more)
-        links, classes = links.unionByName(new), merged(classes, new)
-        discard(placed)
-        placed = staged(_placed(members, classes, links), "placed")
+    hub = _mixed(placed).join(room.select("node", "lone"), "node").groupBy("bucket").agg(F.max_by(F.struct("node", "root"), F.struct(-F.col("lone"), F.col("node"))).alias("hub"))
+    more = placed.join(hub, "bucket").filter("root <> hub.root").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    more = staged(more.join(tried, ["a", "b"], "left_anti"), "hubs")
+    tried = tried.unionByName(more)
+    new = verify(more)
+    links, classes = links.unionByName(new), merged(classes, new)
+    placed = staged(_placed(members, classes), "placed")
     open_ = _mixed(placed).select("bucket", "node", "root").join(room, "node")
     # Put aside who could be linked with no member of the bucket, whatever its shingles.
     least = open_.groupBy("bucket").agg(F.min("scale").alias("least"))
