@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from quillfin.llm.secret_scan import BASE, RULES
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP9 = rf"""
@@ -13,4 +15,40 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 FROM d LEFT JOIN kept ON d.r = kept.r
 """
 
-ORACLES = {"op9_substring_dedup": OP9}
+
+
+def _secret_sql() -> str:
+    """Matches by regexp_extract_all, their places from the gaps between them."""
+    quoted = lambda r: "'" + r.pattern.replace("'", "''") + "'"
+    parts = []
+    for i, r in enumerate(RULES):
+        found = f"regexp_extract_all(t, {quoted(r)})"
+        gaps = f"regexp_split_to_array(t, {quoted(r)})"
+        least = f"WHERE length(regexp_extract(x.m, {quoted(r)}, {r.group})) >= {r.least_chars}"
+        parts.append(
+            f"""SELECT r, {i} AS o, '{r.kind}' AS kind, x.a AS a, x.a + length(x.m) AS b FROM (SELECT r, unnest(list_transform(m, lambda v, i: {{'a': list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0), 'm': v}})) AS x
+            FROM (SELECT r, {found} AS m, {gaps} AS g FROM d)) {least}"""
+        )
+    one = "kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT)"
+    count = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in RULES[:BASE])
+    zero = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in RULES[:BASE])
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT r, {count}, string_agg({one}, ',' ORDER BY a, o, b) FILTER (o < {BASE}) AS base, string_agg({one}, ',' ORDER BY a, o, b) AS spans FROM s GROUP BY r)
+SELECT doc_id, {zero}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"""
+
+
+#: Classes of probability Jaccard >= 0.8 on five-word shingles. Pairs whose shared shingles weigh under 0.8 of either text cannot reach it.
+OP2 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT r, array_to_string(w[i:i + 4], ' ') AS s, count(*) AS n FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0) GROUP BY 1, 2),
+tot AS (SELECT r, sum(n) AS t FROM sh GROUP BY 1),
+cand AS (SELECT a, b FROM (SELECT x.r AS a, y.r AS b, sum(x.n) AS sa, sum(y.n) AS sb FROM sh x JOIN sh y ON x.s = y.s AND x.r < y.r GROUP BY 1, 2) JOIN tot p ON p.r = a JOIN tot q ON q.r = b WHERE sa >= 0.8 * p.t AND sb >= 0.8 * q.t),
+u AS (SELECT a, b, s, max(CASE WHEN r = a THEN n ELSE 0 END) AS x, max(CASE WHEN r = b THEN n ELSE 0 END) AS y FROM cand JOIN sh ON r = a OR r = b GROUP BY 1, 2, 3),
+jp AS (SELECT a, b, sum(z) AS j FROM (SELECT i.a, i.b, 1 / sum(greatest(k.x / i.x::DOUBLE, k.y / i.y::DOUBLE)) AS z FROM u i JOIN u k ON i.a = k.a AND i.b = k.b WHERE i.x > 0 AND i.y > 0 GROUP BY i.a, i.b, i.s) GROUP BY 1, 2),
+e AS (SELECT a, b FROM jp WHERE j >= 0.8::DOUBLE - 1e-9 UNION SELECT b, a FROM jp WHERE j >= 0.8::DOUBLE - 1e-9),
+reach AS (SELECT r, r AS o FROM d UNION SELECT reach.r, e.b FROM reach JOIN e ON e.a = reach.o)
+SELECT d.doc_id, min(o.doc_id) AS class_id, count(*) AS class_size FROM d JOIN reach ON reach.r = d.r JOIN d o ON o.r = reach.o GROUP BY d.r, d.doc_id
+"""
+
+ORACLES = {"op2_minhash_near_dedup": OP2, "op5_secret_scan": _secret_sql(), "op9_substring_dedup": OP9}
