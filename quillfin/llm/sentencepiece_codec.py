@@ -38,7 +38,7 @@ from quillfin.llm.words import pieces as cut_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE = 400_000
+CACHE = 160_000
 
 
 @dataclass(frozen=True)
@@ -60,7 +60,27 @@ class Vocabulary:
         return cls(tuple(out), tuple(sp.get_score(i) for i in range(len(out))))
 
 
-class Codec:
+class Decoder:
+    """The texts of all pieces in one array."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        text_of = [p if isinstance(p, bytes) else (p or "").replace(SPACE, " ").encode() for p in vocabulary.pieces]
+        self.size = np.array([len(t) for t in text_of])
+        self.begin = np.cumsum(self.size) - self.size
+        self.letters = np.frombuffer(b"".join(text_of), np.uint8)
+
+    def decode(self, ids) -> str:
+        """The text of a list of ids, without the space put in front."""
+        ids = np.asarray(ids)
+        if len(ids) == 0:
+            return ""
+        size = self.size[ids]
+        end = np.cumsum(size)
+        at = np.arange(end[-1]) + np.repeat(self.begin[ids] - (end - size), size)
+        return self.letters[at].tobytes().decode("utf-8", "replace")[1:]
+
+
+class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.byte_id = {p[0]: i for i, p in enumerate(vocabulary.pieces) if isinstance(p, bytes)}
         words = [(i, p) for i, p in enumerate(vocabulary.pieces) if isinstance(p, str)]
@@ -73,10 +93,6 @@ class Codec:
             self.automaton.add_word(p, (len(p), vocabulary.scores[i], i))
         self.automaton.make_automaton()
         self.unknown = min(vocabulary.scores[i] for i, _ in words) - UNKNOWN_PENALTY
-        text_of = [p if isinstance(p, bytes) else (p or "").replace(SPACE, " ").encode() for p in vocabulary.pieces]
-        self.size = np.array([len(t) for t in text_of])
-        self.begin = np.cumsum(self.size) - self.size
-        self.letters = np.frombuffer(b"".join(text_of), np.uint8)
         # Paths of words met, as bytes of int32, in two generations: the older is dropped when the younger is full.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -139,16 +155,6 @@ class Codec:
                 out.append(ids)
         return np.frombuffer(b"".join(out), np.int32)
 
-    def decode(self, ids) -> str:
-        """The text of a list of ids, without the space put in front."""
-        ids = np.asarray(ids)
-        if len(ids) == 0:
-            return ""
-        size = self.size[ids]
-        end = np.cumsum(size)
-        at = np.arange(end[-1]) + np.repeat(self.begin[ids] - (end - size), size)
-        return self.letters[at].tobytes().decode("utf-8", "replace")[1:]
-
 
 def _marks(pieces: list[str]) -> str:
     """The characters, as a class of a regular expression, in front of which a word may be cut: ASCII punctuation and all that stands before such a mark in a piece. None if that takes in letters."""
@@ -162,14 +168,14 @@ def _marks(pieces: list[str]) -> str:
         marks |= more
 
 
-_codecs: list[tuple[Vocabulary, Codec]] = []
+_kept: dict[type, tuple[Vocabulary, object]] = {}
 
 
-def _codec(vocabulary_) -> Codec:
-    """The worker's codec for a broadcast vocabulary, kept from task to task."""
-    if not _codecs or _codecs[0][0] is not vocabulary_.value:
-        _codecs[:] = [(vocabulary_.value, Codec(vocabulary_.value))]
-    return _codecs[0][1]
+def _of(kind: type, vocabulary_):
+    """The worker's encoder or decoder for a broadcast vocabulary, kept from task to task."""
+    if kind not in _kept or _kept[kind][0] is not vocabulary_.value:
+        _kept[kind] = (vocabulary_.value, kind(vocabulary_.value))
+    return _kept[kind][1]
 
 
 def _id_lists(lists: list) -> pa.Array:
@@ -181,7 +187,7 @@ def _id_lists(lists: list) -> pa.Array:
 
 def _encode(vocabulary_):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary_)
+        codec = _of(Encoder, vocabulary_)
         for b in cut_batches(batches, "text"):
             texts = b.column("text").to_pylist()
             ids = [None if t is None else codec.encode(t) for t in texts]
@@ -193,7 +199,7 @@ def _encode(vocabulary_):
 
 def _decode(vocabulary_, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary_)
+        codec = _of(Decoder, vocabulary_)
         for b in batches:
             lists = b.column("ids")
             offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()

@@ -48,7 +48,7 @@ NEAREST = 24
 SHARPNESS = 4.0
 BLOCK = 64
 _WORD = re.compile(r"\w+")
-_MEMORY = 50_000
+_MEMORY = 10_000
 
 
 def term_counts(text: str | None) -> Counter:
