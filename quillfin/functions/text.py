@@ -281,3 +281,34 @@ def in_order(bull: Column, base: Column, bear: Column) -> Column:
 def subqueries(company: Column, year: Column, topics) -> Column:
     """One search text for each topic: 'company topic year'."""
     return F.array(*[F.concat_ws(" ", company, F.lit(t), year.cast("string")) for t in topics])
+
+
+#: Character references that plain conversion decodes, & last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
+def html_text(html: Column) -> Column:
+    """Visible text of a fragment: scripts, styles, comments and tags removed, common references decoded, white space made one space."""
+    s = html
+    for p in (r"(?is)<script\b[^>]*>.*?</script>", r"(?is)<style\b[^>]*>.*?</style>", r"(?s)<!--.*?-->", r"<[^>]*>"):
+        s = F.regexp_replace(s, p, " ")
+    for name, c in ENTITIES:
+        s = F.replace(s, F.lit(name), F.lit(c))
+    return F.trim(F.regexp_replace(s, r"[ \t\n\r]+", " "))
+
+
+def markdown_text(markdown: Column) -> Column:
+    """Markdown without its marks: headings, emphasis, code, images and links' addresses."""
+    s = F.regexp_replace(markdown, r"!\[[^\]]*\]\([^)]*\)", "")
+    s = F.regexp_replace(s, r"\[([^\]]*)\]\([^)]*\)", "$1")
+    s = F.regexp_replace(s, r"(?m)^#{1,6} +", "")
+    return F.trim(F.regexp_replace(s, r"[*_`]+", ""))
+
+
+def sanitised_html(html: Column, allowed: tuple[str, ...] = ("p", "b", "i", "em", "strong", "ul", "ol", "li", "br", "h1", "h2", "h3", "table", "tr", "td", "th")) -> Column:
+    """The fragment with scripts, styles and comments gone, tags outside the list removed and all attributes dropped."""
+    s = html
+    for p in (r"(?is)<script\b[^>]*>.*?</script>", r"(?is)<style\b[^>]*>.*?</style>", r"(?s)<!--.*?-->"):
+        s = F.regexp_replace(s, p, "")
+    s = F.regexp_replace(s, r"(?i)<(/?)(?!/?(?:" + "|".join(allowed) + r")\b)[^>]*>", "")
+    return F.regexp_replace(s, r"<(/?[A-Za-z0-9]+)[^>]*>", "<$1>")

@@ -133,3 +133,21 @@ def owner_names(spark, sf_dir):
     from quillfin.operators.insider import normalise_owner
 
     return insider_trades(spark, sf_dir).select("owner").distinct().select("owner", normalise_owner(F.col("owner")).alias("name"))
+
+
+def _sql_html() -> str:
+    s = "html"
+    for p, o in ((r"<script\b[^>]*>.*?</script>", "gis"), (r"<style\b[^>]*>.*?</style>", "gis"), ("<!--.*?-->", "gs"), ("<[^>]*>", "g")):
+        s = f"regexp_replace({s}, '{p}', ' ', '{o}')"
+    for name, c in tx.ENTITIES:
+        s = f"replace({s}, '{name}', {_sql(c)})"
+    return rf"trim(regexp_replace({s}, '[ \t\n\r]+', ' ', 'g'))"
+
+
+def _sql(c: str) -> str:
+    return "'" + c.replace("'", "''") + "'"
+
+
+@query("txt_html_text", f"SELECT page_id, {_sql_html()} AS text FROM pages")
+def html_text(spark, sf_dir):
+    return load(spark, sf_dir, "pages").select("page_id", tx.html_text(F.col("html")).alias("text"))

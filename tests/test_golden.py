@@ -292,3 +292,9 @@ def test_stream_amendments(spark, tmp_path):
     apply(spark.createDataFrame([row("4", 1.0, 1)], TRADES), 0)
     apply(spark.createDataFrame([row("4/A", 2.0, 1)], TRADES), 1)
     assert [r["shares"] for r in spark.read.parquet(f"{tmp_path}/v1").collect()] == [2.0]
+
+
+def test_html_and_markdown(spark):
+    assert one(spark, tx.markdown_text(F.col("t")), t="# Head\n**bold** [link](http://x) ![i](y) `c`") == "Head\nbold link  c"
+    assert one(spark, tx.sanitised_html(F.col("t")), t='<div><p class="a">x<script>1</script><a href="y">z</a></p></div>') == "<p>xz</p>"
+    assert one(spark, tx.html_text(F.col("t")), t="<p>a &amp;lt; b</p><style>x</style>") == "a &lt; b"
