@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -24,9 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def tuned(spark: SparkSession) -> SparkSession:
+    """The session with Arrow batches of ROWS rows where it has Spark's default of 10,000: texts are kilobytes long, and each running task holds a batch on either side of its pipe."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(ROWS))
+    return spark
+
+
 def staged(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and a lost executor costs only its own tasks."""
-    spark = df.sparkSession
+    spark = tuned(df.sparkSession)
     path = f"{shared_dir(spark)}/quillfin/{label}-{uuid.uuid4().hex}"
     # Nothing reads this write's shuffles again, so Spark may drop them with it.
     was = spark.conf.get(_CLEANUP, "false")
@@ -50,7 +59,7 @@ def discard(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def row_key(*cols: str) -> Column:
