@@ -15,7 +15,7 @@ from quillfin.llm.decontamination import contaminated
 from quillfin.llm.line_dedup import line_dedup
 from quillfin.llm.near_dedup import near_duplicates
 from quillfin.llm.sentencepiece_codec import encode_and_check
-from quillfin.llm.shared import row_key, staged, table
+from quillfin.llm.shared import row_key, staged, table, tuned
 from quillfin.llm.toxicity import toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -55,6 +55,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, round_trip of every document left."""
+    tuned(spark)
     return encode_and_check(docs)
 
 
