@@ -33,8 +33,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go from the texts; a text that nothing is left of stays as an empty one."""
-    kept = line_dedup(docs, keep_text=True).filter("n_removed > 0").select("doc_key", "kept_text").dropDuplicates(["doc_key"])
+    """Repeated passages of two lines and more go from the texts; a text that nothing is left of stays as an empty one."""
+    kept = line_dedup(docs, keep_text=True, windows=True).filter("n_removed > 0").select("doc_key", "kept_text").dropDuplicates(["doc_key"])
     keyed = _documents(docs).withColumn("doc_key", row_key("doc_id", "text"))
     text = F.coalesce("kept_text", "text")
     return keyed.join(kept, "doc_key", "left").select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")).alias("n_chars"))

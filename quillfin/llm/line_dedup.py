@@ -6,6 +6,12 @@ but its own. Chunks of two lines and more that occur more than once anywhere
 are repeated. The occurrence of least (doc_id, row key, place) stays; each other
 one is removed if its bytes equal those of the one that stays.
 
+Passages seldom begin and end at chunk boundaries. With `windows`, each run of
+min_lines lines is looked up as well, by the same rule: a line goes if it lies in
+such a run that stands earlier too, so no repeated passage of min_lines lines or
+more is left but its first occurrence. Runs inside a repeated chunk need no
+bytes of their own.
+
 Null texts stay null and empty ones empty. Repeated rows: they share their key,
 so the first row's chunks stay in all of them and near-dedup is left to deal
 with exact copies of a row; rows of other doc_ids lose theirs. A null doc_id
@@ -20,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillfin.llm.shared import row_key, staged
@@ -30,80 +36,86 @@ DIVISOR = 4
 MIN_LINES = 2
 
 
-def _line_chunks(texts: pa.Array, divisor: int) -> tuple[np.ndarray, ...]:
-    """(buffer, row, first byte, end byte, lines, number in its row) of every chunk."""
+def _lines(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """(buffer, row, first byte, end byte) of every line."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     joined = pc.binary_join_element_wise(texts, pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
     offsets = np.frombuffer(joined.buffers()[1], np.int64)[: len(joined) + 1]
     buf = np.frombuffer(joined.buffers()[2], np.uint8)[: offsets[-1]]
     end = np.flatnonzero(buf == 10)
     start = np.concatenate([[0], end[:-1] + 1])
-    row = np.searchsorted(offsets, start, side="right") - 1
+    return buf, np.searchsorted(offsets, start, side="right") - 1, start, end
+
+
+def _cuts(buf: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, divisor: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of every chunk."""
     h = range_hash(buf.astype(U) + U(1), start, end, 1)
     before = np.concatenate([[U(0)], h[:-1]])
     before[np.flatnonzero(np.diff(row, prepend=-1))] = 0
     last_of_row = np.append(np.diff(row) != 0, True)
     stop = np.flatnonzero((mix64(h ^ (before * U(0x9E3779B97F4A7C15))) % U(divisor) == 0) | last_of_row)
-    begin = np.concatenate([[0], stop[:-1] + 1])
+    return np.concatenate([[0], stop[:-1] + 1]), stop
+
+
+def _line_chunks(texts: pa.Array, divisor: int) -> tuple[np.ndarray, ...]:
+    """(buffer, row, first byte, end byte, lines, number in its row) of every chunk."""
+    buf, row, start, end = _lines(texts)
+    begin, stop = _cuts(buf, row, start, end, divisor)
     chunk_row = row[begin]
     number = np.arange(len(begin)) - np.searchsorted(chunk_row, chunk_row)
     return buf, chunk_row, start[begin], end[stop], stop - begin + 1, number
 
 
-def _hash_chunks(divisor: int, min_lines: int):
+def _hash_units(divisor: int, min_lines: int, windows: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            buf, row, first, end, lines, number = _line_chunks(b.column("text"), divisor)
-            use = np.flatnonzero((lines >= min_lines) & (end > first))
+            buf, row, start, end = _lines(b.column("text"))
+            begin, stop = _cuts(buf, row, start, end, divisor)
+            use = (stop - begin + 1 >= min_lines + windows) & (end[stop] > start[begin])
+            begin, stop = begin[use], stop[use]
+            if windows:
+                at = np.arange(max(0, len(row) - min_lines + 1))
+                at = at[(row[at] == row[at + min_lines - 1]) & (end[at + min_lines - 1] > start[at])]
+                begin, stop = np.concatenate([begin, at]), np.concatenate([stop, at + min_lines - 1])
             big = buf.astype(U) + U(1)
-            h1, h2 = (range_hash(big, first[use], end[use], lane).view(np.int64) for lane in (2, 3))
-            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), b.column("doc_id").take(pa.array(row[use])), b.column("doc_key").take(pa.array(row[use])), pa.array(number[use].astype(np.int32))], ["h1", "h2", "doc_id", "doc_key", "number"])
+            h1, h2 = (range_hash(big, start[begin], end[stop], lane).view(np.int64) for lane in (2, 3))
+            mine = row[begin]
+            line = begin - np.searchsorted(row, mine)
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), b.column("doc_id").take(pa.array(mine)), b.column("doc_key").take(pa.array(mine)), pa.array(line.astype(np.int32)), pa.array((stop - begin + 1).astype(np.int32))], ["h1", "h2", "doc_id", "doc_key", "line", "n"])
 
     return run
 
 
-def _take_chunks(divisor: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
-            buf, row, first, end, _, number = _line_chunks(b.column("text"), divisor)
-            at = {(r, k): i for i, (r, k) in enumerate(zip(row.tolist(), number.tolist()))}
-            h1, h2, data = [], [], []
-            for r, wanted in enumerate(b.column("wanted").to_pylist()):
-                for x in wanted:
-                    i = at[r, x["number"]]
-                    h1.append(x["h1"])
-                    h2.append(x["h2"])
-                    data.append(buf[first[i] : end[i]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(data, pa.binary())], ["h1", "h2", "bytes"])
-
-    return run
+def _take_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in pieces(batches, "text"):
+        buf, row, start, end = _lines(b.column("text"))
+        first = np.searchsorted(row, np.arange(b.num_rows))
+        h1, h2, data = [], [], []
+        for r, wanted in enumerate(b.column("wanted").to_pylist()):
+            for x in wanted:
+                i = first[r] + x["line"]
+                h1.append(x["h1"])
+                h2.append(x["h2"])
+                data.append(buf[start[i] : end[i + x["n"] - 1]].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(data, pa.binary())], ["h1", "h2", "bytes"])
 
 
-def _drop_chunks(divisor: int, keep_text: bool):
+def _drop_units(keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             texts, drops = b.column("text").to_pylist(), b.column("drops").to_pylist()
             kept, n_lines, n_removed, sha = [], [], [], []
-            some = [i for i, d in enumerate(drops) if d]
-            chunks = {}
-            if some:
-                buf, row, first, end, lines, number = _line_chunks(b.column("text").take(pa.array(some)), divisor)
-                cut = np.searchsorted(row, np.arange(len(some) + 1))
-                for j, i in enumerate(some):
-                    chunks[i] = [(buf[first[c] : end[c]].tobytes(), int(lines[c])) for c in range(cut[j], cut[j + 1])]
-            for i, (text, drop) in enumerate(zip(texts, drops)):
+            for text, drop in zip(texts, drops):
                 n_lines.append(0 if text is None else text.count("\n") + 1)
-                gone = 0
+                gone: set[int] = set()
                 if drop:
-                    copy = {x["number"]: x["bytes"] for x in drop}
-                    keep = []
-                    for k, (data, n) in enumerate(chunks[i]):
-                        if k in copy and copy[k] == data:
-                            gone += n
-                        else:
-                            keep.append(data)
-                    text = b"\n".join(keep).decode()
-                n_removed.append(gone)
+                    mine = text.encode().split(b"\n")
+                    for x in drop:
+                        at = range(x["line"], x["line"] + x["n"])
+                        if b"\n".join(mine[at.start : at.stop]) == x["bytes"]:
+                            gone.update(at)
+                    text = b"\n".join(m for i, m in enumerate(mine) if i not in gone).decode()
+                n_removed.append(len(gone))
                 sha.append(hashlib.sha256((text or "").encode()).hexdigest())
                 kept.append(text if keep_text else None)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "doc_key": b.column("doc_key"), "n_lines": pa.array(n_lines, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept_text": pa.array(kept, pa.string())})
@@ -111,15 +123,21 @@ def _drop_chunks(divisor: int, keep_text: bool):
     return run
 
 
-def line_dedup(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES, keep_text: bool = True) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, doc_key, n_lines, n_removed, kept_sha256, kept_text (null unless keep_text)."""
+def line_dedup(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES, keep_text: bool = True, windows: bool = False) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, doc_key, n_lines, n_removed, kept_sha256, kept_text (null unless keep_text). windows: look up every run of min_lines lines too."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc_key", row_key("doc_id", "text"))
-    chunks = staged(docs.mapInArrow(_hash_chunks(divisor, min_lines), "h1 long, h2 long, doc_id long, doc_key long, number int"), "chunks")
-    place = F.struct(F.col("doc_id"), F.col("doc_key"), F.col("number"))
-    owners = staged(chunks.groupBy("h1", "h2").agg(F.min(place).alias("own"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", F.col("own.doc_key").alias("own_key"), F.col("own.number").alias("own_number")), "owners")
-
-    wanted = owners.groupBy(F.col("own_key").alias("doc_key")).agg(F.collect_list(F.struct("h1", "h2", F.col("own_number").alias("number"))).alias("wanted"))
-    originals = docs.join(wanted, "doc_key").dropDuplicates(["doc_key"]).select("text", "wanted").mapInArrow(_take_chunks(divisor), "h1 long, h2 long, bytes binary")
-    copies = chunks.join(owners, ["h1", "h2"]).filter("doc_key <> own_key or number <> own_number").select("h1", "h2", "doc_key", "number")
-    drops = copies.join(originals, ["h1", "h2"]).select("doc_key", "number", "bytes").dropDuplicates(["doc_key", "number"]).groupBy("doc_key").agg(F.collect_list(F.struct("number", "bytes")).alias("drops"))
-    return docs.join(drops, "doc_key", "left").select("doc_id", "doc_key", "text", "drops").mapInArrow(_drop_chunks(divisor, keep_text), "doc_id long, doc_key long, n_lines long, n_removed long, kept_sha256 string, kept_text string")
+    units = staged(docs.mapInArrow(_hash_units(divisor, min_lines, windows), "h1 long, h2 long, doc_id long, doc_key long, line int, n int"), "chunks")
+    place = F.struct(F.col("doc_id"), F.col("doc_key"), F.col("line"), F.col("n"))
+    owners = staged(units.groupBy("h1", "h2").agg(F.min(place).alias("own"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("h1", "h2", F.col("own.doc_key").alias("own_key"), F.col("own.line").alias("own_line"), F.col("own.n").alias("own_n")), "owners")
+
+    copies = units.join(owners, ["h1", "h2"]).filter("doc_key <> own_key or line <> own_line").select("h1", "h2", "doc_key", "line", "n").dropDuplicates(["doc_key", "line", "n"])
+    # Chunks of a text do not overlap: the last one that began holds a window or none does.
+    ends = F.max(F.when(F.col("n") > min_lines, F.col("line") + F.col("n"))).over(Window.partitionBy("doc_key").orderBy("line", F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
+    if windows:
+        copies = copies.withColumn("ends", ends).filter((F.col("n") > min_lines) | F.col("ends").isNull() | (F.col("ends") < F.col("line") + F.col("n"))).drop("ends")
+    copies = staged(copies, "copies")
+    needed = owners.join(copies.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
+    wanted = needed.groupBy(F.col("own_key").alias("doc_key")).agg(F.collect_list(F.struct("h1", "h2", F.col("own_line").alias("line"), F.col("own_n").alias("n"))).alias("wanted"))
+    originals = docs.join(wanted, "doc_key").dropDuplicates(["doc_key"]).select("text", "wanted").mapInArrow(_take_units, "h1 long, h2 long, bytes binary")
+    drops = copies.join(originals, ["h1", "h2"]).groupBy("doc_key").agg(F.collect_list(F.struct("line", "n", "bytes")).alias("drops"))
+    return docs.join(drops, "doc_key", "left").select("doc_id", "doc_key", "text", "drops").mapInArrow(_drop_units(keep_text), "doc_id long, doc_key long, n_lines long, n_removed long, kept_sha256 string, kept_text string")

@@ -32,7 +32,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents"), keep_text=False).select("doc_id", "n_lines", "n_removed", "kept_sha256")
+    return line_dedup(table(spark, sf_dir, "documents"), keep_text=False, windows=True).select("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -280,6 +280,31 @@ def test_line_dedup_odd(spark):
     assert lines.line_dedup(docs(spark, ODD)).count() == len(ODD) and lines.line_dedup(docs(spark, [])).count() == 0
 
 
+def brute_line_windows(rows, width):
+    """Lines left when those in any run of width lines that stands earlier too go: plain Python, no chunks."""
+    seen, out = set(), []
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        mine, gone = t.split("\n"), set()
+        for a in range(len(mine) - width + 1):
+            run = tuple(mine[a : a + width])
+            gone |= set(range(a, a + width)) if run in seen else set()
+            seen.add(run)
+        out.append((i, len(gone), "\n".join(m for k, m in enumerate(mine) if k not in gone)))
+    return out
+
+
+def test_line_dedup_leaves_no_repeated_window(spark, real):
+    rng = random.Random(3)
+    rows = [(r["doc_id"], r["text"]) for r in real.select("doc_id", "text").dropDuplicates(["doc_id"]).collect() if r["text"] is not None and r["doc_id"] is not None]
+    base = max(i for i, _ in rows) + 1
+    passages = [[f"passage {k} line {i}" for i in range(2 + k % 5)] for k in range(30)]
+    for k in range(120):
+        rows.append((base + k, "\n".join([f"own {k} a", *passages[k % 30], f"own {k} b", *rng.choice(passages), f"own {k} c", "again\n" * rng.randrange(5)])))
+    got = {r["doc_id"]: (r["n_removed"], r["kept_text"]) for r in lines.line_dedup(docs(spark, rows), windows=True).collect()}
+    assert got == {i: (n, t) for i, n, t in brute_line_windows(rows, 2)}
+    assert sum(n for i, (n, _) in got.items() if i >= base) > 600
+
+
 # ---- 3: SentencePiece ----
 
 
