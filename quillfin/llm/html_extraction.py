@@ -6,13 +6,16 @@ styles and comments are known by their elements or by words of their class, id
 or role. Where a page has an article (else a main element), its blocks are those
 inside the largest.
 
-Pages are range-partitioned by host, so a host of any size is spread over as
-many tasks as its pages need, and taken up there in groups of at most
-GROUP_WORDS words. The word streams of a group are concatenated, and a suffix
-array sorted to depth LONG finds runs of LONG words that stand in several
-distinct pages: boilerplate. A block that such runs cover is removed, of other
-blocks the runs within them, and unique runs stay. In a page with an article the run must be in at least ARTICLE_SHARE
-of the group's distinct pages, as an article may quote others; elsewhere in
+Words are counted by host. A host of at most GROUP_WORDS words is one group: its
+word streams are concatenated, and a suffix array sorted to depth LONG finds runs
+of LONG words that stand in several distinct pages: boilerplate. Larger hosts are
+spread over any number of tasks: each distinct page gives the 128-bit BLAKE2
+digests of its runs, which are counted over the whole host, and those that
+enough pages have are joined back to the pages. A run whose least part of PART
+words too few pages have is not looked up. Both ways give the same result. A
+block that such runs cover is removed, of other blocks the runs within them, and
+unique runs stay. In a page with an article the run must be in at least ARTICLE_SHARE
+of the host's distinct pages, as an article may quote others; elsewhere in
 LEAST_PAGES. Pages of equal words count as one.
 
 Null html gives an empty text; null urls form one host. Repeated rows give a row
@@ -22,6 +25,7 @@ their names.
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import re
 from collections.abc import Iterator
@@ -31,10 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillfin.llm.shared import staged
+from quillfin.llm.words import U, mix64, sliding, split_words
+
 LONG = 8
 LEAST_PAGES = 3
 ARTICLE_SHARE = 0.5
 GROUP_WORDS = 400_000
+PART = 4
+SLOTS = 1 << 26
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*'|"[^">]*\Z|'[^'>]*\Z)*)(?:>|\Z|(?=<))""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -150,6 +159,37 @@ def page_blocks(page: str | None) -> tuple[list[str], bool]:
     return [b[2] for b in blocks], False
 
 
+def _covered(hit: np.ndarray, block_end: np.ndarray, depth: int = LONG) -> np.ndarray:
+    """Of each word: 0 if no run of depth words that starts at a hit covers it, 1 if only runs over blocks do, else 2."""
+
+    def cover(starts: np.ndarray) -> np.ndarray:
+        change = np.zeros(len(block_end) + depth + 1, np.int64)
+        np.add.at(change, starts, 1)
+        np.add.at(change, starts + depth, -1)
+        return (np.cumsum(change)[: len(block_end)] > 0).astype(np.int8)
+
+    return cover(hit) + cover(hit[hit + depth <= block_end[hit]])
+
+
+def _block_ends(page: list[list[str]]) -> np.ndarray:
+    sizes = [len(w) for w in page]
+    return np.repeat(np.cumsum(sizes), sizes) if page else np.zeros(0, np.int64)
+
+
+def _without(blocks: list[str], page: list[list[str]], flags: np.ndarray) -> str:
+    """The page's text: a block covered as a whole goes, of others the runs within."""
+    if not flags.any():
+        return "\n\n".join(blocks)
+    kept, at = [], 0
+    for words in page:
+        mine = flags[at : at + len(words)]
+        at += len(words)
+        rest = [] if mine.all() else [w for w, f in zip(words, mine) if f < 2]
+        if rest:
+            kept.append(" ".join(rest))
+    return "\n\n".join(kept)
+
+
 def repeated_words(streams: list[list[str]], trusted: list[bool], ends: list[np.ndarray] | None = None, depth: int = LONG, least: int = LEAST_PAGES, share: float = ARTICLE_SHARE) -> list[np.ndarray]:
     """For each page's words, which are covered by runs of depth words that stand in several distinct pages: 1 if by a run over blocks alone, 2 if by one within a block. ends: of each word, the end of its block."""
     ids: dict[str, int] = {}
@@ -182,66 +222,134 @@ def repeated_words(streams: list[list[str]], trusted: list[bool], ends: list[np.
     begin = np.cumsum(sizes) - sizes
     block_end = np.concatenate([b + e for b, e in zip(begin, ends)]) if ends is not None else np.repeat(begin + sizes, sizes)
 
-    def cover(starts: np.ndarray) -> np.ndarray:
-        change = np.zeros(n + depth + 1, np.int64)
-        np.add.at(change, starts, 1)
-        np.add.at(change, starts + depth, -1)
-        return (np.cumsum(change)[:n] > 0).astype(np.int8)
-
-    flags = cover(hit) + cover(hit[hit + depth <= block_end[hit]])
+    flags = _covered(hit, block_end, depth)
     return [flags[b : b + k] for b, k in zip(begin, sizes)]
 
 
 def _main_texts(group: list[tuple[list[str], bool]]) -> list[str]:
-    """Blocks of each page: one covered as a whole goes, of others the runs within."""
+    """The texts of a host's pages (blocks, trusted)."""
     split = [[block.split(" ") for block in blocks] for blocks, _ in group]
     streams = [[w for words in page for w in words] for page in split]
-    ends = [np.repeat(np.cumsum([len(w) for w in page]), [len(w) for w in page]) if page else np.zeros(0, np.int64) for page in split]
-    out = []
-    for (blocks, _), page, flags in zip(group, split, repeated_words(streams, [t for _, t in group], ends)):
-        if not flags.any():
-            out.append("\n\n".join(blocks))
-            continue
-        kept, at = [], 0
-        for words in page:
-            mine = flags[at : at + len(words)]
-            at += len(words)
-            rest = [] if mine.all() else [w for w, f in zip(words, mine) if f < 2]
-            if rest:
-                kept.append(" ".join(rest))
-        out.append("\n\n".join(kept))
-    return out
+    ends = [_block_ends(page) for page in split]
+    return [_without(blocks, page, flags) for (blocks, _), page, flags in zip(group, split, repeated_words(streams, [t for _, t in group], ends))]
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    group: list[tuple[list[str], bool]] = []
-    host, words = None, 0
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [page_blocks(page) for page in b.column("html").to_pylist()]
+        blocks = [x for x, _ in found]
+        kind = [hashlib.blake2b(" ".join(x).encode(), digest_size=16).digest() for x in blocks]
+        sizes = [1 + sum(t.count(" ") + 1 for t in x) for x in blocks]
+        columns = [b.column("host"), b.column("page_id"), b.column("url"), pa.array(blocks, pa.list_(pa.string())), pa.array([t for _, t in found], pa.bool_()), pa.array(kind, pa.binary()), pa.array(sizes, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "page_id", "url", "blocks", "trusted", "kind", "size"])
+
 
-    def done() -> pa.RecordBatch:
-        texts = _main_texts(group)
-        out = pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-        held.clear()
-        group.clear()
-        return out
+def _texts(b: pa.RecordBatch | dict, texts: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(b["page_id"], pa.int64()), pa.array(b["url"], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+
+def _whole_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of hosts that stand together, one group a host."""
+    held: dict[str, list] = {"page_id": [], "url": []}
+    group: list[tuple[list[str], bool]] = []
+    host = None
     for b in batches:
-        for h, page_id, url, page in zip(*(b.column(c).to_pylist() for c in ("host", "page_id", "url", "html"))):
-            if held and (h != host or words > GROUP_WORDS):
-                yield done()
-                words = 0
+        for h, page_id, url, blocks, trusted in zip(*(b.column(c).to_pylist() for c in ("host", "page_id", "url", "blocks", "trusted"))):
+            if group and h != host:
+                yield _texts(held, _main_texts(group))
+                held, group = {"page_id": [], "url": []}, []
             host = h
-            found = page_blocks(page)
-            held.append((page_id, url))
-            group.append(found)
-            words += sum(x.count(" ") + 1 for x in found[0])
-    if held:
-        yield done()
+            held["page_id"].append(page_id)
+            held["url"].append(url)
+            group.append((blocks, trusted))
+    if group:
+        yield _texts(held, _main_texts(group))
+
+
+def _digest(words: list[str]) -> bytes:
+    return hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
+
+
+def _run_digests(words: list[str]) -> list[bytes]:
+    """Of each run of LONG words."""
+    return [_digest(words[i : i + LONG]) for i in range(len(words) - LONG + 1)]
+
+
+def _keys(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, key) of each run of LONG words. A run's key is its host's and that of the least hash of the PART-word runs in it: equal runs have equal keys."""
+    w = split_words(pa.array([" ".join(x) for x in b.column("blocks").to_pylist()], pa.large_string()))
+    grams, _ = w.grams(w.hashes(), PART)
+    least = sliding(grams, LONG - PART + 1, np.minimum)
+    at = np.arange(max(0, len(w.row) - LONG + 1))
+    at = at[w.row[at] == w.row[at + LONG - 1]] if len(at) else at
+    row = w.row[at]
+    return row, at - w.first[row], mix64(least[at] ^ mix64(b.column("host_hash").to_numpy().view(U))[row])
+
+
+def _page_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        row, _, key = _keys(b)
+        first = np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]))[: len(key)]
+        pairs = np.unique(np.rec.fromarrays([row[first], key[first]]))
+        yield pa.RecordBatch.from_arrays([pa.array(pairs["f1"].view(np.int64))], ["key"])
+
+
+def _runs(bits_):
+    """(host, kind, run) of runs that may stand in LEAST_PAGES pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bits_.value
+        for b in batches:
+            row, place, key = _keys(b)
+            slot = (key & U(SLOTS - 1)).astype(np.int64)
+            use = np.flatnonzero((bits[slot >> 6] >> (slot & 63).astype(U)) & U(1))
+            words = [" ".join(x).split(" ") for x in b.column("blocks").to_pylist()]
+            data = [_digest(words[r][i : i + LONG]) for r, i in zip(row[use].tolist(), place[use].tolist())]
+            at = pa.array(row[use])
+            yield pa.RecordBatch.from_arrays([b.column("host").take(at), b.column("kind").take(at), pa.array(data, pa.binary())], ["host", "kind", "run"])
+
+    return run
+
+
+def _common_keys(pages: DataFrame) -> np.ndarray:
+    """SLOTS bits: set where a key (by its low bits) stands in LEAST_PAGES pages and more. A filter only: others cannot be boilerplate."""
+    found = pages.mapInArrow(_page_keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_PAGES)
+    slot = F.col("key").bitwiseAND(F.lit(SLOTS - 1))
+    rows = found.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(SLOTS // 64, U)
+    out[rows.column("w").to_numpy()] = rows.column("bits").to_numpy().view(U)
+    return out
+
+
+def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of pages that bring their host's distinct pages (kinds) and their repeated runs with counts."""
+    for b in batches:
+        texts = []
+        for blocks, trusted, kinds, repeated in zip(*(b.column(c).to_pylist() for c in ("blocks", "trusted", "kinds", "repeated"))):
+            need = max(LEAST_PAGES, int(np.ceil(ARTICLE_SHARE * kinds))) if trusted else LEAST_PAGES
+            hot = {x["run"] for x in repeated or [] if x["n"] >= need}
+            page = [block.split(" ") for block in blocks]
+            ends = _block_ends(page)
+            hit = [i for i, d in enumerate(_run_digests([w for words in page for w in words])) if d in hot] if hot else []
+            texts.append(_without(blocks, page, _covered(np.array(hit, np.int64), ends)))
+        yield _texts({"page_id": b.column("page_id"), "url": b.column("url")}, texts)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text, n_chars."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1))
-    rows = rows.withColumn("host", host).withColumn("spot", F.xxhash64("page_id", "url"))
-    return rows.repartitionByRange("host", "spot").sortWithinPartitions("host", "spot").drop("spot").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    parsed = staged(rows.withColumn("host", host).mapInArrow(_parse, "host string, page_id long, url string, blocks array<string>, trusted boolean, kind binary, size long"), "blocks")
+    # One row for GROUP_WORDS words and more: small beside the pages.
+    large = staged(parsed.groupBy("host").agg(F.sum("size").alias("size"), F.count_distinct("kind").alias("kinds")).filter(F.col("size") > GROUP_WORDS).select("host", "kinds"), "large-hosts")
+    result = "page_id long, url string, text string, n_chars long"
+    whole = parsed.join(F.broadcast(large), "host", "left_anti").select("host", "page_id", "url", "blocks", "trusted").repartition("host").sortWithinPartitions("host").mapInArrow(_whole_hosts, result)
+    if large.isEmpty():
+        return whole
+    spread = parsed.join(F.broadcast(large), "host").select("host", "kind", "page_id", "url", "blocks", "trusted", "kinds")
+    keyed = spread.select("host", F.xxhash64("host").alias("host_hash"), "kind", "blocks")
+    bits = pages.sparkSession.sparkContext.broadcast(_common_keys(keyed))
+    runs = staged(keyed.mapInArrow(_runs(bits), "host string, kind binary, run binary").distinct(), "runs")
+    counts = staged(runs.groupBy("host", "run").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_PAGES), "counts")
+    repeated = runs.join(counts, ["host", "run"]).groupBy("host", "kind").agg(F.collect_list(F.struct("run", "n")).alias("repeated"))
+    return whole.unionByName(spread.join(repeated, ["host", "kind"], "left").mapInArrow(_strip, result))

@@ -585,3 +585,19 @@ def test_main_text(spark):
     assert got[50]["text"].startswith("Head&line\n\nFirst bold paré next") and got[51]["text"] == "" and got[52]["n_chars"] == 0 and got[53]["text"] == "alone" and got[None]["text"] == "q"
     assert all(r["n_chars"] == len(r["text"]) for r in got.values()) and rows_html
     assert web.main_text(df.limit(0)).count() == 0
+
+
+def test_main_text_counts_over_the_whole_host(spark, monkeypatch):
+    rng = random.Random(4)
+    menu, quote = " ".join(f"menu{i}" for i in range(12)), " ".join(f"quote{i}" for i in range(11))
+    rows = []
+    for i in range(240):
+        own = " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+        rows.append((i, f"http://big.example/{i}", f"<p>{own}</p><p>{menu if i % 60 == 0 else own[::-1]}</p>" if i % 2 == 0 else f"<article><p>{own} {quote if i % 20 == 1 else ''}</p></article>"))
+    rows += [(1000 + i, "http://big.example/copy", f"<p>copied {menu}</p>") for i in range(9)] + [(2000, "http://big.example/e", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = {r["page_id"]: r["text"] for r in web.main_text(df).collect()}
+    monkeypatch.setattr(web, "GROUP_WORDS", 500)
+    spread = {r["page_id"]: r["text"] for r in web.main_text(df.repartition(7)).collect()}
+    assert whole == spread and len(spread) == len(rows)
+    assert not any(menu in t for t in spread.values()) and sum(quote in t for t in spread.values()) == 12
