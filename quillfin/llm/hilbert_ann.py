@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by inner product over shifted Hilbert curves.
 
 Each of CURVES curves projects the vectors on AXES random orthonormal axes,
-shifts them and orders them by Hilbert key. Spark range-partitions (curve, key);
-within a partition a query is compared with the rows of the window around it,
-WINDOW_SHARE of all rows and WINDOW_ROWS at least, moved inwards at the ends
-of a partition (other curves, being shifted and turned, end elsewhere). The best
-of all curves merge, with exact double-precision products of the original vectors.
+shifts them and orders them by Hilbert key. Each curve is cut into ranges of about
+PARTITION_ROWS rows, however large the table. A query is sent to every range that
+the window around its own range meets: WINDOW_SHARE of all rows and WINDOW_ROWS
+at least, moved inwards at the ends of a curve. A task holds one range at a time,
+its queries pass by in batches, and products are made in tiles of TILE rows. The best
+of all ranges merge, with exact double-precision products of the original vectors.
 
 Copies: of rows with equal vectors only the k + 1 of least id can be among any
 k nearest, ties going to the smaller id, so no more of them enter the curves.
@@ -18,6 +19,7 @@ Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,7 @@ BITS = 7
 WINDOW_SHARE = 0.10
 WINDOW_ROWS = 2_048
 PARTITION_ROWS = 32_768
+TILE = 4_096
 SEED = 20_240_229
 U = np.uint64
 
@@ -75,20 +78,53 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _place(curves: int, dimension: int, scale: float):
-    """Rows (curve, key, vec_id, embedding) of each vector on each curve."""
+def _keys_of(x: np.ndarray, curve: int, scale: float) -> np.ndarray:
+    axes, shift = _axes(curve, x.shape[1])
+    unit = np.clip((x @ axes) / (6 * scale) + 0.5, 0, 1)
+    cell = np.minimum(((unit + 0.3 * shift) / 1.3 * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
+    return hilbert_keys(cell, BITS).astype(np.int64)
+
+
+def _keys(curves: int, scale: float):
+    """Rows (curve, key, vec_id) of each vector on each curve."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b.column("embedding"))
+                for c in range(curves):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(_keys_of(x, c, scale)), b.column("vec_id")], ["curve", "key", "vec_id"])
+
+    return run
+
+
+def ranges_met(sizes: np.ndarray, width: int) -> list[tuple[int, int]]:
+    """Of each range of a curve, the first range and the one after the last that the window around it meets: width rows beside its own, or all."""
+    end = np.cumsum(sizes)
+    start, n = end - sizes, int(end[-1])
+    out = []
+    for s, e in zip(start, end):
+        a = max(0, min(s - width // 2, n - width - (e - s)))
+        b = min(n, max(e + width // 2, width + (e - s)))
+        out.append((int(np.searchsorted(end, a, side="right")), int(np.searchsorted(start, b, side="left"))))
+    return out
+
+
+def _send(cuts, scale: float, every: int):
+    """Rows (target, asked, vec_id, embedding): each vector to its own range of each curve, and each query to all ranges it meets. cuts: of each curve (least key and id of its ranges, targets, ranges met)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _matrix(b.column("embedding"))
-            for c in range(curves):
-                axes, shift = _axes(c, dimension)
-                unit = np.clip((x @ axes) / (6 * scale) + 0.5, 0, 1)
-                cell = np.minimum(((unit + 0.3 * shift) / 1.3 * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
-                key = hilbert_keys(cell, BITS).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(key), b.column("vec_id"), b.column("embedding")], ["curve", "key", "vec_id", "embedding"])
+            x, ids = _matrix(b.column("embedding")), b.column("vec_id").to_numpy()
+            for c, (firsts, targets, met) in cuts.items():
+                own = np.array([bisect_right(firsts, kv) - 1 for kv in zip(_keys_of(x, c, scale).tolist(), ids.tolist())])
+                asked = [(i, t) for i in np.flatnonzero(ids % every == 0).tolist() for t in range(*met[own[i]])]
+                at = pa.array(np.concatenate([np.arange(len(x)), np.array([i for i, _ in asked], np.int64)]))
+                target = np.concatenate([targets[own], targets[np.array([t for _, t in asked], np.int64)]])
+                flag = np.repeat([0, 1], [len(x), len(asked)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(target.astype(np.int32)), pa.array(flag), b.column("vec_id").take(at), b.column("embedding").take(at)], ["target", "asked", "vec_id", "embedding"])
 
     return run
 
@@ -109,26 +145,42 @@ def best(queries: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, ids: np.n
     return query_ids[i[keep]], ids[j[keep]], score[keep]
 
 
-def _search(k: int, every: int, width: int):
+def _best_of_tiles(queries: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """best(), rows taken TILE at a time."""
+    found = [best(queries, rows[a : a + TILE], query_ids, ids[a : a + TILE], k) for a in range(0, len(rows), TILE)]
+    if len(found) == 1:
+        return found[0]
+    q, i, score = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((i, -score, q))
+    q, i, score = q[order], i[order], score[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], i[keep], score[keep]
+
+
+def _search(k: int):
+    """Rows come by target, a range's vectors before its queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = [b for b in batches if b.num_rows]
-        if not whole:
-            return
-        t = pa.Table.from_batches(whole)
-        curve, ids = t.column("curve").to_numpy(), t.column("vec_id").to_numpy()
-        x = _matrix(t.column("embedding").combine_chunks())
-        for c in np.unique(curve):
-            lo, hi = np.searchsorted(curve, c), np.searchsorted(curve, c, side="right")
-            at = lo + np.flatnonzero(ids[lo:hi] % every == 0)
-            step = max(64, width // 8)
-            for block in range(lo, hi, step):
-                q = at[(at >= block) & (at < block + step)]
-                if not len(q):
+        held, target, rows, row_ids = [], None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t, asked = b.column("target").to_numpy(), b.column("asked").to_numpy()
+            turn = np.flatnonzero((np.diff(t) != 0) | (np.diff(asked) != 0)) + 1
+            for lo, hi in zip([0, *turn.tolist()], [*turn.tolist(), len(t)]):
+                part, ids = _matrix(b.column("embedding").slice(lo, hi - lo)), b.column("vec_id").to_numpy()[lo:hi]
+                if t[lo] != target:
+                    held, target, rows = [], t[lo], None
+                if not asked[lo]:
+                    held.append((part, ids))
+                    continue
+                if rows is None and held:
+                    rows, row_ids = np.concatenate([x for x, _ in held]), np.concatenate([i for _, i in held])
+                    held = []
+                if rows is None:
                     continue
-                a = max(lo, min(block - width // 2, hi - width - step))
-                b = min(hi, max(block + step + width // 2, lo + width + step))
-                for part in np.array_split(q, -(-len(q) // 256)):
-                    qi, vi, score = best(x[part], x[a:b], ids[part], ids[a:b], k)
+                for a in range(0, len(ids), 256):
+                    qi, vi, score = _best_of_tiles(part[a : a + 256], rows, ids[a : a + 256], row_ids, k)
                     yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array(vi), pa.array(score)], ["query_id", "vec_id", "score"])
 
     return run
@@ -156,8 +208,16 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
     n, d = facts["n"], facts["d"] or 1
     scale = float(np.sqrt((facts["norm"] or 1.0) / d))
     width = max(window_rows, int(n * window_share))
-    parts = max(curves, -(-n * curves // max(PARTITION_ROWS, 2 * width)))
-    placed = use.mapInArrow(_place(curves, d, scale), "curve int, key long, vec_id long, embedding array<float>")
-    found = placed.repartitionByRange(parts, "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id").mapInArrow(_search(k, every, width), "query_id long, vec_id long, score double")
+    parts = max(curves, -(-n * curves // PARTITION_ROWS))
+    keys = use.mapInArrow(_keys(curves, scale), "curve int, key long, vec_id long").repartitionByRange(parts, "curve", "key", "vec_id")
+    made = keys.groupBy("curve", F.spark_partition_id().alias("part")).agg(F.min(F.struct("key", "vec_id")).alias("first"), F.count(F.lit(1)).alias("n")).collect()
+    cuts, given = {}, 0
+    for c in range(curves):
+        mine = sorted((tuple(r["first"]), r["n"]) for r in made if r["curve"] == c)
+        if mine:
+            cuts[c] = ([f for f, _ in mine], given + np.arange(len(mine)), ranges_met(np.array([m for _, m in mine]), width))
+            given += len(mine)
+    sent = use.mapInArrow(_send(cuts, scale, every), "target int, asked int, vec_id long, embedding array<float>")
+    found = sent.repartition(max(parts, given), "target").sortWithinPartitions("target", "asked").mapInArrow(_search(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -543,6 +543,22 @@ def test_rare_words_are_scored_in_their_class(spark, monkeypatch):
     assert got[1]["score"] < got[0]["score"] or got[0]["n_tokens"] == got[1]["n_tokens"]
 
 
+def test_nearest_in_small_ranges(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(ann, "PARTITION_ROWS", 100)
+    monkeypatch.setattr(ann, "TILE", 32)
+    monkeypatch.setattr(ann, "ranges_met", lambda sizes, width, f=ann.ranges_met: held.append(sizes.max()) or f(sizes, width))
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8).astype(np.float32)]) for i in range(1500)]
+    got = defaultdict(list)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for r in ann.nearest(df, k=10, every=10, curves=4, window_rows=1500).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert dict(got) == brute_nearest(rows, 10, 10)
+    assert held and max(held) < 400  # no task holds a window
+    assert ann.ranges_met(np.array([10, 10, 10, 10]), 12) == [(0, 3), (0, 3), (1, 4), (1, 4)]
+
+
 # ---- 10: HTML ----
 
 PAGE = """<html><head><title>T</title><style>x</style></head><body><header><h1>Site</h1></header><nav><a>Home</a></nav><div class="cookie-notice">We use cookies</div>
