@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
 each result as Parquet in the shared folder and reads it again. All stages but
 the last return the columns of documents (doc_id, text, lang, source, n_chars)
-and keep rows with null texts, which nothing is found in.
+and keep rows with null texts, which nothing is found in. Rows are known by doc_id
+and text together, so rows of one doc_id or of none are judged each on its own.
 """
 
 from __future__ import annotations
@@ -15,42 +16,38 @@ from quillfin.llm.decontamination import contaminated
 from quillfin.llm.line_dedup import line_dedup
 from quillfin.llm.near_dedup import near_duplicates
 from quillfin.llm.sentencepiece_codec import encode_and_check
-from quillfin.llm.shared import row_key, staged, table, tuned
+from quillfin.llm.shared import KEY, staged, table, tuned, with_row_key
 from quillfin.llm.toxicity import toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS)
+def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """The rows of docs whose key (of doc_id and text, never null) is not in bad (KEY)."""
+    return with_row_key(docs, "lang", "source", "n_chars").join(bad.select(*KEY).distinct(), list(KEY), "left_anti").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator predicts as toxic go."""
-    bad = toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select("doc_key").distinct()
-    keyed = _documents(docs).withColumn("doc_key", row_key("doc_id", "text"))
-    return keyed.join(bad, "doc_key", "left_anti").select(*COLUMNS)
+    return _without(docs, toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages of two lines and more go from the texts; a text that nothing is left of stays as an empty one."""
-    kept = line_dedup(docs, keep_text=True, windows=True).filter("n_removed > 0").select("doc_key", "kept_text").dropDuplicates(["doc_key"])
-    keyed = _documents(docs).withColumn("doc_key", row_key("doc_id", "text"))
-    text = F.coalesce("kept_text", "text")
-    return keyed.join(kept, "doc_key", "left").select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")).alias("n_chars"))
+    rows = line_dedup(docs, keep_text=True, windows=True, carry=("lang", "source", "n_chars"))
+    n_chars = F.when(F.col("n_removed") == 0, F.col("carried.n_chars")).otherwise(F.length("kept_text").cast("long"))
+    return rows.select("doc_id", F.col("kept_text").alias("text"), "carried.lang", "carried.source", n_chars.alias("n_chars"))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, the one of least doc_id."""
-    rows = near_duplicates(docs)
-    others = rows.filter("doc_id <> class_id").select("doc_id").distinct()
-    return _documents(docs).join(others, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    """One document of each near-duplicate class stays: the one of least doc_id (nulls last) and, of several rows of that doc_id, of least key. Of rows that repeat a doc_id and text one stays."""
+    kept = _without(docs, near_duplicates(docs).filter("not first"))
+    return with_row_key(kept, "lang", "source", "n_chars").dropDuplicates(list(KEY)).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    bad = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return _documents(docs).join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

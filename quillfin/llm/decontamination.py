@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillfin.llm.shared import KEY, with_row_key
 from quillfin.llm.words import pieces
 
 ERROR_RATE = 0.08
@@ -130,22 +131,24 @@ def _search(items_, error_rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _matcher(items_, error_rate)
         for b in pieces(batches, "text"):
-            doc, item, distance, end = [], [], [], []
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            row, item, distance, end = [], [], [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
                 for k, d, e in m.find(normalise(text)) if text else ():
-                    doc.append(i)
+                    row.append(i)
                     item.append(m.items[k][0])
                     distance.append(d)
                     end.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(distance, pa.int32()), pa.array(end, pa.int64())], ["doc_id", "item_id", "distance", "end"])
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("doc_id", *KEY)), pa.array(item, pa.int64()), pa.array(distance, pa.int32()), pa.array(end, pa.int64())], ["doc_id", *KEY, "item_id", "distance", "end"])
 
     return run
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """A row for each document row and item that occurs in it: doc_id, item_id, distance (edits), end (its end in the normalised text). docs: doc_id, text; benchmark: item_id, text."""
+    """A row for each document row and item that occurs in it: doc_id, the row's key (KEY), item_id, distance (edits), end (its end in the normalised text). docs: doc_id, text; benchmark: item_id, text."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = with_row_key(docs)
+    result = "doc_id long, doc_key long, doc_key2 long, item_id long, distance int, end long"
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-chars // block_chars))
@@ -155,6 +158,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
         held = [(r["item_id"], t) for r in part.collect() if (t := normalise(r["text"]))]
         if not held:
             continue
-        found = docs.mapInArrow(_search(spark.sparkContext.broadcast(held), error_rate), "doc_id long, item_id long, distance int, end long")
+        found = docs.mapInArrow(_search(spark.sparkContext.broadcast(held), error_rate), result)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, distance int, end long")
+    return out if out is not None else spark.createDataFrame([], result)

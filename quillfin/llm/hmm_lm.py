@@ -52,7 +52,7 @@ SEGMENT = 64
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches, "text"):
-        h = split_words(b.column("text"), lower=True).hashes(1).view(np.int64)
+        h = split_words(b.column("text"), lower=True).hashes().view(np.int64)
         keys, n = np.unique(h, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, END)), pa.array(np.append(n, b.num_rows).astype(np.int64))], ["h", "c"])
 
@@ -159,7 +159,7 @@ def _code(vocabulary_, held_out: int):
         base = v.base(v.counts)
         for b in pieces(batches, "text"):
             w = split_words(b.column("text"), lower=True)
-            h = w.hashes(1).view(np.int64)
+            h = w.hashes().view(np.int64)
             at = v.find(h)
             g = np.mod(h, RARE)
             cls = np.where((at >= 0) & (at < v.own), at, v.own + g).astype(np.int16)

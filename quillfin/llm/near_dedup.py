@@ -43,8 +43,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillfin.llm.components import merged
-from quillfin.llm.shared import SHINGLE_WORDS, SIMILARITY, discard, row_key, staged
-from quillfin.llm.words import U, Words, mix64, pieces, range_hash, split_words
+from quillfin.llm.shared import KEY, SHINGLE_WORDS, SIMILARITY, discard, staged, with_row_key
+from quillfin.llm.words import U, Words, mix64, pieces, split_words
 
 REGISTERS = 128
 BAND_ROWS = 4
@@ -58,23 +58,22 @@ LEAST_AGREEMENT = 0.55
 
 
 def _shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shingle hash, weight) of each row's distinct shingles, in order, and a two-word hash of each row's word sequence."""
-    h = w.hashes(1)
+    """(row, shingle hash, weight) of each row's distinct shingles, in order, and the digest of each row's word sequence."""
+    h = w.hashes()
+    whole = w.sequence_digests(w.first[:-1], w.first[1:])
     g, inside = w.grams(h, k)
     rows, vals = w.row[: len(g)][inside], g[inside]
     n_words = np.diff(w.first)
     short = np.flatnonzero((n_words > 0) & (n_words < k))
     if len(short):
         rows = np.concatenate([rows, short])
-        vals = np.concatenate([vals, range_hash(h, w.first[short], w.first[short + 1], 2)])
+        vals = np.concatenate([vals, whole[short, 0]])
     order = np.lexsort((vals, rows))
     rows, vals = rows[order], vals[order]
     new = np.ones(len(rows), bool)
     new[1:] = (rows[1:] != rows[:-1]) | (vals[1:] != vals[:-1])
     at = np.flatnonzero(new)
     weight = np.diff(np.append(at, len(rows)))
-    h2 = w.hashes(3)
-    whole = np.stack([range_hash(h, w.first[:-1], w.first[1:], 2), range_hash(h2, w.first[:-1], w.first[1:], 4)], axis=1)
     return rows[at], vals[at], weight, whole
 
 
@@ -119,7 +118,7 @@ def _signatures(k: int, m: int):
             empty = np.diff(w.first) == 0
             # 32 bits of a shingle's hash tell registers apart well enough; verification looks at all 64.
             sketch = pa.array([None if e else s.tobytes() for e, s in zip(empty.tolist(), sig.astype(np.uint32))], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("doc_key"), pa.array(np.ascontiguousarray(whole[:, 0]).view(np.int64)), pa.array(np.ascontiguousarray(whole[:, 1]).view(np.int64)), sketch], ["doc_id", "doc_key", "t1", "t2", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(c) for c in KEY), pa.array(np.ascontiguousarray(whole[:, 0]).view(np.int64)), pa.array(np.ascontiguousarray(whole[:, 1]).view(np.int64)), sketch], ["doc_id", *KEY, "t1", "t2", "sketch"])
 
     return run
 
@@ -311,20 +310,30 @@ def _mixed(placed: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, k: int = SHINGLE_WORDS, m: int = REGISTERS, r: int = BAND_ROWS) -> DataFrame:
-    """Per row of docs (doc_id long, text string): doc_id, class_id (least doc_id of the class), class_size, n_links (verified links of its text's node that were needed)."""
+    """Per row of docs (doc_id, text): doc_id, the row's key (KEY), class_id (least doc_id of the class), class_size, n_links (verified links of its text's node that were needed), first (whether the row is its class's first by doc_id, nulls last, and key; identical rows are alike in this)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc_key", row_key("doc_id", "text"))
-    rows = staged(docs.mapInArrow(_signatures(k, m), "doc_id long, doc_key long, t1 long, t2 long, sketch binary"), "sketches")
+    docs = with_row_key(docs)
+    rows = staged(docs.mapInArrow(_signatures(k, m), "doc_id long, doc_key long, doc_key2 long, t1 long, t2 long, sketch binary"), "sketches")
     full = rows.filter("sketch is not null")
-    # Texts of equal words: one node, named by a hash of its 128-bit key; t1 and t2 are independent, so a clash of names is checked by both.
-    node = F.xxhash64("t1", "t2")
-    nodes = staged(full.groupBy(node.alias("node")).agg(F.min("doc_id").alias("least_id"), F.min("doc_key").alias("doc_key"), F.min("sketch").alias("sketch")), "nodes")
+    # Texts of equal words are one node, named by half of the digest of their words.
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *KEY)
+
+    def made(name):
+        return staged(full.groupBy(name.alias("node")).agg(F.min(place).alias("head"), F.min("sketch").alias("sketch"), F.min("t2").alias("lo"), F.max("t2").alias("hi")), "nodes")
+
+    node = F.col("t1")
+    nodes = made(node)
+    # Different words under one name: none among a billion texts as a rule, about ten among 2e10. They get another name.
+    clash = [r["node"] for r in nodes.filter("lo <> hi").select("node").collect()]
+    if clash:
+        node = F.when(F.col("t1").isin(clash), F.xxhash64("t2", "t1")).otherwise(F.col("t1"))
+        nodes = made(node)
     buckets = nodes.select("node", "sketch").mapInArrow(_bands(m, r), "bucket long, node long")
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = staged(buckets.join(shared.select("bucket", "centre"), "bucket"), "buckets")
-    wanted = nodes.select("node", "doc_key").join(members.select("node").distinct(), "node", "left_semi")
-    # Rows that share a doc_key are identical, so any of their texts will do.
-    texts = docs.select("doc_key", "text").join(wanted, "doc_key").select("node", "text").dropDuplicates(["node"])
+    wanted = nodes.select("node", *(f"head.{c}" for c in KEY)).join(members.select("node").distinct(), "node", "left_semi")
+    # Rows that share a key are identical, so any of their texts will do.
+    texts = docs.select(*KEY, "text").join(wanted, list(KEY)).select("node", "text").dropDuplicates(["node"])
     sets = staged(texts.mapInArrow(_sets(k), "node long, vals binary, weights binary, total long, kinds long, most long"), "sets")
     verify = _Verifier(nodes, sets, threshold)
 
@@ -364,11 +373,12 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, k: int = SHI
 
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = nodes.select("node", "least_id").join(classes, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
-    heads = named.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    info = named.join(heads, "root").join(degree, "node", "left").select("node", "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = full.select("doc_id", node.alias("node")).join(info, "node").select("doc_id", "class_id", "n_links", "root")
+    named = nodes.select("node", "head").join(classes, "node", "left").select("node", "head", F.coalesce("root", "node").alias("root"))
+    heads = named.groupBy("root").agg(F.min("head").alias("class_head"))
+    info = named.select("node", "root").join(heads, "root").join(degree, "node", "left").select("node", "root", "class_head", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = full.select("doc_id", *KEY, node.alias("node")).join(info, "node")
     sizes = out.groupBy("root").agg(F.count(F.lit(1)).alias("class_size"))
-    out = out.join(sizes, "root").select("doc_id", "class_id", "class_size", "n_links")
-    alone = rows.filter("sketch is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
+    first = (F.col("doc_key") == F.col("class_head.doc_key")) & (F.col("doc_key2") == F.col("class_head.doc_key2"))
+    out = out.join(sizes, "root").select("doc_id", *KEY, F.col("class_head.doc_id").alias("class_id"), "class_size", "n_links", first.alias("first"))
+    alone = rows.filter("sketch is null").select("doc_id", *KEY, F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
     return out.unionByName(alone)

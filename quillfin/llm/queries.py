@@ -14,13 +14,13 @@ from quillfin.llm.near_dedup import near_duplicates
 from quillfin.llm.oracles import ORACLES as ORACLES
 from quillfin.llm.secret_scan import BASE, listed, secret_spans
 from quillfin.llm.sentencepiece_codec import encode_and_check
-from quillfin.llm.shared import table
+from quillfin.llm.shared import KEY, table
 from quillfin.llm.substring_dedup import substring_dedup
 from quillfin.llm.toxicity import toxicity
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop(*KEY)
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("doc_key")
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop(*KEY)
 
 
 def op7_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillfin.llm.shared import row_key, staged
+from quillfin.llm.shared import KEY, staged, with_row_key
 
 
 @dataclass(frozen=True)
@@ -51,6 +51,8 @@ RULES = (
 )
 BASE = 3
 _MOST_STRINGS = 16
+#: Matches whose spans are gathered in one list before lists are joined.
+GROUP = 128
 
 
 # ---- trigram queries: None (anything), a trigram, ("and", parts) or ("or", parts) ----
@@ -151,17 +153,17 @@ def _holds(query, have: Column) -> Column:
 
 
 def postings(docs: DataFrame, wanted: set[str]) -> DataFrame:
-    """(trigram, doc_key) of the wanted trigrams. docs: doc_key, text."""
-    low = docs.select("doc_key", F.lower("text").alias("low"))
+    """(trigram, KEY) of the wanted trigrams. docs: KEY, text."""
+    low = docs.select(*KEY, F.lower("text").alias("low"))
     have = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in sorted(wanted)]))
-    return low.select("doc_key", F.explode(have).alias("trigram"))
+    return low.select(*KEY, F.explode(have).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: dict[str, object]) -> DataFrame:
-    """(doc_key, kinds): the rules whose queries a row's postings satisfy."""
-    rows = index.groupBy("doc_key").agg(F.collect_set("trigram").alias("have"))
+    """(KEY, kinds): the rules whose queries a row's postings satisfy."""
+    rows = index.groupBy(*KEY).agg(F.collect_set("trigram").alias("have"))
     kinds = F.array_compact(F.array(*[F.when(_holds(q, F.col("have")), F.lit(k)) for k, q in rules.items()]))
-    return rows.select("doc_key", kinds.alias("kinds")).filter(F.size("kinds") > 0)
+    return rows.select(*KEY, kinds.alias("kinds")).filter(F.size("kinds") > 0)
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
@@ -178,16 +180,26 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
         ok = F.length(F.regexp_extract(x["m"], rule.pattern, rule.group)) >= rule.least_chars
         return F.struct((start + x["size"]).alias("at"), F.when(ok, F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("spans")), step, lambda acc: acc["spans"])
+    # A list that grows is copied at each step, so matches go GROUP at a time: a group's list starts empty, and groups are put together once.
+    none = F.array().cast(f"array<{span}>")
+
+    def group(done, part):
+        at = F.coalesce(F.try_element_at(done, F.lit(-1))["at"], F.lit(0))
+        return F.concat(done, F.array(F.aggregate(part, F.struct(at.alias("at"), none.alias("spans")), step)))
+
+    parts = lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0)), F.lit(GROUP)), lambda i: F.slice(s, i + 1, F.lit(GROUP)))
+    # The one-element array binds the matches, which the groups would find anew otherwise.
+    bound = F.element_at(F.transform(F.array(steps), parts), 1)
+    return F.aggregate(bound, F.array().cast(f"array<struct<at:int,spans:array<{span}>>>"), group, lambda done: F.flatten(F.transform(done, lambda d: d["spans"])))
 
 
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, spans array<struct<start, order, kind, end>> in order of start, then rule."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("doc_key", row_key("doc_id", "text"))
+    docs = with_row_key(docs.withColumn("text", F.coalesce("text", F.lit(""))))
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not None}
     index = staged(postings(docs, set().union(*map(trigrams, indexed.values()))), "postings")
-    found = docs.join(candidates(index, indexed), "doc_key", "left")
+    found = docs.join(candidates(index, indexed), list(KEY), "left")
     none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
     parts = []
     for i, r in enumerate(rules):

@@ -18,10 +18,12 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a temporary folder of its own, and a cluster an error, as its machines share none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="quillfin-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-quillfin-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -62,9 +64,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def row_key(*cols: str) -> Column:
-    """A 64-bit key of a row's own values; identical rows share it, which every user of the key allows for."""
-    return F.xxhash64(*cols)
+#: The columns of a row's key.
+KEY = ("doc_key", "doc_key2")
+
+
+def with_row_key(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, text, the carried columns and a row's key of two non-null longs: a hash of doc_id and text, and doc_id itself (of rows without id a second hash of the text). Identical rows share it, which every user of the key allows for."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    return docs.withColumn("doc_key", F.xxhash64("doc_id", "text")).withColumn("doc_key2", F.coalesce("doc_id", F.xxhash64(F.lit("row without id"), "text", F.reverse("text"))))
 
 
 def crc_fold(doc_id: str = "doc_id") -> Column:

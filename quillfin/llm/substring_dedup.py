@@ -9,9 +9,10 @@ twice in the batch, are matches; runs are then compacted into one sorted run.
 
 Only windows with a matched fingerprint can repeat. Neighbouring windows with
 one fingerprint form a segment. Segments of equal fingerprint and equal words
-(two 64-bit hashes) settle all their windows at once; where a segment's words
-stand alone, each of its windows is compared with those of every other kind of
-segment of the fingerprint by two independent 64-bit hashes of its 35 words.
+settle all their windows at once; where a segment's words stand alone, each of
+its windows is compared with those of every other kind of segment of the
+fingerprint. Words are compared by 128-bit BLAKE2b digests of their bytes, in
+which no two different texts are known to agree.
 The words that a repeated window covers are removed. Windows are judged on the
 input: every occurrence goes, in whichever batch.
 
@@ -30,24 +31,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillfin.llm.shared import discard, row_key, staged
-from quillfin.llm.words import U, Words, pieces, range_hash, sliding, split_words
+from quillfin.llm.shared import KEY, discard, staged, with_row_key
+from quillfin.llm.words import U, Words, pieces, ranges, sliding, split_words
 
 WIDTH = 35
 GRAM = 8
 BATCHES = 3
 MAX_RUNS = 2
+CONTEXT = ("context", "context2")
 
 
-def _window_fps(w: Words, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, gram hashes, fingerprint of each window, window lies in one row)."""
-    h = w.hashes(1)
-    g, _ = w.grams(h, gram)
+def _window_fps(w: Words, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hashes, fingerprint of each window, window lies in one row)."""
+    g, _ = w.grams(w.hashes(), gram)
     g = g | U(1)
     fp = sliding(g, width - gram + 1, np.minimum)
     n = len(fp)
     inside = w.row[:n] == w.row[width - 1 : width - 1 + n] if n else np.zeros(0, bool)
-    return h, g, fp, inside
+    return g, fp, inside
 
 
 def _spread(w: Words, g: np.ndarray, fp: np.ndarray, inside: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
@@ -76,25 +77,25 @@ def _segments(width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             w = split_words(b.column("text"))
-            h, g, fp, inside = _window_fps(w, width, gram)
+            g, fp, inside = _window_fps(w, width, gram)
             if not len(fp):
                 continue
             first, size, count = _spread(w, g, fp, inside, width - gram + 1)
-            context = range_hash(h, first, first + size + width - 1, 3)
+            context = w.sequence_digests(first, first + size + width - 1).view(np.int64)
             rows = w.row[first]
-            keys = b.column("doc_key").to_numpy(zero_copy_only=False)[rows]
             at = first - w.first[rows]
+            keys = [b.column(c).take(pa.array(rows)) for c in KEY]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(fp[first].view(np.int64)), pa.array(context.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(np.minimum(count, 2).astype(np.int8))],
-                ["doc_key", "fp", "context", "at", "size", "n"],
+                [*keys, pa.array(fp[first].view(np.int64)), pa.array(context[:, 0].copy()), pa.array(context[:, 1].copy()), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(np.minimum(count, 2).astype(np.int8))],
+                [*KEY, "fp", *CONTEXT, "at", "size", "n"],
             )
 
     return run
 
 
 def segments(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """The windows of docs (doc_key, text), by segments: fp, context (hash of all the segment's words), at (first window), size (windows), n (occurrences of the gram; 2: more than one)."""
-    return docs.select("doc_key", "text").mapInArrow(_segments(width, gram), "doc_key long, fp long, context long, at int, size int, n byte")
+    """The windows of docs (KEY, text), by segments: fp, CONTEXT (digest of all the segment's words), at (first window), size (windows), n (occurrences of the gram; 2: more than one)."""
+    return docs.select(*KEY, "text").mapInArrow(_segments(width, gram), "doc_key long, doc_key2 long, fp long, context long, context2 long, at int, size int, n byte")
 
 
 class FingerprintIndex:
@@ -136,16 +137,14 @@ def _windows(width: int):
             flat = work.flatten()
             doc = np.repeat(np.arange(b.num_rows), np.diff(work.offsets.to_numpy()))
             at, size, known = (flat.field(c).to_numpy(zero_copy_only=False) for c in range(3))
-            of = np.repeat(np.arange(len(at)), size)
-            start = (w.first[doc] + at)[of] + np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-            h, h2 = w.hashes(1), w.hashes(3)
-            d1, d2 = range_hash(h, start, start + width, 2), range_hash(h2, start, start + width, 4)
-            keys = b.column("doc_key").to_numpy(zero_copy_only=False)
+            begin = w.first[doc] + at
+            start, of = ranges(begin, begin + size)
+            d = w.sequence_digests(start, start + width).view(np.int64)
             # A window of a repeated context counts twice and needs no answer; of the others, the row and place come along.
-            known = known[of].astype(bool)
+            mine = pa.array(doc[of], mask=known[of].astype(bool))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(keys[doc[of]], mask=known), pa.array((start - w.first[doc[of]]).astype(np.int32))],
-                ["d1", "d2", "doc_key", "at"],
+                [pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), *(b.column(c).take(mine) for c in KEY), pa.array((start - w.first[doc[of]]).astype(np.int32))],
+                ["d1", "d2", *KEY, "at"],
             )
 
     return run
@@ -176,7 +175,7 @@ def _remove(width: int, keep_text: bool):
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, keep_text: bool = True) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256, kept_text (null unless keep_text). docs: doc_id long, text string."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc_key", row_key("doc_id", "text"))
+    docs = with_row_key(docs)
     found_in = staged(segments(docs, width, gram), "segments")
     index = FingerprintIndex()
     found = None
@@ -186,14 +185,14 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batch
     matched = staged(found_in.join(found.distinct(), "fp", "left_semi"), "matched")
 
     # Segments of equal words are alike in all windows: met twice, all their windows repeat.
-    contexts = matched.groupBy("fp", "context").agg(F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.min(F.struct("doc_key", "at", "size")).alias("one"))
+    contexts = matched.groupBy("fp", *CONTEXT).agg(F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.min(F.struct(*KEY, "at", "size")).alias("one"))
     contexts = staged(contexts, "contexts")
-    whole = matched.join(contexts.filter("copies > 1").select("fp", "context"), ["fp", "context"], "left_semi").select("doc_key", "at", "size")
+    whole = matched.join(contexts.filter("copies > 1").select("fp", *CONTEXT), ["fp", *CONTEXT], "left_semi").select(*KEY, "at", "size")
     # Where a context stands alone, its windows meet those of every other context of the fingerprint, one copy of each.
     unsure = contexts.groupBy("fp").agg(F.min("copies").alias("least"), F.count(F.lit(1)).alias("kinds"), F.max("n").alias("n")).filter("least = 1 and (kinds > 1 or n > 1)").select("fp")
-    work = contexts.join(unsure, "fp", "left_semi").select("one.doc_key", F.struct("one.at", "one.size", (F.col("copies") > 1).cast("int").alias("known")).alias("x")).groupBy("doc_key").agg(F.collect_list("x").alias("work"))
-    windows = staged(docs.join(work, "doc_key").dropDuplicates(["doc_key"]).select("doc_key", "text", "work").mapInArrow(_windows(width), "d1 long, d2 long, doc_key long, at int"), "windows")
+    work = contexts.join(unsure, "fp", "left_semi").select(*(f"one.{c}" for c in KEY), F.struct("one.at", "one.size", (F.col("copies") > 1).cast("int").alias("known")).alias("x")).groupBy(*KEY).agg(F.collect_list("x").alias("work"))
+    windows = staged(docs.join(work, list(KEY)).dropDuplicates(list(KEY)).select(*KEY, "text", "work").mapInArrow(_windows(width), "d1 long, d2 long, doc_key long, doc_key2 long, at int"), "windows")
     repeated = windows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("doc_key").isNull()).alias("known")).filter("n > 1 or known > 0").select("d1", "d2")
-    single = windows.filter("doc_key is not null").join(repeated, ["d1", "d2"], "left_semi").select("doc_key", "at", F.lit(1).alias("size"))
-    spots = whole.unionByName(single).groupBy("doc_key").agg(F.collect_list(F.struct("at", "size")).alias("spans"))
-    return docs.join(spots, "doc_key", "left").select("doc_id", "text", "spans").mapInArrow(_remove(width, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    single = windows.filter("doc_key is not null").join(repeated, ["d1", "d2"], "left_semi").select(*KEY, "at", F.lit(1).alias("size"))
+    spots = whole.unionByName(single).groupBy(*KEY).agg(F.collect_list(F.struct("at", "size")).alias("spans"))
+    return docs.join(spots, list(KEY), "left").select("doc_id", "text", "spans").mapInArrow(_remove(width, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

@@ -1,11 +1,13 @@
 """Vectorised word and shingle hashing over Arrow string columns, for use inside tasks.
 
-The texts of a batch are looked at as one byte array. A polynomial prefix sum
-modulo 2**64 gives the hash of any byte range or word range in constant time.
+The texts of a batch are looked at as one byte array. A word's hash is half of a
+BLAKE2b digest of its bytes; a run of words is hashed by mixing (`run_hash`) to
+find what may be equal, and by a 128-bit BLAKE2b digest of its bytes to decide.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,8 +20,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASES = {1: 0x9E3779B97F4A7C15 | 1, 2: 0xC2B2AE3D27D4EB4F | 1, 3: 0xD6E8FEB86659FD93 | 1, 4: 0xA0761D6478BD642F | 1}
-_powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -31,27 +31,41 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(lane: int, n: int, inverse: bool = False) -> np.ndarray:
-    """The first n powers of a lane's odd base, or of the base's inverse modulo 2**64."""
-    have = _powers.get((lane, inverse))
-    if have is None or len(have) < n:
-        base = _BASES[lane] if not inverse else pow(_BASES[lane], -1, 1 << 64)
-        size = max(n, 1 << 16)
-        p = np.full(size, base, U)
-        p[0] = 1
-        have = np.multiply.accumulate(p)
-        if size <= 1 << 22:
-            _powers[lane, inverse] = have
-    return have[:n]
+def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The integers of all ranges one after the other, and which range each is of."""
+    size = ends - starts
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) + (starts - np.cumsum(size) + size)[of], of
 
 
-def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int) -> np.ndarray:
-    """Hash of values[s:e] for each range; equal sequences hash alike wherever they stand."""
-    n = len(values) + 1
-    prefix = np.zeros(n, U)
-    np.cumsum(values * powers(lane, n - 1), out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * powers(lane, n, True)[starts]
-    return mix64(h ^ ((ends - starts).astype(U) * U(0x9FB21C651E98DF25)))
+def digests(buf: np.ndarray, inside: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(n, 2) 64-bit halves of the BLAKE2b digests of n consecutive byte strings: those bytes of buf that are inside. Each distinct string is hashed once."""
+    data = np.ascontiguousarray(buf[inside])
+    offsets = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    coded = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    each = b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in coded.dictionary.to_pylist()])
+    return np.frombuffer(each, U).reshape(-1, 2)[coded.indices.to_numpy()]
+
+
+def slice_digests(data: bytes | memoryview, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(n, 2) halves of the BLAKE2b digests of byte ranges that may overlap."""
+    view = memoryview(data)
+    each = b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist())])
+    return np.frombuffer(each, U).reshape(-1, 2)
+
+
+def run_hash(values: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of k values, by doubling. Every level mixes its two halves, so no pattern of equal values cancels out."""
+    n = len(values) - k + 1
+    if n <= 0:
+        return values[:0]
+    join = lambda a, b, span: mix64(mix64(a + U(0x9E3779B97F4A7C15 * span & 0xFFFFFFFFFFFFFFFF)) + b)
+    have, span = values, 1
+    while span * 2 <= k:
+        have = join(have[: len(have) - span], have[span:], span)
+        span *= 2
+    return have[:n] if span == k else join(have[:n], have[k - span : k - span + n], k)
 
 
 @dataclass
@@ -64,16 +78,36 @@ class Words:
     row: np.ndarray
     first: np.ndarray
 
-    def hashes(self, lane: int = 1) -> np.ndarray:
-        return range_hash(self.buf.astype(U) + U(1), self.start, self.end, lane)
+    _digests: np.ndarray | None = None
+    _joined: tuple | None = None
+
+    def hashes(self, half: int = 0) -> np.ndarray:
+        """Of each word, one 64-bit half of its digest."""
+        if self._digests is None:
+            self._digests = digests(self.buf, ~_SPACE[self.buf], self.end - self.start)
+        return np.ascontiguousarray(self._digests[:, half])
 
-    def grams(self, word_hashes: np.ndarray, k: int, lane: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    def grams(self, word_hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each run of k words that starts at word i, and whether that run lies in one row."""
         n = len(word_hashes)
         if n < k:
             return np.zeros(0, U), np.zeros(0, bool)
-        at = np.arange(n - k + 1)
-        return range_hash(word_hashes, at, at + k, lane), self.row[: n - k + 1] == self.row[k - 1 :]
+        return run_hash(word_hashes, k), self.row[: n - k + 1] == self.row[k - 1 :]
+
+    def sequence_digests(self, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """(n, 2) halves of the BLAKE2b digests of the words first up to after, with one space between."""
+        if self._joined is None:
+            size = self.end - self.start
+            spot = np.cumsum(size + 1) - size - 1
+            data = np.full(int(spot[-1] + size[-1] + 1) if len(size) else 0, 0x20, np.uint8)
+            at, of = ranges(self.start, self.end)
+            data[at - self.start[of] + spot[of]] = self.buf[at]
+            self._joined = data, spot, spot + size
+        data, spot, stop = self._joined
+        full = after > first
+        out = np.zeros((len(first), 2), U)
+        out[full] = slice_digests(data, spot[first[full]], stop[after[full] - 1])
+        return out
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> Words:

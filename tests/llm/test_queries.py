@@ -55,3 +55,17 @@ def test_pipeline_odd_rows(spark, tmp_path):
     assert sorted((r["doc_id"] for r in out), key=repr) == [1, 2, 3, None]
     d.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_knows_rows_by_id_and_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    item = " ".join(f"question{i}" for i in range(20))
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, item), (6, f"{item} and more"), (6, "clean words")]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = corpus_pipeline.dedup_near(spark, d, SF)
+    assert sorted(((r["doc_id"], r["text"]) for r in near.collect() if r["text"] in (a, b)), key=repr) == [(1, a), (5, b)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    from quillfin.llm.decontamination import contaminated
+
+    left = corpus_pipeline._without(d, contaminated(d, bench))
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([(1, a), (5, a), (5, b), (None, a), (6, "clean words")], key=repr)
