@@ -132,19 +132,25 @@ def direction(polarity: Column) -> Column:
     return F.when(polarity > 0.1, "UP").when(polarity < -0.1, "DOWN").otherwise("STABLE")
 
 
+#: What file names hold beside the company. Taken out one after the other: years, filing numbers, form names, days and months, a number at the end.
+FILE_NOISE = (r"\b(19|20)\d{2}\b", r"\b\d{6,}\b", r"(?i)\b(10[-\s]?[kq]|8[-\s]?k|annual|quarterly|report)\b", r"\b\d{1,2}\b", r"\s+\d+\s*$")
+#: Forms as file names have them.
+FILE_FORMS = ((r"(?i)\b10\s?k\b", "10-K"), (r"(?i)\b10\s?q\b", "10-Q"), (r"(?i)\b8\s?k\b", "8-K"))
+
+
 def company_of_file(name: Column) -> Column:
-    """Company from a file name: extension, separators, years, accession numbers, form names and loose digits removed; the bare name if nothing is left."""
+    """Company from a file name: extension, separators and noise removed; the bare name if nothing is left."""
     bare = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
-    s = F.regexp_replace(bare, r"[-_.]", " ")
-    for p in (r"\b(19|20)\d{2}\b", r"\b\d{6,}\b", r"(?i)\b(10[-\s]?[kq]|8[-\s]?k|annual|quarterly|report)\b", r"\b\d{1,2}\b", r"\s+\d+\s*$"):
-        s = F.regexp_replace(s, p, "")
-    s = F.trim(F.regexp_replace(s, r"\s+", " "))
-    return F.lower(F.when(s == "", bare).otherwise(s))
+    left = F.regexp_replace(bare, r"[-_.]", " ")
+    for noise in FILE_NOISE:
+        left = F.regexp_replace(left, noise, "")
+    left = F.trim(F.regexp_replace(left, r"\s+", " "))
+    return F.lower(F.when(left == "", bare).otherwise(left))
 
 
 def filing_type_of_file(name: Column) -> Column:
-    s = F.regexp_replace(name, r"[-_.]", " ")
-    return F.when(s.rlike(r"(?i)\b10\s?k\b"), "10-K").when(s.rlike(r"(?i)\b10\s?q\b"), "10-Q").when(s.rlike(r"(?i)\b8\s?k\b"), "8-K")
+    spaced = F.regexp_replace(name, r"[-_.]", " ")
+    return F.coalesce(*[F.when(spaced.rlike(p), form) for p, form in FILE_FORMS])
 
 
 def year_of_file(name: Column, this_year: int) -> Column:
@@ -156,19 +162,33 @@ def year_of_file(name: Column, this_year: int) -> Column:
     return F.coalesce(ok(free), first, F.lit(this_year))
 
 
+#: A date in words, the forms of a cover page, and what stands before the end of the period, first the surest.
 _DATE = r"([A-Za-z]+\s+\d{1,2},?\s+\d{4})"
+COVER_FORMS = ((r"(?i)\bform\s*10[-\s]?k\b", "10-K"), (r"(?i)\bform\s*10[-\s]?q\b", "10-Q"), (r"(?i)\bform\s*8[-\s]?k\b", "8-K"))
+COVER_PERIODS = (
+    r"for\s+the\s+fiscal\s+year\s+ended\s+", r"for\s+the\s+year\s+ended\s+", r"for\s+the\s+quarterly\s+period\s+ended\s+",
+    r"date\s+of\s+report[^:]*:\s*", r"for\s+the\s+transition\s+period\s+from[\s\S]*?to\s+",
+)
 
 
 def cover_page(text: Column) -> Column:
     """struct(filing_type, period_end_date) from a filing's first pages."""
-    form = F.when(text.rlike(r"(?i)\bform\s*10[-\s]?k\b"), "10-K").when(text.rlike(r"(?i)\bform\s*10[-\s]?q\b"), "10-Q").when(text.rlike(r"(?i)\bform\s*8[-\s]?k\b"), "8-K")
-    patterns = (r"for\s+the\s+fiscal\s+year\s+ended\s+", r"for\s+the\s+year\s+ended\s+", r"for\s+the\s+quarterly\s+period\s+ended\s+", r"date\s+of\s+report[^:]*:\s*", r"for\s+the\s+transition\s+period\s+from[\s\S]*?to\s+")
-    found = F.coalesce(*[F.nullif(F.regexp_extract(text, "(?i)" + p + _DATE, 1), F.lit("")) for p in patterns])
+    form = F.coalesce(*[F.when(text.rlike(p), name) for p, name in COVER_FORMS])
+    found = F.coalesce(*[F.nullif(F.regexp_extract(text, "(?i)" + p + _DATE, 1), F.lit("")) for p in COVER_PERIODS])
     clean = F.initcap(F.regexp_replace(F.replace(found, F.lit(",")), r"\s+", " "))
     date = F.coalesce(F.try_to_date(clean, "MMMM d yyyy"), F.try_to_date(clean, "MMM d yyyy"))
     return F.struct(form.alias("filing_type"), date.cast("string").alias("period_end_date"))
 
 
+def filing_metadata(given: Column, cover: Column, name: Column, default: str = "10-K") -> Column:
+    """struct(filing_type, period_end_date, year) of a filing: what the caller gives (struct of the same fields, any null), else its cover page, else its file name; the type defaults."""
+    page = cover_page(cover)
+    end = F.coalesce(given["period_end_date"], page["period_end_date"])
+    # Year: given, else that of the period's end, else the file name's.
+    year = F.coalesce(given["year"], F.substring(end, 1, 4).try_cast("int"), F.regexp_extract(name, r"(?<!\d)((?:19|20)\d{2})(?!\d)", 1).try_cast("int"))
+    return F.struct(F.coalesce(given["filing_type"], page["filing_type"], filing_type_of_file(name), F.lit(default)).alias("filing_type"), end.alias("period_end_date"), year.alias("year"))
+
+
 def has_numeric_claim(text: Column) -> Column:
     return F.coalesce(text.rlike(r"(?i)\$\s?[\d,]+(?:\.\d+)?|\b\d+(?:\.\d+)?\s?%|\b\d+(?:\.\d+)?\s?(?:million|billion|trillion)\b"), F.lit(False))
 
@@ -212,16 +232,44 @@ def markdown_table(headers: Column, rows: Column) -> Column:
     return F.array_join(F.concat(F.array(line(headers), line(F.array_repeat(F.lit("---"), n))), F.transform(rows, lambda r: line(fit(r)))), "\n")
 
 
+#: How option notes state a ratio, a sentiment, volumes at a strike, and the outlook.
+RATIO_CLAIMS = (r"(?i)put[/\-]?call ratio[^\d]*(\d+\.\d+)", r"(?i)ratio\s+(?:slightly\s+)?(?:above|below|of|around|near)\s+(\d+\.\d+)")
+STATED_SENTIMENT = r"(?i)(?:overall\s+)?sentiment\s+is\s+(bullish|bearish|neutral|strongly bullish|mildly bullish)"
+SEEN_SENTIMENT = (("(?i)strongly bullish", "strongly bullish"), ("(?i)mildly bullish", "mildly bullish"), (r"(?i)\bbullish\b", "bullish"), (r"(?i)\bbearish\b", "bearish"), (r"(?i)\bneutral\b", "neutral"))
+LEVEL_CLAIM = r"[^.]*?\$(\d+(?:\.\d+)?)"
+VOLUME_CLAIM = r"(?i)\$(\d+(?:\.\d+)?)\s+(?:strike\s+)?(?:call|put)?[^.]*?(\d{1,3}(?:,\d{3})+)\s+contracts"
+OUTLOOKS = (("(?i)consolidat|pinning|stuck|range.bound|small move", "consolidation"), ("(?i)breakout|big move|directional", "breakout"))
+CLAIM_CONTEXT = 100
+
+
+def _first_match(text: Column, patterns) -> Column:
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns])
+
+
+def _first_named(text: Column, names) -> Column:
+    return F.coalesce(*[F.when(text.rlike(p), name) for p, name in names])
+
+
+def volume_claims(text: Column) -> Column:
+    """array<struct<strike, volume, type>>: contracts traded at a strike; a put if one is named in the claim or the 100 characters before it, else a call."""
+    all_of = lambda g: F.regexp_extract_all(text, F.lit(VOLUME_CLAIM), F.lit(g))
+    whole, gaps = all_of(0), F.split(text, VOLUME_CLAIM, -1)
+    length = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
+    # A note has a few claims; where the i-th begins: all gaps up to it and all claims before it.
+    start = F.transform(whole, lambda m, i: length(gaps, i + 1) + length(whole, i))
+    context = F.zip_with(whole, start, lambda m, at: F.lower(F.substring(text, F.greatest(at - CLAIM_CONTEXT, F.lit(0)) + 1, F.least(at, F.lit(CLAIM_CONTEXT)) + F.length(m))))
+    kind = F.transform(context, lambda c: F.when(c.contains("put"), "put").otherwise("call"))
+    parts = F.arrays_zip(all_of(1).alias("strike"), all_of(2).alias("volume"), kind.alias("type"))
+    return F.transform(parts, lambda x: F.struct(x["strike"].cast("double").alias("strike"), F.replace(x["volume"], F.lit(",")).cast("long").alias("volume"), x["type"].alias("type")))
+
+
 def claims(text: Column) -> Column:
-    """struct of what an option note states: put/call ratio, sentiment, support and resistance levels, (strike, volume) claims, range or breakout."""
-    ratio = F.coalesce(F.nullif(F.regexp_extract(text, r"(?i)put[/\-]?call ratio[^\d]*(\d+\.\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(text, r"(?i)ratio\s+(?:slightly\s+)?(?:above|below|of|around|near)\s+(\d+\.\d+)", 1), F.lit(""))).cast("double")
-    stated = F.nullif(F.lower(F.regexp_extract(text, r"(?i)(?:overall\s+)?sentiment\s+is\s+(bullish|bearish|neutral|strongly bullish|mildly bullish)", 1)), F.lit(""))
-    seen = F.when(text.rlike("(?i)strongly bullish"), "strongly bullish").when(text.rlike("(?i)mildly bullish"), "mildly bullish").when(text.rlike(r"(?i)\bbullish\b"), "bullish").when(text.rlike(r"(?i)\bbearish\b"), "bearish").when(text.rlike(r"(?i)\bneutral\b"), "neutral")
-    levels = lambda word: F.transform(F.regexp_extract_all(text, F.lit(rf"(?i){word}[^.]*?\$(\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
-    volume = r"(?i)\$(\d+(?:\.\d+)?)\s+(?:strike\s+)?(?:call|put)?[^.]*?(\d{1,3}(?:,\d{3})+)\s+contracts"
-    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(volume), F.lit(1)), F.regexp_extract_all(text, F.lit(volume), F.lit(2)), lambda s, v: F.struct(s.cast("double").alias("strike"), F.replace(v, F.lit(",")).cast("long").alias("volume")))
-    shape = F.when(text.rlike("(?i)consolidat|pinning|stuck|range.bound|small move"), "consolidation").when(text.rlike("(?i)breakout|big move|directional"), "breakout")
-    return F.struct(ratio.alias("pc_ratio"), F.coalesce(stated, seen).alias("sentiment"), levels("support").alias("support"), levels("resistance").alias("resistance"), pairs.alias("volumes"), shape.alias("shape"))
+    """struct of what an option note states: pc_ratio, sentiment (as stated, else as it shows), support and resistance levels, volumes, shape (the outlook)."""
+    levels = lambda word: F.transform(F.regexp_extract_all(text, F.lit("(?i)" + word + LEVEL_CLAIM), F.lit(1)), lambda x: x.cast("double"))
+    return F.struct(
+        _first_match(text, RATIO_CLAIMS).cast("double").alias("pc_ratio"), F.coalesce(F.lower(_first_match(text, [STATED_SENTIMENT])), _first_named(text, SEEN_SENTIMENT)).alias("sentiment"),
+        levels("support").alias("support"), levels("resistance").alias("resistance"), volume_claims(text).alias("volumes"), _first_named(text, OUTLOOKS).alias("shape"),
+    )
 
 
 def keyword_overlap(query: Column, text: Column) -> Column:
@@ -278,9 +326,53 @@ def in_order(bull: Column, base: Column, bear: Column) -> Column:
     return (bull >= base) & (base >= bear)
 
 
-def subqueries(company: Column, year: Column, topics) -> Column:
-    """One search text for each topic: 'company topic year'."""
-    return F.array(*[F.concat_ws(" ", company, F.lit(t), year.cast("string")) for t in topics])
+#: Search texts of comparisons, segment and geographic questions. {end} and {balance} name the year's end.
+COMPARISON = (
+    "{company} total revenues net revenues {end} consolidated statements of operations", "{company} net income loss {end} per share diluted basic", "{company} income from operations operating income {end}",
+    "{company} earnings growth increased or decreased from {prior} to {year} compared to {prior} percentage change", "{company} research and development costs and expenses {end}",
+    "{company} total assets {balance} consolidated balance sheets", "{company} long-term debt total liabilities {balance} balance sheets",
+    "{company} results of operations factors affecting our performance key business drivers {year}", "{company} Item 1A risk factors risks and uncertainties that could affect our business {year}",
+)
+SEGMENT_SEARCHES = (
+    "{company} reportable segments operating segments business segments segment overview segment structure segment description chief operating decision maker CODM {years}",
+    "{company} segment revenue segment net sales segment results segment operating income segment profit segment EBITDA revenue by segment income by segment {years}",
+    "{company} note segment reporting reportable segments note ASC 280 segment disclosure segment accounting policy segment measurement basis {years}",
+    "{company} geographic segments product segments line of business disaggregation of revenue segment categories product line revenue {years}",
+    "{company} segment assets segment capital expenditure segment depreciation segment amortization assets by segment capex by segment long lived assets by segment {years}",
+    "{company} segment performance discussion MD&A segment results drivers of segment growth segment margins segment trends segment outlook {years}",
+)
+GEOGRAPHIC_SEARCHES = (
+    "{company} revenue by geography revenue by region net sales by geography geographic revenue distribution disaggregated revenue region country revenue concentration {years}",
+    "{company} geographic information note segment reporting geography ASC 280 geographic disclosure foreign domestic revenue by country long lived assets by geograph {years}",
+    "{company} foreign operations international operations domestic vs international revenue foreign subsidiaries overseas operations global footprint {years}",
+    "{company} properties by location facilities by geography manufacturing locations data centers offices distribution centers assets by country {years}",
+    "{company} geographic risk country risk regional risk political risk currency risk foreign exchange exposure international regulatory risk sanctions export controls {years}",
+    "{company} major customers by region customer concentration geography market concentration regional demand geographic market share {years}",
+)
+
+
+def _filled(template: str, **values: Column) -> Column:
+    out = F.lit(template)
+    for name, value in values.items():
+        if "{" + name + "}" in template:
+            out = F.replace(out, F.lit("{" + name + "}"), value)
+    return out
+
+
+def comparison_searches(company: Column, year: Column, fye_month: Column) -> Column:
+    """The nine searches that compare a company's year; companies whose year ends in another month than December get no date."""
+    y = year.cast("string")
+    calendar = F.coalesce(fye_month, F.lit(12)) == 12
+    end = F.when(calendar, F.concat(F.lit("year ended December 31 "), y)).otherwise(F.concat(F.lit("fiscal year "), y, F.lit(" annual period")))
+    balance = F.when(calendar, F.concat(F.lit("as of December 31 "), y)).otherwise(F.concat(F.lit("as of fiscal year end "), y))
+    return F.array(*[_filled(t, company=company, end=end, balance=balance, prior=(year - 1).cast("string"), year=y) for t in COMPARISON])
+
+
+def disclosure_searches(company: Column, years: Column, kind: Column) -> Column:
+    """The six searches of a segment or geographic question (kind) over the years asked for; none for other kinds."""
+    suffix = F.concat(F.lit("for years "), F.array_join(years.cast("array<string>"), ", "))
+    of = lambda templates: F.array(*[_filled(t, company=company, years=suffix) for t in templates])
+    return F.when(kind == "segment", of(SEGMENT_SEARCHES)).when(kind == "geographic", of(GEOGRAPHIC_SEARCHES)).otherwise(F.array().cast("array<string>"))
 
 
 #: Character references that plain conversion decodes, & last.

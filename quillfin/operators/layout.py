@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillfin.operators.timeseries import folded
+
 
 def merge_lines(lines: DataFrame, gap: float = 3.0) -> DataFrame:
     """Vertical lines (page, x, y0, y1) with those less than gap right of a kept line merged into it: its x stays, its extent grows. A page's lines are folded in order, as a kept x decides on the next."""
-    s = lines.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("x", "y0", "y1"))).alias("l"))
 
-    def step(kept: Column, line: Column) -> Column:
-        last = F.element_at(kept, -1)
-        grown = F.struct(last["x"].alias("x"), F.least(last["y0"], line["y0"]).alias("y0"), F.greatest(last["y1"], line["y1"]).alias("y1"))
-        near = (F.size(kept) > 0) & (F.abs(line["x"] - F.try_element_at(kept, F.lit(-1))["x"]) < gap)
-        return F.when(near, F.concat(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(kept, F.array(line)))
+    def step(s: dict, row) -> tuple:
+        if s["x"] is None or row.x - s["x"] >= gap:
+            s["x"], s["n"] = row.x, s["n"] + 1
+        return row.page, s["n"], s["x"], row.y0, row.y1
 
-    empty = F.array().cast("array<struct<x:double,y0:double,y1:double>>")
-    return s.select("page", F.explode(F.aggregate("l", empty, lambda k, x: F.when(F.size(k) == 0, F.array(x)).otherwise(step(k, x)))).alias("r")).select("page", "r.*")
+    rows = lines.select(F.col("page").cast("long").alias("page"), *[F.col(c).cast("double").alias(c) for c in ("x", "y0", "y1")])
+    kept = folded(rows, ["page"], ["x", "y0", "y1"], lambda: {"x": None, "n": 0}, step, "page long, n long, x double, y0 double, y1 double")
+    return kept.groupBy("page", "n").agg(F.min("x").alias("x"), F.min("y0").alias("y0"), F.max("y1").alias("y1")).drop("n")
 
 
 def text_in_rects(lines: DataFrame, rects: DataFrame) -> DataFrame:

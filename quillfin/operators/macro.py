@@ -25,7 +25,7 @@ def monthly_to_quarterly(series: DataFrame) -> DataFrame:
 
 def periods(series: DataFrame, catalog: DataFrame) -> DataFrame:
     """indicator, granularity, ordinal, value, complete. A quarter of a monthly series is the mean of its months, complete with three; a year is its last part."""
-    s = series.join(F.broadcast(catalog.select("indicator", "frequency")), "indicator").withColumn("granularity", F.explode(F.array(F.lit("monthly"), F.lit("quarterly"), F.lit("annual"))))
+    s = series.join(catalog.select("indicator", "frequency"), "indicator").withColumn("granularity", F.explode(F.array(F.lit("monthly"), F.lit("quarterly"), F.lit("annual"))))
     s = s.withColumn("ordinal", ordinal_of_date(F.col("date"), F.col("granularity")))
     g = s.groupBy("indicator", "frequency", "granularity", "ordinal").agg(F.max_by("value", "date").alias("last"), (exact_sum("value", 4) / F.count("value")).alias("mean"), F.count("value").alias("n"))
     averaged = (F.col("frequency") == "monthly") & (F.col("granularity") == "quarterly")
@@ -44,7 +44,7 @@ def macro_compare(series: DataFrame, catalog: DataFrame, specs: DataFrame) -> Da
     resolves its two periods in it, with the fallbacks for incomplete ones.
     """
     hist = periods(series, catalog).groupBy("indicator", "granularity").agg(F.array_sort(F.collect_list(F.struct("ordinal", "value", "complete"))).alias("h"))
-    s = specs.withColumn("indicator", F.upper("indicator")).join(F.broadcast(catalog), "indicator", "left")
+    s = specs.withColumn("indicator", F.upper("indicator")).join(catalog, "indicator", "left")
     s = s.withColumn("granularity", infer_granularity(F.col("granularity"), F.col("period1"), F.col("period2"), F.col("frequency"))).join(hist, ["indicator", "granularity"], "left")
     g, h = F.col("granularity"), F.col("h")
     step = F.when(F.upper("comparison_type") == "YOY", year_step(g)).otherwise(1)
@@ -110,7 +110,7 @@ def latest_of_all(series: DataFrame, catalog: DataFrame, comparison_type: str =
 
 def yield_spread(compared: DataFrame, maturities: DataFrame) -> DataFrame:
     """Long less short value of each pair of rate results (unit Percent) of different maturity (indicator, months)."""
-    r = compared.filter("error is null and unit = 'Percent'").join(F.broadcast(maturities), "indicator").select("indicator", "months", "val1", "val2")
+    r = compared.filter("error is null and unit = 'Percent'").join(maturities, "indicator").select("indicator", "months", "val1", "val2")
     long, short = r.alias("l"), r.alias("s")
     d1, d2 = F.col("l.val1") - F.col("s.val1"), F.col("l.val2") - F.col("s.val2")
     return long.join(short, F.col("l.months") > F.col("s.months")).select(F.col("l.indicator").alias("long_term_indicator"), F.col("s.indicator").alias("short_term_indicator"), rnd(d1, 2).alias("spread_val1"), rnd(d1 * 100, 1).alias("spread_bps1"), rnd(d2, 2).alias("spread_val2"), rnd(d2 * 100, 1).alias("spread_bps2"))
@@ -128,13 +128,13 @@ def spread_trend(series: DataFrame, long: str, short: str, months: int) -> DataF
     """date, a, b, spread of two series carried forward over the trailing months."""
     from quillfin.operators.timeseries import align, trailing
 
-    both = align(series.filter(F.col("indicator") == long), series.filter(F.col("indicator") == short)).withColumn("k", F.lit(1))
-    return trailing(both, "k", months).select("date", "a", "b", rnd(F.col("a") - F.col("b"), 2).alias("spread"))
+    of = lambda name: series.filter(F.col("indicator") == name).withColumn("pair", F.lit(f"{long}/{short}"))
+    return trailing(align(of(long), of(short), "pair"), "pair", months).select("date", "a", "b", rnd(F.col("a") - F.col("b"), 2).alias("spread"))
 
 
 def yield_curve(compared: DataFrame, maturities: DataFrame) -> DataFrame:
     """Rates of both periods in order of maturity."""
-    return compared.filter("error is null").join(F.broadcast(maturities), "indicator").select("months", "indicator", "period1", "val1", "period2", "val2")
+    return compared.filter("error is null").join(maturities, "indicator").select("months", "indicator", "period1", "val1", "period2", "val2")
 
 
 def stale(catalog: DataFrame, last_sync: str, as_of: str, days: int = 7) -> DataFrame:

@@ -127,7 +127,7 @@ def top_activity_strikes(chain: DataFrame, n: int = 5) -> DataFrame:
 
 
 def band_or_all(df: DataFrame, keys: list[str], inside: Column) -> DataFrame:
-    """Rows inside a band, or all rows of a group that has none inside."""
+    """Rows inside a band, or all rows of a group that has none inside. A key's rows meet in one task: give it aggregates."""
     any_in = F.max(F.coalesce(inside, F.lit(False))).over(Window.partitionBy(*keys))
     return df.withColumn("_in", F.coalesce(inside, F.lit(False))).withColumn("_any", any_in).filter(F.col("_in") | ~F.col("_any")).drop("_in", "_any")
 
@@ -138,11 +138,12 @@ def _iv_pct(c: str = "impliedVolatility") -> Column:
 
 def top_notional_strikes(chain: DataFrame, spot: DataFrame, band: float = 0.20, n: int = 5) -> DataFrame:
     """The (strike, expiration) of most dollar flow near the price, with its share of the side's whole flow."""
-    c = normalise_chain(chain).join(spot.select("ticker", "price"), "ticker", "left")
     side = ["ticker", "option_type"]
-    c = c.withColumn("total", F.sum(F.col("notional").cast("decimal(18,2)")).over(Window.partitionBy(*side)).cast("double"))
+    # A band takes whole strikes, so contracts are added up first: what is left is a row for each strike and expiration.
+    g = normalise_chain(chain).groupBy(*side, "strike", "expiration").agg(exact_sum("notional").alias("notional_usd"), exact_sum("volume").alias("volume"), F.min_by("lastPrice", "row_id").alias("last_price"), F.min_by("impliedVolatility", "row_id").alias("impliedVolatility"))
+    g = g.join(spot.select("ticker", "price"), "ticker", "left").withColumn("total", F.sum(F.col("notional_usd").cast("decimal(18,2)")).over(Window.partitionBy(*side)).cast("double"))
     near = F.col("price").isNull() | F.col("strike").between(F.col("price") * (1 - band), F.col("price") * (1 + band))
-    g = band_or_all(c, side, near).groupBy(*side, "strike", "expiration").agg(exact_sum("notional").alias("notional_usd"), exact_sum("volume").alias("volume"), F.min_by("lastPrice", "row_id").alias("last_price"), F.min_by("impliedVolatility", "row_id").alias("impliedVolatility"), F.max("total").alias("total"))
+    g = band_or_all(g, side, near)
     top = _top(g, side, [F.desc("notional_usd"), "strike", "expiration"], n).filter(F.col("notional_usd") != 0)
     pct = F.when(F.col("total") > 0, rnd(100 * F.col("notional_usd") / F.col("total"), 1)).otherwise(0.0)
     return top.select(*side, "rank", "strike", "expiration", "notional_usd", "volume", rnd("last_price", 2).alias("last_price"), _iv_pct().alias("iv_pct"), pct.alias("pct_of_total_flow"))

@@ -38,10 +38,10 @@ def normalise_names(names: Column) -> Column:
     return F.filter(F.transform(names, lambda x: F.lower(F.trim(x))), lambda x: x != "")
 
 
-def select_rows(df: DataFrame, order: list[Column], label: str, selection: str) -> DataFrame:
-    """Rows by a selection such as '1-4,fy2024,2025q1' or 'all': places in the given order, ranges of them, or labels."""
+def select_rows(df: DataFrame, key: str, order: list[Column], label: str, selection: str) -> DataFrame:
+    """Rows by a selection such as '1-4,fy2024,2025q1' or 'all': places in a company's (key's) list in the given order, ranges of them, or labels."""
     raw = selection.strip().lower()
-    w = Window.orderBy(*order)  # a listing of one company's filings
+    w = Window.partitionBy(key).orderBy(*order)
     rows = df.withColumn("row", F.row_number().over(w))
     if raw in ("all", "*"):
         return rows
@@ -86,7 +86,7 @@ def resolve_ticker(names: DataFrame, companies: DataFrame) -> DataFrame:
     companies (ordinal, ticker, company) is a dictionary of fixed size.
     """
     n = names.select("name").distinct().withColumn("key", F.lower(F.trim("name")))
-    c = F.broadcast(companies.select("ordinal", "ticker", F.lower("company").alias("company")))
+    c = companies.select("ordinal", "ticker", F.lower("company").alias("company"))
     hit = (F.col("company") == F.col("key")) | F.col("company").contains(F.col("key")) | F.col("key").contains(F.col("company"))
     j = n.join(c, hit & (F.col("key") != ""), "left")
     best = j.groupBy("name").agg(F.min_by("ticker", F.struct(F.col("company") != F.col("key"), F.col("ordinal"))).alias("ticker"))
@@ -95,16 +95,49 @@ def resolve_ticker(names: DataFrame, companies: DataFrame) -> DataFrame:
 
 def mentions(questions: DataFrame, companies: DataFrame) -> DataFrame:
     """(question_id, ticker) of the companies that a question names: ticker as a word, company name within, or a word of over four letters of it."""
-    c = F.broadcast(companies.select("ticker", F.lower("company").alias("company")))
+    c = companies.select("ticker", F.lower("company").alias("company"))
     q = questions.withColumn("words", F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit(r"[a-z0-9&]+"), F.lit(0))))
     long_word = F.exists(F.split("company", " "), lambda w: (F.length(w) > 4) & F.array_contains(F.col("words"), w))
     return q.join(c, F.array_contains("words", F.lower("ticker")) | F.lower("question").contains(F.col("company")) | long_word).select("question_id", "ticker").distinct()
 
 
+def ticker_in_text(questions: DataFrame, companies: DataFrame) -> DataFrame:
+    """question_id, ticker: the first word that is a known ticker, else the first company (by ordinal) whose name stands in the text as a whole phrase, else the first word of two to five letters; null without any.
+
+    questions: question_id, question; companies: ordinal, ticker, company.
+    """
+    edge = r"^[,.?!\"']+|[,.?!\"']+$"
+    words = F.transform(F.split(F.trim(F.regexp_replace("question", r"\s+", " ")), " "), lambda w: F.regexp_replace(w, edge, ""))
+    q = questions.select("question_id", F.lower("question").alias("low"), words.alias("words"))
+    known = companies.select(F.lower("ticker").alias("word"), "ticker").distinct()
+    placed = q.select("question_id", F.posexplode("words").alias("place", "word")).withColumn("word", F.lower("word"))
+    first = placed.join(known.select("word").distinct(), "word").groupBy("question_id").agg(F.min_by(F.upper("word"), "place").alias("by_ticker"))
+    phrase = companies.select("ordinal", "ticker", F.concat(F.lit(r"\b"), F.regexp_replace(F.lower("company"), r"([\\.\[\]{}()*+?^$|])", r"\\$1"), F.lit(r"\b")).alias("phrase"))
+    named = q.select("question_id", "low").join(phrase, F.expr("low rlike phrase")).groupBy("question_id").agg(F.min_by(F.upper("ticker"), "ordinal").alias("by_name"))
+    short = F.upper(F.get(F.filter("words", lambda w: w.rlike(r"^\p{L}{2,5}$")), F.lit(0)))
+    out = q.select("question_id", short.alias("by_length")).join(first, "question_id", "left").join(named, "question_id", "left")
+    return out.select("question_id", F.coalesce("by_ticker", "by_name", "by_length").alias("ticker"))
+
+
+def company_of_files(files: DataFrame, companies: DataFrame) -> DataFrame:
+    """files (name) with company: from the file name; where its first word is a known ticker, the ticker's company takes its place. companies: ticker, company."""
+    from quillfin.functions.text import company_of_file
+
+    f = files.withColumn("_company", company_of_file(F.col("name"))).withColumn("_word", F.element_at(F.split("_company", " "), 1))
+    known = companies.groupBy(F.lower("ticker").alias("_word")).agg(F.min("company").alias("_mapped"))
+    rest = F.substring(F.col("_company"), F.length("_word") + 1, F.length("_company"))
+    return f.join(known, "_word", "left").withColumn("company", F.when(F.col("_mapped").isNotNull(), F.concat("_mapped", rest)).otherwise(F.col("_company"))).drop("_word", "_mapped", "_company")
+
+
+def calendars_differ(tickers: DataFrame, group: str, fye: str) -> DataFrame:
+    """Whether the companies of each group end their fiscal years in different months, so that one quarter's number names different months."""
+    return tickers.groupBy(group).agg((F.countDistinct(F.coalesce(fye, F.lit(12))) > 1).alias("mismatch"))
+
+
 def search_passes(tickers: DataFrame, years: DataFrame, types: DataFrame, quarters: DataFrame) -> DataFrame:
     """ticker x year x filing type, with each quarter for 10-Q alone; no types or quarters leave the field null."""
-    p = tickers.crossJoin(F.broadcast(years)).crossJoin(F.broadcast(types))
-    return p.join(F.broadcast(quarters), F.col("filing_type") == "10-Q", "left")
+    p = tickers.crossJoin(years).crossJoin(types)
+    return p.join(quarters, F.col("filing_type") == "10-Q", "left")
 
 
 def pending(files: DataFrame, ledger: DataFrame, key: str, retry_failed: bool = False) -> DataFrame:

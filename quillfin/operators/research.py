@@ -6,22 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillfin.functions.numbers import rnd
-from quillfin.functions.text import KEYWORDS, literal_count, metric_rows, numeric_value, polarity_band, rating, tone
-
-#: Words of the default sentiment lexicon, polarity 1, -1 and subjectivity 1.
-POSITIVE = ("good", "great", "strong", "growth", "gain", "beat", "win", "positive", "improve", "best")
-NEGATIVE = ("bad", "weak", "loss", "miss", "decline", "fall", "risk", "negative", "worse", "worst")
+from quillfin.functions.text import KEYWORDS, direction, literal_count, metric_rows, numeric_value, polarity_band, rating, tone
+
+#: The default sentiment lexicon: words by polarity and subjectivity.
+LEXICON = {
+    (1.0, 1.0): "excellent outstanding superb exceptional best perfect stellar",
+    (0.8, 0.8): "great strong stronger impressive remarkable record bullish upbeat thriving soaring surging",
+    (0.6, 0.6): "good solid robust healthy favorable favourable positive optimistic confident attractive winning outperform outperforms beat beats win wins upgrade upgraded buy",
+    (0.4, 0.5): "growth growing gain gains improve improved improves improving improvement better rise rises rising rally recovery recover momentum opportunity opportunities expand expanding expansion accelerate accelerating success successful efficient innovative",
+    (0.2, 0.3): "stable steady resilient progress support supported benefit benefits higher up new profitable",
+    (-0.2, 0.3): "slow slower lower down flat cautious uncertain uncertainty mixed volatile volatility pressure",
+    (-0.4, 0.5): "decline declines declining fall falls falling drop drops dropping risk risks risky concern concerns headwind headwinds challenge challenges challenging delay delays shortfall slowdown downgrade downgraded miss misses missed sell",
+    (-0.6, 0.6): "bad weak weaker weakness poor negative pessimistic unfavorable unfavourable loss losses losing worse underperform underperforms disappointing disappointed lawsuit probe warning debt-laden",
+    (-0.8, 0.8): "terrible bearish plunge plunges plunging crash slump crisis fraud scandal bankrupt bankruptcy default collapse",
+    (-1.0, 1.0): "worst awful horrible disastrous catastrophic worthless",
+}
 
 
 def lexicon(spark) -> DataFrame:
     """word, polarity, subjectivity. Replace it by a larger one at will."""
-    return spark.createDataFrame([(w, 1.0, 1.0) for w in POSITIVE] + [(w, -1.0, 1.0) for w in NEGATIVE], "word string, polarity double, subjectivity double")
+    return spark.createDataFrame([(w, p, s) for (p, s), words in LEXICON.items() for w in words.split()], "word string, polarity double, subjectivity double")
 
 
 def sentiment(docs: DataFrame, words: DataFrame) -> DataFrame:
     """Mean polarity and subjectivity of a document's lexicon words, band and confidence; neutral without any."""
     tokens = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\w+"), F.lit(0))).alias("word"))
-    g = tokens.join(F.broadcast(words), "word").groupBy("doc_id").agg((F.sum(F.col("polarity").cast("decimal(9,4)")).cast("double") / F.count(F.lit(1))).alias("p"), (F.sum(F.col("subjectivity").cast("decimal(9,4)")).cast("double") / F.count(F.lit(1))).alias("s"))
+    g = tokens.join(words, "word").groupBy("doc_id").agg((F.sum(F.col("polarity").cast("decimal(9,4)")).cast("double") / F.count(F.lit(1))).alias("p"), (F.sum(F.col("subjectivity").cast("decimal(9,4)")).cast("double") / F.count(F.lit(1))).alias("s"))
     p, s = F.coalesce("p", F.lit(0.0)), F.coalesce("s", F.lit(0.0))
     return docs.select("doc_id").join(g, "doc_id", "left").select("doc_id", rnd(p, 3).alias("polarity"), rnd(s, 3).alias("subjectivity"), polarity_band(p).alias("sentiment"), rnd(1 - s * 0.5, 3).alias("confidence"))
 
@@ -41,6 +51,27 @@ def document_tone(docs: DataFrame, dictionary: dict[str, tuple[str, ...]] = KEYW
     return d.select("*", (F.col("positive") - F.col("negative")).alias("net"), rnd(ratio, 3).alias("ratio"), name.alias("tone"))
 
 
+def headline_direction(headlines: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """key, headlines, polarity (mean over its headlines) and the direction it points to. headlines: key, doc_id, text."""
+    p = headlines.select(key, "doc_id").join(sentiment(headlines.select("doc_id", "text"), words).select("doc_id", "polarity"), "doc_id")
+    g = p.groupBy(key).agg(F.count(F.lit(1)).alias("headlines"), (F.sum(F.col("polarity").cast("decimal(9,4)")).cast("double") / F.count(F.lit(1))).alias("p"))
+    return g.select(key, "headlines", rnd("p", 4).alias("polarity"), direction(F.col("p")).alias("direction"))
+
+
+def comprehensive(ratings: DataFrame, results: DataFrame, words: DataFrame, most: int = 5) -> DataFrame:
+    """Consensus of each symbol, the mean polarity of its `most` best results, and how many distinct addresses its results have, of which the first counts.
+
+    results: symbol, doc_id, url, score, text.
+    """
+    w = Window.partitionBy("symbol", "url").orderBy(F.desc("score"), "doc_id")
+    once = results.withColumn("n", F.row_number().over(w)).filter("n = 1")
+    urls = once.groupBy("symbol").agg(F.count(F.lit(1)).alias("sources"))
+    best = once.withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("score"), "doc_id"))).filter(F.col("n") <= most)
+    s = sentiment(best.select("doc_id", "text").dropDuplicates(["doc_id"]), words)
+    g = best.select("symbol", "doc_id").join(s, "doc_id").groupBy("symbol").agg(rnd(F.sum(F.col("polarity").cast("decimal(9,4)")).cast("double") / F.count(F.lit(1)), 3).alias("polarity"))
+    return aggregate_ratings(ratings).join(g, "symbol", "left").join(urls, "symbol", "left")
+
+
 def aggregate_ratings(ratings: DataFrame, key: str = "symbol") -> DataFrame:
     """Mean score, consensus, mean target and distribution of each symbol."""
     r = ratings.withColumn("r", rating(F.col("rating")))

@@ -6,9 +6,8 @@ window. Trim to a display range after computing, with `displayed`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,56 +67,62 @@ def local_extrema(bars: DataFrame, order: int = 10, last: int = 3) -> DataFrame:
     return marked.withColumn("recency", F.row_number().over(recent)).filter(F.col("recency") <= last).select("ticker", "kind", "recency", "ts", "level")
 
 
-def _wilder(x: np.ndarray, alpha: float, start: float | None, state: float | None) -> np.ndarray:
-    """Exponential averages without adjustment: y = (1 - alpha) y + alpha x, seeded by the first value."""
-    out = np.empty(len(x))
-    y = state
-    for i, v in enumerate(x):
-        y = v if y is None else (1 - alpha) * y + alpha * v
-        out[i] = y
-    return out
+def folded(df: DataFrame, keys: list[str], order: list[str], start: Callable, step: Callable, schema: str) -> DataFrame:
+    """A fold over each key's rows in order. step(state, row) gives an output tuple; start() a key's first state. Rows stream through: a task holds a batch and one state, however many rows a key has."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                mine = tuple(getattr(row, k) for k in keys)
+                if state is None or mine != key:
+                    key, state = mine, start()
+                out.append(step(state, row))
+            yield pd.DataFrame(out, columns=names)
 
-def _rsi(n: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        step = np.diff(pdf["close"].to_numpy(float))
-        gain, loss = _wilder(np.maximum(step, 0), 1 / n, None, None), _wilder(np.maximum(-step, 0), 1 / n, None, None)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            rsi = np.where(loss == 0, np.where(gain == 0, np.nan, 100.0), 100 - 100 / (1 + gain / loss))
-        full = np.full(len(pdf), np.nan)
-        full[1:] = rsi
-        full[:n] = np.nan
-        return pd.DataFrame({"ticker": pdf["ticker"], "ts": pdf["ts"], "close": pdf["close"], "rsi": full})
+    names = [f.split()[0] for f in schema.split(", ")]
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
-    return run
+
+def _averaged(now: float | None, x: float, alpha: float) -> float:
+    """Exponential average without adjustment, seeded by the first value."""
+    return x if now is None else (1 - alpha) * now + alpha * x
 
 
 def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
     """Relative strength index with Wilder's smoothing of gains and losses, from the n-th change on, and its status."""
-    r = bars.select("ticker", F.col("ts").cast("timestamp").alias("ts"), "close").groupBy("ticker").applyInPandas(_rsi(n), "ticker string, ts timestamp, close double, rsi double")
+
+    def step(s: dict, row) -> tuple:
+        value = None
+        if s["rows"]:
+            move = row.close - s["last"]
+            s["gain"], s["loss"] = _averaged(s["gain"], max(move, 0.0), 1 / n), _averaged(s["loss"], max(-move, 0.0), 1 / n)
+            if s["rows"] >= n:
+                value = 100 - 100 / (1 + s["gain"] / s["loss"]) if s["loss"] else (100.0 if s["gain"] else None)
+        s["last"], s["rows"] = row.close, s["rows"] + 1
+        return row.ticker, row.ts, row.close, value
+
+    start = lambda: {"rows": 0, "last": None, "gain": None, "loss": None}
+    r = folded(bars.select("ticker", F.col("ts").cast("timestamp").alias("ts"), F.col("close").cast("double").alias("close")), ["ticker"], ["ts"], start, step, "ticker string, ts timestamp, close double, rsi double")
     x = F.when(~F.isnan("rsi"), F.col("rsi"))
     status = F.when(x > 70, "Overbought").when(x < 30, "Oversold").when(x.isNotNull(), "Neutral")
     return r.select("ticker", F.col("ts").cast("timestamp_ntz").alias("ts"), "close", x.alias("rsi"), status.alias("rsi_status"))
 
 
-def _macd(fast: int, slow: int, signal: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        c = pdf["close"].to_numpy(float)
-        line = _wilder(c, 2 / (fast + 1), None, None) - _wilder(c, 2 / (slow + 1), None, None)
-        line[: slow - 1] = np.nan
-        sig = np.full(len(c), np.nan)
-        sig[slow - 1 :] = _wilder(line[slow - 1 :], 2 / (signal + 1), None, None)
-        sig[: slow + signal - 2] = np.nan
-        return pd.DataFrame({"ticker": pdf["ticker"], "ts": pdf["ts"], "close": c, "macd": line, "macd_signal": sig})
-
-    return run
-
-
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """Difference of two exponential averages, its own average, the histogram and the trend."""
-    r = bars.select("ticker", F.col("ts").cast("timestamp").alias("ts"), "close").groupBy("ticker").applyInPandas(_macd(fast, slow, signal), "ticker string, ts timestamp, close double, macd double, macd_signal double")
+
+    def step(s: dict, row) -> tuple:
+        s["rows"] += 1
+        s["fast"], s["slow"] = _averaged(s["fast"], row.close, 2 / (fast + 1)), _averaged(s["slow"], row.close, 2 / (slow + 1))
+        line = s["fast"] - s["slow"] if s["rows"] >= slow else None
+        if line is not None:
+            s["signal"] = _averaged(s["signal"], line, 2 / (signal + 1))
+        return row.ticker, row.ts, row.close, line, s["signal"] if s["rows"] >= slow + signal - 1 else None
+
+    start = lambda: {"rows": 0, "fast": None, "slow": None, "signal": None}
+    r = folded(bars.select("ticker", F.col("ts").cast("timestamp").alias("ts"), F.col("close").cast("double").alias("close")), ["ticker"], ["ts"], start, step, "ticker string, ts timestamp, close double, macd double, macd_signal double")
     m, s = F.when(~F.isnan("macd"), F.col("macd")), F.when(~F.isnan("macd_signal"), F.col("macd_signal"))
     return r.select("ticker", F.col("ts").cast("timestamp_ntz").alias("ts"), "close", m.alias("macd"), s.alias("macd_signal"), (m - s).alias("macd_hist"), F.when(m > s, "Bullish").when(m <= s, "Bearish").alias("macd_trend"))
 
@@ -144,16 +149,18 @@ def resample(bars: DataFrame, interval: str) -> DataFrame:
     return out.select("ticker", F.col("w.start").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def technical_summary(bars: DataFrame, start: str, sma_days: int = 400) -> DataFrame:
-    """Each ticker's last RSI, MACD, averages and signals. RSI sees the display range alone; averages and MACD see the look-back too."""
+def technical_summary(bars: DataFrame, start: str, sma_days: int = 400, order: int = 10, levels: int = 3) -> DataFrame:
+    """Each ticker's last RSI, MACD, averages, nearest support and resistance levels and signals. RSI and levels see the display range alone; averages and MACD see the look-back too."""
     shown = displayed(bars, start)
     r = rsi(shown).groupBy("ticker").agg(F.max_by("rsi", "ts").alias("rsi"), F.max_by("rsi_status", "ts").alias("rsi_status"))
     m = displayed(macd(with_lookback(bars, start, 70)), start).groupBy("ticker").agg(F.max_by("macd_trend", "ts").alias("macd_trend"))
     a = displayed(sma(with_lookback(bars, start, sma_days), (50, 200)), start).groupBy("ticker").agg(F.max_by("close", "ts").alias("close"), F.max_by("sma_50", "ts").alias("sma_50"), F.max_by("sma_200", "ts").alias("sma_200"))
+    recent = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("recency", "level")))), lambda x: x["level"])
+    e = local_extrema(shown, order, levels).groupBy("ticker").agg(recent("support").alias("support"), recent("resistance").alias("resistance"))
     price = F.when(F.col("close") > F.col("sma_200"), "Price above 200-day SMA").when(F.col("close") <= F.col("sma_200"), "Price below 200-day SMA")
     heat = F.when(F.col("rsi") > 70, "RSI Overbought").when(F.col("rsi") < 30, "RSI Oversold")
     trend = F.when(F.col("macd_trend").isNotNull(), F.concat(F.lit("MACD "), F.col("macd_trend")))
-    out = a.join(r, "ticker").join(m, "ticker").withColumn("signals", F.array_compact(F.array(heat, trend, price)))
+    out = a.join(r, "ticker").join(m, "ticker").join(e, "ticker", "left").withColumn("signals", F.array_compact(F.array(heat, trend, price)))
     return out.withColumn("action", action_signal(F.col("close"), F.col("sma_200"), F.col("rsi")))
 
 
@@ -177,12 +184,11 @@ def trailing(series: DataFrame, key: str, months: int) -> DataFrame:
     return series.withColumn("_end", end).filter(F.col("date") >= F.add_months("_end", -months)).drop("_end")
 
 
-def align(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two series (date, value) on all dates of either, each carried forward; dates before either has begun are left out."""
-    j = a.select("date", F.col("value").alias("a")).join(b.select("date", F.col("value").alias("b")), "date", "full")
-    # One pair of series is a small group by nature: a row for each date.
-    w = Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return j.select("date", F.last("a", True).over(w).alias("a"), F.last("b", True).over(w).alias("b")).dropna()
+def align(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Pairs of series (key, date, value), those of equal key on all dates of either, each carried forward; dates before either has begun are left out."""
+    j = a.select(key, "date", F.col("value").alias("a")).join(b.select(key, "date", F.col("value").alias("b")), [key, "date"], "full")
+    w = Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return j.select(key, "date", F.last("a", True).over(w).alias("a"), F.last("b", True).over(w).alias("b")).dropna()
 
 
 def budgeted(docs: DataFrame, group: str, order: str, text: str, budget: int) -> DataFrame:
@@ -211,19 +217,16 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
 def sliding_limiter(events: DataFrame, key: str, seconds: int = 60, most: int = 10) -> DataFrame:
     """Whether each attempt (key, ts, id) is let through, at most `most` within any `seconds`; rejected attempts do not count.
 
-    One decision changes the next, so a key's attempts are folded in order.
+    One decision changes the next, so a key's attempts are folded in order; the state is the times of the last `most` that went through.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "id"])
-        kept: list = []
-        ok = []
-        for t in pdf["ts"]:
-            kept = [x for x in kept if (t - x).total_seconds() < seconds]
-            ok.append(len(kept) < most)
-            if ok[-1]:
-                kept.append(t)
-        return pdf.assign(allowed=ok)
-
-    rows = events.select(F.col(key).alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("id").cast("long").alias("id"))
-    return rows.groupBy("key").applyInPandas(run, "key long, ts timestamp, id long, allowed boolean").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    def step(kept: list, row) -> tuple:
+        while kept and (row.ts - kept[0]).total_seconds() >= seconds:
+            kept.pop(0)
+        ok = len(kept) < most
+        if ok:
+            kept.append(row.ts)
+        return row.key, row.ts, row.id, ok
+
+    rows = events.select(F.col(key).cast("long").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("id").cast("long").alias("id"))
+    return folded(rows, ["key"], ["ts", "id"], list, step, "key long, ts timestamp, id long, allowed boolean").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
