@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillfin.functions.numbers import rnd
+
+
+#: A statement has some dozens of items, each a column of the result.
+MOST_ITEMS = 10_000
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -43,10 +49,43 @@ def statement(wide: DataFrame, item: str) -> DataFrame:
     """A financial statement with a column for each date as one row for each date: (date, then a column for each item), NaN as null."""
     dates = [c for c in wide.columns if c != item]
     long = wide.unpivot([item], dates, "date", "value")
-    names = [r[0] for r in wide.select(item).distinct().orderBy(item).limit(1000).collect()]  # a statement has some dozens of items
+    names = [r[0] for r in wide.select(item).distinct().orderBy(item).limit(MOST_ITEMS + 1).collect()]
+    if len(names) > MOST_ITEMS:
+        raise ValueError(f"a statement of over {MOST_ITEMS} items makes too wide a table: use its long form (unpivot)")
     return long.groupBy("date").pivot(item, names).agg(F.first(F.nanvl("value", F.lit(None).cast("double")), ignorenulls=True))
 
 
+#: Fields of a valuation snapshot by kind of ratio.
+RATIOS = {"trailing": ("trailing_pe", "price", "trailing_eps"), "forward": ("forward_pe", "forward_eps")}
+
+
+def snapshot(info: DataFrame, kind: str = "both") -> DataFrame:
+    """ticker and its ratios of price to earnings, trailing, forward or both, with price and earnings beside them. info: ticker, price, trailing_eps, forward_eps. No ratio without positive earnings."""
+    if kind not in (*RATIOS, "both"):
+        raise ValueError("kind is trailing, forward or both")
+    ratio = lambda eps: F.when(F.col(eps) > 0, rnd(F.col("price") / F.col(eps), 2))
+    full = info.withColumn("trailing_pe", ratio("trailing_eps")).withColumn("forward_pe", ratio("forward_eps"))
+    return full.select("ticker", *[c for k, fields in RATIOS.items() if kind in (k, "both") for c in fields])
+
+
+def corporate_actions(actions: DataFrame, ticker: str | None = None) -> DataFrame:
+    """ticker, date, kind ('dividend' or 'split'), amount: a row for each non-zero figure of actions (ticker, ts, dividends, splits)."""
+    a = actions if ticker is None else actions.filter(F.upper("ticker") == ticker.upper())
+    pairs = F.array(F.struct(F.lit("dividend").alias("kind"), F.col("dividends").alias("amount")), F.struct(F.lit("split").alias("kind"), F.col("splits").alias("amount")))
+    return a.select("ticker", F.col("ts").cast("date").alias("date"), F.explode(pairs).alias("x")).filter("x.amount <> 0").select("ticker", "date", "x.kind", "x.amount")
+
+
+#: The kinds of holder tables.
+HOLDER_TYPES = ("major_holders", "institutional_holders", "mutualfund_holders", "insider_transactions", "insider_purchases", "insider_roster_holders")
+
+
+def holders(tables: dict[str, DataFrame], kind: str) -> DataFrame:
+    """The table of one kind of holders."""
+    if kind not in HOLDER_TYPES:
+        raise ValueError(f"kind is one of {', '.join(HOLDER_TYPES)}")
+    return tables[kind]
+
+
 def option_chain(chain: DataFrame, ticker: str, expiration: str, side: str) -> DataFrame:
     """One side ('calls' or 'puts') of a ticker's chain on a date."""
     if side not in ("calls", "puts"):
@@ -122,10 +161,11 @@ def history_pages(pages: DataFrame, start: str | None, end: str | None) -> DataF
     return pages if end is None else pages.filter(F.col("filing_from") <= F.lit(end).cast("date"))
 
 
-def atom_entries(entries: DataFrame, start: str, limit: int) -> DataFrame:
-    """Ownership filings ('4 ' and '4/A ') of a feed (title, updated, link) since start, the latest first."""
+def atom_entries(entries: DataFrame, start: str, limit: int, page: int | None = None) -> DataFrame:
+    """Ownership filings ('4 ' and '4/A ') of a feed (title, updated, link) since start, the latest first: after the filter the first `limit`, or the page of that size (from 1)."""
     e = entries.filter((F.col("title").startswith("4 ") | F.col("title").startswith("4/A ")) & (F.col("updated") >= F.lit(start).cast("date")))
-    return e.orderBy(F.desc("updated"), "link").limit(limit)
+    e = e.orderBy(F.desc("updated"), "link")
+    return e.limit(limit) if page is None else e.offset((page - 1) * limit).limit(limit)
 
 
 def with_cik(rows: DataFrame, ciks: DataFrame) -> DataFrame:
@@ -149,6 +189,9 @@ def expired(files: DataFrame, as_of: str, days: int) -> DataFrame:
     return files.filter(F.col("modified") < F.date_sub(F.lit(as_of).cast("date"), days))
 
 
-def page_chunks(pages: DataFrame, text: Column) -> DataFrame:
-    """Pages with their text, blank ones left out, and the hash of their content."""
-    return pages.withColumn("page_content", text).filter(F.trim("page_content") != "").withColumn("content_hash", F.sha2("page_content", 256))
+def page_chunks(pages: DataFrame, text: Column, tables: Column | None = None) -> DataFrame:
+    """Pages with their text, the tables on them (array of markdown tables) appended under [TABLES], blank ones left out, and the hash of their content."""
+    content = text
+    if tables is not None:
+        content = F.when(F.size(tables) > 0, F.concat(text, F.lit("\n\n[TABLES]\n"), F.array_join(tables, "\n\n"))).otherwise(text)
+    return pages.withColumn("page_content", content).filter(F.trim("page_content") != "").withColumn("content_hash", F.sha2("page_content", 256))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+from collections import deque
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -38,28 +41,61 @@ def sessions(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
     return s.select("user_id", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n")
 
 
-def first_seen(events: DataFrame, keys: list[str]) -> DataFrame:
-    """The first row of each key; later ones are dropped, in whatever batch."""
-    return events.dropDuplicates(keys)
+def first_seen(events: DataFrame, keys: list[str], late: str = "30 days", ts: str = "ts") -> DataFrame:
+    """The first row of each key; later ones are dropped, in whatever batch, as long as they come within `late` of the first: state older than that is let go."""
+    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def expiring_cache(events: DataFrame, ttl_seconds: int) -> DataFrame:
-    """key, reads, hits of a cache whose entries expire ttl after they were stored: a read is a hit within that time, else it stores the entry anew. State is a key's expiry and counts."""
+def expiring_cache(events: DataFrame, ttl_seconds: int, late: str = "1 hour") -> DataFrame:
+    """A row (key, ts, hit) for each read of a cache whose entries expire ttl after they were stored: a read is a hit within that time, else it stores the entry anew. State is a key's expiry, and goes with it. Reads of a batch are taken in order; those of a later batch that are older than what is stored are hits."""
 
     def step(key: tuple[Any], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        until, reads, hits = state.get if state.exists else (None, 0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        (until,) = state.get if state.exists else (None,)
         times = sorted(t for b in batches for t in b["ts"])
+        hits = []
         for t in times:
-            reads += 1
-            now = t.timestamp()
-            if until is not None and now < until:
-                hits += 1
-            else:
-                until = now + ttl_seconds
-        state.update((until, reads, hits))
-        yield pd.DataFrame({"key": [key[0]], "reads": [reads], "hits": [hits]})
-
-    return events.groupBy("user_id").applyInPandasWithState(step, "key long, reads long, hits long", "until double, reads long, hits long", "update", GroupStateTimeout.NoTimeout)
+            hits.append(until is not None and t.timestamp() < until)
+            if not hits[-1]:
+                until = t.timestamp() + ttl_seconds
+        state.update((until,))
+        state.setTimeoutTimestamp(max(int(until * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"key": [key[0]] * len(times), "ts": times, "hit": hits})
+
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "key long, ts timestamp, hit boolean", "until double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class Progress(StreamingQueryListener):
+    """Collects a row (query, batch, input_rows, rows_per_second, sink) for each batch of the streams of a session, and how queries ended. Add it with spark.streams.addListener; it keeps the last `most` rows."""
+
+    def __init__(self, most: int = 1_000):
+        self.rows: deque = deque(maxlen=most)
+        self.ended: dict[str, str | None] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.ended.pop(str(event.runId), None)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.rows.append((p.name or str(p.id), p.batchId, p.numInputRows, p.processedRowsPerSecond, p.sink.description))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.runId)] = event.exception
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(list(self.rows), "query string, batch long, input_rows long, rows_per_second double, sink string")
+
+
+def settled(progress: Progress, seconds: float = 30) -> None:
+    """Wait until a listener has heard how a query ended; events reach it some time after the query itself is over."""
+    until = time.monotonic() + seconds
+    while not progress.ended and time.monotonic() < until:
+        time.sleep(0.05)
 
 
 def amend_batch(store: str):
