@@ -1,6 +1,7 @@
 """The registered queries."""
 
 from quillfin.plans import insider_queries as insider_queries
+from quillfin.plans import io_queries as io_queries
 from quillfin.plans import macro_queries as macro_queries
 from quillfin.plans import more_queries as more_queries
 from quillfin.plans import option_queries as option_queries

@@ -1,33 +1,41 @@
-"""Snapshots, metadata, fixed retrieval plans and compositions."""
+"""Snapshots, metadata and compositions."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillfin.adapters import chunks, insider_trades, load, ratings, with_inputs
 from quillfin.functions import text as tx
-from quillfin.functions.numbers import rnd
 from quillfin.operators import relational as rel
 from quillfin.operators import research as rs
-from quillfin.operators import retrieval as rt
 from quillfin.plans.registry import query
+from quillfin.plans.text_queries import AGGREGATED, LEX
+from quillfin.sources import readers as rd
 
 
-@query("src_snapshot", "SELECT p_partkey, p_name, p_retailprice AS price, CASE WHEN p_size > 0 THEN round(p_retailprice / p_size, 2) END AS pe FROM part")
+@query("src_snapshot", "SELECT p_name AS ticker, CASE WHEN p_size > 0 THEN round(p_retailprice / p_size, 2) END AS trailing_pe, p_retailprice AS price, CAST(p_size AS DOUBLE) AS trailing_eps, CASE WHEN p_size > 25 THEN round(p_retailprice / (p_size - 25), 2) END AS forward_pe, CAST(p_size - 25 AS DOUBLE) AS forward_eps FROM part")
 def snapshot(spark, sf_dir):
-    return load(spark, sf_dir, "part").select("p_partkey", "p_name", F.col("p_retailprice").alias("price"), F.when(F.col("p_size") > 0, rnd(F.col("p_retailprice") / F.col("p_size"), 2)).alias("pe"))
+    p = load(spark, sf_dir, "part").select(F.col("p_name").alias("ticker"), F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("trailing_eps"), (F.col("p_size") - 25).cast("double").alias("forward_eps"))
+    return rd.snapshot(p)
 
 
-@query("src_corporate_actions", "SELECT l_orderkey AS k, CAST(l_shipdate AS DATE)::VARCHAR AS date, kind, amount FROM (SELECT *, 'dividend' AS kind, l_tax AS amount FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT *, 'split', l_quantity FROM lineitem WHERE l_linenumber = 2)")
+@query("src_corporate_actions", "SELECT l_partkey AS ticker, CAST(l_shipdate AS DATE)::VARCHAR AS date, kind, amount FROM (SELECT *, 'dividend' AS kind, l_tax AS amount FROM lineitem UNION ALL SELECT *, 'split', CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0.0::DOUBLE END FROM lineitem) WHERE amount <> 0")
 def corporate_actions(spark, sf_dir):
-    li = load(spark, sf_dir, "lineitem")
-    side = lambda n, kind, c: li.filter(F.col("l_linenumber") == n).select(F.col("l_orderkey").alias("k"), F.col("l_shipdate").cast("date").alias("date"), F.lit(kind).alias("kind"), F.col(c).alias("amount"))
-    return side(1, "dividend", "l_tax").unionByName(side(2, "split", "l_quantity"))
+    splits = F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0)
+    return rd.corporate_actions(load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("ticker"), F.col("l_shipdate").alias("ts"), F.col("l_tax").alias("dividends"), splits.alias("splits")))
+
+
+_HOLDERS = dict(zip(rd.HOLDER_TYPES, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", None)))
 
 
-@query("src_holders", "SELECT c_mktsegment AS holder_type, c_name AS holder, c_acctbal AS value FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+@query("src_holders", "SELECT t.k AS holder_type, c_name AS holder, c_acctbal AS value FROM (VALUES " + ", ".join(f"('{k}', {repr(v) if v else 'NULL'})" for k, v in _HOLDERS.items()) + ") t(k, s) JOIN customer ON s IS NULL OR c_mktsegment = s")
 def holders(spark, sf_dir):
-    return rel.optional_filters(load(spark, sf_dir, "customer"), {"c_mktsegment": ["BUILDING", "MACHINERY"]}).select(F.col("c_mktsegment").alias("holder_type"), F.col("c_name").alias("holder"), F.col("c_acctbal").alias("value"))
+    c = load(spark, sf_dir, "customer").select(F.col("c_name").alias("holder"), F.col("c_acctbal").alias("value"), "c_mktsegment")
+    tables = {k: rel.optional_filters(c, {"c_mktsegment": v}).drop("c_mktsegment") for k, v in _HOLDERS.items()}
+    return reduce(DataFrame.unionByName, [rd.holders(tables, k).withColumn("holder_type", F.lit(k)) for k in rd.HOLDER_TYPES])
 
 
 @query("jn_exists_by_hash_or_file", "WITH n AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN sha256(text) END AS content_hash, source || doc_id % 10 AS source_file FROM documents), o AS (SELECT sha256(text) AS h, source || doc_id % 10 AS f FROM documents WHERE doc_id % 5 = 0) SELECT doc_id, coalesce(content_hash IN (SELECT h FROM o), FALSE) OR (content_hash IS NULL AND source_file IN (SELECT f FROM o)) AS known FROM n")
@@ -45,16 +53,26 @@ def batch_counters(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.sum("l_linenumber").alias("added"), (F.count(F.lit(1)) - F.countDistinct("l_orderkey")).alias("skipped"))
 
 
-@query("txt_headline_direction", "SELECT event_type, CASE WHEN p > 0.1::DOUBLE THEN 'UP' WHEN p < -0.1::DOUBLE THEN 'DOWN' ELSE 'STABLE' END AS direction FROM (SELECT event_type, CAST(sum(CAST((event_id % 5 - 2) AS DECIMAL(9,4))) AS DOUBLE) / count(*) / 2 AS p FROM events WHERE event_id % 7 < 4 GROUP BY 1)")
+_LEXICON = f"l(word, polarity, subjectivity) AS (VALUES {', '.join(str(x) for x in LEX)}), pol AS (SELECT doc_id, round(CAST(sum(CAST(polarity AS DECIMAL(9,4))) AS DOUBLE) / count(*), 3) AS p FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\w+')) AS word FROM documents) JOIN l USING (word) GROUP BY 1)"
+
+
+@query("txt_headline_direction", f"WITH {_LEXICON}, g AS (SELECT source, count(*) AS headlines, CAST(sum(CAST(coalesce(p, 0) AS DECIMAL(9,4))) AS DOUBLE) / count(*) AS p FROM documents LEFT JOIN pol USING (doc_id) GROUP BY 1) SELECT source, headlines, round(p, 4) AS polarity, CASE WHEN p > 0.1::DOUBLE THEN 'UP' WHEN p < -0.1::DOUBLE THEN 'DOWN' ELSE 'STABLE' END AS direction FROM g")
 def headline_direction(spark, sf_dir):
-    p = (F.sum((F.col("event_id") % 5 - 2).cast("decimal(9,4)")).cast("double") / F.count(F.lit(1))) / 2
-    return load(spark, sf_dir, "events").filter("event_id % 7 < 4").groupBy("event_type").agg(p.alias("p")).select("event_type", tx.direction(F.col("p")).alias("direction"))
+    words = spark.createDataFrame(LEX, "word string, polarity double, subjectivity double")
+    return rs.headline_direction(load(spark, sf_dir, "documents").select("source", "doc_id", "text"), words, "source")
 
 
-@query("txt_metadata_precedence", "SELECT doc_id, coalesce(CASE WHEN doc_id % 4 = 0 THEN '8-K' END, CASE WHEN doc_id % 3 = 0 THEN '10-Q' END, CASE WHEN doc_id % 2 = 0 THEN '10-K' END, 'unknown') AS filing_type FROM documents")
+@query("txt_metadata_precedence", """WITH f AS (SELECT o_orderkey, o_orderstatus AS s, CAST(o_orderdate AS DATE) AS d, o_orderkey % 4 = 0 AS given, o_orderkey % 3 = 0 AS cover FROM orders)
+SELECT o_orderkey, CASE WHEN given THEN '8-K' WHEN cover THEN '10-K' WHEN s = 'O' THEN '10-Q' WHEN s = 'F' THEN '10-K' ELSE '10-K' END AS filing_type, CASE WHEN cover THEN d::VARCHAR END AS period_end_date, CAST(CASE WHEN cover THEN year(d) ELSE year(d) - 1 END AS INTEGER) AS year FROM f""")
 def metadata_precedence(spark, sf_dir):
-    given = lambda n, v: F.when(F.col("doc_id") % n == 0, v)  # noqa: E731  explicit, cover page, file name, default
-    return load(spark, sf_dir, "documents").select("doc_id", F.coalesce(given(4, "8-K"), given(3, "10-Q"), given(2, "10-K"), F.lit("unknown")).alias("filing_type"))
+    """Filings made of orders: some with a given type, some with a cover page, all with a file name that tells the year before."""
+    o = load(spark, sf_dir, "orders")
+    d = F.col("o_orderdate").cast("date")
+    given = F.struct(F.when(F.col("o_orderkey") % 4 == 0, "8-K").alias("filing_type"), F.lit(None).cast("string").alias("period_end_date"), F.lit(None).cast("int").alias("year"))
+    cover = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("FORM 10-K\nFor the fiscal year ended "), F.date_format(d, "MMMM d, yyyy"))).otherwise("no cover")
+    kind = F.when(F.col("o_orderstatus") == "O", "10Q").when(F.col("o_orderstatus") == "F", "10-K").otherwise("deck")
+    name = F.concat(F.lit("co_"), kind, F.lit("_"), (F.year(d) - 1).cast("string"), F.lit(".pdf"))
+    return o.select("o_orderkey", tx.filing_metadata(given, cover, name).alias("m")).select("o_orderkey", "m.*")
 
 
 @query("txt_filing_labels", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'FY' || year(o_orderdate) WHEN 'O' THEN year(o_orderdate) || 'Q' || quarter(o_orderdate) ELSE '' END AS label FROM orders")
@@ -67,16 +85,17 @@ def filing_labels(spark, sf_dir):
     return load(spark, sf_dir, "orders").select("o_orderkey", tx.filing_label(form, d, F.least(fiscal_quarter(F.last_day(F.add_months(F.trunc(d, "quarter"), 2)), F.lit(12)), F.lit(4))).alias("label"))
 
 
-@query("txt_identifiers")
+@query("txt_identifiers", "WITH i AS (SELECT o_orderkey, lpad(o_orderkey::VARCHAR, 18, '0') AS d FROM orders) SELECT o_orderkey, left(d, 10) || '-' || substr(d, 11, 2) || '-' || substr(d, 13, 6) AS accession, CAST(o_orderkey % 7 AS INTEGER) AS xref, CAST(o_orderkey % 9 AS INTEGER) AS page, '****.xml' AS masked, FALSE AS ticker FROM i")
 def identifiers(spark, sf_dir):
     o = load(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("https://x/"), F.lpad(F.col("o_orderkey").cast("string"), 18, "0"), F.lit("/a.xml")).alias("url"), F.concat(F.lit("page"), F.col("o_orderkey") % 9, F.lit("_xref"), F.col("o_orderkey") % 7, F.lit(".png")).alias("img"))
     secret = tx.masked(F.create_map(F.lit("k"), F.col("url")))["k"]
     return o.select("o_orderkey", tx.accession_of_url(F.col("url")).alias("accession"), tx.image_ref(F.col("img")).alias("r"), secret.alias("masked"), tx.is_ticker(F.col("img")).alias("ticker")).select("o_orderkey", "accession", "r.xref", "r.page", "masked", "ticker")
 
 
-@query("dt_fiscal_mismatch", "SELECT c_nationkey, count(DISTINCT c_custkey % 3) > 1 AS mismatch FROM customer GROUP BY 1")
+@query("dt_fiscal_mismatch", "SELECT c_nationkey, count(DISTINCT coalesce(fye, 12)) > 1 AS mismatch FROM customer LEFT JOIN (SELECT o_custkey, month(max(o_orderdate)) AS fye FROM orders GROUP BY 1) ON o_custkey = c_custkey GROUP BY 1")
 def fiscal_mismatch(spark, sf_dir):
-    return load(spark, sf_dir, "customer").groupBy("c_nationkey").agg((F.countDistinct(F.col("c_custkey") % 3) > 1).alias("mismatch"))
+    fye = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.month(F.max("o_orderdate")).alias("fye"))
+    return rel.calendars_differ(load(spark, sf_dir, "customer").join(fye, "c_custkey", "left"), "c_nationkey", "fye")
 
 
 @query("arr_draft_sections", "SELECT o_custkey, string_agg(CASE WHEN o_orderstatus <> 'O' THEN o_orderkey::VARCHAR END, ',' ORDER BY o_orderkey) AS sections, string_agg(CASE WHEN o_orderstatus = 'O' THEN o_orderkey::VARCHAR END, ',' ORDER BY o_orderkey) AS images FROM orders GROUP BY 1")
@@ -95,15 +114,17 @@ def cached_lookup(spark, sf_dir):
     return rel.dedup_first(live, [F.col("key")], [F.desc("at"), F.col("value")]).select("key", "value")
 
 
-@query("res_comprehensive")
+@query("res_comprehensive", with_inputs("ratings", f"""
+, {_LEXICON}, res AS (SELECT event_type AS symbol, doc_id, split_part(url, '/', 3) AS url, value AS score, text FROM events JOIN pages ON page_id = event_id JOIN documents ON doc_id = page_id),
+once AS (SELECT * FROM res QUALIFY row_number() OVER (PARTITION BY symbol, url ORDER BY score DESC, doc_id) = 1), u AS (SELECT symbol, count(*) AS sources FROM once GROUP BY 1), best AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY score DESC, doc_id) <= 5),
+g AS (SELECT symbol, round(CAST(sum(CAST(coalesce(p, 0) AS DECIMAL(9,4))) AS DOUBLE) / count(*), 3) AS polarity FROM best LEFT JOIN pol USING (doc_id) GROUP BY 1), agg AS ({AGGREGATED})
+SELECT agg.*, polarity, sources FROM agg LEFT JOIN g USING (symbol) LEFT JOIN u USING (symbol)"""))
 def comprehensive(spark, sf_dir):
-    """Consensus of each symbol with the mean polarity of its five latest texts and the number of distinct sources."""
-    r = ratings(spark, sf_dir)
-    d = load(spark, sf_dir, "documents")
-    top = rel.top_per_group(r, ["symbol"], [F.desc("ts"), F.desc("event_id")], 5).join(d, F.col("event_id") % 200 == F.col("doc_id"))
-    s = rs.sentiment(top.select("doc_id", "text").dropDuplicates(["doc_id"]), rs.lexicon(spark))
-    g = top.select("symbol", "doc_id", "source").join(s, "doc_id").groupBy("symbol").agg(rnd(F.avg("polarity"), 3).alias("polarity"), F.countDistinct("source").alias("sources"))
-    return rs.aggregate_ratings(r).join(g, "symbol", "left")
+    """Results: pages of the event of equal id, with that document's text; a host counts once."""
+    e, p, d = (load(spark, sf_dir, t) for t in ("events", "pages", "documents"))
+    r = e.join(p, e.event_id == p.page_id).join(d, d.doc_id == p.page_id)
+    r = r.select(F.col("event_type").alias("symbol"), "doc_id", F.coalesce(F.get(F.split("url", "/"), F.lit(2)), F.lit("")).alias("url"), F.col("value").alias("score"), "text")
+    return rs.comprehensive(ratings(spark, sf_dir), r, spark.createDataFrame(LEX, "word string, polarity double, subjectivity double"))
 
 
 @query("vec_subquery_stats", with_inputs("chunks", "SELECT filing_type, count(*) > 0 AS found, count(*) AS doc_count, count(DISTINCT source_file) AS sources FROM chunks WHERE fiscal_quarter IS NULL OR fiscal_quarter < 3 GROUP BY 1"))
@@ -112,22 +133,6 @@ def subquery_stats(spark, sf_dir):
     return c.groupBy("filing_type").agg((F.count(F.lit(1)) > 0).alias("found"), F.count(F.lit(1)).alias("doc_count"), F.countDistinct("source_file").alias("sources"))
 
 
-#: A fixed retrieval plan: bucket, query, documents to take. Characters kept: 1,500.
-_PLAN = ((1, "growth", "the worthless clown", 5), (2, "risk", "pour avec dans", 9), (3, "macro", "und der", 5))
-
-
-@query("vec_fixed_plan", "WITH q(query_id, bucket, query, cap) AS (VALUES " + ", ".join(str(p) for p in _PLAN) + """),
-tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2), dl AS (SELECT doc_id, sum(tf) AS dl FROM p GROUP BY 1),
-facts AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM dl) AS words), qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+')) AS term FROM q), hit AS (SELECT * FROM p JOIN qt USING (term)), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM hit GROUP BY 1),
-bs AS (SELECT query_id, doc_id, round(CAST(sum(CAST(round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * (1.2::DOUBLE + 1) / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / (words / n::DOUBLE))), 9) AS DECIMAL(18,9))) AS DOUBLE), 6) AS score FROM hit JOIN df USING (term) JOIN dl USING (doc_id), facts GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bs) SELECT bucket, doc_id, CAST(rank AS INTEGER) AS rank, left(text, 1500) AS content FROM r JOIN q USING (query_id) JOIN documents USING (doc_id) WHERE rank <= cap""")
-def fixed_plan(spark, sf_dir):
-    plan = spark.createDataFrame(list(_PLAN), "query_id int, bucket string, query string, cap int")
-    d = load(spark, sf_dir, "documents")
-    top = rt.bm25(d, plan, max(p[3] for p in _PLAN)).join(F.broadcast(plan), "query_id").filter("rank <= cap")
-    return top.join(d.select("doc_id", "text"), "doc_id").select("bucket", "doc_id", "rank", F.substring("text", 1, 1500).alias("content"))
-
-
 @query("ins_owner_names", with_inputs("form4", "SELECT DISTINCT owner, replace(rtrim(trim(upper(owner)), '.'), '  ', ' ') AS name FROM form4"))
 def owner_names(spark, sf_dir):
     from quillfin.operators.insider import normalise_owner

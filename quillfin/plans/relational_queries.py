@@ -53,10 +53,10 @@ def headline_relevance(spark, sf_dir):
     return load(spark, sf_dir, "documents").filter(t.contains("trash") | t.contains("worthless idiot") | t.contains("worthless")).select("doc_id")
 
 
-@query("flt_row_selection", "WITH r AS (SELECT r_name, n_name, CAST(row_number() OVER (ORDER BY n_name) AS INTEGER) AS row FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT * FROM r WHERE row BETWEEN 2 AND 4 OR row = 9 OR lower(r_name) = 'asia'")
+@query("flt_row_selection", "WITH r AS (SELECT r_name, n_name, CAST(row_number() OVER (PARTITION BY r_name ORDER BY n_name) AS INTEGER) AS row FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT * FROM r WHERE row BETWEEN 2 AND 3 OR row = 5 OR lower(n_name) = 'algeria'")
 def row_selection(spark, sf_dir):
     n = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name")
-    return rel.select_rows(n, [F.col("n_name")], "r_name", "2-4, 9, ASIA")
+    return rel.select_rows(n, "r_name", [F.col("n_name")], "n_name", "2-3, 5, ALGERIA")
 
 
 @query("flt_normalise_names", "SELECT n_regionkey, array_to_string(list_sort(list_filter(list_transform(list(' ' || n_name || ' '), lambda x: lower(trim(x))), lambda x: x <> '')), ',') AS names FROM nation GROUP BY 1")

@@ -113,6 +113,17 @@ def table_schema(spark, sf_dir):
     return sinks.table_schema(load(spark, sf_dir, "region"))
 
 
+_KEYS = (("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"))
+
+
+@query("src_described", """WITH k(t, c, r, rc) AS (VALUES ('nation', 'n_regionkey', 'region', 'r_regionkey')), d AS (SELECT 'region' AS t, 0 AS place, 'r_regionkey' AS c, 'int' AS type, (SELECT count(DISTINCT r_regionkey) FROM region) AS n UNION ALL SELECT 'region', 1, 'r_name', 'string', (SELECT count(r_name) FROM region)
+UNION ALL SELECT 'nation', 0, 'n_nationkey', 'int', 5 UNION ALL SELECT 'nation', 1, 'n_name', 'string', 5 UNION ALL SELECT 'nation', 2, 'n_regionkey', 'int', 5) SELECT d.t AS "table", d.c AS "column", CAST(place AS INTEGER) AS place, type, CAST(n AS INTEGER) AS sampled, r AS refers_to, rc AS refers_column FROM d LEFT JOIN k ON k.t = d.t AND k.c = d.c""")
+def described(spark, sf_dir):
+    keys = spark.createDataFrame(list(_KEYS), "table string, column string, refers_to string, refers_column string")
+    d = sinks.described({t: load(spark, sf_dir, t) for t in ("region", "nation")}, keys)
+    return d.withColumn("sampled", F.json_array_length("sample")).drop("sample")
+
+
 def _words(spark, sf_dir):
     li = load(spark, sf_dir, "lineitem")
     return li.select((F.col("l_orderkey") % 50).alias("page"), (F.col("l_quantity") * 10).alias("x"), F.floor(F.col("l_extendedprice") % 700).cast("double").alias("y0"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("n"), F.concat(F.lit("w"), "l_partkey").alias("text")).withColumn("y1", F.col("y0") + 10)
@@ -125,12 +136,19 @@ def text_in_rects(spark, sf_dir):
     return lay.text_in_rects(_words(spark, sf_dir), r)
 
 
-@query("lay_merge_lines")
+_W = "w AS (SELECT l_orderkey % 50 AS page, l_quantity * 10 AS x, floor(l_extendedprice % 700)::DOUBLE AS y0, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS n, 'w' || l_partkey AS t FROM lineitem)"
+
+
+@query("lay_merge_lines", f"""WITH RECURSIVE {_W}, b AS MATERIALIZED (SELECT page, x + y0 % 7 AS x, y0, y0 + 10 AS y1, row_number() OVER (PARTITION BY page ORDER BY x + y0 % 7, y0) AS i FROM w),
+e AS (SELECT page, i, x AS k, 1 AS g FROM b WHERE i = 1 UNION ALL SELECT b.page, b.i, CASE WHEN b.x - k >= 3 THEN b.x ELSE k END, CASE WHEN b.x - k >= 3 THEN g + 1 ELSE g END FROM e JOIN b ON b.page = e.page AND b.i = e.i + 1)
+SELECT page, min(k) AS x, min(y0) AS y0, max(y1) AS y1 FROM b JOIN e USING (page, i) GROUP BY page, g""")
 def merge_lines(spark, sf_dir):
     return lay.merge_lines(_words(spark, sf_dir).select("page", (F.col("x") + F.col("y0") % 7).alias("x"), "y0", "y1"))
 
 
-@query("lay_table_grid")
+@query("lay_table_grid", f"""WITH {_W}, cells AS (SELECT p AS page, r, c, c * 100.0 - 1 AS x0, c * 100.0 + 101 AS x1, r * 40.0 - 1 AS y0, r * 40.0 + 41 AS y1 FROM range(0, 50) a(p), range(0, 4) b(r), range(0, 3) d(c)),
+t AS (SELECT cells.page, r, c, coalesce(string_agg(t, chr(10) ORDER BY n, t), '') AS t FROM cells LEFT JOIN w ON w.page = cells.page AND x BETWEEN x0 AND x1 AND w.y0 + 5 BETWEEN cells.y0 AND cells.y1 GROUP BY 1, 2, 3)
+SELECT CAST(page AS BIGINT) AS page, CAST(r + 1 AS INTEGER) AS row, string_agg(t, '|' ORDER BY c) AS cells FROM t GROUP BY 1, 2 HAVING max(length(t)) > 0""")
 def table_grid(spark, sf_dir):
     p = spark.range(50).withColumnRenamed("id", "page")
     xs = p.select("page", F.explode(F.array(*[F.lit(float(x)) for x in (0, 100, 200, 300)])).alias("x"))
@@ -138,7 +156,11 @@ def table_grid(spark, sf_dir):
     return lay.table_grid(xs, ys, _words(spark, sf_dir)).select("page", "row", F.array_join("cells", "|").alias("cells"))
 
 
-@query("lay_image_context")
+@query("lay_image_context", f"""WITH {_W}, b AS (SELECT page, n, y0 + 5 AS c, 'Block ' || t AS t, abs(350 - (y0 + 5)) AS d FROM w),
+g AS (SELECT page, list(t ORDER BY d, n, t) FILTER (c < 300 AND d < 150)[1:2] AS h, list(t ORDER BY d, n, t) FILTER (d <= 400)[1:6] AS m, list(t ORDER BY n, t)[1:10] AS a FROM b GROUP BY 1),
+p AS (SELECT page, list_concat(coalesce(h, []), list_filter(coalesce(m, []), lambda x: length(x) > 10)) AS l, list_filter(a, lambda x: length(x) > 20)[1:3] AS rest FROM g),
+s AS (SELECT p.page, array_to_string(CASE WHEN len(l) > 0 THEN list_filter(l, lambda x, i: list_position(l, x) = i) ELSE rest END, ' ') AS s FROM p)
+SELECT CAST(i AS BIGINT) AS page, CAST(1 AS INTEGER) AS image_id, coalesce(CASE WHEN length(s) > 1000 THEN array_to_string(string_split(s, ' ')[1:150], ' ') ELSE s END, '') AS context FROM range(0, 50) r(i) LEFT JOIN s ON page = i""")
 def image_context(spark, sf_dir):
     i = spark.range(50).select(F.col("id").alias("page"), F.lit(1).alias("image_id"), F.lit(300.0).alias("y0"), F.lit(400.0).alias("y1"))
     return lay.image_context(i, _words(spark, sf_dir).select("page", "n", "y0", "y1", F.concat(F.lit("Block "), "text").alias("text")))

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from quillfin.adapters import exact_sum, insider_trades, with_inputs
+from quillfin.plans.insider_queries import AMENDED_BY_ARRIVAL
 from quillfin.plans.registry import query
+from quillfin.session import scratch
 from quillfin.streaming import streams as st
 
 
 def _drained(spark, stream, mode):
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillfin-")
-    at = f"{root.rstrip('/')}/quillfin/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     return st.drain(stream, f"{at}/out", f"{at}/checkpoint", mode)
 
 
@@ -49,7 +48,34 @@ def idempotent_ingest(spark, sf_dir):
     return d.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids"))
 
 
-@query("str_expiring_cache")
+@query("str_expiring_cache", """WITH RECURSIVE b AS MATERIALIZED (SELECT user_id AS key, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+e AS (SELECT key, i, ts AS stored, FALSE AS hit FROM b WHERE i = 1
+UNION ALL SELECT b.key, b.i, CASE WHEN b.ts < e.stored + INTERVAL 1 DAY THEN e.stored ELSE b.ts END, b.ts < e.stored + INTERVAL 1 DAY FROM e JOIN b ON b.key = e.key AND b.i = e.i + 1)
+SELECT key, count(*) AS reads, count(*) FILTER (hit) AS hits FROM e GROUP BY 1""")
 def expiring_cache(spark, sf_dir):
-    d = _drained(spark, st.expiring_cache(_events(spark, sf_dir), 86_400), "update")
-    return d.groupBy("key").agg(F.max("reads").alias("reads"), F.max("hits").alias("hits"))
+    d = _drained(spark, st.expiring_cache(_events(spark, sf_dir), 86_400), "append")
+    return d.groupBy("key").agg(F.count(F.lit(1)).alias("reads"), F.count_if("hit").alias("hits"))
+
+
+@query("str_amendments", with_inputs("form4", AMENDED_BY_ARRIVAL))
+def amendments(spark, sf_dir):
+    """Trades in two micro-batches by their order of arrival; the stored table after both."""
+    store, trades = scratch(spark, "amended"), insider_trades(spark, sf_dir)
+    apply = st.amend_batch(store)
+    apply(trades.filter("seq <= 3"), 0)
+    apply(trades.filter("seq > 3"), 1)
+    return spark.read.parquet(f"{store}/v1").groupBy("issuer").agg(F.count(F.lit(1)).alias("rows"), exact_sum("shares").alias("shares"))
+
+
+@query("str_progress", "SELECT CAST(count(*) AS BIGINT) AS input_rows FROM events")
+def progress(spark, sf_dir):
+    """Rows that a listener saw pass through a stream."""
+    seen = st.Progress()
+    spark.streams.addListener(seen)
+    try:
+        _drained(spark, st.tumbling(_events(spark, sf_dir), "6 hours"), "complete")
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        st.settled(seen)
+    finally:
+        spark.streams.removeListener(seen)
+    return seen.table(spark).agg(F.sum("input_rows").alias("input_rows"))

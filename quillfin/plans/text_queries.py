@@ -16,6 +16,7 @@ TEXTS = (
     "What is the current stock price right now?", "The first quarter and 4th quarter were strong", "$37.8B in sales, up 5 million", "down -52.69% from $1,234.5", "N/A", "various", "(5)", "",
     "Put/call ratio of 0.54; overall sentiment is bullish. Support near $300 and resistance at $312.50. The $310 strike call saw 3,123 contracts.", "Ratio slightly above 1.0, small move expected, neutral", "headwinds and headwind risk, strong growth and strengths, margin pressure",
     "Market outperform", "strong sell", "Avoid", "underweight", "Equal Weight", "top pick", "no opinion", "guidance raised, outlook solid, momentum robust", "Founded in 1999, listed 2030, sold 2029",
+    "Heavy puts: the $95 strike saw 12,000 contracts. Calls at $100 strike call reached 1,500 contracts; then $105 put with 2,250 contracts",
 )
 FILES = ("AAPL_10K_2024.pdf", "aapl-20250628.pdf", "msft_10-Q_2023-03-31_0000320193.pdf", "Tesla Annual Report 2022.pdf", "8-K.pdf", "nvda-8K-19990101.pdf", "report.pdf", "0000320193-25-000011.pdf", "ko_2050.pdf", "deck")
 _q = lambda s: "'" + s.replace("'", "''") + "'"
@@ -91,21 +92,45 @@ def document_tone(spark, sf_dir):
     return rs.document_tone(load(spark, sf_dir, "documents"), _DATA_WORDS)
 
 
-_LEX = [("the", 0.5, 0.2), ("of", -0.25, 0.4), ("idiot", -1.0, 1.0), ("que", 0.75, 0.5), ("der", -0.5, 0.1)]
+LEX = [("the", 0.5, 0.2), ("of", -0.25, 0.4), ("idiot", -1.0, 1.0), ("que", 0.75, 0.5), ("der", -0.5, 0.1)]
 _P = "coalesce(p, 0)"
 
 
-@query("txt_sentiment", f"WITH l(word, polarity, subjectivity) AS (VALUES {', '.join(str(x) for x in _LEX)}), g AS (SELECT doc_id, CAST(sum(CAST(polarity AS DECIMAL(9,4))) AS DOUBLE) / count(*) AS p, CAST(sum(CAST(subjectivity AS DECIMAL(9,4))) AS DOUBLE) / count(*) AS s FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\w+')) AS word FROM documents) JOIN l USING (word) GROUP BY 1) SELECT doc_id, round({_P}, 3) AS polarity, round(coalesce(s, 0), 3) AS subjectivity, CASE WHEN {_P} > 0.3::DOUBLE THEN 'bullish' WHEN {_P} > 0.1::DOUBLE THEN 'slightly_bullish' WHEN {_P} > -0.1::DOUBLE THEN 'neutral' WHEN {_P} > -0.3::DOUBLE THEN 'slightly_bearish' ELSE 'bearish' END AS sentiment, round(1 - coalesce(s, 0) * 0.5::DOUBLE, 3) AS confidence FROM documents LEFT JOIN g USING (doc_id)")
+@query("txt_sentiment", f"WITH l(word, polarity, subjectivity) AS (VALUES {', '.join(str(x) for x in LEX)}), g AS (SELECT doc_id, CAST(sum(CAST(polarity AS DECIMAL(9,4))) AS DOUBLE) / count(*) AS p, CAST(sum(CAST(subjectivity AS DECIMAL(9,4))) AS DOUBLE) / count(*) AS s FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\w+')) AS word FROM documents) JOIN l USING (word) GROUP BY 1) SELECT doc_id, round({_P}, 3) AS polarity, round(coalesce(s, 0), 3) AS subjectivity, CASE WHEN {_P} > 0.3::DOUBLE THEN 'bullish' WHEN {_P} > 0.1::DOUBLE THEN 'slightly_bullish' WHEN {_P} > -0.1::DOUBLE THEN 'neutral' WHEN {_P} > -0.3::DOUBLE THEN 'slightly_bearish' ELSE 'bearish' END AS sentiment, round(1 - coalesce(s, 0) * 0.5::DOUBLE, 3) AS confidence FROM documents LEFT JOIN g USING (doc_id)")
 def sentiment(spark, sf_dir):
-    return rs.sentiment(load(spark, sf_dir, "documents"), spark.createDataFrame(_LEX, "word string, polarity double, subjectivity double"))
+    return rs.sentiment(load(spark, sf_dir, "documents"), spark.createDataFrame(LEX, "word string, polarity double, subjectivity double"))
 
 
-@query("txt_file_metadata", f"""WITH {_F}, b AS (SELECT id, name, regexp_replace(name, '(.)\\.[^.]*$', '\\1') AS bare FROM f),
-s AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(bare, '[-_.]', ' ', 'g'), '\\b(19|20)\\d{{2}}\\b', '', 'g'), '\\b\\d{{6,}}\\b', '', 'g'), '\\b(10[-\\s]?[kq]|8[-\\s]?k|annual|quarterly|report)\\b', '', 'gi'), '\\b\\d{{1,2}}\\b', '', 'g'), '\\s+\\d+\\s*$', '', 'g'), '\\s+', ' ', 'g')) AS company, regexp_replace(name, '[-_.]', ' ', 'g') AS spaced FROM b)
-SELECT id, lower(CASE WHEN company = '' THEN bare ELSE company END) AS company, CASE WHEN regexp_matches(spaced, '\\b10\\s?k\\b', 'i') THEN '10-K' WHEN regexp_matches(spaced, '\\b10\\s?q\\b', 'i') THEN '10-Q' WHEN regexp_matches(spaced, '\\b8\\s?k\\b', 'i') THEN '8-K' END AS filing_type FROM s""")
+_COMPANIES = (("aapl", "apple"), ("msft", "microsoft"), ("nvda", "nvidia"), ("meta", "meta"), ("tsla", "tesla"), ("ko", "coca-cola"))
+_C = f"c(ordinal, ticker, company) AS (VALUES {', '.join(f'({i}, {_q(t)}, {_q(c)})' for i, (t, c) in enumerate(_COMPANIES))})"
+
+
+def companies(spark):
+    return spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(_COMPANIES)], "ordinal int, ticker string, company string")
+
+
+@query("txt_file_metadata", f"""WITH {_F}, {_C}, b AS (SELECT id, name, regexp_replace(name, '(.)\\.[^.]*$', '\\1') AS bare FROM f),
+s AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(bare, '[-_.]', ' ', 'g'), '\\b(19|20)\\d{{2}}\\b', '', 'g'), '\\b\\d{{6,}}\\b', '', 'g'), '\\b(10[-\\s]?[kq]|8[-\\s]?k|annual|quarterly|report)\\b', '', 'gi'), '\\b\\d{{1,2}}\\b', '', 'g'), '\\s+\\d+\\s*$', '', 'g'), '\\s+', ' ', 'g')) AS company, regexp_replace(name, '[-_.]', ' ', 'g') AS spaced FROM b),
+l AS (SELECT id, spaced, lower(CASE WHEN company = '' THEN bare ELSE company END) AS own FROM s)
+SELECT id, CASE WHEN c.company IS NOT NULL THEN c.company || substr(own, length(split_part(own, ' ', 1)) + 1) ELSE own END AS company, CASE WHEN regexp_matches(spaced, '\\b10\\s?k\\b', 'i') THEN '10-K' WHEN regexp_matches(spaced, '\\b10\\s?q\\b', 'i') THEN '10-Q' WHEN regexp_matches(spaced, '\\b8\\s?k\\b', 'i') THEN '8-K' END AS filing_type FROM l LEFT JOIN c ON c.ticker = split_part(own, ' ', 1)""")
 def file_metadata(spark, sf_dir):
-    n = F.col("name")
-    return files(spark).select("id", tx.company_of_file(n).alias("company"), tx.filing_type_of_file(n).alias("filing_type"))
+    from quillfin.operators.relational import company_of_files
+
+    return company_of_files(files(spark), companies(spark)).select("id", "company", tx.filing_type_of_file(F.col("name")).alias("filing_type"))
+
+
+_CHAT_TEXTS = f"q AS (SELECT 't' || id AS question_id, text AS question FROM t UNION ALL SELECT conv_id || '/' || turn, text FROM conversations WHERE text IS NOT NULL)"
+
+
+@query("txt_ticker_in_text", f"""WITH {_T}, {_C}, {_CHAT_TEXTS}, w AS (SELECT question_id, lower(question) AS low, list_transform(string_split(trim(regexp_replace(question, '\\s+', ' ', 'g')), ' '), lambda w: regexp_replace(w, '^[,.?!"'']+|[,.?!"'']+$', '', 'g')) AS w FROM q),
+one AS (SELECT question_id, upper(arg_min(x, i)) AS t FROM (SELECT question_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM w) WHERE lower(x) IN (SELECT ticker FROM c) GROUP BY 1),
+two AS (SELECT question_id, upper(arg_min(ticker, ordinal)) AS t FROM w JOIN c ON regexp_matches(low, '\\b' || company || '\\b') GROUP BY 1)
+SELECT question_id, coalesce(one.t, two.t, upper(list_filter(w, lambda x: regexp_full_match(x, '\\p{{L}}{{2,5}}'))[1])) AS ticker FROM w LEFT JOIN one USING (question_id) LEFT JOIN two USING (question_id)""")
+def ticker_in_text(spark, sf_dir):
+    from quillfin.operators.relational import ticker_in_text as find
+
+    chat = load(spark, sf_dir, "conversations").filter("text is not null").select(F.concat_ws("/", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"))
+    return find(texts(spark).select(F.concat(F.lit("t"), "id").alias("question_id"), F.col("text").alias("question")).unionByName(chat), companies(spark))
 
 
 @query("txt_numbers", f"""WITH {_T} SELECT id, regexp_matches(text, '\\$\\s?[\\d,]+(?:\\.\\d+)?|\\b\\d+(?:\\.\\d+)?\\s?%|\\b\\d+(?:\\.\\d+)?\\s?(?:million|billion|trillion)\\b', 'i') AS claim,
@@ -115,10 +140,27 @@ def numbers(spark, sf_dir):
     return texts(spark).select("id", tx.has_numeric_claim(t).alias("claim"), tx.numeric_value(t).alias("value"), tx.digits_value(t).alias("digits"))
 
 
-@query("txt_option_claims")
+def _sql_claims() -> str:
+    q = lambda p: _q(p.replace("(?i)", ""))
+    first = lambda ps: "coalesce(" + ", ".join(f"nullif(regexp_extract(text, {q(p)}, 1, 'i'), '')" for p in ps) + ")"
+    named = lambda ns: "CASE " + " ".join(f"WHEN regexp_matches(text, {q(p)}, 'i') THEN '{n}'" for p, n in ns) + " END"
+    levels = lambda word: f"array_to_string(list_transform(regexp_extract_all(text, {q(word + tx.LEVEL_CLAIM)}, 1, 'i'), lambda x: (x::DOUBLE)::VARCHAR), ',')"
+    find = lambda g: f"regexp_extract_all(text, {q(tx.VOLUME_CLAIM)}, {g}, 'i')"
+    # Where the i-th claim begins: what lies before it, found by taking the claims before it away one by one.
+    starts = "list_transform(w, lambda x, i: CAST(list_sum(list_transform(range(1, i + 1), lambda k: length(split_at[k]))) + coalesce(list_sum(list_transform(range(1, i), lambda k: length(w[k]))), 0) AS BIGINT))"
+    kind = "CASE WHEN contains(lower(substr(text, greatest(pos[i] - 100, 0) + 1, least(pos[i], 100) + length(x))), 'put') THEN 'put' ELSE 'call' END"
+    one = f"(st[i]::DOUBLE)::VARCHAR || ':' || replace(vo[i], ',', '') || ':' || {kind}"
+    gaps = f"regexp_split_to_array(text, {_q(tx.VOLUME_CLAIM)})"
+    return f"""WITH {_T}, m AS (SELECT id, text, {find(0)} AS w, {find(1)} AS st, {find(2)} AS vo, {gaps} AS split_at FROM t), s AS (SELECT *, {starts} AS pos FROM m)
+SELECT id, {first(tx.RATIO_CLAIMS)}::DOUBLE AS pc_ratio, coalesce(lower({first([tx.STATED_SENTIMENT])}), {named(tx.SEEN_SENTIMENT)}) AS sentiment, {levels('support')} AS support, {levels('resistance')} AS resistance,
+array_to_string(list_transform(w, lambda x, i: {one}), ',') AS volumes, {named(tx.OUTLOOKS)} AS shape FROM s"""
+
+
+@query("txt_option_claims", _sql_claims())
 def option_claims(spark, sf_dir):
     c = texts(spark).select("id", tx.claims(F.col("text")).alias("c"))
-    return c.select("id", "c.pc_ratio", "c.sentiment", F.array_join(F.col("c.support").cast("array<string>"), ",").alias("support"), F.array_join(F.col("c.resistance").cast("array<string>"), ",").alias("resistance"), F.to_json("c.volumes").alias("volumes"), "c.shape")
+    volumes = F.array_join(F.transform("c.volumes", lambda v: F.concat_ws(":", v["strike"].cast("string"), v["volume"].cast("string"), v["type"])), ",")
+    return c.select("id", "c.pc_ratio", "c.sentiment", F.array_join(F.col("c.support").cast("array<string>"), ",").alias("support"), F.array_join(F.col("c.resistance").cast("array<string>"), ",").alias("resistance"), volumes.alias("volumes"), "c.shape")
 
 
 @query("txt_hashes", "SELECT doc_id, sha256(text) AS sha, md5(text) AS md5, sha256(source || ':' || doc_id) AS key FROM documents")
@@ -126,7 +168,7 @@ def hashes(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.md5("text").alias("md5"), F.sha2(F.concat_ws(":", "source", "doc_id"), 256).alias("key"))
 
 
-@query("txt_uuid5")
+@query("txt_uuid5", "WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(doc_id::VARCHAR)) AS h FROM documents) SELECT doc_id, left(h, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h")
 def uuid5(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", tx.uuid5("6ba7b8119dad11d180b400c04fd430c8", F.col("doc_id").cast("string")).alias("point_id"))
 
@@ -137,9 +179,25 @@ def keyword_overlap(spark, sf_dir):
     return load(spark, sf_dir, "documents").crossJoin(F.broadcast(q)).filter(tx.keyword_overlap(F.col("query"), F.col("text"))).select("qid", "doc_id")
 
 
-@query("txt_subqueries", "SELECT s_suppkey, s_name || ' ' || topic || ' 2024' AS q FROM supplier, (VALUES ('revenue'), ('net income'), ('risk factors')) t(topic)")
+def _sql_filled(templates, kind: str | None = None) -> str:
+    text = "t"
+    for name, value in (("company", "s_name"), ("end", "e"), ("balance", "b"), ("prior", "(y - 1)::VARCHAR"), ("years", "ys"), ("year", "y::VARCHAR")):
+        text = f"replace({text}, '{{{name}}}', {value})"
+    rows = ", ".join(f"({i}, {_q(t)})" for i, t in enumerate(templates))
+    return f"SELECT s_suppkey, CAST(i AS INTEGER) AS place, {text} AS q FROM s, (VALUES {rows}) d(i, t)" + (f" WHERE kind = '{kind}'" if kind else "")
+
+
+@query("txt_subqueries", f"WITH s AS (SELECT s_suppkey, s_name, 2024 AS y, CASE WHEN s_nationkey % 4 = 0 THEN 'fiscal year 2024 annual period' ELSE 'year ended December 31 2024' END AS e, CASE WHEN s_nationkey % 4 = 0 THEN 'as of fiscal year end 2024' ELSE 'as of December 31 2024' END AS b, '' AS ys FROM supplier) {_sql_filled(tx.COMPARISON)}")
 def subqueries(spark, sf_dir):
-    return load(spark, sf_dir, "supplier").select("s_suppkey", F.explode(tx.subqueries(F.col("s_name"), F.lit(2024), ("revenue", "net income", "risk factors"))).alias("q"))
+    fye = F.when(F.col("s_nationkey") % 4 == 0, 9)
+    return load(spark, sf_dir, "supplier").select("s_suppkey", F.posexplode(tx.comparison_searches(F.col("s_name"), F.lit(2024), fye)).alias("place", "q"))
+
+
+@query("txt_disclosure_searches", f"WITH s AS (SELECT s_suppkey, s_name, 2024 AS y, '' AS e, '' AS b, 'for years 2022, ' || (2022 + s_suppkey % 3 + 1) AS ys, CASE s_suppkey % 3 WHEN 0 THEN 'segment' WHEN 1 THEN 'geographic' ELSE 'none' END AS kind FROM supplier) {_sql_filled(tx.SEGMENT_SEARCHES, 'segment')} UNION ALL {_sql_filled(tx.GEOGRAPHIC_SEARCHES, 'geographic')}")
+def disclosure_searches(spark, sf_dir):
+    years = F.array(F.lit(2022), (F.lit(2023) + F.col("s_suppkey") % 3).cast("int"))
+    kind = tx.segment_or_geographic(F.when(F.col("s_suppkey") % 3 == 0, "reportable segment margins").when(F.col("s_suppkey") % 3 == 1, "revenue by region").otherwise("revenue"))
+    return load(spark, sf_dir, "supplier").select("s_suppkey", F.posexplode(tx.disclosure_searches(F.col("s_name"), years, kind)).alias("place", "q"))
 
 
 @query("txt_field_coalesce", "SELECT page_id, coalesce(nullif(CASE WHEN page_id % 2 = 0 THEN '' ELSE url END, ''), nullif(left(html, 20), '')) AS content FROM pages")
@@ -166,10 +224,13 @@ def records_to_json(spark, sf_dir):
     return load(spark, sf_dir, "nation").select("n_nationkey", F.to_json(F.struct("n_name", "n_regionkey")).alias("j"))
 
 
-@query("res_aggregate_ratings", with_inputs("ratings", f"""
-, r AS (SELECT symbol, {_rating('lower(trim(rating))')} AS r, target_price AS t FROM ratings), s AS (SELECT *, {_SCORE.format(x='r')} AS score FROM r),
+#: Ratings of each symbol as a select over the input `ratings`.
+AGGREGATED = f"""WITH r AS (SELECT symbol, {_rating('lower(trim(rating))')} AS r, target_price AS t FROM ratings), s AS (SELECT *, {_SCORE.format(x='r')} AS score FROM r),
 g AS (SELECT symbol, count(*) AS n, sum(score) / count(*) AS s, round(CAST(sum(CASE WHEN t <> 0 THEN CAST(t AS DECIMAL(18,2)) END) AS DOUBLE) / count(CASE WHEN t <> 0 THEN 1 END), 4) AS avg_target, {', '.join(f"count(*) FILTER (r = '{x}') AS {x}" for x in ('strong_buy', 'buy', 'hold', 'sell', 'strong_sell'))} FROM s GROUP BY 1)
-SELECT symbol, n, round(s, 4) AS avg_score, CASE WHEN s >= 4.5 THEN 'Strong Buy' WHEN s >= 3.5 THEN 'Buy' WHEN s >= 2.5 THEN 'Hold' WHEN s >= 1.5 THEN 'Sell' ELSE 'Strong Sell' END AS consensus, avg_target, strong_buy, buy, hold, sell, strong_sell FROM g"""))
+SELECT symbol, n, round(s, 4) AS avg_score, CASE WHEN s >= 4.5 THEN 'Strong Buy' WHEN s >= 3.5 THEN 'Buy' WHEN s >= 2.5 THEN 'Hold' WHEN s >= 1.5 THEN 'Sell' ELSE 'Strong Sell' END AS consensus, avg_target, strong_buy, buy, hold, sell, strong_sell FROM g"""
+
+
+@query("res_aggregate_ratings", with_inputs("ratings", f"SELECT * FROM ({AGGREGATED})"))
 def aggregate_ratings(spark, sf_dir):
     return rs.aggregate_ratings(ratings(spark, sf_dir))
 

@@ -95,9 +95,32 @@ def resample_6h(spark, sf_dir):
     return ts.resample(bars(spark, sf_dir), "6 hours")
 
 
-@query("ts_technical_summary")
+def _levels(kind: str, c: str, fn: str) -> str:
+    """The last three local extrema of each ticker in the display range, the latest first, as text."""
+    near = "OVER (PARTITION BY ticker ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)"
+    return f"{kind} AS (SELECT ticker, string_agg(round({c}, 2)::DOUBLE::VARCHAR, ',' ORDER BY ts DESC) AS {kind} FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS n FROM (SELECT *, {fn}({c}) {near} AS e FROM shown) WHERE {c} = e) WHERE n <= 3 GROUP BY 1)"
+
+
+_RSI_ON = """b AS MATERIALIZED (SELECT ticker, ts, close, close - lag(close) OVER (PARTITION BY ticker ORDER BY ts) AS step, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS i FROM shown),
+e AS (SELECT ticker, i, greatest(step, 0) AS g, greatest(-step, 0) AS l FROM b WHERE i = 2 UNION ALL SELECT b.ticker, b.i, (1 - 1 / 14::DOUBLE) * g + (1 / 14::DOUBLE) * greatest(b.step, 0), (1 - 1 / 14::DOUBLE) * l + (1 / 14::DOUBLE) * greatest(-b.step, 0) FROM e JOIN b ON b.ticker = e.ticker AND b.i = e.i + 1),
+r AS (SELECT b.ticker, arg_max(CASE WHEN b.i > 14 THEN CASE WHEN l = 0 THEN CASE WHEN g > 0 THEN 100.0::DOUBLE END ELSE 100 - 100 / (1 + g / l) END END, b.ts) AS rsi FROM b LEFT JOIN e USING (ticker, i) GROUP BY 1)"""
+_MACD_ON = f"""c AS MATERIALIZED (SELECT ticker, ts, close, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS i FROM bars WHERE ts >= TIMESTAMP '2024-01-15' - INTERVAL 70 DAY), {_ema('f', 'c', 'close', 1, 12)}, {_ema('s', 'c', 'close', 1, 26)},
+m AS MATERIALIZED (SELECT f.ticker, f.i, f.y - s.y AS line FROM f JOIN s USING (ticker, i) WHERE f.i >= 26), {_ema('g', 'm', 'line', 26, 9)},
+mt AS (SELECT c.ticker, arg_max(CASE WHEN m.line > g.y THEN 'Bullish' WHEN m.line <= g.y THEN 'Bearish' END, c.ts) AS trend FROM c JOIN m USING (ticker, i) JOIN g USING (ticker, i) WHERE c.i >= 34 AND c.ts >= TIMESTAMP '2024-01-15' GROUP BY 1)"""
+
+
+@query("ts_technical_summary", _recursive(f"""
+, shown AS (SELECT * FROM bars WHERE ts >= TIMESTAMP '2024-01-15'), {_RSI_ON}, {_MACD_ON}, {_levels('support', 'low', 'min')}, {_levels('resistance', 'high', 'max')},
+w AS (SELECT ticker, ts, close, {_mean('close', 50)} AS sma_50, {_mean('close', 200)} AS sma_200 FROM bars WHERE ts >= TIMESTAMP '2024-01-15' - INTERVAL 400 DAY),
+a AS (SELECT ticker, arg_max(close, ts) AS close, arg_max(sma_50, ts) AS sma_50, arg_max(sma_200, ts) AS sma_200 FROM w WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1)
+SELECT ticker, close, round(sma_50, 4) AS sma_50, round(sma_200, 4) AS sma_200, round(rsi, 4) AS rsi, CASE WHEN rsi > 70 THEN 'Overbought' WHEN rsi < 30 THEN 'Oversold' WHEN rsi IS NOT NULL THEN 'Neutral' END AS rsi_status, trend AS macd_trend, support, resistance,
+concat_ws(',', CASE WHEN rsi > 70 THEN 'RSI Overbought' WHEN rsi < 30 THEN 'RSI Oversold' END, 'MACD ' || trend, CASE WHEN close > sma_200 THEN 'Price above 200-day SMA' WHEN close <= sma_200 THEN 'Price below 200-day SMA' END) AS signals,
+CASE WHEN close > sma_200 THEN 'uptrend' WHEN close <= sma_200 THEN 'downtrend' ELSE 'unknown' END || ' / ' || CASE WHEN rsi < 30 THEN 'buy' WHEN rsi > 70 THEN 'sell' ELSE 'hold' END AS action
+FROM a JOIN r USING (ticker) JOIN mt USING (ticker) LEFT JOIN support USING (ticker) LEFT JOIN resistance USING (ticker)"""))
 def technical_summary(spark, sf_dir):
-    return _rounded(ts.technical_summary(bars(spark, sf_dir), "2024-01-15"), {"rsi", "sma_50", "sma_200"})
+    t = _rounded(ts.technical_summary(bars(spark, sf_dir), "2024-01-15"), {"rsi", "sma_50", "sma_200"})
+    shown = lambda c: F.array_join(F.transform(c, lambda x: rnd(x, 2).cast("string")), ",")
+    return t.withColumn("support", shown("support")).withColumn("resistance", shown("resistance")).withColumn("signals", F.array_join("signals", ","))
 
 
 @query("ts_growth_projection", with_inputs("macro", """
@@ -119,8 +142,8 @@ j AS (SELECT coalesce(a.date, b.date) AS date, a.value AS a, b.value AS b FROM a
 f AS (SELECT date, last_value(a IGNORE NULLS) OVER (ORDER BY date) AS a, last_value(b IGNORE NULLS) OVER (ORDER BY date) AS b FROM j)
 SELECT date::VARCHAR AS date, a, b FROM f WHERE a IS NOT NULL AND b IS NOT NULL"""))
 def aligned_series(spark, sf_dir):
-    m = macro_series(spark, sf_dir)
-    return ts.align(m.filter("indicator = '1-URGENT'"), m.filter("indicator = '2-HIGH' and month(date) % 3 = 1"))
+    m = macro_series(spark, sf_dir).withColumn("pair", F.lit("urgent/high"))
+    return ts.align(m.filter("indicator = '1-URGENT'"), m.filter("indicator = '2-HIGH' and month(date) % 3 = 1"), "pair").drop("pair")
 
 
 @query("ts_context_budget", """WITH b AS (SELECT doc_id, source, substr(text, 1, CAST(20000 - before AS BIGINT)) AS text FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) WHERE before < 20000)
@@ -149,7 +172,10 @@ def keep_last_per_period(spark, sf_dir):
     return macro_series(spark, sf_dir).groupBy("indicator", F.year("date").alias("year")).agg(F.max_by("value", "date").alias("value"))
 
 
-@query("ts_sliding_limiter")
+@query("ts_sliding_limiter", """WITH RECURSIVE b AS MATERIALIZED (SELECT user_id AS key, ts, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+e AS (SELECT key, i, [ts] AS kept, TRUE AS allowed FROM b WHERE i = 1
+UNION ALL SELECT key, i, CASE WHEN len(live) < 2 THEN list_append(live, ts) ELSE live END, len(live) < 2 FROM (SELECT b.key, b.i, b.ts, list_filter(e.kept, lambda x: b.ts - x < INTERVAL 1 HOUR) AS live FROM e JOIN b ON b.key = e.key AND b.i = e.i + 1))
+SELECT key, ts::VARCHAR AS ts, id, allowed FROM b JOIN e USING (key, i)""")
 def sliding_limiter(spark, sf_dir):
     e = load(spark, sf_dir, "events").select("user_id", "ts", F.col("event_id").alias("id"))
     return ts.sliding_limiter(e, "user_id", seconds=3600, most=2)

@@ -236,10 +236,64 @@ def test_form4_dummy_row(spark):
 
 def test_read_only_sql(spark):
     spark.range(300).createOrReplaceTempView("many")
+    spark.range(5).write.mode("overwrite").saveAsTable("kept")
     assert sinks.read_only_sql(spark, "select * from many where id in (select id from many limit 250)").count() == 100
-    for bad in ("drop view many", "create table x as select 1", "insert into many select 1", "set a=b"):
+    assert sinks.read_only_sql(spark, "with t as (select 'insert into kept' as s) select s, count(*) over () as n from t union all values ('x', 2)").count() == 2
+    for bad in (
+        "drop view many", "create table x as select 1", "insert into kept select 1", "set a=b", "truncate table kept", "alter table kept rename to gone", "alter table kept add columns (z int)", "replace table kept as select 1", "delete from kept",
+        "update kept set id = 1", "merge into kept using many on kept.id = many.id when matched then delete", "load data inpath '/x' into table kept", "cache table kept", "uncache table kept", "refresh table kept", "analyze table kept compute statistics",
+        "with t as (select 1 as id) insert into kept select * from t", "from many insert into kept select id insert into kept select id", "create temporary view v as select 1", "create function f as 'x'", "add jar 'x'", "use default", "show tables", "describe kept",
+        "msck repair table kept", "begin insert into kept select 1; end", "select transform(id) using 'cat' from many", "select reflect('java.lang.Runtime', 'getRuntime')", "select * from many where id = (select java_method('java.lang.System', 'exit', 1))", "explain select 1", "reset",
+    ):
         with pytest.raises(PermissionError):
             sinks.read_only_sql(spark, bad)
+    assert spark.table("kept").count() == 5 and spark.table("kept").columns == ["id"]
+    spark.sql("drop table kept")
+
+
+def test_sql_table_functions(spark):
+    from quillfin.session import register_functions
+
+    register_functions(spark)
+    assert [tuple(r) for r in spark.sql("select * from table_cells('| a | b |\n|---|---|\n| 1 | 2 |') order by row, col").collect()] == [(0, 0, "a"), (0, 1, "b"), (1, 0, "1"), (1, 1, "2")]
+    assert {(r["term"], r["hits"]) for r in spark.sql("select * from keyword_hits('Headwinds and a headwind') where category = 'negative'").collect()} == {("headwinds", 1), ("headwind", 2)}
+
+
+def test_wide_statements_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(rd, "MOST_ITEMS", 3)
+    wide = spark.createDataFrame([(f"item{i}", float(i)) for i in range(4)], "item string, d2024 double")
+    with pytest.raises(ValueError):
+        rd.statement(wide, "item")
+    assert rd.statement(wide.limit(3), "item").count() == 1
+
+
+def test_tickers_of_questions(spark):
+    companies = spark.createDataFrame([(0, "meta", "meta"), (1, "msft", "microsoft"), (2, "brk.b", "berkshire (b)")], "ordinal int, ticker string, company string")
+    asked = {1: "Give me a case for MSFT!", 2: "Is Microsoft stock good, or meta?", 3: "the metadata of a file", 4: "", 5: "1234 extraordinarily", 6: None, 7: "what of berkshire (b) now"}
+    got = rel.ticker_in_text(spark.createDataFrame(list(asked.items()), "question_id int, question string"), companies).collect()
+    assert {r["question_id"]: r["ticker"] for r in got} == {1: "MSFT", 2: "META", 3: "THE", 4: None, 5: None, 6: None, 7: "WHAT"}
+
+
+def test_types_of_volume_claims(spark):
+    c = one(spark, tx.volume_claims(F.col("t")), t="Heavy puts: the $95 strike saw 12,000 contracts. " + "x" * 120 + " Then $100 strike call reached 1,500 contracts; $105 put with 2,250 contracts")
+    assert [(x["strike"], x["volume"], x["type"]) for x in c] == [(95.0, 12000, "put"), (100.0, 1500, "call"), (105.0, 2250, "put")]
+
+
+def test_levels_see_the_display_range_alone(spark):
+    closes = [5.0, 9.0, 1.0, 9.0] + [4.0 + (i % 7) / 10 for i in range(40)]
+    r = ts.technical_summary(bars(spark, {"A": closes}), "2024-01-05").first()
+    assert 1.0 not in r["support"] and 9.0 not in r["resistance"] and r["support"] and r["sma_200"] is None
+
+
+def test_folds_stream_through_batches(spark):
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    b = bars(spark, {k: [float((i * 7) % 13 + 1) for i in range(90)] for k in ("A", "B")})
+    try:
+        whole = [tuple(r) for f in (ts.rsi, ts.macd) for r in f(b).orderBy("ticker", "ts").collect()]
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        assert [tuple(r) for f in (ts.rsi, ts.macd) for r in f(b).orderBy("ticker", "ts").collect()] == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -283,6 +337,13 @@ def test_retrieval_edges(spark):
     assert [r["doc_id"] for r in ret.bm25(docs, spark.createDataFrame([(1, "élan")], "query_id int, query string"), 5).collect()] == [1]
 
 
+def test_a_search_without_hits_leaves_the_others(spark):
+    docs = spark.createDataFrame([(1, "acme risk factors"), (2, "other words")], "doc_id int, text string")
+    plan = (("a", "{ticker} risk", 2, 1), ("b", "nothing {year1}", 3, None), ("c", "words of {next}", 1, None))
+    got = ret.run_plan(docs, ret.plan_searches(spark.createDataFrame([("acme", 2024)], "ticker string, year int"), plan), chars=4).collect()
+    assert {(r["bucket"], r["doc_id"], r["rank"], r["n"], r["content"]) for r in got} == {("a", 1, 1, 1, "acme"), ("c", 2, 1, 1, "othe")}
+
+
 def test_stream_amendments(spark, tmp_path):
     from quillfin.streaming.streams import amend_batch
 

@@ -1,4 +1,4 @@
-"""Every query with an oracle against DuckDB, every other one runs."""
+"""Every query against DuckDB."""
 
 import pytest
 
@@ -16,16 +16,13 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
-    if name not in ORACLES:
-        assert df.columns and df.count() >= 0
-        return
     columns, rows = duck_rows(con, ORACLES[name])
     assert sorted(df.columns) == columns
     assert spark_rows(df) == rows
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(ORACLES) == set(QUERIES)
 
 
 def test_entry(spark):
