@@ -6,13 +6,14 @@ styles and comments are known by their elements or by words of their class, id
 or role. Where a page has an article (else a main element), its blocks are those
 inside the largest.
 
-Words are counted by host. A host of at most GROUP_WORDS words is one group: its
-word streams are concatenated, and a suffix array sorted to depth LONG finds runs
-of LONG words that stand in several distinct pages: boilerplate. Larger hosts are
+Boilerplate is counted by host. A host of at most GROUP_CHARS characters is one
+group: its word streams are concatenated, and a suffix array sorted to depth LONG
+finds runs of LONG words that stand in several distinct pages. Larger hosts are
 spread over any number of tasks: each distinct page gives the 128-bit BLAKE2
-digests of its runs, which are counted over the whole host, and those that
-enough pages have are joined back to the pages. A run whose least part of PART
-words too few pages have is not looked up. Both ways give the same result. A
+digests of its runs, which are counted over the whole host, and runs that enough
+pages have go back to the pages: to all tasks while they are at most HOT_RUNS, else
+by a join. A run whose least part of PART words too few pages have is not looked
+up. All ways give the same result, whatever the partitions. A
 block that such runs cover is removed, of other blocks the runs within them, and
 unique runs stay. In a page with an article the run must be in at least ARTICLE_SHARE
 of the host's distinct pages, as an article may quote others; elsewhere in
@@ -36,12 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillfin.llm.shared import staged
-from quillfin.llm.words import U, mix64, sliding, split_words
+from quillfin.llm.words import U, mix64, pieces, sliding, split_words
 
 LONG = 8
 LEAST_PAGES = 3
 ARTICLE_SHARE = 0.5
-GROUP_WORDS = 400_000
+GROUP_CHARS = 4_000_000
+HOT_RUNS = 200_000
 PART = 4
 SLOTS = 1 << 26
 
@@ -235,13 +237,12 @@ def _main_texts(group: list[tuple[list[str], bool]]) -> list[str]:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches, "html", 4_000_000):
         found = [page_blocks(page) for page in b.column("html").to_pylist()]
         blocks = [x for x, _ in found]
         kind = [hashlib.blake2b(" ".join(x).encode(), digest_size=16).digest() for x in blocks]
-        sizes = [1 + sum(t.count(" ") + 1 for t in x) for x in blocks]
-        columns = [b.column("host"), b.column("page_id"), b.column("url"), pa.array(blocks, pa.list_(pa.string())), pa.array([t for _, t in found], pa.bool_()), pa.array(kind, pa.binary()), pa.array(sizes, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["host", "page_id", "url", "blocks", "trusted", "kind", "size"])
+        columns = [b.column("host"), b.column("page_id"), b.column("url"), pa.array(blocks, pa.list_(pa.string())), pa.array([t for _, t in found], pa.bool_()), pa.array(kind, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "page_id", "url", "blocks", "trusted", "kind"])
 
 
 def _texts(b: pa.RecordBatch | dict, texts: list[str]) -> pa.RecordBatch:
@@ -270,9 +271,9 @@ def _digest(words: list[str]) -> bytes:
     return hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
 
 
-def _run_digests(words: list[str]) -> list[bytes]:
-    """Of each run of LONG words."""
-    return [_digest(words[i : i + LONG]) for i in range(len(words) - LONG + 1)]
+def _need(kinds: int, trusted: bool) -> int:
+    """Distinct pages of a host of so many that a run must stand in."""
+    return max(LEAST_PAGES, int(np.ceil(ARTICLE_SHARE * kinds))) if trusted else LEAST_PAGES
 
 
 def _keys(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -287,69 +288,92 @@ def _keys(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _page_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    """(key, need): each page's distinct keys, and how many pages of its host must have a run at least."""
+    for b in pieces(batches, "blocks"):
         row, _, key = _keys(b)
         first = np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]))[: len(key)]
         pairs = np.unique(np.rec.fromarrays([row[first], key[first]]))
-        yield pa.RecordBatch.from_arrays([pa.array(pairs["f1"].view(np.int64))], ["key"])
+        need = np.array([_need(k, t) for k, t in zip(b.column("kinds").to_pylist(), b.column("all_trusted").to_pylist())], np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs["f1"].view(np.int64)), pa.array(need[pairs["f0"]])], ["key", "need"])
+
+
+def _looked_up(b: pa.RecordBatch, bits: np.ndarray) -> list[list[tuple[int, bytes]]]:
+    """Of each page, (place, digest) of the runs whose key's bit is set."""
+    row, place, key = _keys(b)
+    slot = (key & U(SLOTS - 1)).astype(np.int64)
+    use = np.flatnonzero((bits[slot >> 6] >> (slot & 63).astype(U)) & U(1))
+    found: list[list[tuple[int, bytes]]] = [[] for _ in range(b.num_rows)]
+    words: list[str] = []
+    at = -1
+    for r, i in zip(row[use].tolist(), place[use].tolist()):
+        if r != at:
+            words, at = " ".join(b.column("blocks")[r].as_py()).split(" "), r
+        found[r].append((i, _digest(words[i : i + LONG])))
+    return found
 
 
 def _runs(bits_):
-    """(host, kind, run) of runs that may stand in LEAST_PAGES pages."""
+    """(host, kind, run) of runs that may be boilerplate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bits_.value
-        for b in batches:
-            row, place, key = _keys(b)
-            slot = (key & U(SLOTS - 1)).astype(np.int64)
-            use = np.flatnonzero((bits[slot >> 6] >> (slot & 63).astype(U)) & U(1))
-            words = [" ".join(x).split(" ") for x in b.column("blocks").to_pylist()]
-            data = [_digest(words[r][i : i + LONG]) for r, i in zip(row[use].tolist(), place[use].tolist())]
-            at = pa.array(row[use])
-            yield pa.RecordBatch.from_arrays([b.column("host").take(at), b.column("kind").take(at), pa.array(data, pa.binary())], ["host", "kind", "run"])
+        for b in pieces(batches, "blocks"):
+            data = [(r, d) for r, runs in enumerate(_looked_up(b, bits_.value)) for d in dict.fromkeys(d for _, d in runs)]
+            at = pa.array([r for r, _ in data], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("host").take(at), b.column("kind").take(at), pa.array([d for _, d in data], pa.binary())], ["host", "kind", "run"])
 
     return run
 
 
 def _common_keys(pages: DataFrame) -> np.ndarray:
-    """SLOTS bits: set where a key (by its low bits) stands in LEAST_PAGES pages and more. A filter only: others cannot be boilerplate."""
-    found = pages.mapInArrow(_page_keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_PAGES)
+    """SLOTS bits: set where a key (by its low bits) stands in enough pages. A filter only: runs of other keys cannot be boilerplate."""
+    found = pages.mapInArrow(_page_keys, "key long, need int").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).filter(F.col("n") >= F.col("need"))
     slot = F.col("key").bitwiseAND(F.lit(SLOTS - 1))
-    rows = found.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits")).toArrow()
+    # Written first, so that the shuffle of all keys is dropped at once. At most SLOTS / 64 rows are left.
+    rows = staged(found.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits")), "key-bits").toArrow()
     out = np.zeros(SLOTS // 64, U)
     out[rows.column("w").to_numpy()] = rows.column("bits").to_numpy().view(U)
     return out
 
 
-def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of pages that bring their host's distinct pages (kinds) and their repeated runs with counts."""
-    for b in batches:
-        texts = []
-        for blocks, trusted, kinds, repeated in zip(*(b.column(c).to_pylist() for c in ("blocks", "trusted", "kinds", "repeated"))):
-            need = max(LEAST_PAGES, int(np.ceil(ARTICLE_SHARE * kinds))) if trusted else LEAST_PAGES
-            hot = {x["run"] for x in repeated or [] if x["n"] >= need}
-            page = [block.split(" ") for block in blocks]
-            ends = _block_ends(page)
-            hit = [i for i, d in enumerate(_run_digests([w for words in page for w in words])) if d in hot] if hot else []
-            texts.append(_without(blocks, page, _covered(np.array(hit, np.int64), ends)))
-        yield _texts({"page_id": b.column("page_id"), "url": b.column("url")}, texts)
+def _strip(bits_, hot_):
+    """Texts of pages. Repeated runs with counts come by host (hot_) or with the page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "blocks"):
+            texts = []
+            mine = [hot_.value.get(h, {}) for h in b.column("host").to_pylist()] if hot_ else [{x["run"]: x["n"] for x in r or []} for r in b.column("repeated").to_pylist()]
+            for blocks, trusted, kinds, counts, runs in zip(*(b.column(c).to_pylist() for c in ("blocks", "trusted", "kinds")), mine, _looked_up(b, bits_.value)):
+                need = _need(kinds, trusted)
+                page = [block.split(" ") for block in blocks]
+                hit = [i for i, d in runs if counts.get(d, 0) >= need]
+                texts.append(_without(blocks, page, _covered(np.array(hit, np.int64), _block_ends(page))))
+            yield _texts({"page_id": b.column("page_id"), "url": b.column("url")}, texts)
+
+    return run
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text, n_chars."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1))
-    parsed = staged(rows.withColumn("host", host).mapInArrow(_parse, "host string, page_id long, url string, blocks array<string>, trusted boolean, kind binary, size long"), "blocks")
-    # One row for GROUP_WORDS words and more: small beside the pages.
-    large = staged(parsed.groupBy("host").agg(F.sum("size").alias("size"), F.count_distinct("kind").alias("kinds")).filter(F.col("size") > GROUP_WORDS).select("host", "kinds"), "large-hosts")
-    result = "page_id long, url string, text string, n_chars long"
-    whole = parsed.join(F.broadcast(large), "host", "left_anti").select("host", "page_id", "url", "blocks", "trusted").repartition("host").sortWithinPartitions("host").mapInArrow(_whole_hosts, result)
+    spark = pages.sparkSession
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    rows = rows.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)))
+    large = staged(rows.groupBy("host").agg(F.sum(F.length("html")).alias("chars")).filter(F.col("chars") > GROUP_CHARS).select("host"), "large-hosts")
+    parsed, result = "host string, page_id long, url string, blocks array<string>, trusted boolean, kind binary", "page_id long, url string, text string, n_chars long"
+    small = rows.join(large, "host", "left_anti").mapInArrow(_parse, parsed).drop("kind")
+    whole = small.repartition("host").sortWithinPartitions("host").mapInArrow(_whole_hosts, result)
     if large.isEmpty():
         return whole
-    spread = parsed.join(F.broadcast(large), "host").select("host", "kind", "page_id", "url", "blocks", "trusted", "kinds")
-    keyed = spread.select("host", F.xxhash64("host").alias("host_hash"), "kind", "blocks")
-    bits = pages.sparkSession.sparkContext.broadcast(_common_keys(keyed))
-    runs = staged(keyed.mapInArrow(_runs(bits), "host string, kind binary, run binary").distinct(), "runs")
-    counts = staged(runs.groupBy("host", "run").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_PAGES), "counts")
+    spread = staged(rows.join(large, "host", "left_semi").mapInArrow(_parse, parsed), "blocks")
+    facts = staged(spread.groupBy("host").agg(F.count_distinct("kind").alias("kinds"), F.min("trusted").alias("all_trusted")), "hosts")
+    keyed = spread.join(facts, "host").withColumn("host_hash", F.xxhash64("host"))
+    bits = spark.sparkContext.broadcast(_common_keys(keyed))
+    runs = staged(keyed.select("host", "host_hash", "kind", "blocks").mapInArrow(_runs(bits), "host string, kind binary, run binary").distinct(), "runs")
+    need = F.when(F.col("all_trusted"), F.greatest(F.lit(LEAST_PAGES), F.ceil(F.lit(ARTICLE_SHARE) * F.col("kinds")))).otherwise(LEAST_PAGES)
+    counts = staged(runs.groupBy("host", "run").agg(F.count(F.lit(1)).alias("n")).join(facts, "host").filter(F.col("n") >= need).select("host", "run", "n"), "counts")
+    if counts.limit(HOT_RUNS + 1).count() <= HOT_RUNS:
+        hot: dict[str, dict[bytes, int]] = {}
+        for r in counts.collect():
+            hot.setdefault(r["host"], {})[bytes(r["run"])] = r["n"]
+        return whole.unionByName(keyed.mapInArrow(_strip(bits, spark.sparkContext.broadcast(hot)), result))
     repeated = runs.join(counts, ["host", "run"]).groupBy("host", "kind").agg(F.collect_list(F.struct("run", "n")).alias("repeated"))
-    return whole.unionByName(spread.join(repeated, ["host", "kind"], "left").mapInArrow(_strip, result))
+    return whole.unionByName(keyed.join(repeated, ["host", "kind"], "left").mapInArrow(_strip(bits, None), result))

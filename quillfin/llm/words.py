@@ -135,7 +135,12 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1_0
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        held = batch.column(column)
+        if pa.types.is_list(held.type):  # of strings
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(held.values), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+            sizes = np.diff(ends[held.offsets.to_numpy()])
+        else:
+            sizes = pc.fill_null(pc.binary_length(held), 0).to_numpy(zero_copy_only=False)
         block = np.cumsum(sizes) // most_bytes
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
