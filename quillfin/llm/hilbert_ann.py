@@ -1,41 +1,54 @@
 """Approximate nearest neighbours by inner product over shifted Hilbert curves.
 
 Each of CURVES curves projects the vectors on AXES random orthonormal axes,
-shifts them and orders them by Hilbert key. Each curve is cut into ranges of about
-PARTITION_ROWS rows, however large the table. A query is sent to every range that
-the window around its own range meets: WINDOW_SHARE of all rows and WINDOW_ROWS
-at least, moved inwards at the ends of a curve. A task holds one range at a time,
-its queries pass by in batches, and products are made in tiles of TILE rows. The best
-of all ranges merge, with exact double-precision products of the original vectors.
+shifts them and orders them by Hilbert key. On each curve a query meets the rows
+that stand within half a window of it in that order, scored exactly in double
+precision on the original vectors; the best of all curves merge.
+
+The window is fitted: SAMPLE query vectors (of least hash) are compared with all
+rows, and the places of their true neighbours on the curves tell how wide a
+window must be for a recall of RECALL; it has WINDOW_ROWS rows at least. On data
+with structure it stays at that, however large the table. On isotropic vectors
+no order brings neighbours together and the window grows with the table (README).
+
+A curve is cut in ranges of about RANGE_ROWS rows, each one task's work, and a
+range also gets the halo of half a window of rows beyond either end, so windows
+go on across its ends. A task holds one range at a time, sorted by key. Curves are taken
+ROUND at a time, which bounds the copies of the vectors that are on disk at once.
 
 Copies: of rows with equal vectors only the k + 1 of least id can be among any
-k nearest, ties going to the smaller id, so no more of them enter the curves.
+k nearest, ties going to the smaller id, so no more of them enter the curves, and
+one search answers for all queries of equal vector.
 
-A vector takes no part if it is null, zero or has null or non-finite components,
-or another dimension than most; nor does a row without id. Repeated rows count
+A vector takes no part if it is null, zero or has null or non-finite components;
+nor does a row without id. Vectors of different dimensions have no inner product:
+each dimension is searched by itself. Repeated rows count
 once. With k candidates or fewer, all are returned. An empty table has no result.
 Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from quillfin.llm.shared import staged
 
-CURVES = 16
+CURVES = 32
+ROUND = 8
 AXES = 8
 BITS = 7
-WINDOW_SHARE = 0.10
-WINDOW_ROWS = 2_048
-PARTITION_ROWS = 32_768
-TILE = 4_096
+WINDOW_ROWS = 1_024
+RANGE_ROWS = 32_768
+SAMPLE = 64
+RECALL = 0.95
+#: Queries that stand side by side on a curve are multiplied with the rows of their windows at once.
+TOGETHER = 32
 SEED = 20_240_229
 U = np.uint64
 
@@ -85,139 +98,246 @@ def _keys_of(x: np.ndarray, curve: int, scale: float) -> np.ndarray:
     return hilbert_keys(cell, BITS).astype(np.int64)
 
 
-def _keys(curves: int, scale: float):
+def best(queries: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, score) of the k greatest inner products of each query, ties to smaller ids."""
+    s = queries @ rows.T
+    few = min(k, s.shape[1])
+    cut = -np.partition(-s, few - 1, axis=1)[:, few - 1]
+    # The matrix product rounds in its own way: keep what may tie with the last, and score it again.
+    i, j = np.nonzero(s >= (cut - 1e-9 * (1 + np.abs(cut)))[:, None])
+    score = np.add.reduce(queries[i] * rows[j], axis=1)
+    order = np.lexsort((ids[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return query_ids[i[keep]], ids[j[keep]], score[keep]
+
+
+# ---- the window: places of true neighbours on the curves ----
+
+
+def _exact(sample_, k: int):
+    """Rows (query_id, vec_id, score, embedding): of each batch the k best of each sampled query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, query_ids = sample_.value
+        for b in batches:
+            if b.num_rows:
+                ids = b.column("vec_id").to_numpy()
+                q, i, score = best(queries, _matrix(b.column("embedding")), query_ids, ids, k)
+                at = np.argsort(ids, kind="stable")
+                at = at[np.searchsorted(ids[at], i)]
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(score), b.column("embedding").take(pa.array(at))], ["query_id", "vec_id", "score", "embedding"])
+
+    return run
+
+
+def _ranks(points_, scale: float):
+    """Rows (curve, slot, n): how many of a task's rows stand between two neighbouring points of a curve."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points = points_.value
+        n = np.zeros((len(points), points.shape[1] + 1), np.int64)
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b.column("embedding"))
+                for c, mine in enumerate(points):
+                    n[c] += np.bincount(np.searchsorted(mine, _keys_of(x, c, scale), side="right"), minlength=n.shape[1])
+        c, slot = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(n[c, slot])], ["curve", "slot", "n"])
+
+    return run
+
+
+def fitted_half(use: DataFrame, asked: DataFrame, k: int, curves: int, scale: float, recall: float, least: int) -> int:
+    """Rows on either side of a query that its window must have on each curve."""
+    spark = use.sparkSession
+    sample = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    if not sample:
+        return least
+    q, ids = np.array([r["embedding"] for r in sample], float), np.array([r["vec_id"] for r in sample])
+    schema = f"query_id long, vec_id long, score double, embedding {use.schema['embedding'].dataType.simpleString()}"
+    found = use.mapInArrow(_exact(spark.sparkContext.broadcast((q, ids)), k + 1), schema)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    true = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + 1).filter("vec_id <> query_id").collect()
+    if not true:
+        return least
+    place = {v: i for i, v in enumerate(ids.tolist())}
+    x = np.concatenate([q, np.array([r["embedding"] for r in true], float)])
+    keys = np.stack([_keys_of(x, c, scale) for c in range(curves)])
+    points = np.sort(keys, axis=1)
+    counts = np.zeros((curves, points.shape[1] + 1), np.int64)
+    for r in use.mapInArrow(_ranks(spark.sparkContext.broadcast(points), scale), "curve int, slot int, n long").groupBy("curve", "slot").agg(F.sum("n").alias("n")).collect():
+        counts[r["curve"], r["slot"]] = r["n"]
+    below = np.cumsum(counts, axis=1)
+    rank = np.stack([below[c][np.searchsorted(points[c], keys[c], side="left")] for c in range(curves)])
+    own = rank[:, [place[r["query_id"]] for r in true]]
+    apart = np.sort(np.abs(rank[:, len(q) :] - own).min(axis=0))
+    return max(least, int(apart[min(len(apart) - 1, int(np.ceil(recall * len(apart))))]) + 1)
+
+
+# ---- ranges, halos, search ----
+
+
+def _keys(curves: range, scale: float):
     """Rows (curve, key, vec_id) of each vector on each curve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x = _matrix(b.column("embedding"))
-                for c in range(curves):
+                for c in curves:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(_keys_of(x, c, scale)), b.column("vec_id")], ["curve", "key", "vec_id"])
 
     return run
 
 
-def ranges_met(sizes: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """Of each range of a curve, the first range and the one after the last that the window around it meets: width rows beside its own, or all."""
-    end = np.cumsum(sizes)
-    start, n = end - sizes, int(end[-1])
-    out = []
-    for s, e in zip(start, end):
-        a = max(0, min(s - width // 2, n - width - (e - s)))
-        b = min(n, max(e + width // 2, width + (e - s)))
-        out.append((int(np.searchsorted(end, a, side="right")), int(np.searchsorted(start, b, side="left"))))
-    return out
+def _marks(half: int):
+    """Of each curve's rows in a sorted partition: how many, the first, the one after the first half and the one that begins the last half (key and id)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for b in batches:
+            curve, key, ids = (b.column(c).to_numpy() for c in ("curve", "key", "vec_id"))
+            for c in np.unique(curve).tolist():
+                held.setdefault(c, []).append((key[curve == c], ids[curve == c]))
+        rows = []
+        for c, parts in held.items():
+            key, ids = (np.concatenate(x) for x in zip(*parts))
+            at = [0, min(half, len(key) - 1), max(0, len(key) - half)]
+            rows.append((c, len(key), key[at].tolist(), ids[at].tolist()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))], ["curve", "n", "keys", "ids"])
+
+    return run
 
-def _send(cuts, scale: float, every: int):
-    """Rows (target, asked, vec_id, embedding): each vector to its own range of each curve, and each query to all ranges it meets. cuts: of each curve (least key and id of its ranges, targets, ranges met)."""
+
+def halos(sizes: list[int], half: int) -> tuple[list[list[int]], list[list[int]], list[list[int]]]:
+    """Of each range of a curve: the ranges that get all of its rows, its first half window and its last one, so that each has half a window beyond its ends."""
+    whole, head, last = ([[] for _ in sizes] for _ in range(3))
+    for r in range(len(sizes)):
+        for step, edge in ((-1, last), (1, head)):
+            have, j = 0, r + step
+            while 0 <= j < len(sizes) and have < half:
+                (whole if sizes[j] <= half else edge)[j].append(r)
+                have += sizes[j]
+                j += step
+    return whole, head, last
+
+
+def _place(keys: np.ndarray, ids: np.ndarray, at: np.ndarray, at_ids: np.ndarray) -> np.ndarray:
+    """Of each (key, id), the number of the last of the ascending (at, at_ids) that is not greater, -1 if none."""
+    pairs = np.rec.fromarrays([at, at_ids], names="k,i")
+    return np.searchsorted(pairs, np.rec.fromarrays([keys, ids], dtype=pairs.dtype), side="right") - 1
+
+
+def _send(cuts, scale: float):
+    """Rows (target, asked, key, vec_id, embedding): each vector to its range of each curve, and to those whose halo it is in. cuts: of each curve (sizes, keys, ids of the ranges' marks, first target, halos)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x, ids = _matrix(b.column("embedding")), b.column("vec_id").to_numpy()
-            for c, (firsts, targets, met) in cuts.items():
-                own = np.array([bisect_right(firsts, kv) - 1 for kv in zip(_keys_of(x, c, scale).tolist(), ids.tolist())])
-                asked = [(i, t) for i in np.flatnonzero(ids % every == 0).tolist() for t in range(*met[own[i]])]
-                at = pa.array(np.concatenate([np.arange(len(x)), np.array([i for i, _ in asked], np.int64)]))
-                target = np.concatenate([targets[own], targets[np.array([t for _, t in asked], np.int64)]])
-                flag = np.repeat([0, 1], [len(x), len(asked)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(target.astype(np.int32)), pa.array(flag), b.column("vec_id").take(at), b.column("embedding").take(at)], ["target", "asked", "vec_id", "embedding"])
+            x, ids, asked = _matrix(b.column("embedding")), b.column("vec_id").to_numpy(), b.column("asked").to_numpy(zero_copy_only=False)
+            for c, (marks, mark_ids, given, sent) in cuts.items():
+                key = _keys_of(x, c, scale)
+                own = np.maximum(0, _place(key, ids, marks[:, 0], mark_ids[:, 0]))
+                before = (key < marks[own, 1]) | ((key == marks[own, 1]) & (ids < mark_ids[own, 1]))
+                after = (key > marks[own, 2]) | ((key == marks[own, 2]) & (ids >= mark_ids[own, 2]))
+                rows, targets, flags = [np.arange(len(x))], [own], [asked]
+                for in_halo, to in zip((np.ones(len(x), bool), before, after), sent):
+                    for r in np.unique(own[in_halo]).tolist():
+                        for t in to[r]:
+                            at = np.flatnonzero(in_halo & (own == r))
+                            rows.append(at)
+                            targets.append(np.full(len(at), t))
+                            flags.append(np.zeros(len(at), bool))
+                at = np.concatenate(rows)
+                columns = [pa.array((given + np.concatenate(targets)).astype(np.int32)), pa.array(np.concatenate(flags).astype(bool)), pa.array(key[at]), b.column("vec_id").take(pa.array(at)), b.column("embedding").take(pa.array(at))]
+                yield pa.RecordBatch.from_arrays(columns, ["target", "asked", "key", "vec_id", "embedding"])
 
     return run
 
 
-def best(queries: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score) of the k greatest inner products of each query, ties to smaller ids, its own id left out."""
-    s = queries @ rows.T
-    s[query_ids[:, None] == ids[None, :]] = -np.inf
-    few = min(k, s.shape[1])
-    cut = -np.partition(-s, few - 1, axis=1)[:, few - 1]
-    # The matrix product rounds in its own way: keep what may tie with the last, and score it again.
-    i, j = np.nonzero((s >= (cut - 1e-9 * (1 + np.abs(np.where(np.isfinite(cut), cut, 0))))[:, None]) & np.isfinite(s))
-    score = np.add.reduce(queries[i] * rows[j], axis=1)
-    order = np.lexsort((ids[j], -score, i))
-    i, j, score = i[order], j[order], score[order]
-    rank = np.arange(len(i)) - np.searchsorted(i, i)
-    keep = rank < k
-    return query_ids[i[keep]], ids[j[keep]], score[keep]
+def _search(k: int, half: int):
+    """Rows come by target, key and id."""
 
-
-def _best_of_tiles(queries: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """best(), rows taken TILE at a time."""
-    found = [best(queries, rows[a : a + TILE], query_ids, ids[a : a + TILE], k) for a in range(0, len(rows), TILE)]
-    if len(found) == 1:
-        return found[0]
-    q, i, score = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((i, -score, q))
-    q, i, score = q[order], i[order], score[order]
-    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
-    return q[keep], i[keep], score[keep]
-
-
-def _search(k: int):
-    """Rows come by target, a range's vectors before its queries."""
+    def found(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        x, ids = _matrix(t.column("embedding").combine_chunks()), t.column("vec_id").to_numpy()
+        asked = np.flatnonzero(t.column("asked").to_numpy())
+        for a in range(0, len(asked), TOGETHER):
+            mine = asked[a : a + TOGETHER]
+            lo, hi = max(0, mine[0] - half), mine[-1] + half + 1
+            q, i, score = best(x[mine], x[lo:hi], ids[mine], ids[lo:hi], k)
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(score)], ["rep", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, target, rows, row_ids = [], None, None, None
+        held: list[pa.RecordBatch] = []
+        target = None
         for b in batches:
             if not b.num_rows:
                 continue
-            t, asked = b.column("target").to_numpy(), b.column("asked").to_numpy()
-            turn = np.flatnonzero((np.diff(t) != 0) | (np.diff(asked) != 0)) + 1
-            for lo, hi in zip([0, *turn.tolist()], [*turn.tolist(), len(t)]):
-                part, ids = _matrix(b.column("embedding").slice(lo, hi - lo)), b.column("vec_id").to_numpy()[lo:hi]
-                if t[lo] != target:
-                    held, target, rows = [], t[lo], None
-                if not asked[lo]:
-                    held.append((part, ids))
-                    continue
-                if rows is None and held:
-                    rows, row_ids = np.concatenate([x for x, _ in held]), np.concatenate([i for _, i in held])
+            t = b.column("target").to_numpy()
+            turn = (np.flatnonzero(np.diff(t)) + 1).tolist()
+            for lo, hi in zip([0, *turn], [*turn, len(t)]):
+                if held and t[lo] != target:
+                    yield from found(held)
                     held = []
-                if rows is None:
-                    continue
-                for a in range(0, len(ids), 256):
-                    qi, vi, score = _best_of_tiles(part[a : a + 256], rows, ids[a : a + 256], row_ids, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array(vi), pa.array(score)], ["query_id", "vec_id", "score"])
+                target = t[lo]
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from found(held)
 
     return run
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) that take part, repeated rows once."""
-    e = F.col("embedding")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<float>").alias("embedding")).filter(
-        e.isNotNull() & F.col("vec_id").isNotNull() & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists(e, lambda v: v != 0)
-    )
-    top = rows.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).first()
-    return rows.filter(F.size("embedding") == (top["d"] if top else 0)).distinct()
+    """(vec_id, embedding) that take part, repeated rows once. Components stay float if they are, else double."""
+    kind = "float" if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
+    good = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("embedding", lambda v: v != 0)
+    return rows.filter(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & good).distinct()
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURVES, window_share: float = WINDOW_SHARE, window_rows: int = WINDOW_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURVES, window_rows: int = WINDOW_ROWS, recall: float = RECALL) -> DataFrame:
     """For each row whose vec_id is divisible by every: query_id, rank, vec_id, score of its k nearest. vectors: vec_id, embedding."""
     rows = valid_vectors(vectors)
+    dimensions = sorted(r["d"] for r in rows.select(F.size("embedding").alias("d")).distinct().collect())
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for d in dimensions:
+        part = _nearest_of(rows.filter(F.size("embedding") == d), d, k, every, curves, window_rows, recall)
+        out = part if len(dimensions) == 1 else out.unionByName(part)
+    return out
+
+
+def _nearest_of(rows: DataFrame, d: int, k: int, every: int, curves: int, window_rows: int, recall: float) -> DataFrame:
+    spark = rows.sparkSession
     copy = Window.partitionBy("embedding").orderBy("vec_id")
-    few = rows.withColumn("copy", F.row_number().over(copy)).filter(F.col("copy") <= k + 1).drop("copy")
-    # A query that is a later copy is still asked.
-    asked = rows.filter(F.col("vec_id") % every == 0)
-    use = staged(few.unionByName(asked).distinct(), "vectors")
-    facts = use.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d"), F.avg(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v)).alias("norm")).first()
-    n, d = facts["n"], facts["d"] or 1
-    scale = float(np.sqrt((facts["norm"] or 1.0) / d))
-    width = max(window_rows, int(n * window_share))
-    parts = max(curves, -(-n * curves // PARTITION_ROWS))
-    keys = use.mapInArrow(_keys(curves, scale), "curve int, key long, vec_id long").repartitionByRange(parts, "curve", "key", "vec_id")
-    made = keys.groupBy("curve", F.spark_partition_id().alias("part")).agg(F.min(F.struct("key", "vec_id")).alias("first"), F.count(F.lit(1)).alias("n")).collect()
-    cuts, given = {}, 0
-    for c in range(curves):
-        mine = sorted((tuple(r["first"]), r["n"]) for r in made if r["curve"] == c)
-        if mine:
-            cuts[c] = ([f for f, _ in mine], given + np.arange(len(mine)), ranges_met(np.array([m for _, m in mine]), width))
+    few = staged(rows.withColumn("copy", F.row_number().over(copy)).filter(F.col("copy") <= k + 1), "few")
+    # All queries of one vector are answered by the search for its copy of least id.
+    heads = few.filter("copy = 1").select("embedding", F.col("vec_id").alias("rep"))
+    queries = staged(rows.filter(F.col("vec_id") % every == 0).join(heads, "embedding").select(F.col("vec_id").alias("query_id"), "rep"), "queries")
+    reps = queries.select(F.col("rep").alias("vec_id"), F.lit(True).alias("asked")).distinct()
+    use = staged(few.join(reps, "vec_id", "left").select("vec_id", "embedding", F.coalesce("asked", F.lit(False)).alias("asked")), "vectors")
+    facts = use.agg(F.count(F.lit(1)).alias("n"), F.avg(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v)).alias("norm")).first()
+    scale = float(np.sqrt(facts["norm"] / d))
+    half = min(facts["n"], fitted_half(use, use.filter("asked"), k, curves, scale, recall, -(-window_rows // 2)))
+    kind = use.schema["embedding"].dataType.simpleString()
+    found = None
+    for a in range(0, curves, ROUND):
+        now = range(a, min(curves, a + ROUND))
+        parts = max(len(now), -(-facts["n"] * len(now) // max(RANGE_ROWS, 4 * half)))
+        keys = use.mapInArrow(_keys(now, scale), "curve int, key long, vec_id long").repartitionByRange(parts, "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
+        made = keys.mapInArrow(_marks(half), "curve int, n long, keys array<long>, ids array<long>").collect()
+        cuts, given = {}, 0
+        for c in now:
+            mine = sorted((r for r in made if r["curve"] == c), key=lambda r: (r["keys"][0], r["ids"][0]))
+            cuts[c] = (np.array([r["keys"] for r in mine]), np.array([r["ids"] for r in mine]), given, halos([r["n"] for r in mine], half))
             given += len(mine)
-    sent = use.mapInArrow(_send(cuts, scale, every), "target int, asked int, vec_id long, embedding array<float>")
-    found = sent.repartition(max(parts, given), "target").sortWithinPartitions("target", "asked").mapInArrow(_search(k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        sent = use.mapInArrow(_send(cuts, scale), f"target int, asked boolean, key long, vec_id long, embedding {kind}")
+        best_of = sent.repartition(max(1, given), "target").sortWithinPartitions("target", "key", "vec_id").mapInArrow(_search(k + 1, half), "rep long, vec_id long, score double")
+        round_ = staged(best_of.distinct(), "neighbours")
+        found = round_ if found is None else found.unionByName(round_)
+    order = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
+    top = found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + 1).select("rep", "vec_id", "score")
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return queries.join(top, "rep").filter("vec_id <> query_id").withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
