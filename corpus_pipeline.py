@@ -9,6 +9,8 @@ and text together, so rows of one doc_id or of none are judged each on its own.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from quillfin.llm.decontamination import contaminated
 from quillfin.llm.line_dedup import line_dedup
 from quillfin.llm.near_dedup import near_duplicates
 from quillfin.llm.sentencepiece_codec import encode_and_check
-from quillfin.llm.shared import KEY, staged, table, tuned, with_row_key
+from quillfin.llm.shared import KEY, shared_dir, stage_scope, table, tuned, with_row_key
 from quillfin.llm.toxicity import toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -69,7 +71,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's result is written and read again; tables that a stage made on its way are removed with it."""
     docs = table(spark, sf_dir, "documents")
+    at = f"{shared_dir(spark)}/quillfin/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with stage_scope(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.option("compression", "zstd").parquet(f"{at}/{name}")
+        docs = spark.read.schema(out.schema).parquet(f"{at}/{name}")
     return docs

@@ -6,7 +6,9 @@ of n characters may differ by e = floor(n * error_rate) edits. Cut into e + 1
 pieces, an occurrence within e edits holds one piece unchanged, so exact piece
 hits (an Aho-Corasick automaton over all pieces) find every occurrence. Each
 hit names a window of the text, and Myers' bit-parallel distance decides there
-whether the item occurs with at most e edits.
+whether the item occurs with at most e edits. Items too short for any edit (under 13
+characters at 8 %) count only where they stand as whole words, as letters inside
+longer words say nothing.
 
 Items go to the tasks in blocks of at most BLOCK_CHARS characters, one pass over
 the documents for each block: the bound holds whatever the benchmark's size.
@@ -95,10 +97,16 @@ class Matcher:
     def find(self, text: str) -> list[tuple[int, int, int]]:
         """(item's place, distance, end) of the best occurrence of each item in a normalised text."""
         found: dict[int, tuple[int, int]] = {}
+        padded = f" {text} "
         windows: dict[int, list[list[int]]] = {}
         for last, (n, where) in self.automaton.iter(text):
             for k, a in where:
                 _, t, e = self.items[k]
+                if not e:
+                    # The one piece is the whole item: it counts where it stands as words of its own.
+                    if padded[last + 1 - n] == " " and padded[last + 2] == " ":
+                        found.setdefault(k, (0, last + 1))
+                    continue
                 begin = last + 1 - n - a
                 lo, hi = max(0, begin - e), min(len(text), begin + len(t) + e)
                 mine = windows.setdefault(k, [])

@@ -137,10 +137,10 @@ def _threshold(levels: dict[int, int], most: int) -> int:
     return 1 << level
 
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
+def vocabulary(counts: DataFrame, own_class: int | None = None) -> Vocabulary:
     level = F.floor(F.log2("c")).cast("int")
     levels = {r["level"]: r["n"] for r in counts.filter(F.col("h") != END).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    own_from, known_from = _threshold(levels, OWN_CLASS - 1), _threshold(levels, FREQUENT)
+    own_from, known_from = _threshold(levels, (own_class or OWN_CLASS) - 1), _threshold(levels, FREQUENT)
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     top = counts.filter((F.col("c") >= known_from) | (F.col("h") == END)).toPandas()
     end = int(top.c[top.h == END].sum()) if len(top) else 0
@@ -377,12 +377,12 @@ def _score(model_):
     return run
 
 
-def language_model_scores(docs: DataFrame, held_out_fold: int = 1, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def language_model_scores(docs: DataFrame, held_out_fold: int = 1, states: int = STATES, rounds: int = ROUNDS, own_class: int = 0) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. own_class: the most frequent words that get a class of their own (0: OWN_CLASS)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", F.coalesce(crc_fold() == held_out_fold, F.lit(False)))
     counts = staged(word_counts(docs.filter("not held_out")), "word-counts")
-    v = vocabulary(counts)
+    v = vocabulary(counts, own_class)
     shared_v = spark.sparkContext.broadcast(v)
     coded = staged(
         docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(

@@ -139,14 +139,17 @@ def _bands(m: int, r: int):
     return run
 
 
-def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if not b.num_rows:
-            continue
-        x = np.frombuffer(b"".join(b.column("x").to_pylist()), np.uint32).reshape(b.num_rows, -1)
-        y = np.frombuffer(b"".join(b.column("y").to_pylist()), np.uint32).reshape(b.num_rows, -1)
-        ok = (x == y).mean(axis=1) >= LEAST_AGREEMENT
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
+def _agreement(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.frombuffer(b"".join(b.column("x").to_pylist()), np.uint32).reshape(b.num_rows, -1)
+            y = np.frombuffer(b"".join(b.column("y").to_pylist()), np.uint32).reshape(b.num_rows, -1)
+            ok = (x == y).mean(axis=1) >= least
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
+
+    return run
 
 
 def _sets(k: int):
@@ -204,12 +207,12 @@ def _verified(threshold: float):
 class _Verifier:
     """Checks candidate pairs (a, b) of nodes: by signature, then exactly by all shingles."""
 
-    def __init__(self, nodes: DataFrame, sets: DataFrame, threshold: float):
-        self.sketches, self.sets, self.threshold = nodes.select("node", "sketch"), sets, threshold
+    def __init__(self, nodes: DataFrame, sets: DataFrame, threshold: float, least_agreement: float):
+        self.sketches, self.sets, self.threshold, self.least = nodes.select("node", "sketch"), sets, threshold, least_agreement
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         ends = [(self.sketches.select(F.col("node").alias(c), F.col("sketch").alias(v))) for c, v in (("a", "x"), ("b", "y"))]
-        close = staged(pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "x", "y").mapInArrow(_agreement, "a long, b long"), "pairs")
+        close = staged(pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "x", "y").mapInArrow(_agreement(self.least), "a long, b long"), "pairs")
         sides = [self.sets.select(F.col("node").alias(c), F.col("vals").alias(f"v{v}"), F.col("weights").alias(f"w{v}")) for c, v in (("a", "x"), ("b", "y"))]
         found = staged(close.join(sides[0], "a").join(sides[1], "b").select("a", "b", "vx", "wx", "vy", "wy").mapInArrow(_verified(self.threshold), "a long, b long"), "links")
         discard(close)
@@ -262,7 +265,7 @@ def _fine_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([x.tobytes() for x in sig], pa.binary())], ["node", "fine"])
 
 
-def _met_in_blocks(minor: DataFrame, members: DataFrame, fine: DataFrame, threshold: float) -> DataFrame:
+def _met_in_blocks(minor: DataFrame, members: DataFrame, fine: DataFrame, threshold: float, every_candidate: bool) -> DataFrame:
     """Pairs (a, b) of a group's minor nodes with its members of other classes that the bound and the fine signatures allow.
 
     Groups go by main. Both sides are dealt into blocks of about BLOCK nodes, and
@@ -276,11 +279,11 @@ def _met_in_blocks(minor: DataFrame, members: DataFrame, fine: DataFrame, thresh
     left = F.col("side") == 0
     dealt = dealt.withColumn("bx", F.explode(F.when(left, own("nx")).otherwise(all_of("nx")))).withColumn("by", F.explode(F.when(left, all_of("ny")).otherwise(own("ny"))))
     rows = dealt.join(fine, "node").select("main", "bx", "by", "side", "node", "root", "lone", "common", "scale", "fine")
-    return rows.groupBy("main", "bx", "by").applyInArrow(_block_pairs(threshold), "a long, b long")
+    return rows.groupBy("main", "bx", "by").applyInArrow(_block_pairs(threshold, every_candidate), "a long, b long")
 
 
-def _block_pairs(threshold: float):
-    least = threshold - 5 * np.sqrt(threshold * (1 - threshold) / FINE_REGISTERS)
+def _block_pairs(threshold: float, every_candidate: bool):
+    least = 0.0 if every_candidate else threshold - 5 * np.sqrt(threshold * (1 - threshold) / FINE_REGISTERS)
 
     def run(t: pa.Table) -> pa.Table:
         side = t.column("side").to_numpy()
@@ -309,8 +312,11 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return placed.join(several, "bucket", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, k: int = SHINGLE_WORDS, m: int = REGISTERS, r: int = BAND_ROWS) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, the row's key (KEY), class_id (least doc_id of the class), class_size, n_links (verified links of its text's node that were needed), first (whether the row is its class's first by doc_id, nulls last, and key; identical rows are alike in this)."""
+def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, k: int = SHINGLE_WORDS, m: int = REGISTERS, r: int = BAND_ROWS, every_candidate: bool = False) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, the row's key (KEY), class_id (least doc_id of the class), class_size, n_links (verified links of its text's node that were needed), first (whether the row is its class's first by doc_id, nulls last, and key; identical rows are alike in this).
+
+    every_candidate: verify candidates of any agreement of signatures too, those as well that are five standard deviations short of the threshold and more.
+    """
     spark = docs.sparkSession
     docs = with_row_key(docs)
     rows = staged(docs.mapInArrow(_signatures(k, m), "doc_id long, doc_key long, doc_key2 long, t1 long, t2 long, sketch binary"), "sketches")
@@ -335,7 +341,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, k: int = SHI
     # Rows that share a key are identical, so any of their texts will do.
     texts = docs.select(*KEY, "text").join(wanted, list(KEY)).select("node", "text").dropDuplicates(["node"])
     sets = staged(texts.mapInArrow(_sets(k), "node long, vals binary, weights binary, total long, kinds long, most long"), "sets")
-    verify = _Verifier(nodes, sets, threshold)
+    verify = _Verifier(nodes, sets, threshold, 0.0 if every_candidate else LEAST_AGREEMENT)
 
     tried = members.filter("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
     links = verify(tried)
@@ -362,7 +368,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, k: int = SHI
     facts = ("node", "root", "lone", "common", "scale")
     members_of = open_.join(main, "bucket").select("main", *facts).distinct()
     fine = staged(sets.join(open_.select("node").distinct(), "node", "left_semi").mapInArrow(_fine_sketch, "node long, fine binary"), "fine")
-    rest = _met_in_blocks(members_of.filter("root <> main"), members_of, fine, threshold)
+    rest = _met_in_blocks(members_of.filter("root <> main"), members_of, fine, threshold, every_candidate)
     # Pairs that share a rare shingle, at most RARE nodes for each.
     root = placed.select("node", "root").distinct()
     holders = rare.select("shingle", "node").join(root, "node")

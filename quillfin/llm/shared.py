@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 ROWS = 1_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Paths of the tables staged so far, in order.
+_staged: list[str] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -35,10 +39,10 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def staged(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut and a lost executor costs only its own tasks."""
+def staged(df: DataFrame, label: str, compression: str = "zstd", folder: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage is cut and a lost executor costs only its own tasks. A table below a folder of the caller's own is the caller's to remove."""
     spark = tuned(df.sparkSession)
-    path = f"{shared_dir(spark)}/quillfin/{label}-{uuid.uuid4().hex}"
+    path = f"{folder or shared_dir(spark) + '/quillfin'}/{label}-{uuid.uuid4().hex}"
     # Nothing reads this write's shuffles again, so Spark may drop them with it.
     was = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
@@ -46,18 +50,55 @@ def staged(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
         df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, was)
-    out = spark.read.schema(df.schema).parquet(path)
+    if folder is None:
+        _staged.append(path)
+    return read_staged(spark, path, df.schema)
+
+
+def read_staged(spark: SparkSession, path: str, schema) -> DataFrame:
+    out = spark.read.schema(schema).parquet(path)
     out._quillfin_path = path
     return out
 
 
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are removed at the end. Results are lazy and read them: write what is wanted before the scope closes. Without a scope they stay in the shared folder, for whoever owns it to clear."""
+    mark = len(_staged)
+    try:
+        yield
+    finally:
+        for path in _staged[mark:]:
+            _remove(spark, path)
+        del _staged[mark:]
+
+
 def discard(df: DataFrame) -> None:
     """Remove a staged table that no later plan reads."""
     path = getattr(df, "_quillfin_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        _remove(df.sparkSession, path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if it does not exist."""
+    fs, p = _file_system(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillfin.llm.shared import KEY, discard, staged, with_row_key
+from quillfin.llm.shared import KEY, child_names, discard, exists, read_staged, staged, with_row_key
 from quillfin.llm.words import U, Words, pieces, ranges, sliding, split_words
 
 WIDTH = 35
@@ -99,34 +99,61 @@ def segments(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, n), n being 1 or 2 (two and more)."""
+    """Sorted immutable runs of (fp, n), n being 1 or 2 (two and more).
 
-    def __init__(self, max_runs: int = MAX_RUNS):
+    With a folder, runs are written below it, and after each change a manifest (a
+    small table, numbered) that names them: `FingerprintIndex.open` goes on where the
+    last whole manifest left off, and a later batch is joined with all history.
+    """
+
+    def __init__(self, max_runs: int = MAX_RUNS, folder: str | None = None):
         self.runs: list[DataFrame] = []
-        self.max_runs = max_runs
+        self.max_runs, self.folder, self.version = max_runs, folder, 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, max_runs: int = MAX_RUNS) -> FingerprintIndex:
+        """The index kept below a folder; an empty one where there is none yet."""
+        index = cls(max_runs, folder)
+        manifests = [n for n in child_names(spark, f"{folder}/manifest") if exists(spark, f"{folder}/manifest/{n}/_SUCCESS")]
+        if manifests:
+            index.version = max(map(int, manifests))
+            names = [r["run"] for r in spark.read.schema("place int, run string").parquet(f"{folder}/manifest/{index.version}").orderBy("place").collect()]
+            index.runs = [read_staged(spark, f"{folder}/{n}", "fp long, n byte") for n in names]
+        return index
+
+    def _run(self, df: DataFrame) -> DataFrame:
+        return staged(df.sortWithinPartitions("fp"), "fp-run", folder=self.folder)
+
+    def _commit(self, spark: SparkSession) -> None:
+        if self.folder:
+            self.version += 1
+            rows = [(i, run._quillfin_path.rsplit("/", 1)[-1]) for i, run in enumerate(self.runs)]
+            spark.createDataFrame(rows, "place int, run string").coalesce(1).write.parquet(f"{self.folder}/manifest/{self.version}")
 
     def add(self, fps: DataFrame) -> DataFrame:
         """Merge-join a batch's fingerprints with the runs, add them as a run, and return the matched fp."""
         batch = fps.groupBy("fp").agg(F.sum("n").alias("n")).select("fp", F.least("n", F.lit(2)).cast("byte").alias("n"))
-        new = staged(batch.sortWithinPartitions("fp"), "fp-run")
+        new = self._run(batch)
         found = new.filter("n > 1").select("fp")
         for run in self.runs:
             found = found.unionByName(new.select("fp").join(run.hint("merge").select("fp"), "fp", "left_semi"))
         found = staged(found, "fp-match")
         self.runs.append(new)
-        if len(self.runs) > self.max_runs:
-            self.compact()
+        old = self.compact() if len(self.runs) > self.max_runs else []
+        self._commit(fps.sparkSession)
+        # Only when no manifest names them any more.
+        for run in old:
+            discard(run)
         return found
 
-    def compact(self) -> None:
-        """Merge all runs into one sorted run."""
+    def compact(self) -> list[DataFrame]:
+        """Merge all runs into one sorted run; the runs that it replaces are returned."""
         merged = self.runs[0]
         for run in self.runs[1:]:
             merged = merged.unionByName(run)
         merged = merged.groupBy("fp").agg(F.least(F.sum("n"), F.lit(2)).cast("byte").alias("n"))
-        old, self.runs = self.runs, [staged(merged.sortWithinPartitions("fp"), "fp-run")]
-        for run in old:
-            discard(run)
+        old, self.runs = self.runs, [self._run(merged)]
+        return old
 
 
 def _windows(width: int):

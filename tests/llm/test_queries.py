@@ -69,3 +69,41 @@ def test_pipeline_knows_rows_by_id_and_text(spark):
 
     left = corpus_pipeline._without(d, contaminated(d, bench))
     assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([(1, a), (5, a), (5, b), (None, a), (6, "clean words")], key=repr)
+
+
+def test_pipeline_brute(spark, tmp_path):
+    """run() against a plain rebuild of its stages on a small corpus."""
+    import random
+
+    from quillfin.llm import sentencepiece_codec as spm
+    from quillfin.llm.decontamination import normalise
+    from tests.llm.test_operators import brute_classes, brute_line_windows, semi_global
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8)))
+    text = lambda n: "\n".join(" ".join(word() for _ in range(12)) for _ in range(n))
+    items = [" ".join(word() for _ in range(15)) for _ in range(3)]
+    notice = "all rights reserved\nuse at your own risk\nno warranty is given"
+    rows = [(i, text(4)) for i in range(60)]
+    for i in range(0, 60, 3):
+        rows[i] = (i, rows[i][1] + "\nyou worthless idiot trash\n" + text(1))
+    for i in range(1, 60, 6):
+        rows[i] = (i, text(2) + "\n" + notice + "\n" + text(2))
+    copy = text(8).replace("\n", " ")
+    rows += [(100, copy), (101, copy + "er"), (102, copy + " more")]
+    rows += [(110 + k, text(2) + " " + item[:30] + "x" + item[30:] + " " + text(1)) for k, item in enumerate(items)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1 if i % 3 == 0 and i < 60 else 0, 1) for i, _ in rows if i < 60], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    left = [(i, t) for i, t in rows if "idiot" not in t]
+    left = [(i, t) for i, _, t in brute_line_windows(left, 2)]
+    first = {i for i, c, _ in brute_classes(left) if i == c}
+    left = [(i, t) for i, t in left if i in first]
+    assert not {101, 102} & first
+    hit = lambda s, t: semi_global(s, t) <= int(len(s) * 0.08)
+    left = [(i, t) for i, t in left if not any(hit(normalise(s), normalise(t)) for s in items)]
+    assert not {110, 111, 112} & {i for i, _ in left} and len(left) > 30
+    back = spm.Decoder(spm.Vocabulary.load())
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], back.decode(r["ids"])) for r in out) == sorted(left) and all(r["round_trip"] for r in out)
