@@ -18,7 +18,7 @@ from quillfin.llm.decontamination import contaminated
 from quillfin.llm.line_dedup import line_dedup
 from quillfin.llm.near_dedup import near_duplicates
 from quillfin.llm.sentencepiece_codec import encode_and_check
-from quillfin.llm.shared import KEY, shared_dir, stage_scope, table, tuned, with_row_key
+from quillfin.llm.shared import KEY, WORD, shared_dir, stage_scope, table, tuned, with_row_key
 from quillfin.llm.toxicity import toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,8 +35,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages of two lines and more go from the texts; a text that nothing is left of stays as an empty one."""
-    rows = line_dedup(docs, keep_text=True, windows=True, carry=("lang", "source", "n_chars"))
+    """Repeated passages of two lines and more go from the texts. A document all of whose words are gone goes: each of its lines stands in a document that stays. Empty and null texts stay."""
+    rows = line_dedup(docs, keep_text=True, windows=True, carry=("lang", "source", "n_chars")).filter((F.col("n_removed") == 0) | F.col("kept_text").rlike(WORD))
     n_chars = F.when(F.col("n_removed") == 0, F.col("carried.n_chars")).otherwise(F.length("kept_text").cast("long"))
     return rows.select("doc_id", F.col("kept_text").alias("text"), "carried.lang", "carried.source", n_chars.alias("n_chars"))
 
