@@ -13,9 +13,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def exact_sum(c: str | Column, scale: int = 2) -> Column:
-    """Sum of a double that holds decimals of that scale, in whatever order rows come."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.sum(c.cast(f"decimal(18,{scale})")).cast("double")
+    """Sum of a double that holds decimals of that scale, in whatever order rows come. Whole units are added up; making a decimal of each double would parse its digits."""
+    c = F.nanvl(F.col(c) if isinstance(c, str) else c, F.lit(None).cast("double"))
+    units = F.floor(c * 10**scale + 0.5).cast("decimal(18,0)")
+    return F.sum(units).cast("double") / 10**scale
 
 
 def bars(spark: SparkSession, sf_dir: str, unit: str = "hour") -> DataFrame:

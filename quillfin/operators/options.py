@@ -172,14 +172,14 @@ def max_pain(chain: DataFrame, convention: str = "reference", weight: str = "ope
     other way round. Running sums over strikes replace the pairing of all strikes.
     """
     above, below = ("call", "put") if convention == "reference" else ("put", "call")
-    w = F.col(weight).cast("decimal(18,2)")
-    s = F.col("strike").cast("decimal(18,2)")
-    zero = F.lit(0).cast("decimal(38,4)")
+    # Hundredths as whole numbers: sums are exact, and no double's digits are parsed.
+    w, s = (F.floor(F.col(c) * 100 + 0.5).cast("decimal(18,0)") for c in (weight, "strike"))
+    zero = F.lit(0).cast("decimal(38,0)")
     side = lambda k, x: F.sum(F.when(F.col("option_type") == k, x).otherwise(zero))
     g = normalise_chain(chain).groupBy("ticker", "expiration", "strike").agg(side(above, w).alias("up_w"), side(above, w * s).alias("up_sw"), side(below, w).alias("down_w"), side(below, w * s).alias("down_sw"))
     order = Window.partitionBy("ticker", "expiration").orderBy("strike")
     rest, head = order.rowsBetween(1, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, -1)
-    total = lambda c, frame: F.coalesce(F.sum(c).over(frame), zero).cast("double")
+    total = lambda c, frame: F.coalesce(F.sum(c).over(frame), zero).cast("double") / (10_000 if c.endswith("sw") else 100)
     k = F.col("strike")
     pain = (total("up_sw", rest) - k * total("up_w", rest)) + (k * total("down_w", head) - total("down_sw", head))
     p = g.select("ticker", "expiration", "strike", rnd(pain, 2).alias("pain"))
