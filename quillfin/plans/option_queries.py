@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillfin.adapters import chain, spots, with_inputs
+from quillfin.adapters import chain, row_text, spots, with_inputs
 from quillfin.operators import options as op
 from quillfin.plans.registry import query
 
@@ -121,7 +121,7 @@ WHERE volume >= 40 AND volume >= threshold AND (centre IS NULL OR centre = 0 OR
 
 @query("opt_smart_money", with_inputs("chain", f", {_SMART} SELECT * REPLACE (expiration::VARCHAR AS expiration, CAST(dte AS INTEGER) AS dte) FROM sig"))
 def smart_money(spark, sf_dir):
-    return op.smart_money(chain(spark, sf_dir), AS_OF, vol_min=40, band=0.02)
+    return op.smart_money(chain(spark, sf_dir), AS_OF, vol_min=40, band=0.02).withColumn("row_id", row_text())
 
 
 @query("opt_smart_money_assessment", with_inputs("chain", f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillfin.adapters import bars, chain, insider_trades, load, macro_series, with_inputs
+from quillfin.adapters import bars, chain, insider_trades, load, macro_series, row_text, with_inputs
 from quillfin.operators import insider as ins
 from quillfin.operators import layout as lay
 from quillfin.plans.registry import query
@@ -27,7 +27,7 @@ def price_range(spark, sf_dir):
 
 @query("src_option_chain", with_inputs("chain", "SELECT strike, lastPrice, volume, row_id FROM chain WHERE ticker = 'Brand#3' AND expiration = DATE '1996-12-31' AND option_type = 'call'"))
 def option_chain(spark, sf_dir):
-    return rd.option_chain(chain(spark, sf_dir), "brand#3", "1996-12-31", "calls").select("strike", "lastPrice", "volume", "row_id")
+    return rd.option_chain(chain(spark, sf_dir), "brand#3", "1996-12-31", "calls").select("strike", "lastPrice", "volume", row_text().alias("row_id"))
 
 
 @query("src_statement_transpose", "WITH w AS (SELECT o_orderstatus, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (year(o_orderdate) = 1995) AS DOUBLE) AS a, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (year(o_orderdate) = 1996) AS DOUBLE) AS b FROM orders GROUP BY 1) SELECT '1995' AS date, max(a) FILTER (o_orderstatus = 'F') AS \"F\", max(a) FILTER (o_orderstatus = 'O') AS \"O\", max(a) FILTER (o_orderstatus = 'P') AS \"P\" FROM w UNION ALL SELECT '1996', max(b) FILTER (o_orderstatus = 'F'), max(b) FILTER (o_orderstatus = 'O'), max(b) FILTER (o_orderstatus = 'P') FROM w")
