@@ -229,10 +229,11 @@ def _place(keys: np.ndarray, ids: np.ndarray, at: np.ndarray, at_ids: np.ndarray
     return np.searchsorted(pairs, np.rec.fromarrays([keys, ids], dtype=pairs.dtype), side="right") - 1
 
 
-def _send(cuts, scale: float):
-    """Rows (target, asked, key, vec_id, embedding): each vector to its range of each curve, and to those whose halo it is in. cuts: of each curve (sizes, keys, ids of the ranges' marks, first target, halos)."""
+def _send(cuts_, scale: float):
+    """Rows (target, asked, key, vec_id, embedding): each vector to its range of each curve, and to those whose halo it is in. cuts: of each curve (keys and ids of the ranges' marks, first target, halos), a row for RANGE_ROWS vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = cuts_.value
         for b in batches:
             if not b.num_rows:
                 continue
@@ -333,7 +334,7 @@ def _nearest_of(rows: DataFrame, d: int, k: int, every: int, curves: int, window
             mine = sorted((r for r in made if r["curve"] == c), key=lambda r: (r["keys"][0], r["ids"][0]))
             cuts[c] = (np.array([r["keys"] for r in mine]), np.array([r["ids"] for r in mine]), given, halos([r["n"] for r in mine], half))
             given += len(mine)
-        sent = use.mapInArrow(_send(cuts, scale), f"target int, asked boolean, key long, vec_id long, embedding {kind}")
+        sent = use.mapInArrow(_send(spark.sparkContext.broadcast(cuts), scale), f"target int, asked boolean, key long, vec_id long, embedding {kind}")
         best_of = sent.repartition(max(1, given), "target").sortWithinPartitions("target", "key", "vec_id").mapInArrow(_search(k + 1, half), "rep long, vec_id long, score double")
         round_ = staged(best_of.distinct(), "neighbours")
         found = round_ if found is None else found.unionByName(round_)
