@@ -71,9 +71,9 @@ def _xml(spark, sf_dir):
     amounts = el("transactionAmounts", F.concat(val("transactionShares", F.col("shares").cast("string")), val("transactionPricePerShare", F.format_string("%.2f", "price")), val("transactionAcquiredDisposedCode", F.col("acquired_disposed"))))
     txn = el("nonDerivativeTransaction", F.concat(val("securityTitle", title), val("transactionDate", F.col("transaction_date").cast("string")), el("transactionCoding", el("transactionCode", F.col("code"))), amounts))
     keys = ["accession", "issuer", "owner", "period_of_report"]
-    g = t.groupBy(*keys).agg(F.concat_ws("", F.collect_list(txn)).alias("x"))
+    g = t.groupBy(*keys).agg(F.concat_ws("", F.collect_list(txn)).alias("x"), F.when(F.max(F.col("document_type") == "4/A"), "4/A").otherwise("4").alias("kind"))
     owner = el("reportingOwner", F.concat(el("reportingOwnerId", el("rptOwnerName", F.col("owner"))), F.lit("<reportingOwnerRelationship><isDirector>1</isDirector><isOfficer>0</isOfficer></reportingOwnerRelationship>")))
-    doc = F.concat(el("issuer", F.concat(el("issuerTradingSymbol", F.col("issuer")), el("issuerName", F.col("issuer")))), el("documentType", F.lit("4")), el("periodOfReport", F.col("period_of_report").cast("string")), owner, el("nonDerivativeTable", F.col("x")))
+    doc = F.concat(el("issuer", F.concat(el("issuerTradingSymbol", F.col("issuer")), el("issuerName", F.col("issuer")))), el("documentType", F.col("kind")), el("periodOfReport", F.col("period_of_report").cast("string")), owner, el("nonDerivativeTable", F.col("x")))
     return g.select(F.concat_ws(":", "accession", "issuer").alias("accession"), el("ownershipDocument", doc).alias("xml"))
 
 
@@ -82,11 +82,16 @@ def form4_xml(spark, sf_dir):
     return rd.form4_transactions(_xml(spark, sf_dir)).withColumn("accession", _number("accession")).select("accession", "issuer", "owner", "period_of_report", "is_director", "is_officer", "transaction_date", "code", "acquired_disposed", "shares", "price")
 
 
-@query("ins_ingest_pipeline", with_inputs("form4", ", t AS (SELECT *, seq % 3 <> 0 AS common FROM form4 WHERE accession % 2 = 1) SELECT accession, count(*) FILTER (common) > 0 AS has_common_stock, greatest(count(*) FILTER (common), 1) AS rows FROM t GROUP BY accession, issuer, owner, period_of_report"))
+@query("ins_ingest_pipeline", with_inputs("form4", """
+, t AS (SELECT *, seq % 3 <> 0 AS common, max((document_type = '4/A')::INT) OVER (PARTITION BY accession, issuer, owner, period_of_report) AS amends FROM form4 WHERE accession % 2 = 1),
+s AS (SELECT * FROM t QUALIFY amends = 1 OR max(amends) OVER (PARTITION BY issuer, owner, period_of_report) = 0), f AS (SELECT accession, issuer, CASE WHEN amends = 1 THEN '4/A' ELSE '4' END AS document_type, common, shares, price FROM s)
+SELECT accession, issuer, document_type, TRUE AS has_common_stock, shares, price, shares * price AS transaction_value FROM f WHERE common
+UNION ALL SELECT accession, issuer, document_type, FALSE, NULL, NULL, NULL FROM f GROUP BY 1, 2, 3 HAVING count(*) FILTER (common) = 0"""))
 def ingest_pipeline(spark, sf_dir):
+    """Filings of even accession are stored already; one with line 7 is an amendment; every third line is no common stock."""
     filings = _xml(spark, sf_dir)
     r = rd.ingest_form4(filings, filings.filter(_number("accession") % 2 == 0))
-    return r.groupBy("accession").agg(F.max("has_common_stock").alias("has_common_stock"), F.count(F.lit(1)).alias("rows")).select(_number("accession").alias("accession"), "has_common_stock", "rows")
+    return r.select(_number("accession").alias("accession"), "issuer", "document_type", "has_common_stock", "shares", "price", "transaction_value")
 
 
 @query("flt_common_stock", "SELECT p_partkey, contains(lower(p_name), 'a') AND NOT contains(lower(p_type), 'note') AND contains(lower(p_type || ' common'), 'common') AND NOT regexp_matches(lower(p_type), 'preferred|warrant|option|convertible|debenture') AS ok FROM part")
