@@ -151,7 +151,7 @@ def submissions(payloads: DataFrame, forms: tuple[str, ...] = ("10-K", "10-Q", "
     for bound, op in ((start, "__ge__"), (end, "__le__")):
         if bound is not None:
             d = d.filter(getattr(F.col("filing_date"), op)(F.lit(bound).cast("date")))
-    return d
+    return d.repartition("cik").sortWithinPartitions("cik", F.desc("filing_date"), "accession")
 
 
 def history_pages(pages: DataFrame, start: str | None, end: str | None) -> DataFrame:

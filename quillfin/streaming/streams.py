@@ -10,6 +10,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -112,12 +113,20 @@ def amend_batch(store: str):
     return apply
 
 
-def drain(stream: DataFrame, out: str, checkpoint: str, mode: str) -> DataFrame:
-    """Run a stream over all that is there (availableNow; a restart resumes at the checkpoint) and return what its sink holds: the last result in complete mode, else all rows written."""
-
+def _writer(out: str, mode: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={batch_id}")
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    return write
+
+
+def refresh(stream: DataFrame, out: str, checkpoint: str, mode: str, every: str = "24 hours") -> StreamingQuery:
+    """Keep a sink up to date: what has come since is taken in every so often, until the query is stopped; a restart resumes at the checkpoint."""
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(_writer(out, mode)).start()
+
+
+def drain(stream: DataFrame, out: str, checkpoint: str, mode: str) -> DataFrame:
+    """Run a stream over all that is there (availableNow; a restart resumes at the checkpoint) and return what its sink holds: the last result in complete mode, else all rows written."""
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(_writer(out, mode)).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)

@@ -355,6 +355,31 @@ def test_stream_amendments(spark, tmp_path):
     assert [r["shares"] for r in spark.read.parquet(f"{tmp_path}/v1").collect()] == [2.0]
 
 
+def test_refresh_takes_in_new_files_and_resumes(spark, tmp_path):
+    from quillfin.streaming import streams as st
+
+    def arrive(n):
+        t = dt.datetime(2024, 1, 1, n)
+        spark.createDataFrame([(n, t, 1, "click", 1.0, "{}")], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    seen = []
+    for n in range(3):
+        arrive(n)
+        q = st.refresh(st.event_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp", "append", "1 second")
+        q.processAllAvailable()
+        q.stop()
+        seen.append(sorted(r["event_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()))
+    assert seen == [[0], [0, 1], [0, 1, 2]]
+
+
+def test_filings_come_latest_first(spark):
+    import json
+
+    recent = {"form": ["10-K", "10-Q", "S-1", "8-K"], "filingDate": ["2023-01-05", "2024-02-01", "2024-03-01", "2023-06-01"], "reportDate": ["", "2023-12-31", "", ""], "accessionNumber": list("abcd"), "primaryDocument": list("wxyz")}
+    d = rd.submissions(spark.createDataFrame([(7, json.dumps({"filings": {"recent": recent}}))], "cik long, json string"))
+    assert [r["accession"] for r in d.collect()] == ["b", "d", "a"]
+
+
 def test_html_and_markdown(spark):
     assert one(spark, tx.markdown_text(F.col("t")), t="# Head\n**bold** [link](http://x) ![i](y) `c`") == "Head\nbold link  c"
     assert one(spark, tx.sanitised_html(F.col("t")), t='<div><p class="a">x<script>1</script><a href="y">z</a></p></div>') == "<p>xz</p>"
