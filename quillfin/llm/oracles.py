@@ -51,4 +51,22 @@ reach AS (SELECT r, r AS o FROM d UNION SELECT reach.r, e.b FROM reach JOIN e ON
 SELECT d.doc_id, min(o.doc_id) AS class_id, count(*) AS class_size FROM d JOIN reach ON reach.r = d.r JOIN d o ON o.r = reach.o GROUP BY d.r, d.doc_id
 """
 
-ORACLES = {"op2_minhash_near_dedup": OP2, "op5_secret_scan": _secret_sql(), "op9_substring_dedup": OP9}
+_UNITS = "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE))"
+_GOOD = "vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_PRODUCT = "CAST(list_inner_product(a.u, b.u) AS BIGINT)"
+
+OP11 = f"""
+WITH v AS (SELECT vec_id, {_UNITS} AS u FROM embeddings WHERE {_GOOD}),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, {_PRODUCT} AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5
+"""
+
+OP12 = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_UNITS} AS u FROM embeddings WHERE label IS NOT NULL AND {_GOOD}),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, {_PRODUCT} AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10
+"""
+
+ORACLES = {"op2_minhash_near_dedup": OP2, "op5_secret_scan": _secret_sql(), "op9_substring_dedup": OP9, "op11_exact_top_k": OP11, "op12_hard_negatives": OP12}

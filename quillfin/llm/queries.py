@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillfin.llm.decontamination import contaminated
+from quillfin.llm.exact_topk import exact_top_k
+from quillfin.llm.hard_negatives import hard_negatives
 from quillfin.llm.hilbert_ann import nearest
 from quillfin.llm.hmm_lm import language_model_scores
 from quillfin.llm.html_extraction import main_text
@@ -16,6 +18,7 @@ from quillfin.llm.secret_scan import BASE, listed, secret_spans
 from quillfin.llm.sentencepiece_codec import encode_and_check
 from quillfin.llm.shared import KEY, table
 from quillfin.llm.substring_dedup import substring_dedup
+from quillfin.llm.token_alignment import aligned
 from quillfin.llm.toxicity import toxicity
 
 
@@ -62,6 +65,19 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,6 +97,9 @@ QUERIES = {
         op8_hmm_lm_scoring,
         op9_substring_dedup,
         op10_html_extraction,
+        op11_exact_top_k,
+        op12_hard_negatives,
+        op13_token_alignment,
         pipeline,
     )
 }
