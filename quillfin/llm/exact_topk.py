@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillfin.llm.shared import staged, tuned
-from quillfin.llm.vector_cells import NONE, SLICE_ROWS, TOGETHER, Best, block_count, dimensions, in_cells, lengths, matrix, meet, products, squares, strongest, unit_vectors
+from quillfin.llm.vector_cells import NONE, SLICE_ROWS, TOGETHER, Best, above, block_count, dimensions, in_cells, lengths, matrix, meet, products, squares, strongest, unit_vectors
 
 SAMPLE = 65_536
 GROWTH = 8
@@ -66,6 +66,12 @@ def _rests(x: np.ndarray, levels: list[int]) -> np.ndarray:
         return np.stack([lengths(x[:, cut:]) for cut in levels], 1)
 
 
+def reached(length: np.ndarray, most: float, least: np.ndarray) -> np.ndarray:
+    """Whether queries of these lengths may reach their kth scores with a row no longer than `most`."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return ~(length * most * (1 + SLACK) < above(least))
+
+
 def _search(turn_, k: int):
     def run(queries: pa.RecordBatch, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = turn_.value
@@ -81,16 +87,16 @@ def _search(turn_, k: int):
             kth = np.maximum(least, best.kth())
             for a in range(0, len(q), TOGETHER):
                 mine = np.arange(a, min(len(q), a + TOGETHER))
-                # A whole score that reaches `least` is above this.
-                floor = lambda m: (kth[m] - 0.5)[:, None] - SLACK * q_long[m][:, None] * x_long  # noqa: B023, E731
-                mine = mine[~(q_long[mine] * x_long.max() * (1 + SLACK) < kth[mine] - 0.5)]
+                mine = mine[reached(q_long[mine], x_long.max(), kth[mine])]
                 if not len(mine):
                     continue
+                with np.errstate(over="ignore", invalid="ignore"):
+                    floor = above(kth[mine])[:, None] - SLACK * q_long[mine][:, None] * x_long
                 alive, part, done = np.ones((len(mine), len(x)), bool), np.zeros((len(mine), len(x))), 0
                 for level, cut in enumerate(levels):
                     with np.errstate(over="ignore", invalid="ignore"):
                         part += q_turned[mine, done:cut] @ x_turned[:, done:cut].T
-                        alive &= ~(part + q_rest[mine, level][:, None] * x_rest[:, level] < floor(mine))
+                        alive &= ~(part + q_rest[mine, level][:, None] * x_rest[:, level] < floor)
                     done = cut
                     if not alive.any():
                         break
@@ -113,7 +119,7 @@ def _sent(longest: np.ndarray, first: int, blocks: int):
         for b in batches:
             length, least = b.column("length").to_numpy(), b.column("least").to_numpy()
             for s, most in enumerate(longest.tolist()):
-                wanted = np.flatnonzero(~(length * most * (1 + SLACK) < least - 0.5))
+                wanted = np.flatnonzero(reached(length, most, least))
                 if not len(wanted):
                     break
                 part = b.take(pa.array(wanted))

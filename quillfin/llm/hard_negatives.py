@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillfin.llm.shared import staged, tuned
-from quillfin.llm.vector_cells import NONE, SLICE_ROWS, TOGETHER, Best, block_count, dimensions, in_cells, lengths, matrix, meet, products, strongest, unit_vectors
+from quillfin.llm.vector_cells import NONE, SLICE_ROWS, TOGETHER, Best, above, block_count, dimensions, in_cells, lengths, matrix, meet, products, strongest, unit_vectors
 
 MOST_LISTS = 4_096
 SAMPLE = 16_384
@@ -46,15 +46,14 @@ FOUND = "anchor_id long, goal long, vec_id long, score long"
 
 
 def centroids(rows: DataFrame, n: int, d: int, most: int = MOST_LISTS, sample: int = SAMPLE) -> np.ndarray:
-    """(k, d) centres of a k-means on a sample; the zero vector alone where they can't be computed (no components, or values too large)."""
-    k = int(min(most, sample, np.ceil(np.sqrt(n))))
-    if d == 0 or k < 2:
-        return np.zeros((1, d))
+    """(k, d) centres of a k-means on a sample; the zero vector alone where there are fewer than two (no components, equal or too large vectors)."""
     some = rows if n <= sample else rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(-(-n // sample))) == 0)
-    some = some.filter(F.forall("units", lambda v: F.abs(v) < 1e100)).select(array_to_vector(F.col("units").cast("array<double>")).alias("features"))
-    if len(some.take(2)) < 2:
+    # Equal vectors would give equal first centres.
+    some = some.filter(F.forall("units", lambda v: F.abs(v) < 1e100)).select("units").distinct()
+    k = int(min(most, np.ceil(np.sqrt(n)), some.count()))
+    if d == 0 or k < 2:
         return np.zeros((1, d))
-    model = KMeans(k=k, maxIter=ITERATIONS, seed=SEED, initMode="random").fit(some)
+    model = KMeans(k=k, maxIter=ITERATIONS, seed=SEED, initMode="random").fit(some.select(array_to_vector(F.col("units").cast("array<double>")).alias("features")))
     return np.array(model.clusterCenters())
 
 
@@ -111,10 +110,11 @@ def _visits(index_, blocks: int, wave: tuple[int, int | None], window: tuple[int
                 up, down = np.nan_to_num(at + reach + slack, nan=np.inf), np.nan_to_num(at - reach - slack, nan=-np.inf)
             of, goal, kth = _flat(b)
             need, most = _bounds(goal, kth, window)
+            open_, need = need <= most, above(need)
+            top = np.where(most == -NONE - 1, np.inf, most)
             wanted = np.zeros(up.shape, bool)
-            for k in range(len(of)):
-                if need[k] <= most[k]:
-                    wanted[of[k]] |= (up[of[k]] >= need[k]) & (down[of[k]] <= most[k])
+            for k in np.flatnonzero(open_).tolist():
+                wanted[of[k]] |= (up[of[k]] >= need[k]) & (down[of[k]] <= top[k])
             # Lists outside every window are no visits; the others are visited by falling bound.
             order = np.argsort(np.where(wanted, -up, np.inf), axis=1, kind="stable")[:, wave[0] : wave[1]]
             who, place = np.nonzero(np.take_along_axis(wanted, order, 1))

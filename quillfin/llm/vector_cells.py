@@ -63,6 +63,11 @@ def lengths(x: np.ndarray) -> np.ndarray:
         return np.sqrt(np.einsum("ij,ij->i", x, x))
 
 
+def above(least: np.ndarray) -> np.ndarray:
+    """Doubles that every score of at least `least` exceeds; minus infinity for the least long, as which lower products count."""
+    return np.where(least == NONE, -np.inf, least - 0.5)
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """(len(a), len(b)) exact inner products as longs."""
     most = float(np.abs(a).max(initial=0)), float(np.abs(b).max(initial=0))
