@@ -18,15 +18,16 @@ FROM d LEFT JOIN kept ON d.r = kept.r
 
 
 def _secret_sql() -> str:
-    """Matches by regexp_extract_all, their places from the gaps between them."""
-    quoted = lambda r: "'" + r.pattern.replace("'", "''") + "'"
+    """Matches by regexp_extract_all, their places from the gaps between them. What must not stand in front is written as one other character, which is no part of the match, as DuckDB's expressions can't look behind."""
+    quoted = lambda r: "'" + (f"(?:^|[^{r.before}])({r.pattern})" if r.before else r.pattern).replace("'", "''") + "'"
     parts = []
     for i, r in enumerate(RULES):
         found = f"regexp_extract_all(t, {quoted(r)})"
         gaps = f"regexp_split_to_array(t, {quoted(r)})"
         least = f"WHERE length(regexp_extract(x.m, {quoted(r)}, {r.group})) >= {r.least_chars}"
+        ahead = f" + length(x.m) - length(regexp_extract(x.m, {quoted(r)}, 1))" if r.before else ""
         parts.append(
-            f"""SELECT r, {i} AS o, '{r.kind}' AS kind, x.a AS a, x.a + length(x.m) AS b FROM (SELECT r, unnest(list_transform(m, lambda v, i: {{'a': list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0), 'm': v}})) AS x
+            f"""SELECT r, {i} AS o, '{r.kind}' AS kind, x.a{ahead} AS a, x.a + length(x.m) AS b FROM (SELECT r, unnest(list_transform(m, lambda v, i: {{'a': list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0), 'm': v}})) AS x
             FROM (SELECT r, {found} AS m, {gaps} AS g FROM d)) {least}"""
         )
     one = "kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT)"

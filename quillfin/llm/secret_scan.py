@@ -29,12 +29,40 @@ from quillfin.llm.shared import KEY, staged, with_row_key
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern: of Java and Python alike. A match counts if the group has least_chars or more."""
+    """pattern: of Java and Python alike. A match counts if the group has least_chars or more. before: characters (as of a class) none of which may stand in front of a match.
+
+    A repeated group of several characters is refused: Java's matcher goes one frame deeper with each repeat, and a long text ends the whole executor.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least_chars: int = 0
+    before: str = ""
+
+    def __post_init__(self):
+        if _repeats_a_group(sre_parse.parse(self.regex)):
+            raise ValueError(f"the rule {self.kind} repeats a group")
+
+    @property
+    def regex(self) -> str:
+        return f"(?<![{self.before}]){self.pattern}" if self.before else self.pattern
+
+
+def _repeats_a_group(nodes) -> bool:
+    """Whether anything but a single character is repeated more than once."""
+    one = (sre.LITERAL, sre.NOT_LITERAL, sre.IN, sre.ANY)
+    for op, arg in nodes:
+        if op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
+            if arg[1] > 1 and not (len(arg[2]) == 1 and arg[2][0][0] in one) or _repeats_a_group(arg[2]):
+                return True
+        elif op is sre.BRANCH:
+            if any(map(_repeats_a_group, arg[1])):
+                return True
+        elif op in (sre.SUBPATTERN, sre.ASSERT, sre.ASSERT_NOT, sre.ATOMIC_GROUP):
+            if _repeats_a_group(arg if op is sre.ATOMIC_GROUP else arg[-1]):
+                return True
+    return False
 
 
 #: In the order in which spans of equal start are listed.
@@ -46,8 +74,8 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", before="A-Za-z0-9_-"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 BASE = 3
 _MOST_STRINGS = 16
@@ -168,16 +196,16 @@ def candidates(index: DataFrame, rules: dict[str, object]) -> DataFrame:
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """array<struct<start, order, kind, end>> of a rule's matches in a text."""
-    pattern = F.lit(rule.pattern)
+    pattern = F.lit(rule.regex)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, rule.pattern, -1)
+    gaps = F.split(text, rule.regex, -1)
     steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), m.alias("m")))
     span = "struct<start:int,order:int,kind:string,end:int>"
 
     def step(acc, x):
         start = acc["at"] + x["gap"]
         one = F.array(F.struct(start.alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), (start + x["size"]).alias("end")))
-        ok = F.length(F.regexp_extract(x["m"], rule.pattern, rule.group)) >= rule.least_chars
+        ok = F.length(F.regexp_extract(x["m"], rule.regex, rule.group)) >= rule.least_chars
         return F.struct((start + x["size"]).alias("at"), F.when(ok, F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
 
     # A list that grows is copied at each step, so matches go GROUP at a time: a group's list starts empty, and groups are put together once.

@@ -422,7 +422,7 @@ def test_encode_odd(spark):
 def brute_spans(t):
     out = []
     for order, r in enumerate(sec.RULES):
-        p = re.compile(r"[0-9a-f]+" if r.kind == "hex" else r.pattern, re.A)
+        p = re.compile(r"[0-9a-f]+" if r.kind == "hex" else r.regex, re.A)
         out += [(m.start(), order, r.kind, m.end()) for m in p.finditer(t or "") if len(m[r.group]) >= r.least_chars]
     return sorted(out)
 
@@ -444,6 +444,39 @@ def test_match_dense_text(spark):
     assert [(s["start"], s["order"], s["kind"], s["end"]) for s in r["spans"]] == brute_spans(t)
 
 
+#: Long texts that nearly match a rule, over and over.
+NEAR_MISSES = {
+    "jwt": "eyJabcdefgh" * 90_000 + " .eyJ", "jwt dashes": "eyJabcdefgh-" * 80_000 + ".eyJ", "jwt parts": "eyJabcdefgh." * 80_000, "private_key": "-----BEGIN " + "AB " * 330_000 + " x PRIVATE KEY-----", "private starts": "-----BEGIN RSA PRIVATE KEY----" * 30_000,
+    "assign": "password" + " " * 1_000_000, "assign starts": "password \"  token '" * 50_000, "access": "AKIA" * 4 + " " + "AKIAZ " * 160_000, "hex": ("0123456789abcdef0123456" + " ") * 40_000, "github": ("ghp_" + "a" * 35 + " ") * 25_000,
+    "slack": "xoxb-123456789 " * 66_000, "google": ("AIza" + "b" * 34 + " ") * 25_000, "stripe": "sk_live_abcdef " * 66_000,
+}
+
+
+def test_near_misses_of_every_rule(spark):
+    """A megabyte each; what stands in the way of a rule must not cost more than the text is long, nor deepen a stack."""
+    import time
+
+    rows = list(enumerate(NEAR_MISSES.values()))
+    began = time.time()
+    got = {r["doc_id"]: [(s["start"], s["order"], s["kind"], s["end"]) for s in r["spans"]] for r in sec.secret_spans(docs(spark, rows)).collect()}
+    assert time.time() - began < 60
+    assert all(got[i] == brute_spans(t) for i, t in rows)
+    assert [len(got[i]) for i, k in enumerate(NEAR_MISSES) if k in ("jwt", "private_key", "google", "stripe")] == [0, 0, 0, 0]
+
+
+def test_private_keys_and_tokens(spark):
+    t = "-----BEGIN PRIVATE KEY----- -----BEGIN EC  PRIVATE KEY----- xeyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl (eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl)"
+    (r,) = sec.secret_spans(docs(spark, [(1, t)])).collect()
+    assert [(s["kind"], s["start"]) for s in r["spans"]] == [("private_key", 0), ("private_key", 28), ("jwt", t.index("(") + 1)]
+
+
+def test_rules_that_repeat_groups_are_refused():
+    for bad in (r"-----BEGIN (?:[A-Z]+ )*KEY", r"(ab){2,9}c", r"x(?:y|(?:zz)+)"):
+        with pytest.raises(ValueError):
+            sec.Rule("bad", bad)
+    sec.Rule("good", r"(?:ab)?[a-z]{3,}(x|yz)")
+
+
 def test_trigram_queries():
     assert sec.trigram_query(r"AKIA[A-Z0-9]+") == ("and", ("aki", "kia"))
     assert sec.trigram_query(r"[0-9a-f]{24,}") is None
