@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillfin.operators.containment import containing, phrased
 
 # ---- filters ----
 
@@ -81,39 +82,52 @@ def lookup_name(df: DataFrame, users: DataFrame, ref: str) -> DataFrame:
 
 
 def resolve_ticker(names: DataFrame, companies: DataFrame) -> DataFrame:
-    """name -> ticker: exact company name, else the first company (by ordinal) that contains the name or is contained in it, else ''.
+    """name -> ticker: exact company name, else the first company (by ordinal) that contains the name or is contained in it, else ''. Both containments are joins on shared character grams.
 
-    companies (ordinal, ticker, company) is a dictionary of fixed size.
+    companies: ordinal (unique), ticker, company.
     """
     n = names.select("name").distinct().withColumn("key", F.lower(F.trim("name")))
+    keys = n.select("key").filter("key <> ''").distinct()
     c = companies.select("ordinal", "ticker", F.lower("company").alias("company"))
-    hit = (F.col("company") == F.col("key")) | F.col("company").contains(F.col("key")) | F.col("key").contains(F.col("company"))
-    j = n.join(c, hit & (F.col("key") != ""), "left")
-    best = j.groupBy("name").agg(F.min_by("ticker", F.struct(F.col("company") != F.col("key"), F.col("ordinal"))).alias("ticker"))
-    return best.select("name", F.coalesce(F.element_at(F.split("ticker", "_"), 1), F.lit("")).alias("ticker"))
+    inside = containing(c.select(F.col("ordinal").alias("text_id"), F.col("company").alias("text")), keys.select(F.col("key").alias("name_id"), F.col("key").alias("name"))).select(F.col("name_id").alias("key"), F.col("text_id").alias("ordinal"))
+    around = containing(keys.select(F.col("key").alias("text_id"), F.col("key").alias("text")), c.select(F.col("ordinal").alias("name_id"), F.col("company").alias("name"))).select(F.col("text_id").alias("key"), F.col("name_id").alias("ordinal"))
+    hits = inside.unionByName(around).join(c, "ordinal")
+    best = hits.groupBy("key").agg(F.min_by("ticker", F.struct(F.col("company") != F.col("key"), F.col("ordinal"))).alias("ticker"))
+    return n.join(best, "key", "left").select("name", F.coalesce(F.element_at(F.split("ticker", "_"), 1), F.lit("")).alias("ticker"))
+
+
+#: Words of a company's name that do not stand for it.
+COMMON_NAME_WORDS = ("corporation", "company", "group", "inc")
 
 
 def mentions(questions: DataFrame, companies: DataFrame) -> DataFrame:
-    """(question_id, ticker) of the companies that a question names: ticker as a word, company name within, or a word of over four letters of it."""
+    """(question_id, ticker) of the companies that a question names: the ticker as a word, one of the company's names within, or a word of over three letters of a name as a word.
+
+    questions: question_id (unique), question; companies: ticker, company (a ticker may have several names).
+    """
+    q = questions.select(F.col("question_id").alias("text_id"), F.lower("question").alias("text"))
     c = companies.select("ticker", F.lower("company").alias("company"))
-    q = questions.withColumn("words", F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit(r"[a-z0-9&]+"), F.lit(0))))
-    long_word = F.exists(F.split("company", " "), lambda w: (F.length(w) > 4) & F.array_contains(F.col("words"), w))
-    return q.join(c, F.array_contains("words", F.lower("ticker")) | F.lower("question").contains(F.col("company")) | long_word).select("question_id", "ticker").distinct()
+    tickers = c.select("ticker", F.lower("ticker").alias("phrase"))
+    words = c.select("ticker", F.explode(F.split("company", r"\s+")).alias("phrase")).filter((F.length("phrase") > 3) & ~F.col("phrase").isin(*COMMON_NAME_WORDS))
+    phrases = tickers.unionByName(words).distinct()
+    by_phrase = phrased(q, phrases.select(F.col("phrase").alias("name_id"), F.col("phrase").alias("name")).distinct()).join(phrases, F.col("name_id") == F.col("phrase"))
+    by_name = containing(q, c.select(F.col("company").alias("name_id"), F.col("company").alias("name")).distinct()).join(c, F.col("name_id") == F.col("company"))
+    return by_phrase.select("text_id", "ticker").unionByName(by_name.select("text_id", "ticker")).distinct().select(F.col("text_id").alias("question_id"), "ticker")
 
 
 def ticker_in_text(questions: DataFrame, companies: DataFrame) -> DataFrame:
     """question_id, ticker: the first word that is a known ticker, else the first company (by ordinal) whose name stands in the text as a whole phrase, else the first word of two to five letters; null without any.
 
-    questions: question_id, question; companies: ordinal, ticker, company.
+    questions: question_id (unique), question; companies: ordinal (unique), ticker, company.
     """
     edge = r"^[,.?!\"']+|[,.?!\"']+$"
     words = F.transform(F.split(F.trim(F.regexp_replace("question", r"\s+", " ")), " "), lambda w: F.regexp_replace(w, edge, ""))
     q = questions.select("question_id", F.lower("question").alias("low"), words.alias("words"))
-    known = companies.select(F.lower("ticker").alias("word"), "ticker").distinct()
+    known = companies.select(F.lower("ticker").alias("word")).distinct()
     placed = q.select("question_id", F.posexplode("words").alias("place", "word")).withColumn("word", F.lower("word"))
-    first = placed.join(known.select("word").distinct(), "word").groupBy("question_id").agg(F.min_by(F.upper("word"), "place").alias("by_ticker"))
-    phrase = companies.select("ordinal", "ticker", F.concat(F.lit(r"\b"), F.regexp_replace(F.lower("company"), r"([\\.\[\]{}()*+?^$|])", r"\\$1"), F.lit(r"\b")).alias("phrase"))
-    named = q.select("question_id", "low").join(phrase, F.expr("low rlike phrase")).groupBy("question_id").agg(F.min_by(F.upper("ticker"), "ordinal").alias("by_name"))
+    first = placed.join(known, "word").groupBy("question_id").agg(F.min_by(F.upper("word"), "place").alias("by_ticker"))
+    stands = phrased(q.select(F.col("question_id").alias("text_id"), F.col("low").alias("text")), companies.select(F.col("ordinal").alias("name_id"), F.lower("company").alias("name")))
+    named = stands.join(companies.select(F.col("ordinal").alias("name_id"), "ticker"), "name_id").groupBy(F.col("text_id").alias("question_id")).agg(F.min_by(F.upper("ticker"), "name_id").alias("by_name"))
     short = F.upper(F.get(F.filter("words", lambda w: w.rlike(r"^\p{L}{2,5}$")), F.lit(0)))
     out = q.select("question_id", short.alias("by_length")).join(first, "question_id", "left").join(named, "question_id", "left")
     return out.select("question_id", F.coalesce("by_ticker", "by_name", "by_length").alias("ticker"))

@@ -99,9 +99,12 @@ def resolve_ticker(spark, sf_dir):
     return rel.resolve_ticker(names, companies)
 
 
-@query("jn_mentions", "WITH c(ticker, company) AS (VALUES ('the', 'aerofoil works'), ('zz', 'stupid'), ('q', 'garden thereand')), q AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT DISTINCT doc_id AS question_id, ticker FROM q, c WHERE list_contains(regexp_extract_all(t, '[a-z0-9&]+'), ticker) OR contains(t, company) OR len(list_filter(string_split(company, ' '), lambda w: length(w) > 4 AND list_contains(regexp_extract_all(t, '[a-z0-9&]+'), w))) > 0")
+_NAMED = (("the", "aerofoil works"), ("zz", "stupid"), ("zz", "worthless inc"), ("q", "garden thereand"))
+
+
+@query("jn_mentions", f"WITH c(ticker, company) AS (VALUES {', '.join(map(str, _NAMED))}), q AS (SELECT doc_id, lower(text) AS t, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents) SELECT DISTINCT doc_id AS question_id, ticker FROM q, c WHERE list_contains(w, ticker) OR contains(t, company) OR len(list_filter(string_split(company, ' '), lambda x: length(x) > 3 AND x <> 'inc' AND list_contains(w, x))) > 0")
 def mentions(spark, sf_dir):
-    c = spark.createDataFrame([("the", "aerofoil works"), ("zz", "stupid"), ("q", "garden thereand")], "ticker string, company string")
+    c = spark.createDataFrame(_NAMED, "ticker string, company string")
     return rel.mentions(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), F.col("text").alias("question")), c)
 
 
