@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from quillfin.adapters import exact_sum, insider_trades, with_inputs
 from quillfin.plans.insider_queries import AMENDED_BY_ARRIVAL
 from quillfin.plans.registry import query
+from quillfin.plans.timeseries_queries import LIMITED
 from quillfin.session import scratch
+from quillfin.streaming import stateful
 from quillfin.streaming import streams as st
 
 
@@ -53,10 +55,16 @@ e AS (SELECT key, i, ts AS stored, FALSE AS hit FROM b WHERE i = 1
 UNION ALL SELECT b.key, b.i, CASE WHEN b.ts < e.stored + INTERVAL 1 DAY THEN e.stored ELSE b.ts END, b.ts < e.stored + INTERVAL 1 DAY FROM e JOIN b ON b.key = e.key AND b.i = e.i + 1)
 SELECT key, count(*) AS reads, count(*) FILTER (hit) AS hits FROM e GROUP BY 1""")
 def expiring_cache(spark, sf_dir):
-    d = _drained(spark, st.expiring_cache(_events(spark, sf_dir), 86_400), "append")
+    d = _drained(spark, stateful.expiring_cache(_events(spark, sf_dir), 86_400), "append")
     return d.groupBy("key").agg(F.count(F.lit(1)).alias("reads"), F.count_if("hit").alias("hits"))
 
 
+@query("str_sliding_limiter", LIMITED)
+def sliding_limiter(spark, sf_dir):
+    attempts = _events(spark, sf_dir).select("user_id", "ts", F.col("event_id").alias("id"))
+    return _ntz(_drained(spark, stateful.limited(attempts, "user_id", seconds=3600, most=2), "append"), "ts").drop("batch")
+
+
 @query("str_amendments", with_inputs("form4", AMENDED_BY_ARRIVAL))
 def amendments(spark, sf_dir):
     """Trades in two micro-batches by their order of arrival; the stored table after both."""
@@ -78,4 +86,4 @@ def progress(spark, sf_dir):
         st.settled(seen)
     finally:
         spark.streams.removeListener(seen)
-    return seen.table(spark).agg(F.sum("input_rows").alias("input_rows"))
+    return seen.totals(spark).agg(F.sum("input_rows").alias("input_rows"))

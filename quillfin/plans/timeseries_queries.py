@@ -172,10 +172,14 @@ def keep_last_per_period(spark, sf_dir):
     return macro_series(spark, sf_dir).groupBy("indicator", F.year("date").alias("year")).agg(F.max_by("value", "date").alias("value"))
 
 
-@query("ts_sliding_limiter", """WITH RECURSIVE b AS MATERIALIZED (SELECT user_id AS key, ts, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+#: Two attempts of a user within an hour go through.
+LIMITED = """WITH RECURSIVE b AS MATERIALIZED (SELECT user_id AS key, ts, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 e AS (SELECT key, i, [ts] AS kept, TRUE AS allowed FROM b WHERE i = 1
 UNION ALL SELECT key, i, CASE WHEN len(live) < 2 THEN list_append(live, ts) ELSE live END, len(live) < 2 FROM (SELECT b.key, b.i, b.ts, list_filter(e.kept, lambda x: b.ts - x < INTERVAL 1 HOUR) AS live FROM e JOIN b ON b.key = e.key AND b.i = e.i + 1))
-SELECT key, ts::VARCHAR AS ts, id, allowed FROM b JOIN e USING (key, i)""")
+SELECT key, ts::VARCHAR AS ts, id, allowed FROM b JOIN e USING (key, i)"""
+
+
+@query("ts_sliding_limiter", LIMITED)
 def sliding_limiter(spark, sf_dir):
     e = load(spark, sf_dir, "events").select("user_id", "ts", F.col("event_id").alias("id"))
     return ts.sliding_limiter(e, "user_id", seconds=3600, most=2)

@@ -1,18 +1,14 @@
-"""Structured Streaming: windows, idempotent ingest, amendments, expiring caches. Each has the rows of its batch counterpart once all input is read."""
+"""Structured Streaming: windows, idempotent ingest, amendments, progress. Each has the rows of its batch counterpart once all input is read."""
 
 from __future__ import annotations
 
 import time
 from collections import deque
-from collections.abc import Iterator
-from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def event_stream(spark: SparkSession, folder: str, glob: str = "*.parquet", files_per_trigger: int = 1) -> DataFrame:
@@ -47,32 +43,12 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "30 days", ts: st
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def expiring_cache(events: DataFrame, ttl_seconds: int, late: str = "1 hour") -> DataFrame:
-    """A row (key, ts, hit) for each read of a cache whose entries expire ttl after they were stored: a read is a hit within that time, else it stores the entry anew. State is a key's expiry, and goes with it. Reads of a batch are taken in order; those of a later batch that are older than what is stored are hits."""
-
-    def step(key: tuple[Any], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        (until,) = state.get if state.exists else (None,)
-        times = sorted(t for b in batches for t in b["ts"])
-        hits = []
-        for t in times:
-            hits.append(until is not None and t.timestamp() < until)
-            if not hits[-1]:
-                until = t.timestamp() + ttl_seconds
-        state.update((until,))
-        state.setTimeoutTimestamp(max(int(until * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": [key[0]] * len(times), "ts": times, "hit": hits})
-
-    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "key long, ts timestamp, hit boolean", "until double", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 class Progress(StreamingQueryListener):
-    """Collects a row (query, batch, input_rows, rows_per_second, sink) for each batch of the streams of a session, and how queries ended. Add it with spark.streams.addListener; it keeps the last `most` rows."""
+    """Collects a row (query, batch, input_rows, rows_per_second, sink) for each batch of the streams of a session, the sums of each query, and how queries ended. Add it with spark.streams.addListener. Of rows it keeps the last `most` as a log; sums are of all batches."""
 
     def __init__(self, most: int = 1_000):
         self.rows: deque = deque(maxlen=most)
+        self.sums: dict[str, list[int]] = {}
         self.ended: dict[str, str | None] = {}
 
     def onQueryStarted(self, event) -> None:
@@ -80,7 +56,11 @@ class Progress(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
-        self.rows.append((p.name or str(p.id), p.batchId, p.numInputRows, p.processedRowsPerSecond, p.sink.description))
+        name = p.name or str(p.id)
+        self.rows.append((name, p.batchId, p.numInputRows, p.processedRowsPerSecond, p.sink.description))
+        total = self.sums.setdefault(name, [0, 0])
+        total[0] += 1
+        total[1] += p.numInputRows
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -92,6 +72,11 @@ class Progress(StreamingQueryListener):
         return spark.createDataFrame(list(self.rows), "query string, batch long, input_rows long, rows_per_second double, sink string")
 
 
+    def totals(self, spark: SparkSession) -> DataFrame:
+        """query, batches, input_rows of every query heard of."""
+        return spark.createDataFrame([(q, *v) for q, v in self.sums.items()], "query string, batches long, input_rows long")
+
+
 def settled(progress: Progress, seconds: float = 30) -> None:
     """Wait until a listener has heard how a query ended; events reach it some time after the query itself is over."""
     until = time.monotonic() + seconds
