@@ -48,40 +48,63 @@ PART = 4
 SLOTS = 1 << 26
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*'|"[^">]*\Z|'[^'>]*\Z)*)(?:>|\Z|(?=<))""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-_NAME_WORD = re.compile(r"[a-z]+|\d+")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s"'>]+))?""")
+_NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_DROPPED = set("nav header footer aside form script style noscript template iframe textarea title head button select option svg math object canvas dialog menu audio video fieldset legend input".split())
-#: Words of class, id and role that name parts beside the article.
-_BESIDE = set(
-    """ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner
-    nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc toolbar sidebar aside widget
-    header masthead footer colophon copyright cookie cookies consent gdpr notice notices notification alert disclaimer
-    popup modal overlay newsletter subscribe subscription signup login paywall share sharing social
-    comment comments respond replies disqus discussion related recommended recommendations trending
-    form search complementary contentinfo navigation""".split()
+_INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math semantics menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover".split())
+_DROPPED = set("nav header footer aside form script style noscript template iframe textarea title head button select option svg annotation annotation-xml object canvas dialog menu audio video fieldset legend input".split())
+#: Words of class and id that name parts beside the article. Those of the first list do so at the end of any name (`site-nav`), those of the second, which have other uses (`long-form`, `share-price`), only among words of these lists.
+_ENDS = set(
+    """ad ads adv advert adverts advertisement advertising adsense sponsored nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc toolbar sidebar
+    masthead footer colophon cookie cookies consent gdpr popup modal newsletter paywall comments replies disqus""".split()
 )
+_AMONG = set(
+    """sponsor promo promotion banner widget aside header copyright notice notices notification alert disclaimer overlay subscribe subscription signup login share sharing social
+    comment respond discussion related recommended recommendations trending form search complementary contentinfo""".split()
+)
+_PLACES = set(
+    """area bar block bottom box btn button buttons container content full global group header icon icons inline inner item items left link links list main mobile outer page panel post posts primary right row
+    secondary section sections shell site slot stories story strip text top unit user view web wrap wrapper articles""".split()
+)
+_ADS = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo share sharing social".split())
+_ROLES = set("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
 _CLOSES_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _CLOSED_BY_SELF = set("li dd dt tr td th option p".split())
 
 
+def _names_part(value: str, inline: bool) -> bool:
+    """Whether one of a class's or id's names is of a part beside the article. Inline elements stand in a sentence: only adverts and share widgets among them are."""
+    for name in value.split():
+        words = [w.lower() for w in _NAME_WORD.findall(name)]
+        words = [w for w in words if not w.isdigit()]
+        known = [w for w in words if w in _ENDS or w in _AMONG]
+        if not known or inline and not (known[0] in _ADS or known[-1] in _ADS):
+            continue
+        if all(w in _ENDS or w in _AMONG or w in _PLACES for w in words) or words[-1] in _ENDS and not inline:
+            return True
+    return False
+
+
 def _beside(tag: str, attributes: str) -> tuple[bool, bool]:
-    """(the element stands beside the article, it has the role of main)."""
+    """(the element stands beside the article, it has the role of main). Attributes are read as names with values; what a value holds counts for its own attribute alone."""
     if tag in _DROPPED:
         return True, False
     main = False
-    if "=" in attributes or "hidden" in attributes:
+    if "=" in attributes or "hidden" in attributes.lower():
         for name, value in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), value.strip("\"'").lower()
-            if name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "")):
+            name, value = name.lower(), html_lib.unescape(value.strip("\"'"))
+            if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
                 return True, False
-            if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
-                words = set(_NAME_WORD.findall(value))
-                if words & _BESIDE:
+            if tag in ("html", "body", "article", "main"):
+                continue
+            if name == "role":
+                roles = set(value.lower().split())
+                if roles & _ROLES:
                     return True, False
-                main = main or (name == "role" and value == "main")
+                main = main or "main" in roles
+            elif name in ("class", "id") and _names_part(value, tag in _INLINE):
+                return True, False
     return False, main
 
 

@@ -913,3 +913,26 @@ def test_main_text_brute_real(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     rows = [(r["page_id"], r["url"], r["html"]) for r in pages.select("page_id", "url", "html").collect()]
     assert {r["page_id"]: r["text"] for r in web.main_text(pages).collect()} == brute_pages(rows)
+
+
+# ---- 10: attributes of elements ----
+
+PARTS = [
+    ('<p title="the hidden truth">Three four.</p>', "Three four."),
+    ('<p>See <a href="/a?id=related">linked words</a> here.</p>', "See linked words here."),
+    ('<p aria-hidden="false">Shown.</p><p aria-hidden="true">Not shown.</p>', "Shown."),
+    ('<div data-id="menu">One.</div><div data-section="nav" data-id="x">Two.</div>', "One.\n\nTwo."),
+    ('<div class="long-form">Whole article.</div>', "Whole article."),
+    ('<p>It cost <span class="share-price">12.5</span> then.</p>', "It cost 12.5 then."),
+    ('<p>Area <math><mi>x</mi><msup><mn>2</mn></msup></math> of it.</p>', "Area x2 of it."),
+    ("<p hidden>Gone.</p><p>Kept.</p>", "Kept."), ("<p HIDDEN>Gone.</p><p>Kept.</p>", "Kept."), ('<p data-hidden="1">Kept.</p>', "Kept."), ('<p class="hidden-truth">Kept.</p>', "Kept."),
+    ("<p title='a > b' class=ad>Gone.</p><p>Kept.</p>", "Kept."), ('<div class="ad-slot-3">Buy.</div><div class="siteNav">Home</div><div class="related-posts">More</div><div class="cookie-banner">Agree</div><p>Kept.</p>', "Kept."),
+    ('<p>Before <span class="ad">buy</span> after, <span class="share-buttons">tweet</span> end, <b class="menu">bold</b>.</p>', "Before after, end, bold."),
+    ('<div class="article-header"><h2>Heading</h2></div><p>Text.</p>', "Heading\n\nText."), ('<div role="navigation">Home</div><div role="note">A note.</div>', "A note."), ('<div id="comments">Nice!</div><div class="no-comments-yet-policy">Kept.</div>', "Kept."),
+    ('<div style="color:red; display : none">Gone.</div><div style="display:block">Kept.</div>', "Kept."), ('<div class="form">Name?</div><div class="transformation">Kept.</div><div class="adjacent">Too.</div>', "Kept.\n\nToo."),
+]
+
+
+@pytest.mark.parametrize("html, text", PARTS)
+def test_attributes_of_elements(html, text):
+    assert "\n\n".join(web.page_blocks(f"<html><body>{html}</body></html>")[0]) == text
