@@ -40,6 +40,8 @@ from quillfin.llm.words import U, mix64, pieces, split_words
 
 END = int(np.uint64(0x51ED270B7A1F4C6D).view(np.int64))
 FREQUENT = 65_536
+#: Classes are numbered in 16 bits, the shared ones among them.
+MOST_OWN_CLASSES = 32_000
 OWN_CLASS = 16_384
 RARE = 64
 STATES = 6
@@ -378,7 +380,9 @@ def _score(model_):
 
 
 def language_model_scores(docs: DataFrame, held_out_fold: int = 1, states: int = STATES, rounds: int = ROUNDS, own_class: int = 0) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. own_class: the most frequent words that get a class of their own (0: OWN_CLASS)."""
+    """Per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. own_class: the most frequent words that get a class of their own (0: OWN_CLASS; at most MOST_OWN_CLASSES, more is an error)."""
+    if not 0 <= own_class <= MOST_OWN_CLASSES:
+        raise ValueError(f"own_class must be from 0 to {MOST_OWN_CLASSES}")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", F.coalesce(crc_fold() == held_out_fold, F.lit(False)))
     counts = staged(word_counts(docs.filter("not held_out")), "word-counts")

@@ -936,3 +936,9 @@ PARTS = [
 @pytest.mark.parametrize("html, text", PARTS)
 def test_attributes_of_elements(html, text):
     assert "\n\n".join(web.page_blocks(f"<html><body>{html}</body></html>")[0]) == text
+
+
+def test_own_class_is_checked(spark):
+    for bad in (-1, hmm.MOST_OWN_CLASSES + 1):
+        with pytest.raises(ValueError):
+            hmm.language_model_scores(docs(spark, [(1, "a b")]), own_class=bad)
