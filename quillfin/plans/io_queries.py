@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillfin.adapters import chat_messages, load, macro_series, with_inputs
@@ -12,6 +13,7 @@ from quillfin.plans.registry import query
 from quillfin.session import register_functions, scratch
 from quillfin.sources import readers as rd
 from quillfin.sources import sinks
+from quillfin.sources.feed import read_feed
 
 TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
 
@@ -50,6 +52,27 @@ def atom_entries(spark, sf_dir):
     return rd.atom_entries(e, "1996-01-01", 40, page=2).drop("link")
 
 
+_FEED_PAGE = 500
+
+
+@query("src_paged_feed", "SELECT CAST(o_orderdate AS DATE)::VARCHAR AS filed, count(*) AS n, min(CASE o_orderstatus WHEN 'F' THEN '4 - F' WHEN 'O' THEN '424B2 - O' ELSE '4/A - P' END) AS title, min(o_orderkey::VARCHAR) AS link FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1997-01-01' GROUP BY 1")
+def paged_feed(spark, sf_dir):
+    """Orders as the pages of a feed, the latest first, read back by the data source with a pushed first day."""
+    title = F.when(F.col("o_orderstatus") == "F", "4 - F").when(F.col("o_orderstatus") == "O", "424B2 - O").otherwise("4/A - P")
+    e = load(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderkey").cast("string").alias("link"), title.alias("title"))
+    entry = F.concat(F.lit("<entry><title>"), "title", F.lit("</title><updated>"), F.col("day").cast("string"), F.lit('T12:00:00-05:00</updated><link href="'), "link", F.lit('"/></entry>'))
+    # Places in the feed: those of a month follow on the later months', of which there are few.
+    month = F.trunc("day", "month")
+    later = e.groupBy(month.alias("month")).agg(F.count(F.lit(1)).alias("n")).withColumn("after", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("month")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = e.withColumn("month", month).join(later.select("month", "after"), "month").withColumn("place", F.col("after") + F.row_number().over(Window.partitionBy("month").orderBy(F.desc("day"), "link")) - 1)
+    pages = placed.groupBy((F.floor(F.col("place") / _FEED_PAGE) * _FEED_PAGE).alias("start")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", entry.alias("x")))), lambda p: p["x"]), "").alias("entries"))
+    at = scratch(spark, "feed")
+    pages.select("start", F.concat(F.lit("<feed>"), "entries", F.lit("</feed>")).alias("value")).write.partitionBy("start").text(at)
+    url = at if "://" in at or at.startswith("file:") else f"file://{at}"
+    found = read_feed(spark, url + "/start={start}", count=_FEED_PAGE).filter("filed >= DATE '1997-01-01'")
+    return found.groupBy("filed").agg(F.count(F.lit(1)).alias("n"), F.min("title").alias("title"), F.min("link").alias("link"))
+
+
 @query("src_history_pages", "SELECT o_custkey, a::VARCHAR AS filing_from, b::VARCHAR AS filing_to FROM (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders GROUP BY 1) WHERE b >= DATE '1993-01-01' AND a <= DATE '1994-12-31'")
 def history_pages(spark, sf_dir):
     g = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(F.col("o_orderdate").cast("date")).alias("filing_from"), F.max(F.col("o_orderdate").cast("date")).alias("filing_to"))
