@@ -11,6 +11,7 @@ from quillfin.plans.timeseries_queries import LIMITED
 from quillfin.session import scratch
 from quillfin.streaming import stateful
 from quillfin.streaming import streams as st
+from quillfin.streaming.versioned import BucketedTable, amending
 
 
 def _drained(spark, stream, mode):
@@ -67,12 +68,16 @@ def sliding_limiter(spark, sf_dir):
 
 @query("str_amendments", with_inputs("form4", AMENDED_BY_ARRIVAL))
 def amendments(spark, sf_dir):
-    """Trades in two micro-batches by their order of arrival; the stored table after both."""
-    store, trades = scratch(spark, "amended"), insider_trades(spark, sf_dir)
-    apply = st.amend_batch(store)
-    apply(trades.filter("seq <= 3"), 0)
-    apply(trades.filter("seq > 3"), 1)
-    return spark.read.parquet(f"{store}/v1").groupBy("issuer").agg(F.count(F.lit(1)).alias("rows"), exact_sum("shares").alias("shares"))
+    """Trades come as files in two runs of a stream, by their order of arrival; the stored table after both."""
+    at, trades = scratch(spark, "amended"), insider_trades(spark, sf_dir)
+    keys = ("issuer", "owner", "period_of_report")
+    table = BucketedTable(spark, f"{at}/table", list(keys), buckets=8)
+    for part in (trades.filter("seq <= 3"), trades.filter("seq > 3")):
+        part.write.mode("append").parquet(f"{at}/filings")
+        filings = spark.readStream.schema(part.schema).parquet(f"{at}/filings")
+        q = filings.writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(table.merging("filings", amending(keys, "seq"))).start()
+        q.awaitTermination()
+    return table.read().groupBy("issuer").agg(F.count(F.lit(1)).alias("rows"), exact_sum("shares").alias("shares"))
 
 
 @query("str_progress", "SELECT CAST(count(*) AS BIGINT) AS input_rows FROM events")

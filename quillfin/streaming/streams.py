@@ -1,4 +1,4 @@
-"""Structured Streaming: windows, idempotent ingest, amendments, progress. Each has the rows of its batch counterpart once all input is read."""
+"""Structured Streaming: windows, idempotent ingest, progress. Each has the rows of its batch counterpart once all input is read."""
 
 from __future__ import annotations
 
@@ -84,20 +84,6 @@ def settled(progress: Progress, seconds: float = 30) -> None:
         time.sleep(0.05)
 
 
-def amend_batch(store: str):
-    """A foreachBatch function that applies amendments of a micro-batch to a stored table (parquet below store) and writes its next version."""
-    from quillfin.operators.insider import amended
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch.withColumn("batch", F.lit(batch_id))
-        old = spark.read.parquet(f"{store}/v{batch_id - 1}") if batch_id else new.limit(0)
-        both = old.unionByName(new).withColumn("arrival", F.struct("batch", "seq"))
-        amended(both, order="arrival").drop("arrival").write.mode("overwrite").parquet(f"{store}/v{batch_id}")
-
-    return apply
-
-
 def _writer(out: str, mode: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={batch_id}")

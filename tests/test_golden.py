@@ -345,14 +345,17 @@ def test_a_search_without_hits_leaves_the_others(spark):
 
 
 def test_stream_amendments(spark, tmp_path):
-    from quillfin.streaming.streams import amend_batch
+    from quillfin.streaming.versioned import BucketedTable, amending
 
     d = dt.date(2024, 1, 1)
-    row = lambda kind, shares, seq: (seq, kind, d, "X", "O", True, False, False, d, "P", "A", shares, 1.0, seq)
-    apply = amend_batch(str(tmp_path))
-    apply(spark.createDataFrame([row("4", 1.0, 1)], TRADES), 0)
-    apply(spark.createDataFrame([row("4/A", 2.0, 1)], TRADES), 1)
-    assert [r["shares"] for r in spark.read.parquet(f"{tmp_path}/v1").collect()] == [2.0]
+    row = lambda kind, shares, seq, owner="O": (seq, kind, d, "X", owner, True, False, False, d, "P", "A", shares, 1.0, seq)
+    keys = ("issuer", "owner", "period_of_report")
+    table = BucketedTable(spark, str(tmp_path), list(keys), 4)
+    apply = table.merging("filings", amending(keys, "seq"))
+    for batch, rows in enumerate(([row("4", 1.0, 1), row("4", 7.0, 1, "P")], [row("4/A", 2.0, 1)], [row("4", 3.0, 1)])):
+        apply(spark.createDataFrame(rows, TRADES), batch)
+        apply(spark.createDataFrame(rows, TRADES), batch)
+    assert sorted((r["owner"], r["shares"]) for r in table.read().collect()) == [("O", 2.0), ("O", 3.0), ("P", 7.0)]
 
 
 def test_refresh_takes_in_new_files_and_resumes(spark, tmp_path):
