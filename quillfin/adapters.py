@@ -115,8 +115,85 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("firm"), F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"), name.alias("rating"), F.col("value").alias("target_price"), "event_id")
 
 
+#: What a note of a customer's market segment is about.
+TOPICS = {"AUTOMOBILE": "the bull case and the bear case", "BUILDING": "revenue by geography", "FURNITURE": "reportable segment margins", "HOUSEHOLD": "how inflation moves the 10-year treasury yield", "MACHINERY": "insider trading by key management"}
+_ORDINALS = ("first", "2nd", "third", "4th")
+_STANDING = {"F": "strong buy, solid growth", "O": "sell, weak outlook and headwinds", "P": "underweight, risk and pressure"}
+
+
+def _order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, c, n = (load(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    day = F.col("o_orderdate").cast("date")
+    j = o.join(c.select("c_custkey", "c_mktsegment", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(n.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.select(F.col("o_orderkey").alias("id"), F.initcap("n_name").alias("name"), F.concat(F.lit("n"), "n_nationkey").alias("ticker"), "c_mktsegment", "o_orderstatus", F.year(day).alias("y"), F.quarter(day).alias("q"), F.date_format(day, "yyyyMMdd").alias("ymd"), F.floor("o_totalprice").cast("long").alias("whole"), F.dayofmonth(day).alias("d"))
+
+
+def _by_value(c: str, of: dict, other: str = "revenue right now") -> Column:
+    out = F.lit(other)
+    for k, v in of.items():
+        out = F.when(F.col(c) == k, v).otherwise(out)
+    return out
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, text: a sentence for each order, in four wordings, with its nation, year, quarter, status, segment and price."""
+    f, kind = _order_facts(spark, sf_dir), F.col("id") % 4
+    text = (
+        F.when(kind == 0, F.concat(F.lit("What did "), "name", F.lit(" report in its 10-K for "), "y", F.lit(" and "), F.col("y") - 1, F.lit("? Tell me about "), _by_value("c_mktsegment", TOPICS)))
+        .when(kind == 1, F.concat(F.lit("Q"), "q", F.lit(" orders of "), "name", F.lit(" were $"), "whole", F.lit(".5, up "), "d", F.lit("% on the "), F.element_at(F.array(*map(F.lit, _ORDINALS)), F.col("q")), F.lit(" quarter of "), "y"))
+        .when(kind == 2, F.concat(F.lit("-"), "whole", F.lit(" million, "), _by_value("o_orderstatus", _STANDING), F.lit(" for ("), F.upper("ticker"), F.lit("), press release")))
+        .otherwise(F.concat(_by_value("c_mktsegment", TOPICS), F.lit(" of "), "name", F.lit(", various")))
+    )
+    return f.select("id", text.alias("text"))
+
+
+def option_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, text: what a note says of the options of each line item, from its columns."""
+    li = load(spark, sf_dir, "lineitem")
+    part = lambda c, least, n: (F.lit(least) + F.col(c) % n).cast("string")
+    volume = F.concat(F.floor("l_quantity").cast("int").cast("string"), F.lit(","), F.lpad((F.col("l_orderkey") % 1000).cast("string"), 3, "0"))
+    one = F.when(F.col("l_linestatus") == "O", F.concat(F.lit("The $"), part("l_suppkey", 90, 20), F.lit(" strike call saw "), volume, F.lit(" contracts"))).otherwise(F.concat(F.lit("Heavy puts: the $"), part("l_suppkey", 90, 20), F.lit(" put with "), volume, F.lit(" contracts")))
+    mood = F.when(F.col("l_returnflag") == "A", "overall sentiment is bullish").when(F.col("l_returnflag") == "R", "a bearish day").otherwise("small move expected")
+    text = F.concat(F.lit("Put/call ratio of 0."), "l_linenumber", F.lit("; "), mood, F.lit(". Support near $"), part("l_suppkey", 60, 30), F.lit(" and resistance at $"), part("l_partkey", 120, 50), F.lit(".5. "), one)
+    return li.select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("id"), text.alias("text"))
+
+
+def filing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, name: a file name for each order, in five forms."""
+    f, kind = _order_facts(spark, sf_dir), F.col("id") % 5
+    name = (
+        F.when(kind == 0, F.concat(F.upper("ticker"), F.lit("_10K_"), "y", F.lit(".pdf")))
+        .when(kind == 1, F.concat("ticker", F.lit("-"), "ymd", F.lit(".pdf")))
+        .when(kind == 2, F.concat("ticker", F.lit("_10-Q_"), "ymd", F.lit("_"), F.lpad(F.col("id").cast("string"), 10, "0"), F.lit(".pdf")))
+        .when(kind == 3, F.concat("name", F.lit(" Annual Report "), "y", F.lit(".pdf")))
+        .otherwise(F.concat(F.lit("8-K "), F.lower("name")))
+    )
+    return f.select("id", name.alias("name"))
+
+
+def nation_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ordinal, ticker, company: nations as a dictionary of companies."""
+    return load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ordinal"), F.concat(F.lit("n"), "n_nationkey").alias("ticker"), F.lower("n_name").alias("company"))
+
+
+def _sql_cases(c: str, of: dict, other: str = "revenue right now") -> str:
+    return f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in of.items()) + f" ELSE '{other}' END"
+
+
+_FACTS = "SELECT o_orderkey AS id, upper(left(n_name, 1)) || lower(substr(n_name, 2)) AS name, 'n' || n_nationkey AS ticker, c_mktsegment, o_orderstatus, year(o_orderdate) AS y, quarter(o_orderdate) AS q, strftime(o_orderdate, '%Y%m%d') AS ymd, CAST(floor(o_totalprice) AS BIGINT) AS whole, day(o_orderdate) AS d FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
+
 #: The same inputs as DuckDB common table expressions.
 SQL = {
+    "notes": f"""notes AS (SELECT id, CASE id % 4 WHEN 0 THEN 'What did ' || name || ' report in its 10-K for ' || y || ' and ' || (y - 1) || '? Tell me about ' || {_sql_cases('c_mktsegment', TOPICS)}
+        WHEN 1 THEN 'Q' || q || ' orders of ' || name || ' were $' || whole || '.5, up ' || d || '% on the ' || {list(_ORDINALS)}[q] || ' quarter of ' || y
+        WHEN 2 THEN '-' || whole || ' million, ' || {_sql_cases('o_orderstatus', _STANDING)} || ' for (' || upper(ticker) || '), press release'
+        ELSE {_sql_cases('c_mktsegment', TOPICS)} || ' of ' || name || ', various' END AS text FROM ({_FACTS}))""",
+    "option_notes": """option_notes AS (SELECT l_orderkey || '/' || l_linenumber AS id, 'Put/call ratio of 0.' || l_linenumber || '; ' || CASE l_returnflag WHEN 'A' THEN 'overall sentiment is bullish' WHEN 'R' THEN 'a bearish day' ELSE 'small move expected' END
+        || '. Support near $' || (60 + l_suppkey % 30) || ' and resistance at $' || (120 + l_partkey % 50) || '.5. ' || CASE l_linestatus WHEN 'O' THEN 'The $' || (90 + l_suppkey % 20) || ' strike call saw ' ELSE 'Heavy puts: the $' || (90 + l_suppkey % 20) || ' put with ' END
+        || CAST(floor(l_quantity) AS INTEGER) || ',' || lpad((l_orderkey % 1000)::VARCHAR, 3, '0') || ' contracts' AS text FROM lineitem)""",
+    "filing_names": f"""filing_names AS (SELECT id, CASE id % 5 WHEN 0 THEN upper(ticker) || '_10K_' || y || '.pdf' WHEN 1 THEN ticker || '-' || ymd || '.pdf' WHEN 2 THEN ticker || '_10-Q_' || ymd || '_' || lpad(id::VARCHAR, 10, '0') || '.pdf'
+        WHEN 3 THEN name || ' Annual Report ' || y || '.pdf' ELSE '8-K ' || lower(name) END AS name FROM ({_FACTS}))""",
+    "nation_companies": "nation_companies AS (SELECT n_nationkey AS ordinal, 'n' || n_nationkey AS ticker, lower(n_name) AS company FROM nation)",
     "bars": "bars AS (SELECT event_type AS ticker, date_trunc('hour', ts) AS ts, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*) AS volume FROM events GROUP BY 1, 2)",
     "chain": """chain AS (SELECT p_brand AS ticker, CASE WHEN l_linestatus = 'O' THEN 'call' ELSE 'put' END AS option_type, last_day(CAST(l_shipdate AS DATE)) AS expiration, p_retailprice AS strike,
         round(l_extendedprice / l_quantity, 2) AS lastPrice, l_quantity AS volume, 0.0::DOUBLE AS openInterest, l_discount AS impliedVolatility, FALSE AS inTheMoney,

@@ -1,35 +1,27 @@
-"""Text queries: over a fixed list of sentences and file names, and over whole documents with words drawn from them."""
+"""Text queries: over whole documents, conversations, and notes and file names made of the columns of orders and line items."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillfin.adapters import load, ratings, with_inputs
+from quillfin.adapters import SQL, filing_names, load, nation_companies, notes, option_notes, ratings, with_inputs
 from quillfin.functions import text as tx
 from quillfin.functions.numbers import rnd
 from quillfin.operators import research as rs
 from quillfin.plans.registry import query
 
-TEXTS = (
-    "What did AAPL report in its 10-K for 2023 and 2021?", "Compare the Q1 and q3 results, sequential growth of 12.5%", "Combine the annual report with the latest quarter and the 8k press release",
-    "revenue by geography for 2024", "reportable segment margins", "How does inflation move the 10-year treasury yield?", "Give me the bull case and bear case for MSFT", "Recent insider trading by key management",
-    "What is the current stock price right now?", "The first quarter and 4th quarter were strong", "$37.8B in sales, up 5 million", "down -52.69% from $1,234.5", "N/A", "various", "(5)", "",
-    "Put/call ratio of 0.54; overall sentiment is bullish. Support near $300 and resistance at $312.50. The $310 strike call saw 3,123 contracts.", "Ratio slightly above 1.0, small move expected, neutral", "headwinds and headwind risk, strong growth and strengths, margin pressure",
-    "Market outperform", "strong sell", "Avoid", "underweight", "Equal Weight", "top pick", "no opinion", "guidance raised, outlook solid, momentum robust", "Founded in 1999, listed 2030, sold 2029",
-    "Heavy puts: the $95 strike saw 12,000 contracts. Calls at $100 strike call reached 1,500 contracts; then $105 put with 2,250 contracts",
-)
-FILES = ("AAPL_10K_2024.pdf", "aapl-20250628.pdf", "msft_10-Q_2023-03-31_0000320193.pdf", "Tesla Annual Report 2022.pdf", "8-K.pdf", "nvda-8K-19990101.pdf", "report.pdf", "0000320193-25-000011.pdf", "ko_2050.pdf", "deck")
 _q = lambda s: "'" + s.replace("'", "''") + "'"
-_T = f"t(id, text) AS (VALUES {', '.join(f'({i}, {_q(s)})' for i, s in enumerate(TEXTS))})"
-_F = f"f(id, name) AS (VALUES {', '.join(f'({i}, {_q(s)})' for i, s in enumerate(FILES))})"
 
 
-def texts(spark):
-    return spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string")
+def texts(spark, sf_dir):
+    """id, text: notes on orders, turns of conversations and documents."""
+    n = notes(spark, sf_dir).select(F.concat(F.lit("o"), "id").alias("id"), "text")
+    c = load(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("/"), "turn").alias("id"), "text")
+    d = load(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    return n.unionByName(c).unionByName(d).filter("text is not null")
 
 
-def files(spark):
-    return spark.createDataFrame(list(enumerate(FILES)), "id int, name string")
+_T = f"{SQL['notes']}, t AS (SELECT * FROM (SELECT 'o' || id AS id, text FROM notes UNION ALL SELECT 'c' || conv_id || '/' || turn, text FROM conversations UNION ALL SELECT 'd' || doc_id, text FROM documents) WHERE text IS NOT NULL)"
 
 
 def _any(terms, c: str = "lower(text)") -> str:
@@ -38,12 +30,12 @@ def _any(terms, c: str = "lower(text)") -> str:
 
 @query("txt_years", f"WITH {_T} SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\b(20[0-2][0-9])\\b', 1))), ',') AS years FROM t")
 def years(spark, sf_dir):
-    return texts(spark).select("id", F.array_join(tx.years_in(F.col("text")).cast("array<string>"), ",").alias("years"))
+    return texts(spark, sf_dir).select("id", F.array_join(tx.years_in(F.col("text")).cast("array<string>"), ",").alias("years"))
 
 
 @query("txt_filing_types", f"WITH {_T} SELECT id, concat_ws(',', CASE WHEN regexp_matches(lower(text), '\\b10-?k\\b') OR {_any(tx.FORM_10K)} THEN '10-K' END, CASE WHEN regexp_matches(lower(text), '\\b10-?q\\b') OR {_any(tx.FORM_10Q)} THEN '10-Q' END, CASE WHEN regexp_matches(lower(text), '\\b8-?k\\b') OR {_any(tx.FORM_8K)} THEN '8-K' END) AS types FROM t")
 def filing_types(spark, sf_dir):
-    return texts(spark).select("id", F.array_join(tx.filing_types_in(F.col("text")), ",").alias("types"))
+    return texts(spark, sf_dir).select("id", F.array_join(tx.filing_types_in(F.col("text")), ",").alias("types"))
 
 
 _WORDS = ", ".join(f"CASE WHEN contains(lower(text), '{p}') THEN '{q}' END" for p, q in tx.QUARTER_WORDS)
@@ -51,13 +43,13 @@ _WORDS = ", ".join(f"CASE WHEN contains(lower(text), '{p}') THEN '{q}' END" for
 
 @query("txt_quarters", f"WITH {_T} SELECT id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(lower(text), '\\bq([1-4])\\b', 1), list_filter([{_WORDS}], lambda x: x IS NOT NULL)))), ',') AS quarters FROM t")
 def quarters(spark, sf_dir):
-    return texts(spark).select("id", F.array_join(tx.quarters_in(F.col("text")).cast("array<string>"), ",").alias("quarters"))
+    return texts(spark, sf_dir).select("id", F.array_join(tx.quarters_in(F.col("text")).cast("array<string>"), ",").alias("quarters"))
 
 
 @query("txt_intents", f"WITH {_T} SELECT id, CASE WHEN {_any(tx.GEOGRAPHIC)} THEN 'geographic' WHEN {_any(tx.SEGMENT)} THEN 'segment' ELSE 'none' END AS part, CASE WHEN {_any(tx.SCENARIO)} THEN 'scenario' WHEN {_any(tx.MACRO)} THEN 'macro' WHEN {_any(tx.INSIDER)} THEN 'insider' ELSE 'document' END AS intent, CASE WHEN {_any(tx.REALTIME)} THEN 'web_search' ELSE 'vectorstore' END AS route FROM t")
 def intents(spark, sf_dir):
     t = F.col("text")
-    return texts(spark).select("id", tx.segment_or_geographic(t).alias("part"), tx.intent(t).alias("intent"), tx.route(t).alias("route"))
+    return texts(spark, sf_dir).select("id", tx.segment_or_geographic(t).alias("part"), tx.intent(t).alias("intent"), tx.route(t).alias("route"))
 
 
 def _rating(c: str) -> str:
@@ -69,7 +61,7 @@ _SCORE = "CASE {x} WHEN 'strong_buy' THEN 5.0 WHEN 'buy' THEN 4.0 WHEN 'hold' TH
 
 @query("txt_rating", f"WITH {_T}, r AS (SELECT id, {_rating('lower(trim(text))')} AS rating FROM t) SELECT id, rating, {_SCORE.format(x='rating')} AS score FROM r")
 def rating(spark, sf_dir):
-    return texts(spark).select("id", tx.rating(F.col("text")).alias("r")).select("id", "r.rating", "r.score")
+    return texts(spark, sf_dir).select("id", tx.rating(F.col("text")).alias("r")).select("id", "r.rating", "r.score")
 
 
 def _count(terms, c: str = "lower(text)") -> str:
@@ -81,7 +73,7 @@ _TONE = "CASE WHEN r > 1.5::DOUBLE THEN 'bullish' WHEN r > 1.1::DOUBLE THEN 'sli
 
 @query("txt_keyword_counts", f"WITH {_T} SELECT id AS doc_id, category, CAST(total AS INTEGER) AS total FROM (" + " UNION ALL ".join(f"SELECT id, '{c}' AS category, {_count(terms)} AS total FROM t" for c, terms in tx.KEYWORDS.items()) + ")")
 def keyword_counts(spark, sf_dir):
-    return rs.keyword_counts(texts(spark).withColumnRenamed("id", "doc_id"))
+    return rs.keyword_counts(texts(spark, sf_dir).withColumnRenamed("id", "doc_id"))
 
 
 _DATA_WORDS = {"negative": ("idiot", "trash", "worthless", "er th"), "positive": ("the", "ion", "on th", "avec")}
@@ -101,43 +93,32 @@ def sentiment(spark, sf_dir):
     return rs.sentiment(load(spark, sf_dir, "documents"), spark.createDataFrame(LEX, "word string, polarity double, subjectivity double"))
 
 
-_COMPANIES = (("aapl", "apple"), ("msft", "microsoft"), ("nvda", "nvidia"), ("meta", "meta"), ("tsla", "tesla"), ("ko", "coca-cola"))
-_C = f"c(ordinal, ticker, company) AS (VALUES {', '.join(f'({i}, {_q(t)}, {_q(c)})' for i, (t, c) in enumerate(_COMPANIES))})"
-
-
-def companies(spark):
-    return spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(_COMPANIES)], "ordinal int, ticker string, company string")
-
-
-@query("txt_file_metadata", f"""WITH {_F}, {_C}, b AS (SELECT id, name, regexp_replace(name, '(.)\\.[^.]*$', '\\1') AS bare FROM f),
+@query("txt_file_metadata", f"""WITH {SQL['filing_names']}, {SQL['nation_companies']}, c AS (SELECT ticker, min(company) AS company FROM nation_companies GROUP BY 1), b AS (SELECT id, name, regexp_replace(name, '(.)\\.[^.]*$', '\\1') AS bare FROM filing_names),
 s AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(bare, '[-_.]', ' ', 'g'), '\\b(19|20)\\d{{2}}\\b', '', 'g'), '\\b\\d{{6,}}\\b', '', 'g'), '\\b(10[-\\s]?[kq]|8[-\\s]?k|annual|quarterly|report)\\b', '', 'gi'), '\\b\\d{{1,2}}\\b', '', 'g'), '\\s+\\d+\\s*$', '', 'g'), '\\s+', ' ', 'g')) AS company, regexp_replace(name, '[-_.]', ' ', 'g') AS spaced FROM b),
 l AS (SELECT id, spaced, lower(CASE WHEN company = '' THEN bare ELSE company END) AS own FROM s)
 SELECT id, CASE WHEN c.company IS NOT NULL THEN c.company || substr(own, length(split_part(own, ' ', 1)) + 1) ELSE own END AS company, CASE WHEN regexp_matches(spaced, '\\b10\\s?k\\b', 'i') THEN '10-K' WHEN regexp_matches(spaced, '\\b10\\s?q\\b', 'i') THEN '10-Q' WHEN regexp_matches(spaced, '\\b8\\s?k\\b', 'i') THEN '8-K' END AS filing_type FROM l LEFT JOIN c ON c.ticker = split_part(own, ' ', 1)""")
 def file_metadata(spark, sf_dir):
     from quillfin.operators.relational import company_of_files
 
-    return company_of_files(files(spark), companies(spark)).select("id", "company", tx.filing_type_of_file(F.col("name")).alias("filing_type"))
-
-
-_CHAT_TEXTS = f"q AS (SELECT 't' || id AS question_id, text AS question FROM t UNION ALL SELECT conv_id || '/' || turn, text FROM conversations WHERE text IS NOT NULL)"
+    return company_of_files(filing_names(spark, sf_dir), nation_companies(spark, sf_dir)).select("id", "company", tx.filing_type_of_file(F.col("name")).alias("filing_type"))
 
 
-@query("txt_ticker_in_text", f"""WITH {_T}, {_C}, {_CHAT_TEXTS}, w AS (SELECT question_id, lower(question) AS low, list_transform(string_split(trim(regexp_replace(question, '\\s+', ' ', 'g')), ' '), lambda w: regexp_replace(w, '^[,.?!"'']+|[,.?!"'']+$', '', 'g')) AS w FROM q),
+@query("txt_ticker_in_text", f"""WITH {_T}, {SQL['nation_companies']}, c AS (SELECT * FROM nation_companies), q AS (SELECT id AS question_id, text AS question FROM t WHERE id[1] <> 'd'), w AS (SELECT question_id, lower(question) AS low, list_transform(string_split(trim(regexp_replace(question, '\\s+', ' ', 'g')), ' '), lambda w: regexp_replace(w, '^[,.?!"'']+|[,.?!"'']+$', '', 'g')) AS w FROM q),
 one AS (SELECT question_id, upper(arg_min(x, i)) AS t FROM (SELECT question_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM w) WHERE lower(x) IN (SELECT ticker FROM c) GROUP BY 1),
 two AS (SELECT question_id, upper(arg_min(ticker, ordinal)) AS t FROM w JOIN c ON regexp_matches(low, '\\b' || company || '\\b') GROUP BY 1)
 SELECT question_id, coalesce(one.t, two.t, upper(list_filter(w, lambda x: regexp_full_match(x, '\\p{{L}}{{2,5}}'))[1])) AS ticker FROM w LEFT JOIN one USING (question_id) LEFT JOIN two USING (question_id)""")
 def ticker_in_text(spark, sf_dir):
     from quillfin.operators.relational import ticker_in_text as find
 
-    chat = load(spark, sf_dir, "conversations").filter("text is not null").select(F.concat_ws("/", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"))
-    return find(texts(spark).select(F.concat(F.lit("t"), "id").alias("question_id"), F.col("text").alias("question")).unionByName(chat), companies(spark))
+    asked = texts(spark, sf_dir).filter("not startswith(id, 'd')").select(F.col("id").alias("question_id"), F.col("text").alias("question"))
+    return find(asked, nation_companies(spark, sf_dir))
 
 
 @query("txt_numbers", f"""WITH {_T} SELECT id, regexp_matches(text, '\\$\\s?[\\d,]+(?:\\.\\d+)?|\\b\\d+(?:\\.\\d+)?\\s?%|\\b\\d+(?:\\.\\d+)?\\s?(?:million|billion|trillion)\\b', 'i') AS claim,
 CASE WHEN NOT {_any(('not specified', 'n/a', 'various', 'brief summary'))} THEN TRY_CAST(replace(regexp_extract(lower(trim(text)), '(-?[\\d,]+\\.?\\d*)', 1), ',', '') AS DOUBLE) END AS value, TRY_CAST(nullif(regexp_replace(text, '[^0-9.]', '', 'g'), '') AS DOUBLE) AS digits FROM t""")
 def numbers(spark, sf_dir):
     t = F.col("text")
-    return texts(spark).select("id", tx.has_numeric_claim(t).alias("claim"), tx.numeric_value(t).alias("value"), tx.digits_value(t).alias("digits"))
+    return texts(spark, sf_dir).select("id", tx.has_numeric_claim(t).alias("claim"), tx.numeric_value(t).alias("value"), tx.digits_value(t).alias("digits"))
 
 
 def _sql_claims() -> str:
@@ -151,14 +132,14 @@ def _sql_claims() -> str:
     kind = "CASE WHEN contains(lower(substr(text, greatest(pos[i] - 100, 0) + 1, least(pos[i], 100) + length(x))), 'put') THEN 'put' ELSE 'call' END"
     one = f"(st[i]::DOUBLE)::VARCHAR || ':' || replace(vo[i], ',', '') || ':' || {kind}"
     gaps = f"regexp_split_to_array(text, {_q(tx.VOLUME_CLAIM)})"
-    return f"""WITH {_T}, m AS (SELECT id, text, {find(0)} AS w, {find(1)} AS st, {find(2)} AS vo, {gaps} AS split_at FROM t), s AS (SELECT *, {starts} AS pos FROM m)
+    return f"""WITH {SQL['option_notes']}, t AS (SELECT * FROM option_notes), m AS (SELECT id, text, {find(0)} AS w, {find(1)} AS st, {find(2)} AS vo, {gaps} AS split_at FROM t), s AS (SELECT *, {starts} AS pos FROM m)
 SELECT id, {first(tx.RATIO_CLAIMS)}::DOUBLE AS pc_ratio, coalesce(lower({first([tx.STATED_SENTIMENT])}), {named(tx.SEEN_SENTIMENT)}) AS sentiment, {levels('support')} AS support, {levels('resistance')} AS resistance,
 array_to_string(list_transform(w, lambda x, i: {one}), ',') AS volumes, {named(tx.OUTLOOKS)} AS shape FROM s"""
 
 
 @query("txt_option_claims", _sql_claims())
 def option_claims(spark, sf_dir):
-    c = texts(spark).select("id", tx.claims(F.col("text")).alias("c"))
+    c = option_notes(spark, sf_dir).select("id", tx.claims(F.col("text")).alias("c"))
     volumes = F.array_join(F.transform("c.volumes", lambda v: F.concat_ws(":", v["strike"].cast("string"), v["volume"].cast("string"), v["type"])), ",")
     return c.select("id", "c.pc_ratio", "c.sentiment", F.array_join(F.col("c.support").cast("array<string>"), ",").alias("support"), F.array_join(F.col("c.resistance").cast("array<string>"), ",").alias("resistance"), volumes.alias("volumes"), "c.shape")
 
