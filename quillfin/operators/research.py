@@ -23,17 +23,63 @@ LEXICON = {
 }
 
 
-def lexicon(spark) -> DataFrame:
-    """word, polarity, subjectivity. Replace it by a larger one at will."""
-    return spark.createDataFrame([(w, p, s) for (p, s), words in LEXICON.items() for w in words.split()], "word string, polarity double, subjectivity double")
-
-
-def sentiment(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """Mean polarity and subjectivity of a document's lexicon words, band and confidence; neutral without any."""
-    tokens = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\w+"), F.lit(0))).alias("word"))
-    g = tokens.join(words, "word").groupBy("doc_id").agg((F.sum(F.col("polarity").cast("decimal(9,4)")).cast("double") / F.count(F.lit(1))).alias("p"), (F.sum(F.col("subjectivity").cast("decimal(9,4)")).cast("double") / F.count(F.lit(1))).alias("s"))
-    p, s = F.coalesce("p", F.lit(0.0)), F.coalesce("s", F.lit(0.0))
-    return docs.select("doc_id").join(g, "doc_id", "left").select("doc_id", rnd(p, 3).alias("polarity"), rnd(s, 3).alias("subjectivity"), polarity_band(p).alias("sentiment"), rnd(1 - s * 0.5, 3).alias("confidence"))
+#: word: (polarity, subjectivity). Replace it by a larger one at will.
+WORDS = {w: score for score, words in LEXICON.items() for w in words.split()}
+#: Words that turn the next assessed word within NEGATION_REACH words: its polarity counts half, with the other sign.
+NEGATIONS = tuple("not no never neither nor cannot without hardly scarcely isn aren wasn weren don doesn didn won wouldn couldn shouldn hasn haven hadn".split())
+NEGATION_REACH, NEGATION_FACTOR = 3, -0.5
+#: Factors of the assessed word right after.
+DEGREES = {"very": 1.3, "extremely": 1.5, "highly": 1.4, "really": 1.2, "particularly": 1.2, "significantly": 1.4, "substantially": 1.4, "strongly": 1.4, "quite": 1.1, "too": 1.2, "fairly": 0.9, "somewhat": 0.7, "slightly": 0.6, "modestly": 0.7, "marginally": 0.5, "barely": 0.5}
+
+
+def _valued(word: Column, values: dict) -> Column:
+    """The value of a word, a number or a tuple of numbers, null for others. A lexicon has few distinct values: each is a set, looked up by hash."""
+    sets: dict = {}
+    for w, v in values.items():
+        sets.setdefault(v, []).append(w)
+    out = F.lit(None)
+    for v, ws in sets.items():
+        one = F.struct(*[F.lit(float(x)).alias(f"v{i}") for i, x in enumerate(v)]) if isinstance(v, tuple) else F.lit(float(v))
+        out = F.when(word.isin(*ws), one).otherwise(out)
+    return out
+
+
+def scored(text: Column, words: dict[str, tuple[float, float]] = WORDS, negations: tuple[str, ...] = NEGATIONS, degrees: dict[str, float] = DEGREES) -> Column:
+    """struct<p, s, n> of a text: polarity and subjectivity of its assessed words summed up in ten-thousandths, and their number.
+
+    The text's words stay where they are: those of the lists are filtered from its word array with their places, and one fold over these
+    carries the last negation and degree. Nothing is exploded or joined.
+    """
+    placed = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"\w+"), F.lit(0)), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    kept = F.filter(placed, lambda x: x["w"].isin(*words, *negations, *degrees))
+    # Looked up once each; null where a word is no such word.
+    known = F.transform(kept, lambda x: F.struct(x["i"].alias("i"), (x["w"].isin(*negations) if negations else F.lit(False)).alias("negates"), (_valued(x["w"], degrees) if degrees else F.lit(None).cast("double")).alias("factor"), _valued(x["w"], words).alias("of")))
+    units = lambda x: F.floor(F.least(F.greatest(x, F.lit(-1.0)), F.lit(1.0)) * 10_000 + 0.5)
+    far = -NEGATION_REACH - 2
+
+    def step(acc: Column, x: Column) -> Column:
+        assessed = ~x["negates"] & x["factor"].isNull()
+        near = F.when(acc["degree_at"] == x["i"] - 1, acc["factor"]).otherwise(1.0)
+        sign = F.when(x["i"] - acc["negation_at"] <= NEGATION_REACH, NEGATION_FACTOR).otherwise(1.0)
+        return F.struct(
+            F.when(x["negates"], x["i"]).otherwise(acc["negation_at"]).alias("negation_at"),
+            F.when(x["factor"].isNotNull(), x["i"]).otherwise(acc["degree_at"]).alias("degree_at"),
+            F.coalesce(x["factor"], acc["factor"]).alias("factor"),
+            (acc["p"] + F.when(assessed, units(x["of"]["v0"] * near * sign)).otherwise(0)).alias("p"),
+            (acc["s"] + F.when(assessed, units(x["of"]["v1"] * near)).otherwise(0)).alias("s"),
+            (acc["n"] + assessed.cast("int")).alias("n"),
+        )
+
+    start = F.struct(F.lit(far).alias("negation_at"), F.lit(far).alias("degree_at"), F.lit(1.0).alias("factor"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("s"), F.lit(0).alias("n"))
+    return F.aggregate(known, start, step, lambda a: F.struct(a["p"].alias("p"), a["s"].alias("s"), a["n"].alias("n")))
+
+
+def sentiment(docs: DataFrame, words: dict[str, tuple[float, float]] = WORDS, negations: tuple[str, ...] = NEGATIONS, degrees: dict[str, float] = DEGREES) -> DataFrame:
+    """Mean polarity and subjectivity of a document's assessed words, with negations and degrees, band and confidence; neutral without any."""
+    d = docs.select("doc_id", scored(F.col("text"), words, negations, degrees).alias("x"))
+    mean = lambda c: F.coalesce(F.when(F.col("x.n") > 0, F.col(c) / 10_000.0 / F.col("x.n")), F.lit(0.0))
+    p, s = mean("x.p"), mean("x.s")
+    return d.select("doc_id", rnd(p, 3).alias("polarity"), rnd(s, 3).alias("subjectivity"), polarity_band(p).alias("sentiment"), rnd(1 - s * 0.5, 3).alias("confidence"))
 
 
 def keyword_counts(docs: DataFrame, dictionary: dict[str, tuple[str, ...]] = KEYWORDS) -> DataFrame:
@@ -51,14 +97,14 @@ def document_tone(docs: DataFrame, dictionary: dict[str, tuple[str, ...]] = KEYW
     return d.select("*", (F.col("positive") - F.col("negative")).alias("net"), rnd(ratio, 3).alias("ratio"), name.alias("tone"))
 
 
-def headline_direction(headlines: DataFrame, words: DataFrame, key: str) -> DataFrame:
-    """key, headlines, polarity (mean over its headlines) and the direction it points to. headlines: key, doc_id, text."""
-    p = headlines.select(key, "doc_id").join(sentiment(headlines.select("doc_id", "text"), words).select("doc_id", "polarity"), "doc_id")
+def headline_direction(headlines: DataFrame, key: str, **lexicon) -> DataFrame:
+    """key, headlines, polarity (mean over its headlines) and the direction it points to. headlines: key, text; lexicon: as of `sentiment`."""
+    p = sentiment(headlines.withColumn("doc_id", F.col(key)), **lexicon).select(F.col("doc_id").alias(key), "polarity")
     g = p.groupBy(key).agg(F.count(F.lit(1)).alias("headlines"), (F.sum(F.col("polarity").cast("decimal(9,4)")).cast("double") / F.count(F.lit(1))).alias("p"))
     return g.select(key, "headlines", rnd("p", 4).alias("polarity"), direction(F.col("p")).alias("direction"))
 
 
-def comprehensive(ratings: DataFrame, results: DataFrame, words: DataFrame, most: int = 5) -> DataFrame:
+def comprehensive(ratings: DataFrame, results: DataFrame, most: int = 5, **lexicon) -> DataFrame:
     """Consensus of each symbol, the mean polarity of its `most` best results, and how many distinct addresses its results have, of which the first counts.
 
     results: symbol, doc_id, url, score, text.
@@ -67,8 +113,8 @@ def comprehensive(ratings: DataFrame, results: DataFrame, words: DataFrame, most
     once = results.withColumn("n", F.row_number().over(w)).filter("n = 1")
     urls = once.groupBy("symbol").agg(F.count(F.lit(1)).alias("sources"))
     best = once.withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("score"), "doc_id"))).filter(F.col("n") <= most)
-    s = sentiment(best.select("doc_id", "text").dropDuplicates(["doc_id"]), words)
-    g = best.select("symbol", "doc_id").join(s, "doc_id").groupBy("symbol").agg(rnd(F.sum(F.col("polarity").cast("decimal(9,4)")).cast("double") / F.count(F.lit(1)), 3).alias("polarity"))
+    s = sentiment(best.select(F.col("symbol").alias("doc_id"), "text"), **lexicon)
+    g = s.groupBy(F.col("doc_id").alias("symbol")).agg(rnd(F.sum(F.col("polarity").cast("decimal(9,4)")).cast("double") / F.count(F.lit(1)), 3).alias("polarity"))
     return aggregate_ratings(ratings).join(g, "symbol", "left").join(urls, "symbol", "left")
 
 

@@ -12,7 +12,7 @@ from quillfin.functions import text as tx
 from quillfin.operators import relational as rel
 from quillfin.operators import research as rs
 from quillfin.plans.registry import query
-from quillfin.plans.text_queries import AGGREGATED, LEX
+from quillfin.plans.text_queries import AGGREGATED, LEX, POLARITY
 from quillfin.sources import readers as rd
 
 
@@ -53,13 +53,9 @@ def batch_counters(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.sum("l_linenumber").alias("added"), (F.count(F.lit(1)) - F.countDistinct("l_orderkey")).alias("skipped"))
 
 
-_LEXICON = f"l(word, polarity, subjectivity) AS (VALUES {', '.join(str(x) for x in LEX)}), pol AS (SELECT doc_id, round(CAST(sum(CAST(polarity AS DECIMAL(9,4))) AS DOUBLE) / count(*), 3) AS p FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\w+')) AS word FROM documents) JOIN l USING (word) GROUP BY 1)"
-
-
-@query("txt_headline_direction", f"WITH {_LEXICON}, g AS (SELECT source, count(*) AS headlines, CAST(sum(CAST(coalesce(p, 0) AS DECIMAL(9,4))) AS DOUBLE) / count(*) AS p FROM documents LEFT JOIN pol USING (doc_id) GROUP BY 1) SELECT source, headlines, round(p, 4) AS polarity, CASE WHEN p > 0.1::DOUBLE THEN 'UP' WHEN p < -0.1::DOUBLE THEN 'DOWN' ELSE 'STABLE' END AS direction FROM g")
+@query("txt_headline_direction", f"WITH {POLARITY}, g AS (SELECT source, count(*) AS headlines, CAST(sum(CAST(coalesce(round(p, 3), 0) AS DECIMAL(9,4))) AS DOUBLE) / count(*) AS p FROM documents LEFT JOIN pol USING (doc_id) GROUP BY 1) SELECT source, headlines, round(p, 4) AS polarity, CASE WHEN p > 0.1::DOUBLE THEN 'UP' WHEN p < -0.1::DOUBLE THEN 'DOWN' ELSE 'STABLE' END AS direction FROM g")
 def headline_direction(spark, sf_dir):
-    words = spark.createDataFrame(LEX, "word string, polarity double, subjectivity double")
-    return rs.headline_direction(load(spark, sf_dir, "documents").select("source", "doc_id", "text"), words, "source")
+    return rs.headline_direction(load(spark, sf_dir, "documents").select("source", "text"), "source", **LEX)
 
 
 @query("txt_metadata_precedence", """WITH f AS (SELECT o_orderkey, o_orderstatus AS s, CAST(o_orderdate AS DATE) AS d, o_orderkey % 4 = 0 AS given, o_orderkey % 3 = 0 AS cover FROM orders)
@@ -115,16 +111,16 @@ def cached_lookup(spark, sf_dir):
 
 
 @query("res_comprehensive", with_inputs("ratings", f"""
-, {_LEXICON}, res AS (SELECT event_type AS symbol, doc_id, split_part(url, '/', 3) AS url, value AS score, text FROM events JOIN pages ON page_id = event_id JOIN documents ON doc_id = page_id),
+, {POLARITY}, res AS (SELECT event_type AS symbol, doc_id, split_part(url, '/', 3) AS url, value AS score, text FROM events JOIN pages ON page_id = event_id JOIN documents ON doc_id = page_id),
 once AS (SELECT * FROM res QUALIFY row_number() OVER (PARTITION BY symbol, url ORDER BY score DESC, doc_id) = 1), u AS (SELECT symbol, count(*) AS sources FROM once GROUP BY 1), best AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY score DESC, doc_id) <= 5),
-g AS (SELECT symbol, round(CAST(sum(CAST(coalesce(p, 0) AS DECIMAL(9,4))) AS DOUBLE) / count(*), 3) AS polarity FROM best LEFT JOIN pol USING (doc_id) GROUP BY 1), agg AS ({AGGREGATED})
+g AS (SELECT symbol, round(CAST(sum(CAST(coalesce(round(p, 3), 0) AS DECIMAL(9,4))) AS DOUBLE) / count(*), 3) AS polarity FROM best LEFT JOIN pol USING (doc_id) GROUP BY 1), agg AS ({AGGREGATED})
 SELECT agg.*, polarity, sources FROM agg LEFT JOIN g USING (symbol) LEFT JOIN u USING (symbol)"""))
 def comprehensive(spark, sf_dir):
     """Results: pages of the event of equal id, with that document's text; a host counts once."""
     e, p, d = (load(spark, sf_dir, t) for t in ("events", "pages", "documents"))
     r = e.join(p, e.event_id == p.page_id).join(d, d.doc_id == p.page_id)
     r = r.select(F.col("event_type").alias("symbol"), "doc_id", F.coalesce(F.get(F.split("url", "/"), F.lit(2)), F.lit("")).alias("url"), F.col("value").alias("score"), "text")
-    return rs.comprehensive(ratings(spark, sf_dir), r, spark.createDataFrame(LEX, "word string, polarity double, subjectivity double"))
+    return rs.comprehensive(ratings(spark, sf_dir), r, **LEX)
 
 
 @query("vec_subquery_stats", with_inputs("chunks", "SELECT filing_type, count(*) > 0 AS found, count(*) AS doc_count, count(DISTINCT source_file) AS sources FROM chunks WHERE fiscal_quarter IS NULL OR fiscal_quarter < 3 GROUP BY 1"))

@@ -84,13 +84,21 @@ def document_tone(spark, sf_dir):
     return rs.document_tone(load(spark, sf_dir, "documents"), _DATA_WORDS)
 
 
-LEX = [("the", 0.5, 0.2), ("of", -0.25, 0.4), ("idiot", -1.0, 1.0), ("que", 0.75, 0.5), ("der", -0.5, 0.1)]
+#: The default lexicon with words of the data, and words of the data that stand for negations and degrees.
+LEX = {"words": rs.WORDS | {"the": (0.5, 0.2), "of": (-0.25, 0.4), "idiot": (-1.0, 1.0), "que": (0.75, 0.5), "der": (-0.5, 0.1)}, "negations": (*rs.NEGATIONS, "pour", "by"), "degrees": rs.DEGREES | {"avec": 1.4, "with": 0.3, "las": 1.2}}
+_UNITS = "CAST(floor(least(greatest({}, -1::DOUBLE), 1::DOUBLE) * 10000 + 0.5::DOUBLE) AS BIGINT)"
+#: pol: mean polarity p and subjectivity s of documents that have assessed words.
+POLARITY = f"""lw(word, polarity, subjectivity) AS (VALUES {', '.join(f"('{w}', {p}::DOUBLE, {s}::DOUBLE)" for w, (p, s) in LEX['words'].items())}), dw(word, factor) AS (VALUES {', '.join(f"('{w}', {x}::DOUBLE)" for w, x in LEX['degrees'].items())}), nw(word) AS (VALUES {', '.join(f"('{w}')" for w in LEX['negations'])}),
+tok AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '\\w+') AS w FROM documents)),
+k AS (SELECT doc_id, i, polarity, subjectivity, factor, nw.word IS NOT NULL AS negates FROM tok LEFT JOIN lw USING (word) LEFT JOIN dw USING (word) LEFT JOIN nw USING (word) WHERE polarity IS NOT NULL OR factor IS NOT NULL OR nw.word IS NOT NULL),
+z AS (SELECT *, CASE WHEN lag(i) OVER v = i - 1 THEN coalesce(CASE WHEN NOT lag(negates) OVER v THEN lag(factor) OVER v END, 1) ELSE 1 END AS near, CASE WHEN i - max(CASE WHEN negates THEN i END) OVER v <= {rs.NEGATION_REACH} THEN {rs.NEGATION_FACTOR} ELSE 1 END::DOUBLE AS sign FROM k WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+pol AS (SELECT doc_id, sum({_UNITS.format('polarity * near * sign')}) / 10000::DOUBLE / count(*) AS p, sum({_UNITS.format('subjectivity * near')}) / 10000::DOUBLE / count(*) AS s FROM z WHERE polarity IS NOT NULL AND factor IS NULL AND NOT negates GROUP BY 1)"""
 _P = "coalesce(p, 0)"
 
 
-@query("txt_sentiment", f"WITH l(word, polarity, subjectivity) AS (VALUES {', '.join(str(x) for x in LEX)}), g AS (SELECT doc_id, CAST(sum(CAST(polarity AS DECIMAL(9,4))) AS DOUBLE) / count(*) AS p, CAST(sum(CAST(subjectivity AS DECIMAL(9,4))) AS DOUBLE) / count(*) AS s FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\w+')) AS word FROM documents) JOIN l USING (word) GROUP BY 1) SELECT doc_id, round({_P}, 3) AS polarity, round(coalesce(s, 0), 3) AS subjectivity, CASE WHEN {_P} > 0.3::DOUBLE THEN 'bullish' WHEN {_P} > 0.1::DOUBLE THEN 'slightly_bullish' WHEN {_P} > -0.1::DOUBLE THEN 'neutral' WHEN {_P} > -0.3::DOUBLE THEN 'slightly_bearish' ELSE 'bearish' END AS sentiment, round(1 - coalesce(s, 0) * 0.5::DOUBLE, 3) AS confidence FROM documents LEFT JOIN g USING (doc_id)")
+@query("txt_sentiment", f"WITH {POLARITY} SELECT doc_id, round({_P}, 3) AS polarity, round(coalesce(s, 0), 3) AS subjectivity, CASE WHEN {_P} > 0.3::DOUBLE THEN 'bullish' WHEN {_P} > 0.1::DOUBLE THEN 'slightly_bullish' WHEN {_P} > -0.1::DOUBLE THEN 'neutral' WHEN {_P} > -0.3::DOUBLE THEN 'slightly_bearish' ELSE 'bearish' END AS sentiment, round(1 - coalesce(s, 0) * 0.5::DOUBLE, 3) AS confidence FROM documents LEFT JOIN pol USING (doc_id)")
 def sentiment(spark, sf_dir):
-    return rs.sentiment(load(spark, sf_dir, "documents"), spark.createDataFrame(LEX, "word string, polarity double, subjectivity double"))
+    return rs.sentiment(load(spark, sf_dir, "documents"), **LEX)
 
 
 @query("txt_file_metadata", f"""WITH {SQL['filing_names']}, {SQL['nation_companies']}, c AS (SELECT ticker, min(company) AS company FROM nation_companies GROUP BY 1), b AS (SELECT id, name, regexp_replace(name, '(.)\\.[^.]*$', '\\1') AS bare FROM filing_names),

@@ -387,3 +387,14 @@ def test_html_and_markdown(spark):
     assert one(spark, tx.markdown_text(F.col("t")), t="# Head\n**bold** [link](http://x) ![i](y) `c`") == "Head\nbold link  c"
     assert one(spark, tx.sanitised_html(F.col("t")), t='<div><p class="a">x<script>1</script><a href="y">z</a></p></div>') == "<p>xz</p>"
     assert one(spark, tx.html_text(F.col("t")), t="<p>a &amp;lt; b</p><style>x</style>") == "a &lt; b"
+
+
+def test_sentiment_with_negations_and_degrees(spark):
+    from quillfin.operators import research as rs
+
+    texts = ["A good year", "not a good year", "not in any way a good year", "very good", "not very good", "extremely excellent", "good. weak", "nothing here", "", None, "very not good", "never"]
+    got = {r["doc_id"]: (r["polarity"], r["sentiment"]) for r in rs.sentiment(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    want = [0.6, -0.3, 0.6, 0.78, -0.39, 1.0, 0.0, 0.0, 0.0, 0.0, -0.3, 0.0]
+    assert [got[i][0] for i in range(len(texts))] == want and got[0][1] == "bullish" and got[4][1] == "bearish"
+    plan = rs.sentiment(spark.createDataFrame([(1, "x")], "doc_id int, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and "Exchange" not in plan
