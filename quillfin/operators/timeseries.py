@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillfin.adapters import exact_sum
 from quillfin.functions.numbers import rnd
+from quillfin.operators.recurrences import BLOCK_ROWS, blocked, exponential_averages, gained, numbered, smoothing, wilder
 
 
 def _bars(first: int, last: int):
@@ -85,46 +86,31 @@ def folded(df: DataFrame, keys: list[str], order: list[str], start: Callable, st
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-def _averaged(now: float | None, x: float, alpha: float) -> float:
-    """Exponential average without adjustment, seeded by the first value."""
-    return x if now is None else (1 - alpha) * now + alpha * x
+def _series(bars: DataFrame, block_rows: int) -> DataFrame:
+    """ticker, ts, close in blocks, with _i and _previous."""
+    rows = bars.select("ticker", F.col("ts").cast("timestamp").alias("ts"), F.col("close").cast("double").alias("close"))
+    return numbered(blocked(rows, "ticker", "ts", block_rows), "ticker", "ts", "close")
 
 
-def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
-    """Relative strength index with Wilder's smoothing of gains and losses, from the n-th change on, and its status."""
+def rsi(bars: DataFrame, n: int = 14, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Relative strength index with Wilder's smoothing of gains and losses, from the n-th change on, and its status. A ticker's bars are worked on in blocks, side by side."""
+    move = F.col("close") - F.col("_previous")
+    rows = _series(bars, block_rows).withColumn("gain", gained(move)).withColumn("loss", gained(-move))
+    r = exponential_averages(rows, "ticker", "ts", {"gains": ("gain", wilder(n)), "losses": ("loss", wilder(n))})
+    x = F.when(F.col("_i") > n, F.when(F.col("losses") != 0, 100 - 100 / (1 + F.col("gains") / F.col("losses"))).when(F.col("gains") != 0, 100.0))
+    status = F.when(F.col("rsi") > 70, "Overbought").when(F.col("rsi") < 30, "Oversold").when(F.col("rsi").isNotNull(), "Neutral")
+    return r.select("ticker", F.col("ts").cast("timestamp_ntz").alias("ts"), "close", x.alias("rsi")).withColumn("rsi_status", status)
 
-    def step(s: dict, row) -> tuple:
-        value = None
-        if s["rows"]:
-            move = row.close - s["last"]
-            s["gain"], s["loss"] = _averaged(s["gain"], max(move, 0.0), 1 / n), _averaged(s["loss"], max(-move, 0.0), 1 / n)
-            if s["rows"] >= n:
-                value = 100 - 100 / (1 + s["gain"] / s["loss"]) if s["loss"] else (100.0 if s["gain"] else None)
-        s["last"], s["rows"] = row.close, s["rows"] + 1
-        return row.ticker, row.ts, row.close, value
 
-    start = lambda: {"rows": 0, "last": None, "gain": None, "loss": None}
-    r = folded(bars.select("ticker", F.col("ts").cast("timestamp").alias("ts"), F.col("close").cast("double").alias("close")), ["ticker"], ["ts"], start, step, "ticker string, ts timestamp, close double, rsi double")
-    x = F.when(~F.isnan("rsi"), F.col("rsi"))
-    status = F.when(x > 70, "Overbought").when(x < 30, "Oversold").when(x.isNotNull(), "Neutral")
-    return r.select("ticker", F.col("ts").cast("timestamp_ntz").alias("ts"), "close", x.alias("rsi"), status.alias("rsi_status"))
-
-
-def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """Difference of two exponential averages, its own average, the histogram and the trend."""
-
-    def step(s: dict, row) -> tuple:
-        s["rows"] += 1
-        s["fast"], s["slow"] = _averaged(s["fast"], row.close, 2 / (fast + 1)), _averaged(s["slow"], row.close, 2 / (slow + 1))
-        line = s["fast"] - s["slow"] if s["rows"] >= slow else None
-        if line is not None:
-            s["signal"] = _averaged(s["signal"], line, 2 / (signal + 1))
-        return row.ticker, row.ts, row.close, line, s["signal"] if s["rows"] >= slow + signal - 1 else None
-
-    start = lambda: {"rows": 0, "fast": None, "slow": None, "signal": None}
-    r = folded(bars.select("ticker", F.col("ts").cast("timestamp").alias("ts"), F.col("close").cast("double").alias("close")), ["ticker"], ["ts"], start, step, "ticker string, ts timestamp, close double, macd double, macd_signal double")
-    m, s = F.when(~F.isnan("macd"), F.col("macd")), F.when(~F.isnan("macd_signal"), F.col("macd_signal"))
-    return r.select("ticker", F.col("ts").cast("timestamp_ntz").alias("ts"), "close", m.alias("macd"), s.alias("macd_signal"), (m - s).alias("macd_hist"), F.when(m > s, "Bullish").when(m <= s, "Bearish").alias("macd_trend"))
+def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Difference of two exponential averages, its own average, the histogram and the trend. A ticker's bars are worked on in blocks, side by side."""
+    r = exponential_averages(_series(bars, block_rows), "ticker", "ts", {"fast": ("close", smoothing(fast)), "slow": ("close", smoothing(slow))})
+    r = r.withColumn("macd", F.when(F.col("_i") >= slow, F.col("fast") - F.col("slow")))
+    r = exponential_averages(r, "ticker", "ts", {"average": ("macd", smoothing(signal))})
+    m, s = F.col("macd"), F.when(F.col("_i") >= slow + signal - 1, F.col("average"))
+    r = r.select("ticker", F.col("ts").cast("timestamp_ntz").alias("ts"), "close", "macd", s.alias("macd_signal"))
+    s = F.col("macd_signal")
+    return r.select("*", (m - s).alias("macd_hist"), F.when(m > s, "Bullish").when(m <= s, "Bearish").alias("macd_trend"))
 
 
 def displayed(df: DataFrame, start: str) -> DataFrame:
