@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillfin.adapters import exact_sum
 from quillfin.functions.numbers import rnd
+from quillfin.operators.quantiles import exact_percentile
 
 MIN_IV = 0.01
 BULLISH_BELOW = 0.7
@@ -194,7 +195,7 @@ def smart_money(chain: DataFrame, as_of: str, dte_min: int = 90, vol_min: float
     calls = F.col("option_type") == "call"
     centre = c.groupBy("ticker").agg(F.try_divide(exact_sum(F.when(calls, F.col("strike") * F.col("volume")), 4), exact_sum(F.when(calls, F.col("volume")))).alias("centre"))
     late = c.withColumn("dte", F.datediff("expiration", F.lit(as_of).cast("date"))).filter(F.col("dte") > dte_min)
-    bar = late.groupBy("ticker", "expiration").agg(rnd(F.percentile(F.when(F.col("volume") > 0, F.col("volume")), F.lit(pct)), 6).alias("threshold"))
+    bar = exact_percentile(late, ["ticker", "expiration"], F.when(F.col("volume") > 0, F.col("volume")), pct, "threshold").withColumn("threshold", rnd("threshold", 6))
     hit = late.join(bar, ["ticker", "expiration"]).join(centre, "ticker", "left")
     near = F.col("centre").isNull() | (F.col("centre") == 0) | (F.abs(F.col("strike") - F.col("centre")) / F.col("centre") <= band)
     return hit.filter((F.col("volume") >= vol_min) & (F.col("volume") >= F.col("threshold")) & near).select("ticker", "option_type", "expiration", "dte", "strike", "volume", F.col("notional").alias("notional_usd"), _iv_pct().alias("iv_pct"), "row_id")
@@ -211,7 +212,7 @@ def unusual_activity(chain: DataFrame, pct: float = 0.85, vol_min: float = 300,
     """Contracts at or over the pct-quantile of positive volumes of their side and expiration, the n of most notional of each ticker."""
     c = normalise_chain(chain)
     key = ["ticker", "option_type", "expiration"]
-    bar = c.groupBy(*key).agg(rnd(F.percentile(F.when(F.col("volume") > 0, F.col("volume")), F.lit(pct)), 6).alias("threshold"))
+    bar = exact_percentile(c, list(key), F.when(F.col("volume") > 0, F.col("volume")), pct, "threshold").withColumn("threshold", rnd("threshold", 6))
     hit = c.join(bar, key).filter((F.col("volume") >= F.col("threshold")) & (F.col("volume") >= vol_min))
     top = _top(hit, ["ticker"], [F.desc("notional"), "row_id"], n)
     return top.select("ticker", "rank", "option_type", "strike", "expiration", "volume", F.col("openInterest").alias("open_interest"), F.col("notional").alias("notional_usd"), rnd("lastPrice", 2).alias("last_price"), _iv_pct().alias("iv_pct"), F.when(F.col("threshold") > 0, rnd(F.col("volume") / F.col("threshold"), 2)).alias("ratio"))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from quillfin.adapters import chain, chat_messages, chunks, exact_sum, load, reports, with_inputs
 from quillfin.operators import options as opt
+from quillfin.operators import quantiles
 from quillfin.operators import relational as rel
+from quillfin.operators.quantiles import exact_percentile
 from quillfin.plans.registry import query
 
 _S = lambda x, scale=2: f"CAST(sum(CAST({x} AS DECIMAL(18,{scale}))) AS DOUBLE)"
@@ -173,7 +175,17 @@ def weighted_mean_strike(spark, sf_dir):
 def percentile(spark, sf_dir):
     from quillfin.functions.numbers import rnd
 
-    return load(spark, sf_dir, "part").groupBy("p_brand").agg(rnd(F.percentile("p_retailprice", F.lit(0.85)), 6).alias("p85"))
+    return exact_percentile(load(spark, sf_dir, "part"), ["p_brand"], "p_retailprice", 0.85, "p85").withColumn("p85", rnd("p85", 6))
+
+
+@query("agg_distinct_sketches", "SELECT event_type, count(DISTINCT user_id) AS users, TRUE AS near FROM events GROUP BY 1")
+def distinct_sketches(spark, sf_dir):
+    """Distinct users of each type and day as sketches, united: within five standard errors of the exact count."""
+    e = load(spark, sf_dir, "events")
+    daily = quantiles.distinct_sketches(e.withColumn("day", F.to_date("ts")), ["event_type", "day"], "user_id")
+    users = quantiles.distinct_counts(quantiles.united(daily, ["event_type"]), "estimate")
+    exact = e.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
+    return exact.join(users, "event_type").select("event_type", "users", (F.abs(F.col("estimate") - F.col("users")) <= F.greatest(F.lit(1.0), F.col("users") * 0.08)).alias("near"))
 
 
 @query("agg_majority_vote", "WITH g AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS seen FROM events GROUP BY 1, 2) SELECT user_id, arg_max(event_type, (n, -seen)) AS event_type FROM g GROUP BY 1")
