@@ -9,6 +9,7 @@ from quillfin.functions import text as tx
 from quillfin.functions.numbers import rnd
 from quillfin.operators import research as rs
 from quillfin.plans.registry import query
+from quillfin.session import register_functions
 
 _q = lambda s: "'" + s.replace("'", "''") + "'"
 
@@ -76,6 +77,14 @@ def keyword_counts(spark, sf_dir):
     return rs.keyword_counts(texts(spark, sf_dir).withColumnRenamed("id", "doc_id"))
 
 
+@query("txt_keyword_hits_sql", f"WITH {_T} SELECT category, term, CAST(sum(hits) AS BIGINT) AS hits FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS category, {_q(w)} AS term, {_count([w])} AS hits FROM t" for c, terms in tx.KEYWORDS.items() for w in terms) + ") GROUP BY 1, 2 HAVING sum(hits) > 0")
+def keyword_hits_sql(spark, sf_dir):
+    """The table function on each text, from SQL."""
+    register_functions(spark)
+    texts(spark, sf_dir).createOrReplaceTempView("quillfin_texts")
+    return spark.sql("SELECT category, term, sum(hits) AS hits FROM quillfin_texts, LATERAL keyword_hits(text) GROUP BY category, term")
+
+
 _DATA_WORDS = {"negative": ("idiot", "trash", "worthless", "er th"), "positive": ("the", "ion", "on th", "avec")}
 
 

@@ -8,6 +8,7 @@ from quillfin.adapters import bars, load, macro_series, with_inputs
 from quillfin.functions.numbers import rnd
 from quillfin.operators import timeseries as ts
 from quillfin.plans.registry import query
+from quillfin.table_functions import register_table_functions
 
 _W = "OVER (PARTITION BY ticker ORDER BY ts ROWS BETWEEN {n} PRECEDING AND CURRENT ROW)"
 
@@ -63,11 +64,14 @@ def _recursive(body: str) -> str:
 _B = ", b AS MATERIALIZED (SELECT ticker, ts, close, close - lag(close) OVER (PARTITION BY ticker ORDER BY ts) AS step, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS i FROM bars)"
 
 
-@query("ts_rsi", _recursive(f"""{_B},
+RSI_ROWS = _recursive(f"""{_B},
 e AS (SELECT ticker, i, greatest(step, 0) AS g, greatest(-step, 0) AS l FROM b WHERE i = 2
 UNION ALL SELECT b.ticker, b.i, (1 - 1 / 14::DOUBLE) * g + (1 / 14::DOUBLE) * greatest(b.step, 0), (1 - 1 / 14::DOUBLE) * l + (1 / 14::DOUBLE) * greatest(-b.step, 0) FROM e JOIN b ON b.ticker = e.ticker AND b.i = e.i + 1),
 r AS (SELECT b.ticker, b.ts, b.close, CASE WHEN b.i > 14 THEN CASE WHEN l = 0 THEN CASE WHEN g > 0 THEN 100.0::DOUBLE END ELSE 100 - 100 / (1 + g / l) END END AS rsi FROM b LEFT JOIN e USING (ticker, i))
-SELECT ticker, ts::VARCHAR AS ts, close, round(rsi, 4) AS rsi, CASE WHEN rsi > 70 THEN 'Overbought' WHEN rsi < 30 THEN 'Oversold' WHEN rsi IS NOT NULL THEN 'Neutral' END AS rsi_status FROM r"""))
+SELECT ticker, ts::VARCHAR AS ts, close, round(rsi, 4) AS rsi, CASE WHEN rsi > 70 THEN 'Overbought' WHEN rsi < 30 THEN 'Oversold' WHEN rsi IS NOT NULL THEN 'Neutral' END AS rsi_status FROM r""")
+
+
+@query("ts_rsi", RSI_ROWS)
 def rsi(spark, sf_dir):
     return _rounded(ts.rsi(bars(spark, sf_dir)), {"rsi"})
 
@@ -183,3 +187,20 @@ SELECT key, ts::VARCHAR AS ts, id, allowed FROM b JOIN e USING (key, i)"""
 def sliding_limiter(spark, sf_dir):
     e = load(spark, sf_dir, "events").select("user_id", "ts", F.col("event_id").alias("id"))
     return ts.sliding_limiter(e, "user_id", seconds=3600, most=2)
+
+
+@query("ts_rsi_sql", RSI_ROWS.replace(", CASE WHEN rsi > 70 THEN 'Overbought' WHEN rsi < 30 THEN 'Oversold' WHEN rsi IS NOT NULL THEN 'Neutral' END AS rsi_status", ""))
+def rsi_sql(spark, sf_dir):
+    """The indicator called from SQL on a table."""
+    register_table_functions(spark)
+    bars(spark, sf_dir).select("ticker", "ts", "close").createOrReplaceTempView("quillfin_bars")
+    r = spark.sql("SELECT ticker, ts, close, rsi FROM rsi(TABLE(quillfin_bars) PARTITION BY ticker ORDER BY ts, value => 'close', periods => 14)")
+    return _rounded(r, {"rsi"})
+
+
+@query("ts_limiter_sql", LIMITED)
+def limiter_sql(spark, sf_dir):
+    """The limiter called from SQL on a table."""
+    register_table_functions(spark)
+    load(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_id").alias("id")).createOrReplaceTempView("quillfin_attempts")
+    return spark.sql("SELECT key, ts, id, allowed FROM sliding_limit(TABLE(quillfin_attempts) PARTITION BY key ORDER BY (ts, id), at => 'ts', seconds => 3600, most => 2)")
