@@ -21,13 +21,38 @@ def merge_lines(lines: DataFrame, gap: float = 3.0) -> DataFrame:
     return kept.groupBy("page", "n").agg(F.min("x").alias("x"), F.min("y0").alias("y0"), F.max("y1").alias("y1")).drop("n")
 
 
+#: Side of the finest cells, in points, and the level beyond which a rectangle stands for its whole page.
+CELL, MOST_LEVEL = 16.0, 40
+
+
+def points_in_rects(points: DataFrame, rects: DataFrame) -> DataFrame:
+    """Points (page, x, y, others) with each rectangle (page, rect_id, rx0, ry0, rx1, ry1) that they lie in, edges included.
+
+    A grid of cells whose sides double from level to level is the join key: a rectangle takes the level whose cells are as long as its longer side, so it
+    meets four of them at most; a point lies in one cell of each level in use. The bounds are then checked. Rectangles and points without a page or a bound meet nothing.
+    """
+    side = F.greatest(F.col("rx1") - F.col("rx0"), F.col("ry1") - F.col("ry0"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(CELL)) / CELL)).cast("int"))
+    # Nothing is measured against a cell of the whole page.
+    level = F.when(side < CELL * 2.0**MOST_LEVEL, F.least(level, F.lit(MOST_LEVEL))).otherwise(-1)
+    kept = rects.filter("rx0 <= rx1 and ry0 <= ry1").withColumn("_level", level)
+    # At most MOST_LEVEL + 2 numbers.
+    levels = sorted(r["_level"] for r in kept.select("_level").distinct().collect())
+    cell = lambda v, at: F.when(at < 0, F.lit(0).cast("long")).otherwise(F.floor(v.cast("double") / (CELL * F.pow(F.lit(2.0), at))).cast("long"))
+    at = F.col("_level")
+    spread = lambda lo, hi: F.explode(F.sequence(cell(F.col(lo), at), cell(F.col(hi), at)))
+    r = kept.withColumn("_ix", spread("rx0", "rx1")).withColumn("_iy", spread("ry0", "ry1"))
+    p = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_ix", cell(F.col("x"), at)).withColumn("_iy", cell(F.col("y"), at))
+    hits = p.join(r, ["page", "_level", "_ix", "_iy"]).filter(F.col("x").between(F.col("rx0"), F.col("rx1")) & F.col("y").between(F.col("ry0"), F.col("ry1")))
+    return hits.drop("_level", "_ix", "_iy")
+
+
 def text_in_rects(lines: DataFrame, rects: DataFrame) -> DataFrame:
     """Text (page, x, y0, y1, n, text) whose start and centre line lie in each rectangle (page, rect_id, rx0, ry0, rx1, ry1), joined in reading order; rectangles without text give ''."""
-    mid = (F.col("y0") + F.col("y1")) / 2
-    inside = (F.col("l.page") == F.col("r.page")) & F.col("x").between(F.col("rx0"), F.col("rx1")) & mid.between(F.col("ry0"), F.col("ry1")) & (F.trim("text") != "")
-    j = rects.alias("r").join(lines.alias("l"), inside, "left")
-    g = j.groupBy(F.col("r.page").alias("page"), "rect_id").agg(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("n", F.trim("text").alias("t"))))).alias("t"))
-    return g.select("page", "rect_id", F.array_join(F.transform("t", lambda x: x["t"]), "\n").alias("text"))
+    points = lines.filter(F.trim("text") != "").select("page", "x", ((F.col("y0") + F.col("y1")) / 2).alias("y"), "n", F.trim("text").alias("t"))
+    g = points_in_rects(points, rects).groupBy("page", "rect_id").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("t"))
+    every = rects.select("page", "rect_id").distinct().join(g, ["page", "rect_id"], "left")
+    return every.select("page", "rect_id", F.coalesce(F.array_join(F.transform("t", lambda x: x["t"]), "\n"), F.lit("")).alias("text"))
 
 
 def table_grid(columns: DataFrame, rows: DataFrame, lines: DataFrame) -> DataFrame:
