@@ -8,6 +8,7 @@ from quillfin.adapters import bars, chain, insider_trades, load, macro_series, r
 from quillfin.operators import insider as ins
 from quillfin.operators import layout as lay
 from quillfin.plans.registry import query
+from quillfin.session import scratch
 from quillfin.sources import readers as rd
 from quillfin.sources import sinks
 
@@ -59,6 +60,24 @@ def submissions(spark, sf_dir):
     return rd.submissions(p, start="1995-01-01", end="1996-12-31").select("cik", "form", "filing_date", "accession")
 
 
+@query("src_filing_history", "SELECT o_custkey % 20 AS cik, CASE o_orderstatus WHEN 'F' THEN '10-K' WHEN 'O' THEN '10-Q' END AS form, CAST(o_orderdate AS DATE)::VARCHAR AS filing_date, o_orderkey::VARCHAR AS accession FROM orders WHERE o_orderstatus <> 'P' AND CAST(o_orderdate AS DATE) BETWEEN DATE '1995-06-01' AND DATE '1998-03-31'")
+def filing_history(spark, sf_dir):
+    """Orders as filing lists of twenty companies: those since 1997 in the list itself, older ones in a page for each year."""
+    o = load(spark, sf_dir, "orders").withColumn("cik", F.col("o_custkey") % 20).withColumn("y", F.year("o_orderdate"))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    row = F.struct(F.when(F.col("o_orderstatus") == "F", "10-K").when(F.col("o_orderstatus") == "O", "10-Q").otherwise("S-1").alias("form"), day.alias("day"), F.col("o_orderkey").cast("string").alias("acc"))
+    pick = lambda f: F.transform("r", lambda x: x[f])
+    block = F.struct(pick("form").alias("form"), pick("day").alias("filingDate"), pick("day").alias("reportDate"), pick("acc").alias("accessionNumber"), pick("acc").alias("primaryDocument"))
+    name = F.format_string("CIK%010d-submissions-%d.json", F.col("cik").cast("long"), F.col("y"))
+    pages = o.filter("y < 1997").groupBy("cik", "y").agg(F.collect_list(row).alias("r"), F.min(day).alias("a"), F.max(day).alias("b")).withColumn("name", name)
+    at = scratch(spark, "history")
+    pages.select("name", F.to_json(block).alias("value")).write.partitionBy("name").text(at)
+    files = pages.groupBy("cik").agg(F.collect_list(F.struct("name", F.col("a").alias("filingFrom"), F.col("b").alias("filingTo"))).alias("files"))
+    lists = o.filter("y >= 1997").groupBy("cik").agg(F.collect_list(row).alias("r")).join(files, "cik", "full").withColumn("r", F.coalesce("r", F.array().cast("array<struct<form:string,day:string,acc:string>>")))
+    payloads = lists.select("cik", F.to_json(F.struct(F.struct(block.alias("recent"), "files").alias("filings"))).alias("json"))
+    return rd.filing_history(payloads, at, start="1995-06-01", end="1998-03-31", pattern="{folder}/name={name}").select("cik", "form", "filing_date", "accession")
+
+
 def _number(accession):
     return F.element_at(F.split(accession, ":"), 1).cast("long")
 

@@ -141,17 +141,45 @@ def ingest_form4(filings: DataFrame, stored: DataFrame) -> DataFrame:
     return common.unionByName(head.join(common.select("accession").distinct(), "accession", "left_anti").withColumn("has_common_stock", F.lit(False)), allowMissingColumns=True)
 
 
-def submissions(payloads: DataFrame, forms: tuple[str, ...] = ("10-K", "10-Q", "8-K"), start: str | None = None, end: str | None = None) -> DataFrame:
-    """cik, form, filing_date, period_end_date, accession, document of filing lists (cik, json), kept in parallel arrays; latest first within a company."""
-    fields = ("form", "filingDate", "reportDate", "accessionNumber", "primaryDocument")
-    r = F.from_json("json", "struct<filings:struct<recent:struct<" + ",".join(f"{f}:array<string>" for f in fields) + ">>>")["filings"]["recent"]
-    x = payloads.select("cik", r.alias("r")).select("cik", F.explode(F.arrays_zip(*[F.col(f"r.{f}").alias(f) for f in fields])).alias("x"))
+_FILING = ("form", "filingDate", "reportDate", "accessionNumber", "primaryDocument")
+_ARRAYS = "struct<" + ",".join(f"{f}:array<string>" for f in _FILING) + ">"
+
+
+def _filings(blocks: DataFrame, forms: tuple[str, ...], start: str | None, end: str | None) -> DataFrame:
+    """The filings of blocks (cik, r: parallel arrays) of these forms and days."""
+    x = blocks.select("cik", F.explode(F.arrays_zip(*[F.col(f"r.{f}").alias(f) for f in _FILING])).alias("x"))
     d = x.select("cik", F.col("x.form").alias("form"), F.col("x.filingDate").cast("date").alias("filing_date"), F.col("x.reportDate").try_cast("date").alias("period_end_date"), F.col("x.accessionNumber").alias("accession"), F.col("x.primaryDocument").alias("document"))
     d = d.filter(F.col("form").isin(*forms))
     for bound, op in ((start, "__ge__"), (end, "__le__")):
         if bound is not None:
             d = d.filter(getattr(F.col("filing_date"), op)(F.lit(bound).cast("date")))
-    return d.repartition("cik").sortWithinPartitions("cik", F.desc("filing_date"), "accession")
+    return d
+
+
+def submissions(payloads: DataFrame, forms: tuple[str, ...] = ("10-K", "10-Q", "8-K"), start: str | None = None, end: str | None = None) -> DataFrame:
+    """cik, form, filing_date, period_end_date, accession, document of filing lists (cik, json), kept in parallel arrays; latest first within a company."""
+    r = F.from_json("json", f"struct<filings:struct<recent:{_ARRAYS}>>")["filings"]["recent"]
+    return _filings(payloads.select("cik", r.alias("r")), forms, start, end).repartition("cik").sortWithinPartitions("cik", F.desc("filing_date"), "accession")
+
+
+def filing_history(payloads: DataFrame, folder: str, forms: tuple[str, ...] = ("10-K", "10-Q", "8-K"), start: str | None = None, end: str | None = None, pattern: str = "{folder}/{name}") -> DataFrame:
+    """As `submissions`, with the older pages that filing lists (cik, json) name in filings.files, each a file of its own with the days it spans.
+
+    Pages that miss the days asked for are left out by those days before any is read; the others are parsed and united with the recent filings in one plan. pattern: where the page of a name (it ends in .json) is found.
+    The driver holds the names of the pages that are read, as it does for any list of files. A filing of both lists counts once.
+    """
+    spark = payloads.sparkSession
+    listed = F.from_json("json", "struct<filings:struct<files:array<struct<name:string,filingFrom:string,filingTo:string>>>>")["filings"]["files"]
+    pages = payloads.select("cik", F.explode(listed).alias("f")).select("cik", "f.name", F.col("f.filingFrom").cast("date").alias("filing_from"), F.col("f.filingTo").cast("date").alias("filing_to"))
+    wanted = history_pages(pages, start, end).select("cik", "name").distinct()
+    paths = sorted(pattern.replace("{folder}", folder.rstrip("/")).replace("{name}", r["name"]) for r in wanted.select("name").distinct().collect())
+    recent = payloads.select("cik", F.from_json("json", f"struct<filings:struct<recent:{_ARRAYS}>>")["filings"]["recent"].alias("r"))
+    found = _filings(recent, forms, start, end)
+    if paths:
+        texts = spark.read.option("wholetext", True).text(paths).select(F.regexp_extract("_metadata.file_path", r"([^/=]+\.json)(?:/[^/]*)?$", 1).alias("name"), "value")
+        older = texts.join(wanted, "name").select("cik", F.from_json("value", _ARRAYS).alias("r"))
+        found = found.unionByName(_filings(older, forms, start, end))
+    return found.dropDuplicates(["cik", "accession"]).repartition("cik").sortWithinPartitions("cik", F.desc("filing_date"), "accession")
 
 
 def history_pages(pages: DataFrame, start: str | None, end: str | None) -> DataFrame:
