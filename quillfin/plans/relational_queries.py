@@ -279,8 +279,10 @@ def array_ops(spark, sf_dir):
 
 @query("set_first_seen_order", "SELECT user_id, string_agg(event_type, ',' ORDER BY seen) AS types FROM (SELECT user_id, event_type, min(event_id) AS seen FROM events GROUP BY 1, 2) GROUP BY 1")
 def first_seen_order(spark, sf_dir):
-    g = load(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("e"))
-    return g.select("user_id", F.array_join(F.array_distinct(F.transform("e", lambda x: x["event_type"])), ",").alias("types"))
+    # A user has a row for each type here, not for each event.
+    first = load(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("seen"))
+    g = first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("seen", "event_type"))).alias("e"))
+    return g.select("user_id", F.array_join(F.transform("e", lambda x: x["event_type"]), ",").alias("types"))
 
 
 @query("set_dedup_composite_key", with_inputs("chunks", "SELECT company, min(doc_id) AS doc_id, left(page_content, 50) AS head FROM chunks GROUP BY company, source_file, head"))

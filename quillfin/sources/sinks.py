@@ -39,11 +39,12 @@ def _each(seq):
 
 
 def read_only_sql(spark: SparkSession, sql: str, limit: int = 100) -> DataFrame:
-    """A query's first rows. The parsed plan decides: a plan with any node of a REFUSED class, in subqueries and named parts too, is refused."""
+    """A query's first rows. The parsed plan decides: a plan with any node of a REFUSED class, in subqueries and named parts too, is refused, and so is a relation of several name parts that the catalogue lacks, as such a name can be a format and a path."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     load = plan.getClass().getClassLoader().loadClass
     refused = [load(_PLANS + c) for c in REFUSED]
     is_plan, is_function = load(_PLANS + "LogicalPlan").isInstance, load("org.apache.spark.sql.catalyst.analysis.UnresolvedFunction").isInstance
+    is_relation = load("org.apache.spark.sql.catalyst.analysis.UnresolvedRelation").isInstance
     holds_plan = load("org.apache.spark.sql.catalyst.expressions.PlanExpression").isInstance
     stack = [plan]
     while stack:
@@ -52,6 +53,9 @@ def read_only_sql(spark: SparkSession, sql: str, limit: int = 100) -> DataFrame:
             raise PermissionError("only queries are allowed")
         if is_function(node) and str(node.nameParts().last()).lower() in REFUSED_FUNCTIONS:
             raise PermissionError("this function is not allowed")
+        if is_relation(node) and node.multipartIdentifier().size() > 1:
+            if not spark.catalog.tableExists(".".join("`" + str(p).replace("`", "``") + "`" for p in _each(node.multipartIdentifier()))):
+                raise PermissionError("only tables of the catalogue can be read")
         if holds_plan(node):
             stack.append(node.plan())
         stack += _each(node.children()) + [x for x in _each(node.innerChildren()) if is_plan(x)]

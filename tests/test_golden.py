@@ -398,3 +398,13 @@ def test_sentiment_with_negations_and_degrees(spark):
     assert [got[i][0] for i in range(len(texts))] == want and got[0][1] == "bullish" and got[4][1] == "bearish"
     plan = rs.sentiment(spark.createDataFrame([(1, "x")], "doc_id int, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan and "Exchange" not in plan
+
+
+def test_read_only_sql_keeps_to_the_catalogue(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/secret")
+    spark.range(3).write.mode("overwrite").saveAsTable("open_table")
+    assert sinks.read_only_sql(spark, "SELECT * FROM default.open_table").count() == 3 and sinks.read_only_sql(spark, "SELECT * FROM spark_catalog.default.open_table").count() == 3
+    for bad in (f"SELECT * FROM parquet.`{tmp_path}/secret`", f"SELECT * FROM open_table WHERE id IN (SELECT id FROM parquet.`file://{tmp_path}/secret`)", f"WITH t AS (SELECT * FROM text.`{tmp_path}/secret`) SELECT * FROM t"):
+        with pytest.raises(PermissionError):
+            sinks.read_only_sql(spark, bad)
+    spark.sql("DROP TABLE open_table")
