@@ -147,7 +147,7 @@ class Pair:
             known.update(zip(new, range(len(known), len(known) + len(new))))
             numbers = list(map(known.__getitem__, every))
         numbers = np.array(numbers, np.int64)
-        first = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+        first = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
         out = []
         for side in (self.ids_a, self.ids_b):
             flat, size = side.of(numbers)

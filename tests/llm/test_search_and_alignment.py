@@ -253,6 +253,13 @@ def test_alignment_in_small_chunks(spark, tokenizers, monkeypatch):
     assert sorted(hashlib.sha256(g.encode()).hexdigest() if g else "" for g in flat) == sorted(r[7] for r in want)
 
 
+def test_texts_without_tokens_alone(spark):
+    for rows in ([(1, ""), (2, None)], [(1, "a▁b")], [(1, "▁"), (2, "")]):
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        assert sorted(tuple(r) for r in tok.aligned(df).collect()) == [(i, 0, 0, 0, 0, 0, 0, "") for i, _ in rows]
+        assert all(r["groups"] == "" and r["cuts"] == [] for r in tok.alignments(df).collect())
+
+
 def test_alignments(spark, tokenizers):
     text = "Unhappiness in Zürich"
     (r,) = tok.alignments(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
