@@ -16,13 +16,20 @@ FORM_8K = (
 )
 QUARTER_WORDS = (("first quarter", 1), ("1st quarter", 1), ("second quarter", 2), ("2nd quarter", 2), ("third quarter", 3), ("3rd quarter", 3), ("fourth quarter", 4), ("4th quarter", 4))
 SEGMENT = (
-    "segment", "product segment", "line of business", "disaggregation of revenue", "codm", "asc 280",
+    "segment", "segments", "reportable segment", "operating segment", "business segment", "segment revenue", "segment income", "segment profit",
+    "revenue by segment", "income by segment", "segment assets", "segment capital expenditure", "segment depreciation", "segment amortization",
+    "capex by segment", "segment performance", "segment results", "segment margin", "segment outlook", "segment trend",
+    "product segment", "line of business", "disaggregation of revenue", "segment ebitda", "segment operating income", "segment net sales",
+    "codm", "asc 280", "segment disclosure", "segment reporting",
 )
 GEOGRAPHIC = (
-    "geographic", "geography", "by region", "by country", "region country", "revenue concentration", "foreign operations", "international operations",
-    "domestic vs international", "overseas operations", "global footprint", "foreign subsidiaries", "properties by location", "manufacturing locations",
-    "data centers", "distribution centers", "country risk", "regional risk", "currency risk", "foreign exchange exposure", "export controls", "sanctions",
-    "market concentration regional",
+    "geographic", "geography", "by region", "by country", "revenue by geography", "revenue by region", "net sales by geography",
+    "geographic revenue", "geographic distribution", "region country", "revenue concentration", "geographic information",
+    "foreign operations", "international operations", "domestic vs international", "overseas operations", "global footprint",
+    "foreign subsidiaries", "properties by location", "facilities by geography", "manufacturing locations", "data centers", "distribution centers",
+    "assets by country", "geographic risk", "country risk", "regional risk", "currency risk", "foreign exchange exposure", "export controls",
+    "sanctions", "customers by region", "customer concentration geography", "market concentration regional", "geographic market share",
+    "long lived assets by geography", "revenue by country",
 )
 MACRO = (
     "macro", "gdp", "inflation", "cpi", "pce", "ppi", "eci", "gross domestic product", "consumer price index", "employment cost", "producer price index",
@@ -37,10 +44,10 @@ INSIDER = ("insider trading", "open-market buying", "open market buying", "open-
 REALTIME = ("current stock price", "today's price", "right now", "live price", "current market price", "stock price today", "this morning", "today's news")
 RATING_TERMS = (
     ("strong_buy", 5.0, ("strong buy", "outperform", "overweight", "conviction buy", "top pick", "aggressive buy", "accumulate")),
-    ("buy", 4.0, ("buy", "positive", "add", "attractive")),
+    ("buy", 4.0, ("buy", "positive", "market outperform", "sector outperform", "add", "attractive")),
     ("hold", 3.0, ("hold", "neutral", "market perform", "sector perform", "equal weight", "in-line", "peer perform", "mixed")),
-    ("sell", 2.0, ("sell", "underperform", "underweight", "reduce", "negative")),
-    ("strong_sell", 1.0, ("avoid",)),
+    ("sell", 2.0, ("sell", "underperform", "underweight", "reduce", "negative", "market underperform", "sector underperform")),
+    ("strong_sell", 1.0, ("strong sell", "avoid", "conviction sell")),
 )
 KEYWORDS = {
     "negative": (
