@@ -48,10 +48,10 @@ from quillfin.llm.words import ranges
 
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 #: Distinct pairs of a chunk in a row of the staged table.
 PAIRS_OF_ROW = 4_096
-CACHE = 800_000
+CACHE = 400_000
 SPACE = "▁"
 U = np.uint64
 #: In front of a space that stands between two characters other than white space.
