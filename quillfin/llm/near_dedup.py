@@ -317,7 +317,6 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, k: int = SHI
 
     every_candidate: verify candidates of any agreement of signatures too, those as well that are five standard deviations short of the threshold and more.
     """
-    spark = docs.sparkSession
     docs = with_row_key(docs)
     rows = staged(docs.mapInArrow(_signatures(k, m), "doc_id long, doc_key long, doc_key2 long, t1 long, t2 long, sketch binary"), "sketches")
     full = rows.filter("sketch is not null")
@@ -345,7 +344,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, k: int = SHI
 
     tried = members.filter("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
     links = verify(tried)
-    classes = merged(spark.createDataFrame([], "node long, root long"), links)
+    # No class yet. A DataFrame made of a Python list would start Python workers of a second kind in every executor.
+    classes = merged(docs.sparkSession.range(0, 0, 1, 1).select(F.col("id").alias("node"), F.col("id").alias("root")), links)
     placed = staged(_placed(members, classes), "placed")
     nodes_open = staged(_mixed(placed).select("node").distinct(), "open-nodes")
     rare = staged(_rare(sets, nodes_open), "rare")

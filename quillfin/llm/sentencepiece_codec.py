@@ -25,7 +25,7 @@ import re
 import string
 from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
@@ -39,6 +39,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHE = 160_000
+DECODED = "doc_id long, ids array<int>, text_sha256 string, decoded string, decoded_sha256 string"
 
 
 @dataclass(frozen=True)
@@ -47,6 +48,10 @@ class Vocabulary:
 
     pieces: tuple
     scores: tuple
+    _made: dict = field(default_factory=dict, repr=False, compare=False)
+
+    def __getstate__(self):
+        return self.__dict__ | {"_made": {}}
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -168,14 +173,12 @@ def _marks(pieces: list[str]) -> str:
         marks |= more
 
 
-_kept: dict[type, tuple[Vocabulary, object]] = {}
-
-
 def _of(kind: type, vocabulary_):
-    """The worker's encoder or decoder for a broadcast vocabulary, kept from task to task."""
-    if kind not in _kept or _kept[kind][0] is not vocabulary_.value:
-        _kept[kind] = (vocabulary_.value, kind(vocabulary_.value))
-    return _kept[kind][1]
+    """The worker's encoder or decoder for a broadcast vocabulary, kept from task to task. The vocabulary holds it, so that both go once a worker's next task has another broadcast or none."""
+    made = vocabulary_.value._made
+    if kind not in made:
+        made[kind] = kind(vocabulary_.value)
+    return made[kind]
 
 
 def _id_lists(lists: list) -> pa.Array:
@@ -223,10 +226,15 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 def decode(encoded: DataFrame, model: str = MODEL, keep_text: bool = True) -> DataFrame:
     """Per row of encoded (doc_id, ids, text_sha256): those, decoded (null unless keep_text) and decoded_sha256."""
     sent = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
-    return encoded.mapInArrow(_decode(sent, keep_text), "doc_id long, ids array<int>, text_sha256 string, decoded string, decoded_sha256 string")
+    return encoded.mapInArrow(_decode(sent, keep_text), DECODED)
 
 
 def encode_and_check(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """Per row of docs: doc_id, n_tokens, ids and round_trip, whether decoding the ids gave the text back (null for a null text)."""
-    back = decode(encode(docs, model), model, keep_text=False)
+    """Per row of docs: doc_id, n_tokens, ids and round_trip, whether decoding the ids gave the text back (null for a null text).
+
+    A task encodes and decodes in one Python worker: two operators in a row would hold two, each with a vocabulary, and Spark keeps idle workers for the stages that follow.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+    encoded, decoded = _encode(sent), _decode(sent, keep_text=False)
+    back = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: decoded(encoded(batches)), DECODED)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("text_sha256") == F.col("decoded_sha256")).alias("round_trip"))

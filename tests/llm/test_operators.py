@@ -224,6 +224,13 @@ def test_near_duplicates_odd(spark):
     assert found_classes(docs(spark, [])) == []
 
 
+def test_near_duplicates_use_one_kind_of_worker(spark, monkeypatch):
+    """What comes out of a Python list is read by Python workers of their own, beside those of the operators."""
+    rows = docs(spark, ODD)
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **b: pytest.fail("rows from a Python list"))
+    assert found_classes(rows) == brute_classes(ODD)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7)]
@@ -416,6 +423,25 @@ def test_encode_odd(spark):
     assert spm.encode_and_check(docs(spark, [])).count() == 0
 
 
+def test_a_task_checks_its_ids_in_one_python_worker(spark):
+    plan = spm.encode_and_check(docs(spark, ODD))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_codecs_go_with_their_vocabulary(spark):
+    def left(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(isinstance(x, spm.Encoder) for x in gc.get_objects())]})
+
+    assert spm.encode_and_check(docs(spark, ODD).repartition(4)).count() == len(ODD)
+    # The tasks of a later stage, in the same workers.
+    assert [r["n"] for r in spark.range(0, 16, 1, 16).mapInArrow(left, "n long").collect()] == [0] * 16
+
+
 # ---- 5: secrets ----
 
 
