@@ -196,15 +196,22 @@ def filing_metadata(given: Column, cover: Column, name: Column, default: str = "
     return F.struct(F.coalesce(given["filing_type"], page["filing_type"], filing_type_of_file(name), F.lit(default)).alias("filing_type"), end.alias("period_end_date"), year.alias("year"))
 
 
+#: Edges of words of ASCII letters and digits, and white space, as RE2 has them: Java's \\b looks at letters of any script, its \\s takes the vertical tab too.
+_BEGIN, _END, _SPACE = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])", r"[\t\n\f\r ]?"
+
+
 def has_numeric_claim(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"(?i)\$\s?[\d,]+(?:\.\d+)?|\b\d+(?:\.\d+)?\s?%|\b\d+(?:\.\d+)?\s?(?:million|billion|trillion)\b"), F.lit(False))
+    number = rf"{_BEGIN}\d+(?:\.\d+)?{_SPACE}"
+    return F.coalesce(text.rlike(rf"(?i)\${_SPACE}[\d,]+(?:\.\d+)?|{number}%|{number}(?:million|billion|trillion){_END}"), F.lit(False))
 
 
 def numeric_value(text: Column) -> Column:
     """The first number of a text, sign kept, units ignored; null for 'n/a' and the like."""
     low = F.lower(F.trim(text))
     num = F.replace(F.regexp_extract(low, r"(-?[\d,]+\.?\d*)", 1), F.lit(",")).try_cast("double")
-    return F.when(~contains_any(low, ("not specified", "n/a", "various", "brief summary")), num)
+    # A dotted capital I counts as an i; by itself it would become an i and a dot.
+    plain = F.lower(F.replace(text, F.lit("\u0130"), F.lit("i")))
+    return F.when(~contains_any(plain, ("not specified", "n/a", "various", "brief summary")), num)
 
 
 def digits_value(text: Column) -> Column:

@@ -408,3 +408,11 @@ def test_read_only_sql_keeps_to_the_catalogue(spark, tmp_path):
         with pytest.raises(PermissionError):
             sinks.read_only_sql(spark, bad)
     spark.sql("DROP TABLE open_table")
+
+
+def test_numeric_claims_beside_letters_of_other_scripts(spark):
+    """Word edges, white space and capitals as RE2 and DuckDB have them."""
+    claims = {"é5%": True, "٣7%": True, "5 millionär": True, "a5%": False, "5 millions": False, "$\x0b5": False, "9\x0b%": False, "$\t5": True, "3 MILLION": True}
+    for text, want in claims.items():
+        assert one(spark, tx.has_numeric_claim(F.col("t")), t=text) is want, text
+    assert one(spark, tx.numeric_value(F.col("t")), t="4 not specİfied") is None
