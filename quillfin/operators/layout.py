@@ -71,12 +71,19 @@ def image_context(images: DataFrame, blocks: DataFrame, headers: int = 2, nearby
     images: page, image_id, y0, y1; blocks: page, n, y0, y1, text.
     """
     b = blocks.select("page", "n", ((F.col("y0") + F.col("y1")) / 2).alias("c"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("t")).filter(F.length("t") >= 3)
-    j = images.select("page", "image_id", "y0", ((F.col("y0") + F.col("y1")) / 2).alias("ic")).join(b, "page", "left").withColumn("d", F.abs(F.col("ic") - F.col("c")))
+    j = images.select("page", "image_id", "y0", ((F.col("y0") + F.col("y1")) / 2).alias("ic")).join(b, "page").withColumn("d", F.abs(F.col("ic") - F.col("c")))
     above = F.col("c") < F.col("y0")
     first = F.substring("t", 1, 1)
     head = above & (F.col("d") < 150) & (F.length("t") < 200) & ~((first == F.lower(first)) & (first != F.upper(first)))
-    pick = lambda on: F.array_sort(F.collect_list(F.when(on, F.struct("d", "n", "t"))))
-    g = j.groupBy("page", "image_id").agg(pick(head).alias("h"), pick(F.col("d") <= 400).alias("m"), F.array_sort(F.collect_list(F.struct("n", "t"))).alias("all"))
+    # A block counts as up to three kinds. Of each kind an image keeps its first ones, which tasks pick before anything is shuffled; no list of a page's blocks is made.
+    most = {"h": headers, "m": nearby, "all": 10}
+    kinds = F.array_compact(F.array(F.when(head, F.lit("h")), F.when(F.col("d") <= 400, F.lit("m")), F.lit("all")))
+    each = j.select("page", "image_id", "d", "n", "t", F.explode(kinds).alias("kind")).withColumn("d", F.when(F.col("kind") != "all", F.col("d")))
+    each = each.withColumn("place", F.row_number().over(Window.partitionBy("page", "image_id", "kind").orderBy("d", "n", "t"))).filter(F.col("place") <= max(most.values()))
+    pick = lambda kind: F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & (F.col("place") <= most[kind]), F.struct("place", "t"))))
+    found = each.groupBy("page", "image_id").agg(*[pick(kind).alias(kind) for kind in most])
+    none = F.array().cast("array<struct<place:int,t:string>>")
+    g = images.select("page", "image_id").distinct().join(found, ["page", "image_id"], "left").select("page", "image_id", *[F.coalesce(kind, none).alias(kind) for kind in most])
     take = lambda c, k: F.transform(F.slice(c, 1, k), lambda x: x["t"])
     near = F.filter(take("m", nearby), lambda t: F.length(t) > 10)
     parts = F.array_distinct(F.concat(take("h", headers), near))

@@ -416,3 +416,14 @@ def test_numeric_claims_beside_letters_of_other_scripts(spark):
     for text, want in claims.items():
         assert one(spark, tx.has_numeric_claim(F.col("t")), t=text) is want, text
     assert one(spark, tx.numeric_value(F.col("t")), t="4 not specİfied") is None
+
+
+def test_image_context_keeps_no_list_of_a_page(spark):
+    """Of a page of 3,000 blocks a few of each kind reach the lists; images without blocks or page have no context."""
+    blocks = spark.range(3000).select(F.lit(1).alias("page"), F.format_string("%05d", F.col("id")).alias("n"), (F.col("id") % 600).cast("double").alias("y0"), ((F.col("id") % 600) + 10).cast("double").alias("y1"), F.format_string("Block number %d", F.col("id")).alias("text"))
+    images = spark.createDataFrame([(1, 1, 300.0, 400.0), (2, 1, 300.0, 400.0), (None, 1, 0.0, 1.0)], "page int, image_id int, y0 double, y1 double")
+    df = lay.image_context(images, blocks)
+    assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+    got = {r["page"]: r["context"] for r in df.collect()}
+    names = [f"Block number {i}" for i in (294, 894, 345, 945, 1545, 2145, 2745, 344)]
+    assert got == {1: " ".join(names), 2: "", None: ""}
