@@ -427,3 +427,16 @@ def test_image_context_keeps_no_list_of_a_page(spark):
     got = {r["page"]: r["context"] for r in df.collect()}
     names = [f"Block number {i}" for i in (294, 894, 345, 945, 1545, 2145, 2745, 344)]
     assert got == {1: " ".join(names), 2: "", None: ""}
+
+
+def test_persons_are_summed_up_where_their_rows_are(spark):
+    """Rows are dealt out once, by issuer and merged owner: neither persons, their totals nor distinct rows are shuffled again."""
+    import re
+
+    day = dt.date(2024, 1, 2)
+    rows = [("a", "4", day, "I", o, True, False, False, day, "P", "A", 10.0, 2.0, 1) for o in ("Ann  Lee", "ANN LEE.", "Bob")]
+    trades = spark.createDataFrame(rows + rows[:1], "accession string, document_type string, period_of_report date, issuer string, owner string, is_officer boolean, is_director boolean, is_ten_percent_owner boolean, transaction_date date, code string, acquired_disposed string, shares double, price double, seq int")
+    df = ins.insider_by_person(ins.signals(ins.insider_dedup(trades, keyed=True)))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"hashpartitioning\((.*?), \d+\)", re.sub(r"#\d+L?", "", plan))) == {"issuer, owner_key"}
+    assert sorted((r["person"], r["p_value"], r["p_shares"]) for r in df.collect()) == [("Ann  Lee", 40.0, 20), ("Bob", 20.0, 10)]
