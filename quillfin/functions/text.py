@@ -78,7 +78,11 @@ def contains_any(text: Column, terms) -> Column:
 
 def literal_count(text: Column, term: str) -> Column:
     """Non-overlapping occurrences of a term in the text in lower case."""
-    low = F.lower(text)
+    return lower_count(F.lower(text), term)
+
+
+def lower_count(low: Column, term: str) -> Column:
+    """As `literal_count`, of a text that is in lower case already."""
     return ((F.length(low) - F.length(F.replace(low, F.lit(term), F.lit("")))) / len(term)).cast("int")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillfin.functions.numbers import rnd
-from quillfin.functions.text import KEYWORDS, direction, literal_count, metric_rows, numeric_value, polarity_band, rating, tone
+from quillfin.functions.text import KEYWORDS, direction, literal_count, lower_count, metric_rows, numeric_value, polarity_band, rating, tone
 
 #: The default sentiment lexicon: words by polarity and subjectivity.
 LEXICON = {
@@ -84,9 +84,12 @@ def sentiment(docs: DataFrame, words: dict[str, tuple[float, float]] = WORDS, ne
 
 def keyword_counts(docs: DataFrame, dictionary: dict[str, tuple[str, ...]] = KEYWORDS) -> DataFrame:
     """doc_id, category, total: substring occurrences, so a word also counts inside a longer one."""
-    total = lambda terms: sum((literal_count(F.col("text"), t) for t in terms), F.lit(0))
-    pairs = F.array(*[F.struct(F.lit(c).alias("category"), total(terms).alias("total")) for c, terms in dictionary.items()])
-    return docs.select("doc_id", F.explode(pairs).alias("x")).select("doc_id", "x.category", "x.total")
+    # The text is put in lower case once, and only terms that it holds are counted.
+    low = docs.select("doc_id", F.lower("text").alias("low"))
+    count = lambda t: F.when(F.contains("low", F.lit(t)), lower_count(F.col("low"), t)).otherwise(F.when(F.col("low").isNotNull(), 0))
+    totals = low.select("doc_id", *[sum((count(t) for t in terms), F.lit(0)).alias(c) for c, terms in dictionary.items()])
+    pairs = F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("total")) for c in dictionary])
+    return totals.select("doc_id", F.explode(pairs).alias("x")).select("doc_id", "x.category", "x.total")
 
 
 def document_tone(docs: DataFrame, dictionary: dict[str, tuple[str, ...]] = KEYWORDS) -> DataFrame:

@@ -440,3 +440,10 @@ def test_persons_are_summed_up_where_their_rows_are(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert set(re.findall(r"hashpartitioning\((.*?), \d+\)", re.sub(r"#\d+L?", "", plan))) == {"issuer, owner_key"}
     assert sorted((r["person"], r["p_value"], r["p_shares"]) for r in df.collect()) == [("Ann  Lee", 40.0, 20), ("Bob", 20.0, 10)]
+
+
+def test_keyword_counts_lower_a_text_once(spark):
+    docs = spark.createDataFrame([(1, "Headwinds and HEADWIND; growth"), (2, None), (3, "")], "doc_id int, text string")
+    df = res.keyword_counts(docs, {"negative": ("headwinds", "headwind"), "positive": ("growth",)})
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert {(r["doc_id"], r["category"], r["total"]) for r in df.collect()} == {(1, "negative", 3), (1, "positive", 1), (2, "negative", None), (2, "positive", None), (3, "negative", 0), (3, "positive", 0)}
